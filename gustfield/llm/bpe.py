@@ -240,53 +240,50 @@ def char_starts(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode(df: DataFrame, text: str = "text", path: str | None = None, special_as_text: bool = True, offsets: bool = False) -> DataFrame:
-    """Adds ``ids`` (little-endian unsigned 32-bit integers as binary) and ``n_tokens``.
-
-    offsets=True also adds ``byte_start`` and ``char_start`` (arrays: where each id begins; a character that is
-    split over ids is counted where it begins) and ``split`` (ids that begin inside a character).
-    """
+def encoder(text: str = "text", path: str | None = None, special_as_text: bool = True, offsets: bool = False) -> C.Step:
     path = path or vocabulary_path("byte_bpe_50k.json")
-    keep = [c for c in df.columns if c not in {"ids", "n_tokens", "byte_start", "char_start", "split"}]
-    src = df.select(*[f"`{c}`" for c in keep])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] + ["ids binary", "n_tokens bigint"] + (["byte_start array<bigint>", "char_start array<bigint>", "split array<boolean>"] if offsets else []))
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         strings = C.column(batch, text)
         flat, off = codec(path, special_as_text).encode(strings)
-        cols = [*batch.columns, _binary(flat, off, 4), pa.array(np.diff(off))]
-        names = [*batch.schema.names, "ids", "n_tokens"]
+        cols = [_binary(flat, off, 4), pa.array(np.diff(off))]
         if offsets:
             data, at = C.raw(strings, "")
             lens = id_bytes(path).len[flat]
-            ends = np.cumsum(lens)
-            begins = ends - lens
-            base = np.repeat(at[:-1], np.diff(off))
+            begins = np.cumsum(lens) - lens
             chars = char_starts(data)
-            first = chars[np.minimum(at[:-1], max(len(data) - 1, 0))] if len(data) else np.zeros(len(at) - 1, np.int64)
-            inside = ((data[np.minimum(begins, len(data) - 1)] & 0xC0) == 0x80) if len(flat) else np.zeros(0, bool)
-            cols += [C.list_column(begins - base, off, pa.int64()), C.list_column(chars[begins] - np.repeat(first, np.diff(off)), off, pa.int64()), C.list_column(inside, off, pa.bool_())]
-            names += ["byte_start", "char_start", "split"]
-        return pa.RecordBatch.from_arrays(cols, names)
+            inside = (data[begins] & 0xC0) == 0x80 if len(flat) else np.zeros(0, bool)
+            each = np.diff(off)
+            cols += [C.list_column(begins - np.repeat(at[:-1], each), off, pa.int64()), C.list_column(chars[begins] - np.repeat(chars[at[:-1]], each), off, pa.int64()), C.list_column(inside, off, pa.bool_())]
+        return cols
 
-    return C.map_slices(src, text, fn, schema)
+    return C.Step(fn, {"ids": "binary", "n_tokens": "bigint"} | ({"byte_start": "array<bigint>", "char_start": "array<bigint>", "split": "array<boolean>"} if offsets else {}))
 
 
-def decode(df: DataFrame, ids: str = "ids", path: str | None = None, raw: bool = False) -> DataFrame:
-    """Adds ``decoded``: the text (raw=True: the bytes) of ``ids``. Null ids give null.
-
-    Characters whose bytes were split over ids come out whole; bytes that form no character (ids cut in the
-    middle of one) become U+FFFD in the text and stay as they are in the bytes.
-    """
+def decoder(ids: str = "ids", path: str | None = None, raw: bool = False) -> C.Step:
     path = path or vocabulary_path("byte_bpe_50k.json")
-    keep = [c for c in df.columns if c != "decoded"]
-    src = df.select(*[f"`{c}`" for c in keep])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] + ["decoded " + ("binary" if raw else "string")])
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         tokens = id_bytes(path)
-        out = [None if b is None else tokens.join(np.frombuffer(b, np.uint32)).tobytes() for b in C.column(batch, ids).to_pylist()]
-        col = pa.array(out, pa.binary()) if raw else pa.array([None if b is None else b.decode("utf-8", "replace") for b in out], pa.string())
-        return pa.RecordBatch.from_arrays([*batch.columns, col], [*batch.schema.names, "decoded"])
+        out = [tokens.join(np.frombuffer(v.as_buffer(), np.uint32)).tobytes() if v.is_valid else None for v in C.column(batch, ids)]
+        return [pa.array(out, pa.binary()) if raw else pa.array([None if b is None else b.decode("utf-8", "replace") for b in out], pa.string())]
+
+    return C.Step(fn, {"decoded": "binary" if raw else "string"})
+
 
-    return C.map_slices(src, ids, fn, schema)
+def encode(df: DataFrame, **options) -> DataFrame:
+    """Adds ``ids`` (little-endian unsigned 32-bit integers as binary) and ``n_tokens``.
+
+    offsets=True also adds ``byte_start`` and ``char_start`` (arrays: where each id begins; one that begins inside
+    a character counts as that character) and ``split`` (ids that begin inside a character). Options: see encoder.
+    """
+    return C.apply(df, options.get("text", "text"), encoder(**options))
+
+
+def decode(df: DataFrame, **options) -> DataFrame:
+    """Adds ``decoded``: the text (raw=True: the bytes) of ``ids``. Null ids give null.
+
+    Characters whose bytes were split over ids come out whole; bytes that form no character (ids cut in the
+    middle of one) become U+FFFD in the text and stay as they are in the bytes. Options: see decoder.
+    """
+    return C.apply(df, options.get("ids", "ids"), decoder(**options))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Word separators of the white-space word definition: \x20 and \x09-\x0D.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -68,14 +68,38 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``fn`` to slices of whole documents; ``fn`` must not depend on how rows are sliced."""
+class Step:
+    """One operator's work on a batch: ``fn`` returns the columns ``adds`` (name -> Spark type); ``drops`` go.
+
+    ``fn`` must not depend on how rows are sliced.
+    """
+
+    def __init__(self, fn: Callable[[pa.RecordBatch], list[pa.Array]], adds: dict[str, str], drops: tuple[str, ...] = ()):
+        self.fn, self.adds, self.drops = fn, adds, drops
+
+    def names(self, before: list[str]) -> list[str]:
+        """Input columns that bear the name of an output column are replaced."""
+        return [n for n in before if n not in self.drops and n not in self.adds] + [*self.adds]
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = self.fn(batch)
+        kept = [n for n in batch.schema.names if n not in self.drops and n not in self.adds]
+        return pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *made], [*kept, *self.adds])
+
+
+def apply(df: DataFrame, by: str, *steps: Step) -> DataFrame:
+    """Run ``steps`` one after the other in a single Python worker, over slices of whole rows cut by the bytes of column ``by``."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = df.columns
+    for step in steps:
+        names, kinds = step.names(names), kinds | step.adds
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
     def run(batches):
-        for piece in slices(batches, text):
-            out = fn(piece)
-            if out is not None:
-                yield out
+        for piece in slices(batches, by):
+            for step in steps:
+                piece = step(piece)
+            yield piece
 
     return df.mapInArrow(run, schema)
 
@@ -118,7 +142,7 @@ _GROW = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _GROW.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = (n >> 18) + 1 << 18
         out = np.full(size, base, np.uint64)
         out[0] = 1
         with np.errstate(over="ignore"):

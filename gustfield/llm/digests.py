@@ -6,20 +6,15 @@ import hashlib
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from . import columnar as C
 
 
-def add_digest(df: DataFrame, source: str, name: str, kind: str, drop: bool = True) -> DataFrame:
-    """Adds ``name``: the sha256 (lower-case hex) or crc32 (unsigned) of a binary column, which goes if ``drop``."""
-    src = df
-    rest = [c for c in df.columns if not (drop and c == source)]
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest] + [f"{name} {'string' if kind == 'sha256' else 'bigint'}"])
+def digest(source: str, name: str, kind: str) -> C.Step:
+    """Adds ``name``: the sha256 (lower-case hex) or crc32 (unsigned) of a binary column, which goes. Null gives null."""
+    make = {"sha256": lambda b: hashlib.sha256(b).hexdigest(), "crc32": zlib.crc32}[kind]
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = C.column(batch, source)
-        made = [hashlib.sha256(v.as_buffer()).hexdigest() if kind == "sha256" else zlib.crc32(v.as_buffer()) for v in values]
-        return pa.RecordBatch.from_arrays([*(C.column(batch, c) for c in rest), pa.array(made, pa.string() if kind == "sha256" else pa.int64())], [*rest, name])
+    def fn(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([make(v.as_buffer()) if v.is_valid else None for v in C.column(batch, source)], pa.string() if kind == "sha256" else pa.int64())]
 
-    return C.map_slices(src, source, fn, schema)
+    return C.Step(fn, {name: "string" if kind == "sha256" else "bigint"}, (source,))

@@ -88,23 +88,32 @@ def write_packed(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "t
     ranged.mapInArrow(run, SCHEMA).write.parquet(out)
 
 
-def read_packed(spark: SparkSession, path: str) -> DataFrame:
-    """Reads a folder back: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit)."""
+def read_packed(spark: SparkSession, path: str, *steps: C.Step) -> DataFrame:
+    """Reads a folder back: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (binary, little-endian
+    unsigned 32-bit). ``steps`` run on what was read, in the same worker."""
+    kinds = {"shard": "int", "doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids": "binary"}
+    names = [*kinds]
+    for step in steps:
+        names, kinds = step.names(names), kinds | step.adds
 
     def fn(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
                 ids = unpack(row["payload"], row["width"], 0, row["n_ids"])
                 cuts = np.array([*row["doc_starts"], row["n_ids"]], np.int64)
                 for i in range(0, len(cuts) - 1, 4096):
                     own = cuts[i : i + 4097]
                     off = ((own - own[0]) * 4).astype(np.int32)
                     data = pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(ids[own[0] : own[-1]]))])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own) - 1, row["shard"], np.int32)), pa.array(row["doc_ids"][i : i + 4096], pa.int64()), pa.array(own[:-1] + row["first"]), pa.array(np.diff(own)), data], ["shard", "doc_id", "local", "n_tokens", "ids"])
+                    out = pa.RecordBatch.from_arrays([pa.array(np.full(len(own) - 1, row["shard"], np.int32)), pa.array(row["doc_ids"][i : i + 4096], pa.int64()), pa.array(own[:-1] + row["first"]), pa.array(np.diff(own)), data], ["shard", "doc_id", "start", "n_tokens", "ids"])
+                    for step in steps:
+                        out = step(out)
+                    yield out
 
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    docs = blocks.mapInArrow(fn, "shard int, doc_id bigint, local bigint, n_tokens bigint, ids binary")
-    return docs.join(F.broadcast(shard_starts(blocks)), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids")
+    docs = blocks.mapInArrow(fn, ", ".join(f"`{n}` {kinds[n]}" for n in names))
+    return docs.join(F.broadcast(shard_starts(blocks)), "shard").withColumn("start", F.col("base") + F.col("start")).drop("shard", "base")
 
 
 def shard_starts(blocks: DataFrame) -> DataFrame:

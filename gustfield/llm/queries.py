@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
-from .columnar import shared_dir, table
-from .digests import add_digest
+from . import bpe, decontaminate, media, packing
+from .columnar import Step, apply, shared_dir, table
+from .digests import digest
+
+
+def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = apply(docs, "text", media.storer(), Step(lambda _: [], {}, ("text",)), media.reader())
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs).select("doc_id", "n_tokens", "ids")
-    back = bpe.decode(ids, raw=True)
-    return add_digest(add_digest(back, "decoded", "decoded_sha256", "sha256"), "ids", "ids_sha256", "sha256").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    steps = bpe.encoder(), Step(lambda _: [], {}, ("text",)), bpe.decoder(raw=True), digest("decoded", "decoded_sha256", "sha256"), digest("ids", "ids_sha256", "sha256")
+    return apply(docs, "text", *steps).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op7_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "packed")
     packing.write_packed(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return add_digest(packing.read_packed(spark, path), "ids", "ids_crc32", "crc32").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return packing.read_packed(spark, path, digest("ids", "ids_crc32", "crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontaminate.items_digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op7_bit_packing": op7_bit_packing}
+QUERIES = {"op3_media_jpeg": op3_media_jpeg, "op5_byte_bpe": op5_byte_bpe, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination}
 
 ORACLES: dict[str, str] = {}
