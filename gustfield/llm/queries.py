@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, packing
-from .columnar import Step, apply, shared_dir, table
+from . import bpe, decontaminate, language, media, packing, secrets, toxicity
+from .columnar import Step, apply, crc32_mod, shared_dir, table
 from .digests import digest
 
 
@@ -16,12 +16,24 @@ def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc32_mod("doc_id", 3) == 1
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.classify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     steps = bpe.encoder(), Step(lambda _: [], {}, ("text",)), bpe.decoder(raw=True), digest("decoded", "decoded_sha256", "sha256"), digest("ids", "ids_sha256", "sha256")
     return apply(docs, "text", *steps).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc32_mod("doc_id", 4) == 2
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op7_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "packed")
     packing.write_packed(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -33,6 +45,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), decontaminate.items_digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op3_media_jpeg": op3_media_jpeg, "op5_byte_bpe": op5_byte_bpe, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.spelled("base"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"), "n_random")
+
+
+QUERIES = {"op3_media_jpeg": op3_media_jpeg, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_language": op6_language, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets}
 
 ORACLES: dict[str, str] = {}
