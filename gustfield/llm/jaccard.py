@@ -35,6 +35,8 @@ from . import columnar as C
 SMALL, LEVELS = 12, 3
 #: Documents from which on a shingle is frequent; bits of the map of frequent ones; text bytes of a block.
 FREQUENT, MAP_BITS, BLOCK = 24, 26, 4 << 20
+#: Parts of the hash space by which the size of an intersection is bounded from counts alone.
+PARTS = 256
 
 
 def words_of(strings: pa.Array):
@@ -107,15 +109,18 @@ class Join:
     # -- classes -----------------------------------------------------------------------------------------------------
 
     def members(self) -> DataFrame:
-        """doc_id, n_shingles, class (null without shingles)."""
+        """doc_id, n_shingles, class (null without shingles), and how many shingles lie in each part of the hash space."""
         width = self.width
 
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             sets, off = shingles(C.column(batch, "text"), width)
             n = np.diff(off)
-            return [pa.array(n), pa.array(class_keys(sets, off), mask=n == 0)]
+            where = np.repeat(np.arange(len(n)), n) * PARTS + (sets >> np.uint64(56)).astype(np.int64)
+            table = np.bincount(where, minlength=len(n) * PARTS).astype("<u4").view(np.uint8).reshape(len(n), PARTS, 4)
+            planes = [np.ascontiguousarray(t.T).tobytes().rstrip(b"\0") for t in table]  # low bytes first, empty planes left out
+            return [pa.array(n), pa.array(class_keys(sets, off), mask=n == 0), pa.array(planes, pa.binary())]
 
-        return C.apply(self.docs, "text", C.Step(fn, {"n_shingles": "bigint", "class": "bigint"}, ("text",)))
+        return C.apply(self.docs, "text", C.Step(fn, {"n_shingles": "bigint", "class": "bigint", "parts": "binary"}, ("text",)))
 
     # -- frequent shingles -------------------------------------------------------------------------------------------
 
@@ -221,21 +226,72 @@ class Join:
 
     # -- distances ---------------------------------------------------------------------------------------------------
 
-    def sets_of(self, classes: DataFrame, members: DataFrame) -> DataFrame:
-        """class, set (binary of sorted hashes), for the classes given; each is computed from one of its documents."""
-        width = self.width
-        one = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(classes, "class")
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """class, set (binary of sorted hashes), for rows of (class, doc_id of one member).
+
+        Texts aren't shuffled: which rows are wanted is told to the scan by a map of fixed size, in which other rows
+        are found now and then; those go in the join behind.
+        """
+        width, bits = self.width, MAP_BITS
+        held = self.spark.sparkContext.broadcast(self._map(wanted.select(F.xxhash64("doc_id", "class").alias("h"))))
 
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             sets, off = shingles(C.column(batch, "text"), width)
             return [pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary()), pa.array(class_keys(sets, off))]
 
-        found = C.apply(self.docs.join(one, "doc_id"), "text", C.Step(fn, {"set": "binary", "own": "bigint"}, ("text",)))
-        # several rows may bear the id: that of the class holds
-        return found.where("own = class").dropDuplicates(["class"]).select("class", "set")
+        def pick(batches):
+            for batch in C.slices(batches, "text"):
+                at = C.column(batch, "place").to_numpy(zero_copy_only=False)
+                yes = np.flatnonzero((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                if len(yes):
+                    made = fn(batch.take(pa.array(yes)))
+                    yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id").take(pa.array(yes)), made[1], made[0]], ["doc_id", "class", "set"])
+
+        # the place in the map needs the class, so texts are scanned for it once more
+        scanned = C.apply(self.docs, "text", C.Step(lambda b: [pa.array(class_keys(*shingles(C.column(b, "text"), width)))], {"class": "bigint"}))
+        placed = scanned.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "class"), 64 - bits)).select("doc_id", "text", "place")
+        found = placed.mapInArrow(pick, "doc_id bigint, class bigint, set binary")
+        return found.join(wanted, ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "set")
+
+    def _map(self, hashes: DataFrame) -> np.ndarray:
+        """Bits of the leading MAP_BITS bits of the hashes (column h), made in slices of a fixed size."""
+        log, bits = min(6, MAP_BITS - 4), MAP_BITS
+
+        def mark(table: pa.Table) -> pa.Table:
+            r = table.column("r")[0].as_py()
+            bitmap = np.zeros(1 << (bits - log), np.uint8)
+            bitmap[table.column("p").to_numpy() - (r << (bits - log))] = 1
+            return pa.table({"r": pa.array([r], pa.int32()), "b": pa.array([zstd.compress(np.packbits(bitmap).tobytes(), 1)], pa.binary())})
+
+        places = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("p")).distinct().withColumn("r", F.shiftright("p", bits - log).cast("int"))
+        out = np.zeros((1 << bits) // 8, np.uint8)
+        step = len(out) >> log
+        for row in places.groupBy("r").applyInArrow(mark, "r int, b binary").toLocalIterator():
+            out[row["r"] * step : (row["r"] + 1) * step] = np.frombuffer(zstd.decompress(bytes(row["b"])), np.uint8)
+        return out
+
+    def bounds(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """a, b, near (they may link), lo (no distance is less), from counts by part: shared shingles are at most the sum of the lesser counts."""
+        percent = self.percent
+        side = lambda k, v: classes.select(F.col("class").alias(k), F.col("parts").alias(v))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+        def counts(column: pa.Array) -> np.ndarray:
+            raw = b"".join(v.as_buffer().to_pybytes().ljust(4 * PARTS, b"\0") for v in column)
+            return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4, PARTS).transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
+
+        def fn(batches):
+            for batch in C.slices(batches, "x"):
+                x, y = counts(C.column(batch, "x")), counts(C.column(batch, "y"))
+                most = np.minimum(x, y).sum(1)
+                least = x.sum(1) + y.sum(1) - most
+                yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b"), pa.array(100 * most >= percent * least), pa.array(1 - most / least)], ["a", "b", "near", "lo"])
+
+        return both.mapInArrow(fn, "a bigint, b bigint, near boolean, lo double")
 
     def distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """a, b, shared, joint of distinct pairs."""
+        """a, b, linked, lo, hi (both the distance) of distinct pairs."""
+        percent = self.percent
         both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
 
         def fn(batches):
@@ -245,9 +301,20 @@ class Join:
                     p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                     shared.append(common), joint.append(len(p) + len(q) - common)
-                yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b"), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())], ["a", "b", "shared", "joint"])
+                s, j = np.array(shared, np.int64), np.array(joint, np.int64)
+                d = pa.array(1 - s / np.maximum(j, 1))
+                yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b"), pa.array(100 * s >= percent * j), d, d], ["a", "b", "linked", "lo", "hi"])
+
+        return both.mapInArrow(fn, "a bigint, b bigint, linked boolean, lo double, hi double")
 
-        return both.mapInArrow(fn, "a bigint, b bigint, shared bigint, joint bigint")
+    def compared(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """a, b, linked, lo, hi of distinct pairs: bounds first, sets only for those that may link."""
+        bound = C.written(self.bounds(pairs, classes), "bounds")
+        close = bound.where("near").select("a", "b")
+        ends = close.select(F.col("a").alias("class")).union(close.select(F.col("b").alias("class"))).distinct()
+        sets = C.written(self.sets_of(classes.select("class", "doc_id").join(ends, "class")), "sets")
+        exact = self.distances(close, sets)
+        return C.written(exact.unionByName(bound.where("not near").select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))), "distances")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Members (doc_id, n_shingles, class), and links between classes (a, b) that connect what the definition connects:
@@ -255,31 +322,30 @@ class Join:
         held = self.spark.sparkContext.broadcast(self.frequent())
         members = C.written(self.members(), "members")
         found = C.written(self.regions(held), "regions")
-        near = f"100 * shared >= {self.percent} * joint"
-        ends = found.select(F.col("a").alias("class")).union(found.select(F.col("b").alias("class"))).distinct()
-        sets = C.written(self.sets_of(ends, members), "sets")
-        ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = C.written(self.distances(ordered, sets), "distances")
-        links = known.where(near).select("a", "b")
+        ordered = C.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        ends = ordered.select(F.col("a").alias("class")).union(ordered.select(F.col("b").alias("class"))).union(found.where("big").select("b")).distinct()
+        classes = C.written(members.where("class is not null").join(ends, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts")), "classes")
+        known = self.compared(ordered, classes)
+        links = known.where("linked").select("a", "b")
         region = found.where("big").select("region", F.col("a").alias("pivot"), F.col("b").alias("class"), "n")
+        slack = self.radius + 1e-9
         for level in range(LEVELS):
             if region.isEmpty():
                 break
-            # members of a region with their distance to its pivot; those outside the radius, and the window of those inside
-            d = known.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("d"), F.expr(near).alias("linked"))
-            at = region.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(d, ["a", "b"]).select("region", "class", "n", "d", "linked")
-            far = at.where("not linked").groupBy("region").agg(F.min("d").alias("nearest"), F.count("*").alias("size"), F.min(F.struct(F.xxhash64("class"), "class")).alias("p"))
-            at = C.written(at.join(far, "region").where(F.col("d") >= F.col("nearest") - self.radius - 1e-9).select("region", "class", "n", "d", "linked", "size", F.col("p.class").alias("pivot")), "windows")
+            # members with bounds of their distance to the pivot; those outside the radius, and the window of those inside
+            at = region.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(known, ["a", "b"]).select("region", "class", "n", "lo", "hi", "linked")
+            far = at.where("not linked").groupBy("region").agg(F.min("lo").alias("nearest"), F.count("*").alias("size"), F.min(F.struct(F.xxhash64("class"), "class")).alias("p"))
+            at = C.written(at.join(far, "region").where(F.col("hi") >= F.col("nearest") - slack).select("region", "class", "n", "lo", "hi", "linked", "size", F.col("p.class").alias("pivot")), "windows")
             last = level == LEVELS - 1
             x = at.where("not linked" if last else f"not linked and size <= {SMALL}")
-            y = at.select("region", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "d", "linked")])
-            compare = x.join(y, "region").where(f"(linked_ or class < class_) and class != class_ and abs(d - d_) <= {self.radius + 1e-9} and 100 * least(n, n_) >= {self.percent} * greatest(n, n_)").select(F.least("class", "class_").alias("a"), F.greatest("class", "class_").alias("b"))
+            y = at.select("region", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "lo", "hi", "linked")])
+            compare = x.join(y, "region").where(f"(linked_ or class < class_) and class != class_ and lo <= hi_ + {slack} and lo_ <= hi + {slack} and 100 * least(n, n_) >= {self.percent} * greatest(n, n_)").select(F.least("class", "class_").alias("a"), F.greatest("class", "class_").alias("b"))
             region = at.where("false" if last else f"size > {SMALL} and class != pivot").select("region", "pivot", "class", "n")
             more = compare.unionByName(region.select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b"))).distinct()
-            fresh = C.written(self.distances(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), sets), "distances")
-            links = links.unionByName(fresh.where(near).select("a", "b"))
+            fresh = self.compared(C.written(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), classes)
+            links = links.unionByName(fresh.where("linked").select("a", "b"))
             known = known.unionByName(fresh)
-        return members, links.distinct()
+        return members.drop("parts"), links.distinct()
 
 
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
