@@ -64,7 +64,7 @@ def by_speed(records: DataFrame, lag: int = 30, edges: tuple = (0.0, 2.0, 4.0, 6
     p = lagged(records, [lag]).withColumn("mean", (F.col("speed") + F.col("speed2")) / 2)
     bin_of = F.lit(None).cast("int")
     for i, e in enumerate(edges):
-        bin_of = F.when(F.col("mean") >= e, i).otherwise(bin_of) if i == 0 else F.when(F.col("mean") >= e, i).otherwise(bin_of)
+        bin_of = F.when(F.col("mean") >= e, i).otherwise(bin_of)
     bins = spark.range(len(edges)).select(F.col("id").cast("int").alias("bin"))
     g = p.withColumn("bin", bin_of).where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("speed2") - F.col("speed"), 2))).alias("rms"), F.avg("mean").alias("mean_speed"))
     return F.broadcast(bins).join(g, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "rms", "mean_speed", F.when(F.col("mean_speed") > 0, F.col("rms") / F.col("mean_speed")).alias("relative"))

@@ -61,7 +61,7 @@ def one_minute(lines: DataFrame) -> DataFrame:
     code = first_failure([(F.length("value") < 79, "malformed"), (local.isNull() | minutes.isNull() | (minutes >= 1440), "bad-time"), (absent, "no-wind"), (speed.isNull() | direction.isNull(), "malformed"), ((speed < 0) | (speed > MINUTE_CEILING_KT), "implausible")])
     calm = speed <= 2
     kt = F.lit(UNITS["kt"])
-    return lines.select(cut("value", 10, 13).alias("station_id"), F.timestamp_micros(F.unix_micros(local) + shift * 60_000_000).alias("time"), (speed * kt).alias("speed_mps"), compass(direction, speed, calm).alias("from_deg"), calm.alias("calm"), (gust * kt).alias("gust_mps"), code.alias("code"))
+    return lines.select(cut("value", 10, 13).alias("station_id"), F.timestamp_micros(F.unix_micros(local) + shift.cast("bigint") * 60_000_000).alias("time"), (speed * kt).alias("speed_mps"), compass(direction, speed, calm).alias("from_deg"), calm.alias("calm"), (gust * kt).alias("gust_mps"), code.alias("code"))
 
 
 def header_unit(names: list[str], wanted: str) -> tuple[str, str]:
@@ -89,7 +89,7 @@ def remote_stations(table: DataFrame, minutes: DataFrame | None = None, hour_bin
     t = t.join(F.broadcast(minutes.select(F.col("station_id").alias("_id"), "transmit_minute")), "_id", "left") if minutes is not None else t.withColumn("transmit_minute", F.lit(None).cast("int"))
     label = F.try_to_timestamp(c("DateTime"))
     m = F.col("transmit_minute")
-    sent = F.timestamp_micros(F.unix_micros(label) + (m - F.when(m >= 30, 60).otherwise(0)) * 60_000_000)
+    sent = F.timestamp_micros(F.unix_micros(label) + (m - F.when(m >= 30, 60).otherwise(0)).cast("bigint") * 60_000_000)
     speed, gust, way = number(c(speed_name)), number(c(gust_name)), number(c(azimuth))
     flagged = ~blank(c("WSflag")) | ~blank(c("WAflag"))
     code = first_failure([
@@ -114,7 +114,7 @@ def agricultural(docs: DataFrame) -> DataFrame:
     code = F.coalesce("_bad", first_failure([(F.col("time").isNull() | (F.trim("time") == ""), "blank"), (end.isNull(), "bad-time"), (missing("windSpeed"), "no-wind"), ((F.col("windSpeed") < 0) | (F.col("windSpeed") > AGRICULTURAL_CEILING), "implausible")]))
     calm = F.col("windSpeed") < CALM
     way = F.when(missing("windDir"), F.lit(None).cast("double")).otherwise(F.col("windDir"))
-    return rows.select(F.lower("station").alias("station_id"), F.timestamp_micros(F.unix_micros(end) - F.col("timestep") * 500_000).alias("time"), F.col("windSpeed").alias("speed_mps"), compass(way, F.col("windSpeed"), calm).alias("from_deg"), calm.alias("calm"), F.when(~missing("gustSpeed"), F.col("gustSpeed")).alias("gust_mps"), code.alias("code"))
+    return rows.select(F.lower("station").alias("station_id"), F.timestamp_micros(F.unix_micros(end) - F.col("timestep").cast("bigint") * 500_000).alias("time"), F.col("windSpeed").alias("speed_mps"), compass(way, F.col("windSpeed"), calm).alias("from_deg"), calm.alias("calm"), F.when(~missing("gustSpeed"), F.col("gustSpeed")).alias("gust_mps"), code.alias("code"))
 
 
 _Q = "struct<unitCode:string,value:double,qualityControl:string>"
