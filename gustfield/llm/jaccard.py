@@ -34,7 +34,7 @@ from . import columnar as C
 #: Classes of a region that are compared pair by pair; levels of pivots.
 SMALL, LEVELS = 12, 3
 #: Documents from which on a shingle is frequent; bits of the map of frequent ones; text bytes of a block.
-FREQUENT, MAP_BITS, BLOCK = 24, 26, 4 << 20
+FREQUENT, MAP_BITS, BLOCK = 24, 26, 2 << 20
 #: Parts of the hash space by which the size of an intersection is bounded from counts alone.
 PARTS = 256
 
@@ -102,7 +102,7 @@ class Join:
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         #: A power of two near one range for each block's worth of text.
-        self.ranges = 1 << max(0, int(size // (4 * BLOCK)).bit_length())
+        self.ranges = 1 << max(0, int(size // (8 * BLOCK)).bit_length())
         #: Hash bits that are kept where a false match only costs time: their number follows the size of the input.
         self.bits = min(63, max(36, int(size).bit_length() + 10))
 

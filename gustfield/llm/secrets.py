@@ -6,8 +6,8 @@ Base kinds, leftmost and non-overlapping each: ``assign`` (a keyword, a sign, a
 ordinary identifiers, and that no base span touches. Spans are code points, end exclusive.
 
 Labelled samples: random strings are hashes of numbers in hexadecimal and base64; ordinary identifiers are words of
-8 or more letters or underscores from a bounded sample of the texts (``sample_docs``, chosen by a hash of the text) and words
-that programs are made of. Both are counted with DataFrame operations; the driver gets one table of 64 x 64 counts.
+8 to 15 letters or underscores from a bounded sample of the texts (``sample_docs``, chosen by a hash of the text; runs as long
+as keys are left out, for they may be secrets) and words that programs are made of. Both are counted with DataFrame operations; the driver gets one table of 64 x 64 counts.
 
 Null texts are empty texts: no spans. Copies have equal results. Rows with the same id are scanned one by one. Whole
 texts are scanned; other columns pass through.
@@ -54,7 +54,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 2000, random_s
     total = docs.count()
     share = min(1.0, sample_docs / total) if total else 1.0
     own = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    words = own.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z_]{8,}"), F.lit(0)))).alias("s"))
+    words = own.select(F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.col(text), RUN, " "), F.lit("[A-Za-z_]{8,}"), F.lit(0)))).alias("s"))
     words = words.unionByName(spark.range(20).select(F.explode(F.array(*map(F.lit, PROGRAM_WORDS))).alias("s")))
     digest = spark.range(random_strings).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     # in base64 a hash of 32 bytes is wrapped by nothing and ends with one "="
@@ -62,8 +62,10 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 2000, random_s
     tables = []
     for strings in (chance, words):
         counts = {(r["a"], r["b"]): r["count"] for r in _pairs(strings).toLocalIterator()}
-        sums = [sum(counts.get((a, b), 0) for b in range(63)) for a in range(64)]
-        tables.append([math.log((counts.get((a, b), 0) + 0.5) / (sums[a] + 32)) if a < 63 and b < 63 else 0.0 for a in range(64) for b in range(64)])
+        sums = [sum(counts.get((a, b), 0) for b in range(63)) for a in range(63)]
+        alone = [(sum(counts.get((a, b), 0) for a in range(63)) + 0.5) / (sum(sums) + 31.5) for b in range(63)]
+        # a symbol's followers, drawn towards how often they follow any
+        tables.append([math.log((counts.get((a, b), 0) + 8 * alone[b]) / (sums[a] + 8)) if a < 63 and b < 63 else 0.0 for a in range(64) for b in range(64)])
     return [x - y for x, y in zip(*tables)]
 
 
