@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles as A
 from ..functions import geo as G
-from ..operators import grid, kernels, minutes, pairing, scoring, sequences, wind
+from ..operators import contracts, cycles, grid, kernels, minutes, pairing, scoring, sequences, wind
 from ..sources import listings, rejects
 from ..streaming import streams
 from . import proxies as P
@@ -657,3 +657,53 @@ def basis_combine(spark, sf):
 def geodesic_line(spark, sf):
     lines = P.places(spark, sf).select(F.col("id").alias("line_id"), "lat", "lon", (F.col("id") * 17 % 360).cast("double").alias("bearing"), F.lit(2500.0).alias("length"), F.lit(400.0).alias("step"))
     return kernels.stations_along(lines)
+
+
+# ---- cycles, products, profiles
+
+@query("SELECT event_id, date_trunc('hour', ts - INTERVAL 75 MINUTES) AS cycle, CASE WHEN extract('hour' FROM date_trunc('hour', ts - INTERVAL 75 MINUTES)) % 6 = 0 THEN 48 ELSE 18 END AS longest FROM events", "", "longest")
+def model_cycles(spark, sf):
+    e = P.table(spark, sf, "events").select("event_id", cycles.latest_cycle("ts").alias("c"))
+    return e.select("event_id", F.col("c").cast("timestamp_ntz").alias("cycle"), cycles.longest_lead("c").alias("longest"))
+
+
+@query("SELECT cycle, lead_h, cycle + to_hours(lead_h) AS valid_time FROM (SELECT DISTINCT date_trunc('hour', ts) AS cycle FROM events) c, (SELECT unnest(range(0, 49)) AS lead_h) l WHERE lead_h <= least(CASE WHEN extract('hour' FROM cycle) % 6 = 0 THEN 48 ELSE 18 END, 24)", "", "lead_h")
+def forecast_series(spark, sf):
+    c = P.table(spark, sf, "events").select(F.date_trunc("hour", "ts").alias("cycle")).distinct()
+    return cycles.series(c, "cycle", 24).select(F.col("cycle").cast("timestamp_ntz").alias("cycle"), "lead_h", F.col("valid_time").cast("timestamp_ntz").alias("valid_time"))
+
+
+@query("SELECT l_suppkey AS box, arg_min(dataset, res) FILTER (WHERE cov >= 0.98) AS dataset FROM (SELECT l_suppkey, 'd' || l_linenumber AS dataset, l_linenumber AS res, avg(1 - l_discount / 4) AS cov FROM lineitem GROUP BY ALL) GROUP BY l_suppkey")
+def finest_dataset(spark, sf):
+    c = P.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("box"), F.concat(F.lit("d"), "l_linenumber").alias("dataset"), F.col("l_linenumber").alias("res")).agg(F.avg(1 - F.col("l_discount") / 4).alias("cov"))
+    return cycles.finest_covering(c, ["box"], "res", "cov", 0.98).select("box", "dataset")
+
+
+@query(f"""SELECT id, metres, bearing, degrees(q) AS lat2, lon + degrees(atan2(sin(radians(bearing)) * sin(metres / 6371008.8) * cos(radians(lat)), cos(metres / 6371008.8) - sin(radians(lat)) * sin(q))) AS lon2
+ FROM (SELECT *, asin(sin(radians(lat)) * cos(metres / 6371008.8) + cos(radians(lat)) * sin(metres / 6371008.8) * cos(radians(bearing))) AS q FROM {P.PLACES_SQL}, (SELECT unnest([800.0::DOUBLE, 1600.0]) AS metres), (SELECT unnest(range(0, 8)) * 45.0::DOUBLE AS bearing))""", "lat2 lon2 metres bearing")
+def displaced_reads(spark, sf):
+    return cycles.displaced_reads(P.places(spark, sf), [800.0, 1600.0]).select("id", "metres", "bearing", "lat2", "lon2")
+
+
+def _axis_sql(x: str, axis: list[float]) -> str:
+    return "CASE " + " ".join(f"WHEN {x} < {b} THEN {k} + greatest(({x} - {a}) / ({b} - {a}), 0)" for k, (a, b) in enumerate(zip(axis, axis[1:]))) + f" ELSE {len(axis) - 1} END"
+
+
+HEIGHTS, RANGES = [2.0, 10.0, 30.0, 80.0], [0.0, 100.0, 250.0, 400.0, 900.0]
+
+
+@query(f"""WITH q AS (SELECT p_partkey AS id, {_axis_sql('p_size * 2.0', HEIGHTS)} AS y, {_axis_sql('(p_partkey % 1000) * 1.0', RANGES)} AS x FROM part), c AS (SELECT *, least(floor(y), 2) AS i, least(floor(x), 3) AS j FROM q)
+ SELECT id, ((i * 3 + j * j) * (1 - (x - j)) + (i * 3 + (j + 1) * (j + 1)) * (x - j)) * (1 - (y - i)) + (((i + 1) * 3 + j * j) * (1 - (x - j)) + ((i + 1) * 3 + (j + 1) * (j + 1)) * (x - j)) * (y - i) AS u FROM c""", "u")
+def contract_sample(spark, sf):
+    p = P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 2.0).alias("h"), ((F.col("p_partkey") % 1000) * 1.0).alias("r"))
+    grids = [[float(i * 3 + j * j) for j in range(5)] for i in range(4)]
+    lit = lambda a: F.array(*map(F.lit, a))
+    p = p.withColumn("heights", lit(HEIGHTS)).withColumn("ranges", lit(RANGES)).withColumn("g", F.array(*[lit(g) for g in grids]))
+    return p.select("id", contracts.sampled("g", "heights", "ranges", "h", "r").alias("u"))
+
+
+@query("SELECT CASE WHEN p_size % 5 = 0 THEN 'unsupported-version' WHEN p_size % 7 = 0 THEN 'malformed-axis' WHEN p_size % 11 = 0 THEN 'out-of-range' END AS code, count(*) AS n FROM part GROUP BY code")
+def contract_validate(spark, sf):
+    s = F.col("p_size")
+    text = F.format_string('{"version":%d,"frame":"shot","azimuthDeg":%d,"ranges":%s,"heights":[2,10],"u":null,"v":[[1,2],[3,4]],"w":null,"rangeUnit":"yd","heightUnit":"ft","speedUnit":"ft/s","source":"x"}', F.when(s % 5 == 0, 2).otherwise(1), F.when(s % 11 == 0, 400).otherwise(10), F.when(s % 7 == 0, "[5,1]").otherwise("[0,5]"))
+    return contracts.validated(P.table(spark, sf, "part").select(text.alias("profile"))).groupBy("code").agg(F.count("*").alias("n"))
