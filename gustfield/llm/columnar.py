@@ -8,6 +8,7 @@ never cut, so the bound on memory is the larger of that and the longest text).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +49,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """While it holds, Arrow batches have at most ``rows`` rows: for wide rows, so that a batch's memory stays bounded."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of whole rows with about ``limit`` bytes of ``column`` each (one row at least)."""
     limit = limit or SLICE_BYTES

@@ -99,6 +99,7 @@ class Join:
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75):
         self.width, self.percent, self.radius = width, percent, 1 - percent / 100
         self.spark = docs.sparkSession
+        self.sets: DataFrame | None = None
         self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         #: A power of two near one range for each block's worth of text.
@@ -309,12 +310,21 @@ class Join:
 
     def compared(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """a, b, linked, lo, hi of distinct pairs: bounds first, sets only for those that may link."""
-        bound = C.written(self.bounds(pairs, classes), "bounds")
+        with C.small_batches(self.spark, 2000):
+            bound = C.written(self.bounds(pairs, classes), "bounds")
         close = bound.where("near").select("a", "b")
         ends = close.select(F.col("a").alias("class")).union(close.select(F.col("b").alias("class"))).distinct()
-        sets = C.written(self.sets_of(classes.select("class", "doc_id").join(ends, "class")), "sets")
-        exact = self.distances(close, sets)
-        return C.written(exact.unionByName(bound.where("not near").select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))), "distances")
+        need = classes.select("class", "doc_id").join(ends, "class")
+        if self.sets is not None:  # sets that a level before has made are used again
+            need = need.join(self.sets.select("class"), "class", "left_anti")
+        need = C.written(need, "wanted")
+        if self.sets is None or not need.isEmpty():
+            with C.small_batches(self.spark, 1000):
+                more = C.written(self.sets_of(need), "sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        exact = self.distances(close, self.sets)
+        with C.small_batches(self.spark, 250):
+            return C.written(exact.unionByName(bound.where("not near").select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))), "distances")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Members (doc_id, n_shingles, class), and links between classes (a, b) that connect what the definition connects:
