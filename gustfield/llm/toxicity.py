@@ -30,6 +30,8 @@ from . import columnar as C
 WORD = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 HEAD = re.compile(rb"(?<![^\x00-\x40\x5B-\x60\x7B-\x7F])[^\x00-\x40\x5B-\x60\x7B-\x7F]{1,4}")
 WINDOW, DICT_BYTES, LEVEL, TOP = 48, 1 << 13, 9, 4
+#: Whole words that the toxic dictionary holds at most.
+WORDS = 300
 #: A beginning of words tells if its odds of toxic text are this high and it stands behind so many different words, as a share of the toxic documents.
 ODDS, SHARE, LENGTHS = 12, 0.02, range(4, 9)
 
@@ -86,9 +88,12 @@ class Model:
             if odds >= ODDS and not p.startswith(tuple(telling)):
                 telling.append(p)
         self.words = [self._longer(p, both[0]) for p in telling]
+        # whole words make longer matches; the commonest stand last, where references are shortest
+        whole = Counter(w for _, w in both[0] if w.startswith(tuple(telling))) if telling else Counter()
+        own = [w for w, _ in sorted(whole.items(), key=lambda x: (x[1], x[0]))[-WORDS:]]
         samples = [w for t in sides[1][:2000] for w in cut(t, 256)[:4]]
         self.plain = _trained(samples, DICT_BYTES) if samples else b""
-        self.toxic = b" ".join([b"", *self.words, self.plain])
+        self.toxic = b" ".join([b"", *own, *self.words, self.plain])
         self.curve = None
         self._ready()
         rows = [(t, 1) for t in toxic if hold(t)] + [(t, 0) for t in ordinary if hold(t)]
@@ -142,10 +147,10 @@ class Model:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple:
-    """Ridge logistic regression by Newton steps; classes weigh alike."""
+    """Ridge logistic regression by Newton steps; the rarer class weighs more, by a power of its odds."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    weight = np.where(y == 1, ((len(y) - y.sum()) / max(y.sum(), 1)) ** 0.75, 1.0)
     w, penalty = np.zeros(z.shape[1]), ridge * np.diag([0.0] + [1.0] * x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
