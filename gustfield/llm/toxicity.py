@@ -146,7 +146,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple:
     """Ridge logistic regression by Newton steps; the rarer class weighs more, by a power of its odds."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])

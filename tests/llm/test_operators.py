@@ -293,8 +293,8 @@ def test_kneser_ney_probabilities_sum_to_one():
 
 def test_toxicity(spark):
     def text(s, bad):
-        w = words(s, 150, 3000).split(" ")
         r = random.Random(s)
+        w = ["".join(r.choice(["lo", "mi", "ra", "te", "ku", "san"]) for _ in range(r.randrange(1, 5))) for _ in range(150)]
         for _ in range(3 if bad else 0):
             w[r.randrange(len(w))] = r.choice(["vileness", "grotesque", "scoundrel"])
         return " ".join(w)
