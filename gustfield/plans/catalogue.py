@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles as A
 from ..functions import geo as G
-from ..operators import contracts, cycles, grid, kernels, minutes, pairing, scoring, sequences, wind
+from ..operators import contracts, cycles, grid, kernels, minutes, pairing, scoring, sequences, surveys, wind
 from ..sources import listings, rejects
 from ..streaming import streams
 from . import proxies as P
@@ -707,3 +707,47 @@ def contract_validate(spark, sf):
     s = F.col("p_size")
     text = F.format_string('{"version":%d,"frame":"shot","azimuthDeg":%d,"ranges":%s,"heights":[2,10],"u":null,"v":[[1,2],[3,4]],"w":null,"rangeUnit":"yd","heightUnit":"ft","speedUnit":"ft/s","source":"x"}', F.when(s % 5 == 0, 2).otherwise(1), F.when(s % 11 == 0, 400).otherwise(10), F.when(s % 7 == 0, "[5,1]").otherwise("[0,5]"))
     return contracts.validated(P.table(spark, sf, "part").select(text.alias("profile"))).groupBy("code").agg(F.count("*").alias("n"))
+
+
+# ---- surveys
+
+PI_PTS = "(SELECT p_partkey AS id, fmod(p_partkey * 0.37::DOUBLE, 499) AS y, fmod(p_partkey * 0.71::DOUBLE, 63) AS x, p_size * 1.0 AS z, (SELECT count(*) FROM embeddings) AS h FROM part)"
+
+
+@query(f"""WITH d AS (SELECT id, y, x, CAST(floor(y) + dy AS INT) AS r, CAST(floor(x) + dx AS INT) AS c FROM {PI_PTS}, (SELECT unnest(range(-4, 5)) AS dy), (SELECT unnest(range(-4, 5)) AS dx)
+  WHERE floor(y - 65 / 30.0) >= 0 AND ceil(y + 65 / 30.0) <= h - 1 AND floor(x - 65 / 30.0) >= 0 AND ceil(x + 65 / 30.0) <= 63), g AS (SELECT id, count(*) AS n, count(z) AS samples, avg(z) AS m FROM d LEFT JOIN {P.RASTER_SQL} t ON t."row" = r AND t.col = c WHERE pow((r - y) * 30, 2) + pow((c - x) * 30, 2) <= 65 * 65 GROUP BY id)
+ SELECT p.id, CASE WHEN samples / n >= 0.9 THEN z - m END AS position FROM {PI_PTS} p LEFT JOIN g USING (id)""", "position")
+def position_index(spark, sf):
+    cells = P.raster(spark, sf)
+    p = P.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("d").alias("domain"), ((F.col("p_partkey") * F.lit(0.37)) % 499).alias("y"), ((F.col("p_partkey") * F.lit(0.71)) % 63).alias("x"), (F.col("p_size") * 1.0).cast("double").alias("z"))
+    return surveys.position_index(p.crossJoin(F.broadcast(P.extent(cells).select("height", "width"))), cells, "id", 65.0, P.CELL, P.CELL).select("id", "position")
+
+
+@query(f"""SELECT line, n, sqrt(greatest(mm - 2 * om + oo, 0) / n) AS rmse, om / mm AS scale, sqrt(greatest(om / mm * om / mm * mm - 2 * om / mm * om + oo, 0) / n) AS scaled_rmse, dir_bias, dir_rmse FROM (SELECT line, count(*) FILTER (WHERE mod_speed IS NOT NULL) AS n, sum(obs_speed * obs_speed) FILTER (WHERE mod_speed IS NOT NULL) AS oo, sum(mod_speed * mod_speed) AS mm, sum(obs_speed * mod_speed) AS om, avg(d) AS dir_bias, sqrt(avg(d * d)) AS dir_rmse
+ FROM (SELECT *, CASE WHEN obs_speed >= 1 AND obs_from IS NOT NULL AND mod_speed IS NOT NULL THEN {sql_signed('mod_from', 'obs_from')} END AS d FROM {P.PAIRS_SQL}) GROUP BY line)""", "rmse scale scaled_rmse dir_bias dir_rmse", "line")
+def model_gradient(spark, sf):
+    return surveys.by_displacement(P.pairs(spark, sf), "line")
+
+
+@query(f"""SELECT 'debiased' AS arm, max(b.f - a.f) AS difference, min(b.without - a.without) AS least, max(b.without - a.without) AS most, count(DISTINCT sign(b.without - a.without)) = 1 AS stable FROM (SELECT station, "full" AS f, without FROM ({jack_sql(False)})) a JOIN (SELECT station, "full" AS f, without FROM ({jack_sql(True)})) b USING (station)""", "difference least most")
+def arms_compared(spark, sf):
+    p = P.pairs(spark, sf)
+    folds = scoring.leave_one_out(p, "station").withColumn("arm", F.lit("raw")).unionByName(scoring.leave_one_out(p, "station", debias=True).withColumn("arm", F.lit("debiased")))
+    return surveys.arms(folds, "arm", "station", "raw")
+
+
+@query(f"SELECT avg(g) AS gain, count(g) AS groups FROM (SELECT station, avg(abs(mod_speed - obs_speed)) AS g FROM {P.PAIRS_SQL} GROUP BY station)", "gain")
+def mean_gain(spark, sf):
+    return surveys.mean_gain(P.pairs(spark, sf), "station", F.abs(F.col("mod_speed") - F.col("obs_speed")))
+
+
+@query(f"""SELECT domain, "row", col, z FROM {P.RASTER_SQL} WHERE "row" % CAST(ceil(sqrt((SELECT count(*) FROM embeddings) * 64 / 500.0)) AS INT) = 0 AND col % CAST(ceil(sqrt((SELECT count(*) FROM embeddings) * 64 / 500.0)) AS INT) = 0""", "z", "row col")
+def stride_sample(spark, sf):
+    cells = P.raster(spark, sf)
+    return surveys.strided(cells, P.extent(cells), 500)
+
+
+@query("""SELECT o_custkey, state, count(*) AS n FROM (SELECT o_custkey, CASE WHEN age > 1800 OR r > 900 THEN 'gone' WHEN age > 300 THEN 'stale' ELSE 'fresh' END AS state FROM (SELECT o_custkey, (epoch_us(TIMESTAMP '2001-01-01') - epoch_us(d)) / 86400000000 AS age, row_number() OVER (ORDER BY d DESC, o_custkey) AS r FROM (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY o_custkey))) GROUP BY ALL""")
+def retained_listings(spark, sf):
+    r = surveys.retained(P.table(spark, sf, "orders"), "o_custkey", "o_orderdate", F.lit("2001-01-01").cast("timestamp"), 300, 1800, 900)
+    return r.groupBy("o_custkey", "state").agg(F.count("*").alias("n"))
