@@ -95,6 +95,24 @@ def _rows(by_range: np.ndarray, total: int):
     return np.searchsorted(by_range, np.arange(total + 1))
 
 
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Bits of the leading MAP_BITS bits of the hashes (column h), made in slices of a fixed size."""
+    log, bits = min(6, MAP_BITS - 4), MAP_BITS
+
+    def mark(table: pa.Table) -> pa.Table:
+        r = table.column("r")[0].as_py()
+        bitmap = np.zeros(1 << (bits - log), np.uint8)
+        bitmap[table.column("p").to_numpy() - (r << (bits - log))] = 1
+        return pa.table({"r": pa.array([r], pa.int32()), "b": pa.array([zstd.compress(np.packbits(bitmap).tobytes(), 1)], pa.binary())})
+
+    places = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("p")).distinct().withColumn("r", F.shiftright("p", bits - log).cast("int"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    step = len(out) >> log
+    for row in places.groupBy("r").applyInArrow(mark, "r int, b binary").toLocalIterator():
+        out[row["r"] * step : (row["r"] + 1) * step] = np.frombuffer(zstd.decompress(bytes(row["b"])), np.uint8)
+    return out
+
+
 class Join:
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75):
         self.width, self.percent, self.radius = width, percent, 1 - percent / 100
@@ -234,7 +252,7 @@ class Join:
         are found now and then; those go in the join behind.
         """
         width, bits = self.width, MAP_BITS
-        held = self.spark.sparkContext.broadcast(self._map(wanted.select(F.xxhash64("doc_id", "class").alias("h"))))
+        held = self.spark.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("doc_id", "class").alias("h"))))
 
         def fn(batch: pa.RecordBatch) -> list[pa.Array]:
             sets, off = shingles(C.column(batch, "text"), width)
@@ -254,23 +272,6 @@ class Join:
         found = placed.mapInArrow(pick, "doc_id bigint, class bigint, set binary")
         return found.join(wanted, ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "set")
 
-    def _map(self, hashes: DataFrame) -> np.ndarray:
-        """Bits of the leading MAP_BITS bits of the hashes (column h), made in slices of a fixed size."""
-        log, bits = min(6, MAP_BITS - 4), MAP_BITS
-
-        def mark(table: pa.Table) -> pa.Table:
-            r = table.column("r")[0].as_py()
-            bitmap = np.zeros(1 << (bits - log), np.uint8)
-            bitmap[table.column("p").to_numpy() - (r << (bits - log))] = 1
-            return pa.table({"r": pa.array([r], pa.int32()), "b": pa.array([zstd.compress(np.packbits(bitmap).tobytes(), 1)], pa.binary())})
-
-        places = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("p")).distinct().withColumn("r", F.shiftright("p", bits - log).cast("int"))
-        out = np.zeros((1 << bits) // 8, np.uint8)
-        step = len(out) >> log
-        for row in places.groupBy("r").applyInArrow(mark, "r int, b binary").toLocalIterator():
-            out[row["r"] * step : (row["r"] + 1) * step] = np.frombuffer(zstd.decompress(bytes(row["b"])), np.uint8)
-        return out
-
     def bounds(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """a, b, near (they may link), lo (no distance is less), from counts by part: shared shingles are at most the sum of the lesser counts."""
         percent = self.percent
@@ -387,9 +388,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document with the smallest id of each component, and all that link with nothing."""
-    found = join(docs, doc_id, text, **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(found, doc_id, "left_semi")
+    """The document with the smallest id of each component, and all that link with nothing (rows without id too).
+
+    Of rows with one id all stay if any does. Texts aren't shuffled but for those that go, and the few that a map of
+    fixed size takes for them.
+    """
+    found = join(docs, doc_id, text, **options).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = C.written(found.where("not stays").select(F.col("doc_id").alias(doc_id)), "gone")
+    place = F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("bigint")), 64 - MAP_BITS)
+    held = docs.sparkSession.sparkContext.broadcast(bit_map(gone.select(F.xxhash64(F.col(doc_id).cast("bigint")).alias("h"))))
+
+    def fn(batch: pa.RecordBatch) -> list[pa.Array]:
+        at = C.column(batch, "_place").to_numpy(zero_copy_only=False)
+        return [pa.array(((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))]
+
+    told = C.apply(docs.withColumn("_place", place), text, C.Step(fn, {"_maybe": "boolean"}, ("_place",)))
+    return told.where("not _maybe").drop("_maybe").unionByName(told.where("_maybe").drop("_maybe").join(gone, doc_id, "left_anti"))
 
 
 def brute_force(texts: list[str | None], width: int = 5, percent: int = 75) -> list[tuple[int, int]]:
