@@ -341,21 +341,29 @@ class Join:
         region = found.where("big").select("region", F.col("a").alias("pivot"), F.col("b").alias("class"), "n")
         slack = self.radius + 1e-9
         for level in range(LEVELS):
-            if region.isEmpty():
+            # classes that links already connect needn't be compared with each other
+            group = components(links)
+            side = lambda k, v: group.select(F.col("node").alias(k), F.col("component").alias(v))
+            at = region.join(side("class", "_c"), "class", "left").join(side("pivot", "_p"), "pivot", "left").withColumn("comp", F.coalesce("_c", "class")).withColumn("inside", F.col("comp") == F.coalesce("_p", "pivot"))
+            out = at.where("not inside").groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("class"), "class")).alias("p"))
+            # members with bounds of their distance to the pivot; the window of those that it is connected with
+            d = at.join(out, "region").withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(known, ["a", "b"])
+            nearest = d.where("not inside").groupBy("region").agg(F.min("lo").alias("nearest"))
+            at = C.written(d.join(nearest, "region").where(F.col("hi") >= F.col("nearest") - slack).select("region", "class", "n", "lo", "hi", "comp", "inside", "size", F.col("p.class").alias("next")), "windows")
+            if at.isEmpty():
                 break
-            # members with bounds of their distance to the pivot; those outside the radius, and the window of those inside
-            at = region.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(known, ["a", "b"]).select("region", "class", "n", "lo", "hi", "linked")
-            far = at.where("not linked").groupBy("region").agg(F.min("lo").alias("nearest"), F.count("*").alias("size"), F.min(F.struct(F.xxhash64("class"), "class")).alias("p"))
-            at = C.written(at.join(far, "region").where(F.col("hi") >= F.col("nearest") - slack).select("region", "class", "n", "lo", "hi", "linked", "size", F.col("p.class").alias("pivot")), "windows")
             last = level == LEVELS - 1
-            x = at.where("not linked" if last else f"not linked and size <= {SMALL}")
-            y = at.select("region", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "lo", "hi", "linked")])
-            compare = x.join(y, "region").where(f"(linked_ or class < class_) and class != class_ and lo <= hi_ + {slack} and lo_ <= hi + {slack} and 100 * least(n, n_) >= {self.percent} * greatest(n, n_)").select(F.least("class", "class_").alias("a"), F.greatest("class", "class_").alias("b"))
-            region = at.where("false" if last else f"size > {SMALL} and class != pivot").select("region", "pivot", "class", "n")
+            x = at.where("not inside" if last else f"not inside and size <= {SMALL}")
+            y = at.select("region", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "lo", "hi", "comp", "inside")])
+            compare = x.join(y, "region").where(f"comp != comp_ and (inside_ or class < class_) and lo <= hi_ + {slack} and lo_ <= hi + {slack} and 100 * least(n, n_) >= {self.percent} * greatest(n, n_)").select(F.least("class", "class_").alias("a"), F.greatest("class", "class_").alias("b"))
+            region = at.where("false" if last else f"size > {SMALL} and class != next").select("region", F.col("next").alias("pivot"), "class", "n")
             more = compare.unionByName(region.select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b"))).distinct()
             fresh = self.compared(C.written(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), classes)
-            links = links.unionByName(fresh.where("linked").select("a", "b"))
+            links = C.written(links.unionByName(fresh.where("linked").select("a", "b")), "links")
             known = known.unionByName(fresh)
+            region = C.written(region, "regions")
+            if region.isEmpty():
+                break
         return members.drop("parts"), links.distinct()
 
 
