@@ -12,22 +12,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The keys a profile must have, those it may have, and what must be said in them.
-REQUIRED = ["version", "frame", "azimuthDeg", "ranges", "heights", "u", "v", "w", "rangeUnit", "heightUnit", "speedUnit", "source"]
-OPTIONAL = ["temperature", "pressure", "density"]
-VERSION, FRAME, STILL, TOLERANCE_DEG = 1, "shot", 1e-6, 1.0
+#: The keys of a profile, all of which it must have (the last three may be null); its version and frame.
+KEYS = ["schemaVersion", "frame", "azimuthDeg", "rangesYards", "heightsAglFt", "uFps", "vFps", "wFps", "source", "terrainResolutionM", "windSourceResolutionM", "confidence"]
+VERSION, FRAME = 1, "shooter"
+
+#: Vertical wind that still counts as none (ft/s), and how far two bearings may lie apart (degrees).
+STILL, TOLERANCE_DEG = 1e-6, 1.0
+
+#: Limits of components (ft/s), ranges (yards), heights (feet), resolutions (metres) and the length of the source's name.
+MOST_FPS, RANGE_LIMITS, HEIGHT_LIMITS, MOST_RESOLUTION_M, SOURCE_CHARS = 300, (0, 20000), (-1000, 30000), 100000, 200
 
 
 def _number(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
 
 
-def _axis(x) -> str | None:
+def _axis(x, limits: tuple) -> str | None:
     if not isinstance(x, list) or not x or not all(map(_number, x)):
         return "malformed-axis"
     if any(b <= a for a, b in zip(x, x[1:])):
         return "malformed-axis"
-    return "out-of-range" if x[0] < 0 else None
+    return None if limits[0] <= x[0] and x[-1] <= limits[1] else "out-of-range"
 
 
 def failure(text: str | None, azimuth: float | None = None) -> str | None:
@@ -38,38 +43,40 @@ def failure(text: str | None, azimuth: float | None = None) -> str | None:
         p = None
     if not isinstance(p, dict):
         return "not-an-object"
-    if "version" not in p:
+    if "schemaVersion" not in p:
         return "missing-field"
-    if p["version"] != VERSION:
+    if p["schemaVersion"] != VERSION:
         return "unsupported-version"
-    if any(k not in p for k in REQUIRED):
+    if any(k not in p for k in KEYS):
         return "missing-field"
-    if any(k not in REQUIRED + OPTIONAL for k in p):
+    if any(k not in KEYS for k in p):
         return "unknown-field"
     if p["frame"] != FRAME:
         return "unsupported-frame"
-    for k in ("ranges", "heights"):
-        if code := _axis(p[k]):
+    for k, limits in (("rangesYards", RANGE_LIMITS), ("heightsAglFt", HEIGHT_LIMITS)):
+        if code := _axis(p[k], limits):
             return code
-    for k in ("u", "v", "w"):
+    for k in ("uFps", "vFps", "wFps"):
         g = p[k]
         if g is None:
             continue  # stands for zeros
-        if not isinstance(g, list) or len(g) != len(p["heights"]) or any(not isinstance(r, list) or len(r) != len(p["ranges"]) or not all(map(_number, r)) for r in g):
+        if not isinstance(g, list) or len(g) != len(p["heightsAglFt"]) or any(not isinstance(r, list) or len(r) != len(p["rangesYards"]) or not all(map(_number, r)) for r in g):
             return "malformed-grid"
-    if p["w"] is not None and any(abs(x) > STILL for r in p["w"] for x in r):
+        if any(abs(x) > MOST_FPS for r in g for x in r):
+            return "out-of-range"
+    if p["wFps"] is not None and any(abs(x) > STILL for r in p["wFps"] for x in r):
         return "unsupported-vertical-wind"
-    if not isinstance(p["source"], str) or not p["source"]:
+    if not isinstance(p["source"], str) or not p["source"].strip() or len(p["source"]) > SOURCE_CHARS:
         return "malformed-field"
-    for k in OPTIONAL:
-        if p.get(k) is not None and not (_number(p[k]) and p[k] > 0):
+    for k in KEYS[9:]:
+        if p[k] is not None and not (_number(p[k]) and (0 <= p[k] <= 1 if k == "confidence" else 0 < p[k] <= MOST_RESOLUTION_M)):
             return "out-of-range"
-    if not _number(p["azimuthDeg"]) or not 0 <= p["azimuthDeg"] < 360:
+    if not _number(p["azimuthDeg"]) or not 0 <= p["azimuthDeg"] <= 360:
         return "out-of-range"
     if azimuth is not None:
         if not _number(azimuth):
             return "azimuth-missing"
-        if not 0 <= azimuth < 360:
+        if not 0 <= azimuth <= 360:
             return "out-of-range"
         if abs((azimuth - p["azimuthDeg"] + 180) % 360 - 180) > TOLERANCE_DEG:
             return "azimuth-mismatch"

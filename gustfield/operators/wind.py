@@ -80,6 +80,6 @@ def volume(messages: DataFrame) -> DataFrame:
 
 
 def transect_components(df: DataFrame, e: str, n: str, bearing: str) -> DataFrame:
-    """Along and across a line: ``along`` = with it, ``cross`` = to its left."""
+    """Along and across a line: ``along`` with it, ``cross`` to its right."""
     b = F.radians(bearing)
     return df.withColumn("along", F.col(e) * F.sin(b) + F.col(n) * F.cos(b)).withColumn("cross", F.col(e) * F.cos(b) - F.col(n) * F.sin(b))

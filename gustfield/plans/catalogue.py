@@ -705,7 +705,7 @@ def contract_sample(spark, sf):
 @query("SELECT CASE WHEN p_size % 5 = 0 THEN 'unsupported-version' WHEN p_size % 7 = 0 THEN 'malformed-axis' WHEN p_size % 11 = 0 THEN 'out-of-range' END AS code, count(*) AS n FROM part GROUP BY code")
 def contract_validate(spark, sf):
     s = F.col("p_size")
-    text = F.format_string('{"version":%d,"frame":"shot","azimuthDeg":%d,"ranges":%s,"heights":[2,10],"u":null,"v":[[1,2],[3,4]],"w":null,"rangeUnit":"yd","heightUnit":"ft","speedUnit":"ft/s","source":"x"}', F.when(s % 5 == 0, 2).otherwise(1), F.when(s % 11 == 0, 400).otherwise(10), F.when(s % 7 == 0, "[5,1]").otherwise("[0,5]"))
+    text = F.format_string('{"schemaVersion":%d,"frame":"shooter","azimuthDeg":%d,"rangesYards":%s,"heightsAglFt":[2,10],"uFps":null,"vFps":[[1,2],[3,4]],"wFps":null,"source":"x","terrainResolutionM":null,"windSourceResolutionM":10,"confidence":0.5}', F.when(s % 5 == 0, 2).otherwise(1), F.when(s % 11 == 0, 400).otherwise(10), F.when(s % 7 == 0, "[5,1]").otherwise("[0,5]"))
     return contracts.validated(P.table(spark, sf, "part").select(text.alias("profile"))).groupBy("code").agg(F.count("*").alias("n"))
 
 

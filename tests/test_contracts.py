@@ -4,12 +4,12 @@ import pytest
 
 from gustfield.operators import contracts as K
 
-GOOD = {"version": 1, "frame": "shot", "azimuthDeg": 10, "ranges": [0, 5], "heights": [2, 10], "u": None, "v": [[1, 2], [3, 4]], "w": None, "rangeUnit": "yd", "heightUnit": "ft", "speedUnit": "ft/s", "source": "x"}
+GOOD = {"schemaVersion": 1, "frame": "shooter", "azimuthDeg": 10, "rangesYards": [0, 5], "heightsAglFt": [2, 10], "uFps": None, "vFps": [[1, 2], [3, 4]], "wFps": None, "source": "x", "terrainResolutionM": None, "windSourceResolutionM": 10, "confidence": 0.5}
 
 
 @pytest.mark.parametrize("change, code", [
-    ({}, None), ({"version": 2}, "unsupported-version"), ({"frame": "earth"}, "unsupported-frame"), ({"ranges": [5, 1]}, "malformed-axis"), ({"heights": [-1, 2]}, "out-of-range"),
-    ({"v": [[1, 2]]}, "malformed-grid"), ({"w": [[0, 0], [0, 1]]}, "unsupported-vertical-wind"), ({"source": ""}, "malformed-field"), ({"density": -1}, "out-of-range"), ({"azimuthDeg": 400}, "out-of-range"), ({"extra": 1}, "unknown-field"),
+    ({}, None), ({"schemaVersion": 2}, "unsupported-version"), ({"frame": "earth"}, "unsupported-frame"), ({"rangesYards": [5, 1]}, "malformed-axis"), ({"heightsAglFt": [-1001, 2]}, "out-of-range"),
+    ({"vFps": [[1, 2]]}, "malformed-grid"), ({"wFps": [[0, 0], [0, 1]]}, "unsupported-vertical-wind"), ({"source": ""}, "malformed-field"), ({"confidence": 2}, "out-of-range"), ({"azimuthDeg": 400}, "out-of-range"), ({"extra": 1}, "unknown-field"), ({"vFps": [[1, 2], [3, 400]]}, "out-of-range"), ({"heightsAglFt": [-1, 2]}, None), ({"source": "x" * 201}, "malformed-field"),
 ])
 def test_first_failure(change, code):
     assert K.failure(json.dumps(GOOD | change)) == code
@@ -17,7 +17,7 @@ def test_first_failure(change, code):
 
 def test_missing_and_azimuth():
     assert K.failure(None) == "not-an-object" and K.failure("[1]") == "not-an-object" and K.failure("{}") == "missing-field"
-    assert K.failure(json.dumps({k: v for k, v in GOOD.items() if k != "u"})) == "missing-field"
+    assert K.failure(json.dumps({k: v for k, v in GOOD.items() if k != "uFps"})) == "missing-field"
     text = json.dumps(GOOD)
     assert K.failure(text, 10.5) is None and K.failure(text, 12.0) == "azimuth-mismatch" and K.failure(text, 400.0) == "out-of-range" and K.failure(text, float("nan")) == "azimuth-missing"
 
