@@ -95,6 +95,16 @@ def test_mass_is_kept_and_solutions_add_up():
     assert np.abs(e[0] + n[0] - a[0]).max() < 1e-3
 
 
+def test_basis_combine_solves_every_tile(spark):
+    from gustfield.plans import catalogue
+    from gustfield.plans import proxies as P
+
+    rows = P.table(spark, "/root/testdata/sf0.001", "embeddings").count()
+    got = catalogue.QUERIES["basis_combine"](spark, "/root/testdata/sf0.001").collect()
+    assert len({r.domain for r in got}) == 2 * math.ceil(rows / 32) and len(got) == 4 * math.ceil(rows / 32)
+    assert sum(r.cells for r in got if r.wind_id == 1) == rows * P.WIDTH
+
+
 def test_geodesic_lengths():
     lat, lon, back = kernels.direct(np.array([0.0, 45.0]), np.array([0.0, 10.0]), np.array([90.0, 0.0]), np.array([111319.49079327358, 100000.0]))
     assert lon[0] == pytest.approx(1.0, abs=1e-9) and lat[0] == pytest.approx(0.0, abs=1e-12)
