@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 
@@ -28,23 +29,29 @@ def bilinear(z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(ok, out, np.nan)
 
 
-def shelter_grid(z: np.ndarray, dx: float, dy: float, sectors: int = 16, reach: float = 300.0, step: float | None = None) -> np.ndarray:
-    """Largest angle (degrees) up to the terrain towards each sector, sector by sector; NaN where nothing is seen. A march ends at the first void."""
+def shelter_grid(z: np.ndarray, dx: float, dy: float, sectors: int = 16, reach: float = 300.0, step: float | None = None, own: tuple[slice, slice] | None = None) -> np.ndarray:
+    """Largest angle (degrees) up to the terrain towards each sector, sector by sector; NaN where nothing is seen. A march ends at the first void.
+
+    With ``own`` only those cells are looked from, and the border ring is left to the caller.
+    """
     step = step or min(dx, dy)
-    rows, cols = np.mgrid[0 : z.shape[0], 0 : z.shape[1]].astype(float)
-    out = np.full((sectors, *z.shape), np.nan)
+    rows, cols = (a[own] if own else a for a in np.mgrid[0 : z.shape[0], 0 : z.shape[1]].astype(float))
+    here = z[own] if own else z
+    out = np.full((sectors, *here.shape), np.nan)
     for k in range(sectors):
         b = 2 * math.pi * k / sectors
-        alive = ~np.isnan(z)
+        alive = ~np.isnan(here)
         for s in range(1, max(1, int(reach // step)) + 1):
             d = s * step
-            seen = bilinear(z, rows - d * math.cos(b) / dy, cols + d * math.sin(b) / dx)
+            # rounded, so that a march along a row stays on it wherever the grid's origin lies
+            seen = bilinear(z, rows - round(d * math.cos(b) / dy, 9), cols + round(d * math.sin(b) / dx, 9))
             alive &= ~np.isnan(seen)
             if not alive.any():
                 break
-            angle = np.degrees(np.arctan2(seen - z, d))
+            angle = np.degrees(np.arctan2(seen - here, d))
             out[k] = np.where(alive, np.fmax(out[k], angle), out[k])
-    out[:, 0, :] = out[:, -1, :] = out[:, :, 0] = out[:, :, -1] = np.nan
+    if not own:
+        out[:, 0, :] = out[:, -1, :] = out[:, :, 0] = out[:, :, -1] = np.nan
     return out
 
 
@@ -59,6 +66,35 @@ def shelter(cells: DataFrame, dx: float, dy: float, sectors: int = 16, reach: fl
     return cells.select("domain", "row", "col", "z").groupBy("domain").applyInPandas(run, "domain string, row int, col int, sector_deg double, sx_deg double")
 
 
+def shelter_tiled(cells: DataFrame, dx: float, dy: float, sectors: int = 16, reach: float = 300.0, tile: int = 32) -> DataFrame:
+    """What ``shelter`` gives, with ``tile_row`` and ``tile_col``: a group is a tile of ``tile`` x ``tile`` cells with a halo of the reach.
+
+    The extent of each raster (one row) is broadcast, so that only the raster's own border is left out.
+    """
+    step = min(dx, dy)
+    far = max(step, reach)  # at least one step is marched
+    halo_y, halo_x = math.ceil(far / dy) + 1, math.ceil(far / dx) + 1
+
+    def tiles(at: str, last: str, halo: int):
+        return F.explode(F.sequence(F.greatest(F.floor((F.col(at) - halo) / tile), F.lit(0)), F.least(F.floor((F.col(at) + halo) / tile), F.floor(F.col(last) / tile))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        tr, tc, h, w = int(first["tile_row"]), int(first["tile_col"]), int(first["last_row"]) + 1, int(first["last_col"]) + 1
+        top, left = max(tr * tile - halo_y, 0), max(tc * tile - halo_x, 0)
+        z = np.full((min((tr + 1) * tile + halo_y, h) - top, min((tc + 1) * tile + halo_x, w) - left), np.nan)
+        z[pdf["row"] - top, pdf["col"] - left] = pdf["z"].to_numpy(float)
+        # own cells but for the raster's border
+        r0, r1, c0, c1 = max(tr * tile, 1), min((tr + 1) * tile, h - 1), max(tc * tile, 1), min((tc + 1) * tile, w - 1)
+        sx = shelter_grid(z, dx, dy, sectors, reach, own=(slice(r0 - top, max(r1, r0) - top), slice(c0 - left, max(c1, c0) - left)))
+        k, r, c = np.nonzero(~np.isnan(sx))
+        return pd.DataFrame({"domain": first["domain"], "tile_row": np.int32(tr), "tile_col": np.int32(tc), "row": (r + r0).astype("int32"), "col": (c + c0).astype("int32"), "sector_deg": k * 360.0 / sectors, "sx_deg": sx[k, r, c]})
+
+    extent = cells.groupBy("domain").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    spread = cells.select("domain", "row", "col", "z").join(F.broadcast(extent), "domain").withColumn("tile_row", tiles("row", "last_row", halo_y)).withColumn("tile_col", tiles("col", "last_col", halo_x))
+    return spread.groupBy("domain", "tile_row", "tile_col").applyInPandas(run, "domain string, tile_row int, tile_col int, row int, col int, sector_deg double, sx_deg double")
+
+
 def mass_consistent(u: np.ndarray, v: np.ndarray, solid: np.ndarray, dx: float, dy: float, dz: float, r: float = 1.0, omega: float = 1.7, tol: float = 1e-4, sweeps: int = 4000):
     """Adjusts face velocities of a box mesh until no cell gains air.
 

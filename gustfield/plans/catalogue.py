@@ -641,7 +641,8 @@ def domains(spark, sf):
 
 @query()
 def shelter_sx(spark, sf):
-    return kernels.shelter(domains(spark, sf), P.CELL, P.CELL, 8, 150.0).groupBy("domain", "sector_deg").agg(F.count("*").alias("cells"), F.avg("sx_deg").alias("mean_sx"))
+    sx = kernels.shelter_tiled(P.raster(spark, sf), P.CELL, P.CELL).withColumn("domain", F.concat_ws("-", "tile_row", "tile_col"))
+    return sx.groupBy("domain", "sector_deg").agg(F.count("*").alias("cells"), F.avg("sx_deg").alias("mean_sx"))
 
 
 @query()

@@ -81,6 +81,27 @@ def test_shelter_of_a_wall():
     assert sx[1][4, 4] == pytest.approx(math.degrees(math.atan2(50, 20))) and sx[3][4, 4] == pytest.approx(0.0)
 
 
+def test_shelter_of_tiles_is_that_of_the_whole(spark):
+    z = np.random.default_rng(3).normal(size=(21, 26)) * 20
+    z[9, 10] = z[0, 7] = z[15, 0] = np.nan
+    got = {(r.row, r.col, r.sector_deg): r.sx_deg for r in kernels.shelter_tiled(cells(spark, z), 30.0, 20.0, 16, 125.0, tile=8).collect()}
+    want = {(r.row, r.col, r.sector_deg): r.sx_deg for r in kernels.shelter(cells(spark, z), 30.0, 20.0, 16, 125.0).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_shelter_sx_is_that_of_the_whole_raster(spark):
+    from gustfield.plans import catalogue
+    from gustfield.plans import proxies as P
+
+    sf = "/root/testdata/sf0.001"
+    tile = F.concat_ws("-", F.floor(F.col("row") / 32), F.floor(F.col("col") / 32))
+    whole = kernels.shelter(P.raster(spark, sf), P.CELL, P.CELL).groupBy(tile.alias("domain"), "sector_deg").agg(F.count("*").alias("cells"), F.avg("sx_deg").alias("mean_sx"))
+    got, want = ({(r.domain, r.sector_deg): (r.cells, r.mean_sx) for r in d.collect()} for d in (catalogue.QUERIES["shelter_sx"](spark, sf), whole))
+    assert len(got) == 16 * 32 and got.keys() == want.keys()
+    for k, (n, mean) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(mean, abs=1e-6)
+
+
 def test_mass_is_kept_and_solutions_add_up():
     y, x = np.mgrid[0:10, 0:12]
     z = 40 * np.exp(-((x - 6) ** 2 + (y - 5) ** 2) / 6)
