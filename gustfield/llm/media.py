@@ -263,10 +263,12 @@ def reader(media: str = "media") -> C.Step:
             found = images(data)
             thumbs = [i.luminance() for i in found]
             payload = b"".join(t.tobytes() for t in thumbs)
-            first = found[0]
+            wide = max(t.shape[1] for t in thumbs)
+            whole = thumbs[0] if len(thumbs) == 1 else np.vstack([np.pad(t, ((0, 0), (0, wide - t.shape[1]))) for t in thumbs])
+            width, height = max(i.width for i in found), sum(i.height for i in found)
         except (ValueError, KeyError, IndexError, struct.error, StopIteration):
             return (None,) * len(ADDED)
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), first.width, first.height, len(found), f"{first.width}x{first.height}x{len(found)}:{difference_hash(thumbs[0]):016x}")
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), width, height, len(found), f"{width}x{height}x{len(found)}:{difference_hash(whole):016x}")
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = [one(v.as_buffer().to_pybytes() if v.is_valid else None) for v in C.column(batch, media)]
@@ -283,6 +285,6 @@ def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
 def features(df: DataFrame, media: str = "media") -> DataFrame:
     """Reads the media column (dropped) and adds what ADDED lists. Null or unreadable media: all of them null.
 
-    ``feature``: dimensions of the first image, number of images, difference hash of its thumbnail. Equal media, equal values.
+    ``feature``: width, total height and number of images, difference hash of their thumbnails, one below the other. Equal media, equal values.
     """
     return C.apply(df, media, reader(media))
