@@ -270,7 +270,8 @@ class Join:
         scanned = C.apply(self.docs, "text", C.Step(lambda b: [pa.array(class_keys(*shingles(C.column(b, "text"), width)))], {"class": "bigint"}))
         placed = scanned.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "class"), 64 - bits)).select("doc_id", "text", "place")
         found = placed.mapInArrow(pick, "doc_id bigint, class bigint, set binary")
-        return found.join(wanted, ["doc_id", "class"]).dropDuplicates(["class"]).select("class", "set")
+        # a class of rows without id alone is told by a null id
+        return found.alias("f").join(wanted.alias("w"), F.expr("f.class = w.class and f.doc_id <=> w.doc_id")).select("f.class", "f.set").dropDuplicates(["class"])
 
     def bounds(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """a, b, near (they may link), lo (no distance is less), from counts by part: shared shingles are at most the sum of the lesser counts."""
