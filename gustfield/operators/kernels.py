@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+#: Residual of a solve, relative to the divergence at first, up to which it counts as converged.
+TOL = 1e-4
 
 
 def as_grid(pdf: pd.DataFrame, value: str = "z") -> np.ndarray:
@@ -95,7 +97,7 @@ def shelter_tiled(cells: DataFrame, dx: float, dy: float, sectors: int = 16, rea
     return spread.groupBy("domain", "tile_row", "tile_col").applyInPandas(run, "domain string, tile_row int, tile_col int, row int, col int, sector_deg double, sx_deg double")
 
 
-def mass_consistent(u: np.ndarray, v: np.ndarray, solid: np.ndarray, dx: float, dy: float, dz: float, r: float = 1.0, omega: float = 1.7, tol: float = 1e-4, sweeps: int = 4000):
+def mass_consistent(u: np.ndarray, v: np.ndarray, solid: np.ndarray, dx: float, dy: float, dz: float, r: float = 1.0, omega: float = 1.7, tol: float = TOL, sweeps: int = 4000):
     """Adjusts face velocities of a box mesh until no cell gains air.
 
     Arrays are (layer, row, col); u has one more column, v one more row, w (returned) one more layer. Ground is closed, sides and lid are
@@ -150,7 +152,7 @@ def log_profile(z: np.ndarray, speed: float, height: float = 10.0, z0: float = 0
     return np.where(z > z0, speed * np.log(np.maximum(z, z0 * 1.0001) / z0) / math.log(height / z0), 0.0)
 
 
-def unit_fields(z: np.ndarray, dx: float, dy: float, layers: int = 8, r: float = 1.0, level: float = 10.0, z0: float = 0.03) -> dict[str, np.ndarray]:
+def unit_fields(z: np.ndarray, dx: float, dy: float, layers: int = 8, r: float = 1.0, level: float = 10.0, z0: float = 0.03, sweeps: int = 4000) -> dict[str, np.ndarray]:
     """Wind at ``level`` above ground for a unit wind blowing east and one blowing north, over the terrain; any wind is their sum."""
     top = z.max() + max(3 * (z.max() - z.min()), 200.0)
     dz = (top - z.min()) / layers
@@ -164,7 +166,7 @@ def unit_fields(z: np.ndarray, dx: float, dy: float, layers: int = 8, r: float =
         v = np.zeros((layers, z.shape[0] + 1, z.shape[1]))
         u[:, :, :-1], u[:, :, -1] = base * e, base[:, :, -1] * e
         v[:, :-1], v[:, -1] = -base * n, -base[:, -1] * n  # rows go south
-        u, v, _, residual, _ = mass_consistent(u, v, solid, dx, dy, dz, r)
+        u, v, _, residual, _ = mass_consistent(u, v, solid, dx, dy, dz, r, sweeps=sweeps)
         lowest = (~solid).argmax(0)
         rr, cc = np.mgrid[0 : z.shape[0], 0 : z.shape[1]]
         ue, ve = (u[:, :, 1:] + u[:, :, :-1]) / 2, -(v[:, 1:] + v[:, :-1]) / 2
@@ -174,18 +176,21 @@ def unit_fields(z: np.ndarray, dx: float, dy: float, layers: int = 8, r: float =
     return out
 
 
-def basis(cells: DataFrame, dx: float, dy: float, layers: int = 8) -> DataFrame:
-    """(domain, unit, row, col, east, north): the two unit fields of each domain."""
+def basis(cells: DataFrame, dx: float, dy: float, layers: int = 8, sweeps: int = 4000) -> DataFrame:
+    """(domain, unit, row, col, east, north, residual, converged): the two unit fields of each domain, on a staircase mesh.
+
+    A field that isn't ``converged`` (residual above TOL after ``sweeps``) isn't mass-consistent; callers read it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z = as_grid(pdf)
         if np.isnan(z).any():
             raise ValueError("bad-terrain: a solve needs ground everywhere")
-        fields = unit_fields(z, dx, dy, layers)
+        fields = unit_fields(z, dx, dy, layers, sweeps=sweeps)
         r, c = np.mgrid[0 : z.shape[0], 0 : z.shape[1]]
-        return pd.concat([pd.DataFrame({"domain": pdf["domain"].iloc[0], "unit": k, "row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "east": fields[k][0].ravel(), "north": fields[k][1].ravel()}) for k in ("east", "north")])
+        return pd.concat([pd.DataFrame({"domain": pdf["domain"].iloc[0], "unit": k, "row": r.ravel().astype("int32"), "col": c.ravel().astype("int32"), "east": fields[k][0].ravel(), "north": fields[k][1].ravel(), "residual": float(fields[f"{k}_residual"]), "converged": bool(fields[f"{k}_residual"] <= TOL)}) for k in ("east", "north")])
 
-    return cells.select("domain", "row", "col", "z").groupBy("domain").applyInPandas(run, "domain string, unit string, row int, col int, east double, north double")
+    return cells.select("domain", "row", "col", "z").groupBy("domain").applyInPandas(run, "domain string, unit string, row int, col int, east double, north double, residual double, converged boolean")
 
 
 def direct(lat: np.ndarray, lon: np.ndarray, bearing: np.ndarray, metres: np.ndarray):

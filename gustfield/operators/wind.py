@@ -52,13 +52,13 @@ def summary(field: DataFrame) -> DataFrame:
 def superpose(unit_east: DataFrame, unit_north: DataFrame, winds: DataFrame) -> DataFrame:
     """The field of any wind from the fields of two unit winds: e * E + n * N for every row of ``winds`` (wind_id, e, n).
 
-    ``winds`` is a request: broadcast, checked to be small by the caller's own bound.
+    ``winds`` is a request: broadcast, checked to be small by the caller's own bound. A field is ``converged`` if both unit fields are.
     """
     k = ["domain", "row", "col"]
-    both = unit_east.select(*k, F.col("east").alias("ee"), F.col("north").alias("en")).join(unit_north.select(*k, F.col("east").alias("ne"), F.col("north").alias("nn")), k)
+    both = unit_east.select(*k, F.col("east").alias("ee"), F.col("north").alias("en"), F.col("converged").alias("ec")).join(unit_north.select(*k, F.col("east").alias("ne"), F.col("north").alias("nn"), F.col("converged").alias("nc")), k)
     j = both.crossJoin(F.broadcast(winds.select("wind_id", "e", "n")))
     e, n = F.col("e") * F.col("ee") + F.col("n") * F.col("ne"), F.col("e") * F.col("en") + F.col("n") * F.col("nn")
-    return j.select("wind_id", *k, e.alias("east"), n.alias("north"), F.hypot(e, n).alias("speed"), bearing_from(e, n, 0.0).alias("from_deg"))
+    return j.select("wind_id", *k, e.alias("east"), n.alias("north"), F.hypot(e, n).alias("speed"), bearing_from(e, n, 0.0).alias("from_deg"), (F.col("ec") & F.col("nc")).alias("converged"))
 
 
 def volume(messages: DataFrame) -> DataFrame:

@@ -126,6 +126,17 @@ def test_basis_combine_solves_every_tile(spark):
     assert sum(r.cells for r in got if r.wind_id == 1) == rows * P.WIDTH
 
 
+def test_unconverged_solves_are_told(spark):
+    y, x = np.mgrid[0:10, 0:12]
+    c = cells(spark, 60 * np.exp(-((x - 6.0) ** 2 + (y - 5.0) ** 2) / 4))
+    winds = spark.createDataFrame([(1, 3.0, 1.0)], "wind_id int, e double, n double")
+    for sweeps, want in ((4000, True), (10, False)):
+        b = kernels.basis(c, 30.0, 30.0, sweeps=sweeps).cache()
+        assert {r.converged for r in b.collect()} == {want} and all((r.residual <= kernels.TOL) == want for r in b.collect())
+        f = wind.superpose(b.where("unit = 'east'"), b.where("unit = 'north'"), winds)
+        assert {r.converged for r in f.select("converged").collect()} == {want}
+
+
 def test_geodesic_lengths():
     lat, lon, back = kernels.direct(np.array([0.0, 45.0]), np.array([0.0, 10.0]), np.array([90.0, 0.0]), np.array([111319.49079327358, 100000.0]))
     assert lon[0] == pytest.approx(1.0, abs=1e-9) and lat[0] == pytest.approx(0.0, abs=1e-12)
