@@ -10,7 +10,7 @@ logistic curve that was fitted on training rows which the dictionaries haven't s
 
 All is learned from a bounded sample of labelled rows (``sample_docs`` toxic rows and four times as many others, chosen
 by a hash of the text). Null and empty texts score as texts without gain. Null labels aren't learned from. With rows of
-one label only the score is 0.5 everywhere. Copies have equal scores. Whole texts are scored; other columns pass through.
+one label only, or where no beginning of words tells, the score is 0.5 everywhere. Copies have equal scores. Whole texts are scored; other columns pass through.
 """
 
 from __future__ import annotations
