@@ -13,6 +13,7 @@ have scores near 1 / languages. Copies have equal results. Whole texts are score
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from . import columnar as C
 
 ORDER = 4
+#: Parts of the sample, each measured by a model of the others for the rejection threshold.
+FOLDS = 3
 DISCOUNT = 0.75
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
@@ -140,11 +143,21 @@ class Model:
         return -total / np.maximum(n, 1)[:, None], n
 
     def calibrate(self, samples: dict[str, list[str]]) -> None:
-        """Rejection threshold by language: the 99.9th percentile of its own texts of 20 characters or more, plus half a nat."""
+        """Rejection threshold by language: the 99.9th percentile of all its sampled texts of 20 characters or more, plus half a nat.
+
+        Each text is measured by a model of the texts of other folds (by hash); those of a language that no other fold has, by this model.
+        """
+        fold = lambda t: zlib.crc32(t.encode()) % FOLDS
+        long = {lang: [t for t in samples[lang] if len(t) >= 20] for lang in self.langs}
+        seen: dict[str, list[float]] = {lang: [] for lang in self.langs}
+        for f in range(FOLDS):
+            other = Model({lang: rest for lang in self.langs if (rest := [t for t in samples[lang] if fold(t) != f])})
+            for k, lang in enumerate(other.langs):
+                if own := [t for t in long[lang] if fold(t) == f]:
+                    seen[lang].extend(other.entropy(own)[0][:, k])
         for k, lang in enumerate(self.langs):
-            own = [t for t in samples[lang] if len(t) >= 20][:400]
-            if own:
-                self.limit[k] = np.quantile(self.entropy(own)[0][:, k], 0.999) + 0.5
+            if own := long[lang]:
+                self.limit[k] = np.quantile(seen[lang] or self.entropy(own)[0][:, k], 0.999) + 0.5
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, cross-entropy, rejected) of each text."""
