@@ -49,6 +49,54 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run in a folder under the shared one; each goes when nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.base, self.paths = spark, shared_dir(spark, what), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}-{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete what ``write`` has returned; nothing else may read it afterwards."""
+        for t in tables:
+            _, path = self.paths[id(t)]
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first ``name``1, ``name``2, ... that no column of ``df`` has (in any case)."""
+    taken, k, out = {c.lower() for c in df.columns}, 0, name
+    while out.lower() in taken:
+        k += 1
+        out = f"{name}{k}"
+    return out
+
+
+#: Bits of the map by which rows are told that may be wanted: the size of what is broadcast, whatever is wanted.
+MAP_BITS = 22
+
+
+def may_be(df: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """Adds ``flag``: false where no row of ``wanted`` has the key (null is a key), true where one has it and now and then elsewhere.
+
+    A map of 2**MAP_BITS bits in words of 64 is broadcast: 2**(MAP_BITS - 6) rows at most.
+    """
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MAP_BITS)
+    word, bits = fresh(df, "_word"), fresh(df, "_bits")
+    at = wanted.select(place(F.col(f"`{key}`")).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias(bits))
+    told = df.withColumn(word, F.shiftright(place(F.col(f"`{key}`")), 6)).join(F.broadcast(words), word, "left")
+    hit = F.expr(f"coalesce(shiftrightunsigned(`{bits}`, cast(shiftrightunsigned(xxhash64(`{key}`), {64 - MAP_BITS}) & 63 as int)) & 1 = 1, false)")
+    return told.withColumn(flag, hit).drop(word, bits)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """While it holds, Arrow batches have at most ``rows`` rows: for wide rows, so that a batch's memory stays bounded."""

@@ -1,42 +1,51 @@
-"""Exact n-gram Jaccard join in a metric space: pivots, Voronoi regions, triangle-inequality windows, recursion.
+"""Exact n-gram Jaccard join in a metric space: pivots, regions, triangle-inequality windows, recursion.
 
 Documents are sets of distinct ``width``-word shingles; distance is 1 - Jaccard similarity, a metric. Two documents link at
-distance 1 - threshold or less. Documents with equal sets are one class; classes are what is joined.
-
-Random documents as pivots can't divide such data: nearly every distance between unrelated texts is 1, so every text
-would lie in every window. Regions therefore start from pivots that texts can be near to, single shingles, in a global order
-(rare before frequent, then by hash): a set lies nearest to its first shingles, and by counting, two sets within the
-radius share one of their first ``n - ceil(threshold * n) + 1``. So every set is replicated to the regions of those shingles and
-no link is lost. Inside a region of more than ``SMALL`` classes a member becomes the pivot and distances to it are computed;
-members within the radius link to it, which settles their connection. Of the rest, x and y can only link if their distances to
-the pivot differ by the radius at most: the rest and the members in that window form the next region, joined the same way,
-recursively, and after ``LEVELS`` levels all remaining pairs that the window and the set sizes allow are compared.
-
-The order needs to know which shingles are frequent: document frequencies are counted over all texts, in ranges of the hash,
-from sorted and delta-coded blocks, and those of ``FREQUENT`` documents or more set a bit in a map of fixed size that is
-broadcast. The order is only a matter of speed: any order gives the same links.
-
-Nothing is collected but that map. Copies within a block are combined before any shuffle, classes before links, and links are
-between classes. Null texts and texts without words have no shingles and link with nothing; texts of fewer words than a
-shingle have the whole sequence as one. Equal rows are copies. Whole texts are used.
+distance 1 - threshold (the radius) or less. Documents with equal sets are one class; classes are what is joined.
+
+**First regions.** Nearly all distances between unrelated texts are 1, so regions of random pivot documents would have windows
+that hold every document. Regions therefore begin with shingles, in a global order: a class is replicated to the
+regions of its first ``n - ceil(threshold * n) + 1`` shingles; by counting, two classes within the radius share one of these. The
+order puts frequent shingles last, so that regions are small; it is only a matter of speed, any order gives the same links.
+
+**Pivots and windows.** A region's pivot is a member (the least class), and every member's distance to it is bounded, then
+computed where it may be within the radius. Regions of more than ``FAN`` members with one pivot become one, for they
+share most members. Members that links connect with the pivot are settled. Any other member x can link with y only if
+their distances to the pivot differ by the radius at most: what no such window reaches leaves the region.
+
+**Recursion.** Of the members that aren't settled ``FAN`` become pivots in the next round, four times as many in each round after
+it, and are compared with the region's members in their windows. A pivot that has been compared with all is done. A region
+ends when nothing in it is left to be settled, so the recursion ends without a limit on rounds, and no pair is left out.
+
+**Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about 2n to 4n bits. Bits in which
+two sketches differ are at least one different shingle each; a pair whose bound lies beyond the radius is never compared.
+Others are by their sets. Sets are made once, for classes of such pairs only.
+
+Equality of shingles and classes is that of 64-bit hashes. Nothing is collected but the ``HOT`` most frequent shingles (for the
+order), and what is broadcast are they and bit maps of a fixed size. A shingle counts as frequent if blocks of documents repeat it. Regions
+of frequent shingles are salted by class. Links are between classes and so many as connect what the definition connects.
+
+Null texts and texts without words have no shingles and link with nothing; texts of fewer words than a shingle have
+the whole sequence as one. Equal rows are copies of each other; rows with a null id count as documents. Whole texts are used. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import columnar as C
 
-#: Classes of a region that are compared pair by pair; levels of pivots.
-SMALL, LEVELS = 12, 3
-#: Documents from which on a shingle is frequent; bits of the map of frequent ones; text bytes of a block.
-FREQUENT, MAP_BITS, BLOCK = 24, 26, 2 << 20
-#: Parts of the hash space by which the size of an intersection is bounded from counts alone.
-PARTS = 256
+#: Pivots of a region in the first round of recursion.
+FAN = 8
+#: Shingles that the order knows as frequent, at most; documents from which on one is, and from which on a block tells of it; shingles of a block.
+HOT, FREQUENT, REPEATED, BLOCK = 1 << 20, 24, 3, 1 << 21
+#: Salts of a frequent shingle's region.
+SALTS = 64
+#: Rows of an Arrow batch of texts, and of pairs of sets.
+TEXTS, PAIRS = 1000, 250
 
 
 def words_of(strings: pa.Array):
@@ -52,14 +61,14 @@ def shingles(strings: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(first)
     n = np.where(count == 0, 0, np.maximum(count - width + 1, 1))
     at = C.ranges(first[:-1], n)
-    doc = np.repeat(np.arange(len(n)), n)
-    own = C.Windows(hashes)(at, np.minimum(at + width, first[1:][doc]), 11)
-    order = np.lexsort((own, doc))
-    own, doc = own[order], doc[order]
+    own = C.Windows(hashes)(at, np.minimum(at + width, np.repeat(first[1:], n)), 11)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
+        own[a:b].sort()
     new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
-    own, doc = own[new], doc[new]
-    return own, np.searchsorted(doc, np.arange(len(n) + 1))
+    new[1:] = own[1:] != own[:-1]
+    new[upto[:-1][n > 0]] = True
+    return own[new], np.concatenate([[0], np.cumsum(new)])[upto]
 
 
 def class_keys(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -71,231 +80,182 @@ def class_keys(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
     return C.mix(total + np.diff(off).astype(np.uint64)).view(np.int64)
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-
+def sketches(sets: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Parity bits of each set in words of 64: a power of two of words, 2n bits or more. Halves of a sketch folded by XOR are the sketch of half its size."""
+    n = np.diff(off)
+    size = 1 << np.ceil(np.log2(np.maximum(2 * n, 64) / 64)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(size)])
+    doc = np.repeat(np.arange(len(n)), n)
+    word = base[doc] + ((sets >> np.uint64(6)).astype(np.int64) & (size[doc] - 1))
+    odd = np.bincount(word * 64 + (sets & np.uint64(63)).astype(np.int64), minlength=int(base[-1]) * 64) & 1
+    return C.list_column(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), base, pa.int64())
 
-def squeeze(x: np.ndarray) -> bytes:
-    """Non-negative integers, byte plane by byte plane."""
-    x = np.ascontiguousarray(x.astype("<u8"))
-    return len(x).to_bytes(8, "little") + zstd.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
 
-def unsqueeze(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    return np.ascontiguousarray(np.frombuffer(zstd.decompress(b[8:]), np.uint8).reshape(8, n).T).view("<u8").ravel() if n else np.zeros(0, np.uint64)
 
+class Frequent:
+    """Rank of shingles in the global order: 0, or for frequent ones the logarithm of their number."""
 
-def _delta(x: np.ndarray) -> bytes:
-    return squeeze(np.diff(x, prepend=np.uint64(0)))
+    MASK = (1 << 22) - 1
 
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.rank = hashes[order], np.log2(counts[order]).astype(np.uint8)
+        self.bits = None
 
-def _rows(by_range: np.ndarray, total: int):
-    """Bounds of each range in values that are sorted by it."""
-    return np.searchsorted(by_range, np.arange(total + 1))
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            self.bits = np.zeros(self.MASK + 1, bool)
+            self.bits[(self.hashes & np.uint64(self.MASK)).astype(np.int64)] = True
+        out = np.zeros(len(x), np.uint8)
+        near = np.flatnonzero(self.bits[(x & np.uint64(self.MASK)).astype(np.int64)])
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, x[near]), len(self.hashes) - 1)
+            out[near] = np.where(self.hashes[at] == x[near], self.rank[at], 0)
+        return out
 
 
-def bit_map(hashes: DataFrame) -> np.ndarray:
-    """Bits of the leading MAP_BITS bits of the hashes (column h), made in slices of a fixed size."""
-    log, bits = min(6, MAP_BITS - 4), MAP_BITS
+def _both(df: DataFrame, left: str, right: str) -> DataFrame:
+    """Ends of pairs as one column ``class``."""
+    return df.select(F.col(left).alias("class")).unionByName(df.select(F.col(right).alias("class"))).distinct()
 
-    def mark(table: pa.Table) -> pa.Table:
-        r = table.column("r")[0].as_py()
-        bitmap = np.zeros(1 << (bits - log), np.uint8)
-        bitmap[table.column("p").to_numpy() - (r << (bits - log))] = 1
-        return pa.table({"r": pa.array([r], pa.int32()), "b": pa.array([zstd.compress(np.packbits(bitmap).tobytes(), 1)], pa.binary())})
 
-    places = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("p")).distinct().withColumn("r", F.shiftright("p", bits - log).cast("int"))
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    step = len(out) >> log
-    for row in places.groupBy("r").applyInArrow(mark, "r int, b binary").toLocalIterator():
-        out[row["r"] * step : (row["r"] + 1) * step] = np.frombuffer(zstd.decompress(bytes(row["b"])), np.uint8)
-    return out
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 class Join:
     def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75):
         self.width, self.percent, self.radius = width, percent, 1 - percent / 100
         self.spark = docs.sparkSession
-        self.sets: DataFrame | None = None
-        self.docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        #: A power of two near one range for each block's worth of text.
-        self.ranges = 1 << max(0, int(size // (8 * BLOCK)).bit_length())
-        #: Hash bits that are kept where a false match only costs time: their number follows the size of the input.
-        self.bits = min(63, max(36, int(size).bit_length() + 10))
-
-    # -- classes -----------------------------------------------------------------------------------------------------
-
-    def members(self) -> DataFrame:
-        """doc_id, n_shingles, class (null without shingles), and how many shingles lie in each part of the hash space."""
+        self.docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+        self.id_type = self.docs.schema["doc_id"].dataType.simpleString()
+        self.scratch = C.Scratch(self.spark, "jaccard")
+        self.sets: list[DataFrame] = []
+
+    # -- one pass over the texts: members and repeated shingles ----------------------------------------------------------
+
+    def scan(self) -> DataFrame:
+        """Rows (doc_id, n, class, sketch) of documents, and rows (h, c) of shingles that a block of documents repeats."""
         width = self.width
+        schema = f"doc_id {self.id_type}, n bigint, class bigint, sketch array<bigint>, h bigint, c bigint"
 
-        def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-            sets, off = shingles(C.column(batch, "text"), width)
-            n = np.diff(off)
-            where = np.repeat(np.arange(len(n)), n) * PARTS + (sets >> np.uint64(56)).astype(np.int64)
-            table = np.bincount(where, minlength=len(n) * PARTS).astype("<u4").view(np.uint8).reshape(len(n), PARTS, 4)
-            planes = [np.ascontiguousarray(t.T).tobytes().rstrip(b"\0") for t in table]  # low bytes first, empty planes left out
-            return [pa.array(n), pa.array(class_keys(sets, off), mask=n == 0), pa.array(planes, pa.binary())]
-
-        return C.apply(self.docs, "text", C.Step(fn, {"n_shingles": "bigint", "class": "bigint", "parts": "binary"}, ("text",)))
-
-    # -- frequent shingles -------------------------------------------------------------------------------------------
-
-    def frequent(self) -> np.ndarray:
-        """The map of frequent shingles among hashes of the lower half, one bit for each prefix of MAP_BITS bits."""
-        ranges, width, bits, least = self.ranges, self.width, self.bits, FREQUENT
-        if ranges > 1 << (MAP_BITS - 4):
-            raise ValueError("raise MAP_BITS for an input of this size")
-        log = ranges.bit_length() - 1
-
-        def to_blocks(batches):
-            for batch in C.slices(batches, "text", BLOCK):
-                sets, _ = shingles(C.column(batch, "text"), width)
-                own = np.sort(sets[sets < np.uint64(1 << 63)] >> np.uint64(63 - bits))
-                cuts = _rows((own >> np.uint64(bits - log)).astype(np.int64), ranges)
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_delta(own[cuts[r] : cuts[r + 1]]) for r in full], pa.binary())], ["r", "b"])
-
-        def count(table: pa.Table) -> pa.Table:
-            own = np.sort(np.concatenate([np.cumsum(unsqueeze(b), dtype=np.uint64) for b in table.column("b").to_pylist()]))
-            begin = np.flatnonzero(np.diff(own, prepend=own[0] + np.uint64(1)))
-            often = own[begin[np.diff(np.append(begin, len(own))) >= least]]
-            r = table.column("r")[0].as_py()
-            place = (often >> np.uint64(bits - MAP_BITS)).astype(np.int64) - (r << (MAP_BITS - log))
-            bitmap = np.zeros(1 << (MAP_BITS - log), np.uint8)
-            bitmap[place] = 1
-            return pa.table({"r": pa.array([r], pa.int32()), "b": pa.array([zstd.compress(np.packbits(bitmap).tobytes())], pa.binary())})
-
-        out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-        step = len(out) // ranges
-        for row in self.docs.select("text").mapInArrow(to_blocks, "r int, b binary").groupBy("r").applyInArrow(count, "r int, b binary").toLocalIterator():
-            out[row["r"] * step : (row["r"] + 1) * step] = np.frombuffer(zstd.decompress(bytes(row["b"])), np.uint8)
-        return out
+        def fn(batches):
+            names, held, size, kind = ["doc_id", "n", "class", "sketch", "h", "c"], [], 0, None
 
-    # -- regions -----------------------------------------------------------------------------------------------------
+            def counted():
+                h, c = np.unique(np.concatenate(held), return_counts=True)
+                often = np.flatnonzero(c >= REPEATED)
+                for i in range(0, len(often), 1 << 15):
+                    part = often[i : i + (1 << 15)]
+                    k = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), *(pa.nulls(k, pa.int64()),) * 2, pa.nulls(k, pa.list_(pa.int64())), pa.array(h[part].view(np.int64)), pa.array(c[part])], names)
 
-    def regions(self, held) -> DataFrame:
-        """Pairs of classes to be compared and members of regions that need a pivot: region, a, b, n (of b), big; a is the pivot of a big region."""
-        ranges, width, bits, percent = self.ranges, self.width, self.bits, self.percent
-        log = ranges.bit_length() - 1
+            for batch in C.slices(batches, "text"):
+                sets, off = shingles(C.column(batch, "text"), width)
+                n, ids = np.diff(off), C.column(batch, "doc_id")
+                kind = ids.type
+                none = pa.nulls(len(n), pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(class_keys(sets, off), mask=n == 0), sketches(sets, off), none, none], names)
+                held.append(sets)
+                size += len(sets)
+                if size >= BLOCK:
+                    yield from counted()
+                    held, size = [], 0
+            if held:
+                yield from counted()
+
+        with C.small_batches(self.spark, TEXTS):
+            return self.scratch.write(self.docs.mapInArrow(fn, schema), "scan")
+
+    def frequent(self, scanned: DataFrame) -> Frequent:
+        sums = scanned.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+        found = sums.orderBy(F.desc("c"), "h").limit(HOT).toArrow()
+        return Frequent(found.column("h").to_numpy().view(np.uint64), found.column("c").to_numpy())
+
+    # -- first regions ---------------------------------------------------------------------------------------------------
+
+    def regions(self, frequent: Frequent) -> DataFrame:
+        """h (shingle), pivot, class (another member) of all regions of two classes or more."""
+        width, percent = self.width, self.percent
+        held = self.spark.sparkContext.broadcast(frequent)
 
-        def to_blocks(batches):
-            for batch in C.slices(batches, "text", BLOCK):
+        def fn(batches):
+            for batch in C.slices(batches, "text"):
                 sets, off = shingles(C.column(batch, "text"), width)
                 keys, n = class_keys(sets, off), np.diff(off)
-                _, one = np.unique(keys, return_index=True)  # one of each class
+                _, one = np.unique(keys, return_index=True)
                 one = one[n[one] > 0]
                 doc = np.repeat(np.arange(len(one)), n[one])
                 own = sets[C.ranges(off[one], n[one])]
-                low = own < np.uint64(1 << 63)
-                place = (own >> np.uint64(63 - MAP_BITS)).astype(np.int64) & ((1 << MAP_BITS) - 1)
-                often = low & ((held.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)
-                order = np.lexsort((own, often, doc))
-                own, upto = own[order], np.concatenate([[0], np.cumsum(n[one])])
-                first = prefix_length(n[one], percent)
-                own, doc = own[C.ranges(upto[:-1], first)] >> np.uint64(64 - bits), np.repeat(np.arange(len(one)), first)
-                order = np.argsort(own, kind="stable")
-                own, doc = own[order], doc[order]
-                cuts = _rows((own >> np.uint64(bits - log)).astype(np.int64), ranges)
-                blobs = []
-                full = np.flatnonzero(np.diff(cuts))
-                for r in full:
-                    d = doc[cuts[r] : cuts[r + 1]]
-                    have, back = np.unique(d, return_inverse=True)
-                    blobs.append((_delta(own[cuts[r] : cuts[r + 1]]), squeeze(back), keys[one[have]].tobytes(), squeeze(n[one[have]])))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(4))], ["r", "s", "d", "k", "n"])
-
-        def meet(table: pa.Table) -> pa.Table:
-            s, k, n = [], [], []
-            for b in table.to_pylist():
-                d = unsqueeze(b["d"]).astype(np.int64)
-                s.append(np.cumsum(unsqueeze(b["s"]), dtype=np.uint64)), k.append(np.frombuffer(b["k"], np.int64)[d]), n.append(unsqueeze(b["n"]).astype(np.int64)[d])
-            s, k, n = np.concatenate(s), np.concatenate(k), np.concatenate(n)
-            order = np.lexsort((k, s))
-            s, k, n = s[order], k[order], n[order]
-            keep = np.ones(len(s), bool)
-            keep[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-            s, k, n = s[keep], k[keep], n[keep]
-            begin = np.flatnonzero(np.diff(s, prepend=s[0] + np.uint64(1)))
-            size = np.diff(np.append(begin, len(s)))
-            out = []
-            for g in range(2, SMALL + 1):  # all pairs of a small region whose sizes allow a link
-                at = begin[size == g]
-                for i in range(g - 1):
-                    for j in range(i + 1, g):
-                        x, y = at + i, at + j
-                        ok = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-                        out.append((np.zeros(ok.sum(), np.int64), k[x[ok]], k[y[ok]], n[y[ok]], np.zeros(ok.sum(), bool)))
-            large = np.flatnonzero(size > SMALL)
-            for b, g in zip(begin[large].tolist(), size[large].tolist()):
-                pivot = b + int(C.mix(k[b : b + g].view(np.uint64), 21).argmin())
-                rest = np.delete(np.arange(b, b + g), pivot - b)
-                out.append((np.full(g - 1, s[b].astype(np.int64)), np.full(g - 1, k[pivot]), k[rest], n[rest], np.ones(g - 1, bool)))
-            cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.int64, np.int64, bool))]
-            if len(cols[0]):  # a pair of small regions comes once
-                small = np.flatnonzero(~cols[4])
-                _, one = np.unique(np.stack([cols[1][small], cols[2][small]], 1), axis=0, return_index=True) if len(small) else (None, np.zeros(0, np.int64))
-                pick = np.concatenate([small[one], np.flatnonzero(cols[4])])
-                cols = [c[pick] for c in cols]
-            return pa.table(dict(zip(("region", "a", "b", "n", "big"), map(pa.array, cols))))
-
-        return self.docs.where(F.octet_length("text") > 0).select("text").mapInArrow(to_blocks, "r int, s binary, d binary, k binary, n binary").groupBy("r").applyInArrow(meet, "region bigint, a bigint, b bigint, n bigint, big boolean")
-
-    # -- distances ---------------------------------------------------------------------------------------------------
-
-    def sets_of(self, wanted: DataFrame) -> DataFrame:
-        """class, set (binary of sorted hashes), for rows of (class, doc_id of one member).
-
-        Texts aren't shuffled: which rows are wanted is told to the scan by a map of fixed size, in which other rows
-        are found now and then; those go in the join behind.
-        """
-        width, bits = self.width, MAP_BITS
-        held = self.spark.sparkContext.broadcast(bit_map(wanted.select(F.xxhash64("doc_id", "class").alias("h"))))
-
-        def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-            sets, off = shingles(C.column(batch, "text"), width)
-            return [pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary()), pa.array(class_keys(sets, off))]
-
-        def pick(batches):
-            for batch in C.slices(batches, "text"):
-                at = C.column(batch, "place").to_numpy(zero_copy_only=False)
-                yes = np.flatnonzero((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
-                if len(yes):
-                    made = fn(batch.take(pa.array(yes)))
-                    yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id").take(pa.array(yes)), made[1], made[0]], ["doc_id", "class", "set"])
-
-        # the place in the map needs the class, so texts are scanned for it once more
-        scanned = C.apply(self.docs, "text", C.Step(lambda b: [pa.array(class_keys(*shingles(C.column(b, "text"), width)))], {"class": "bigint"}))
-        placed = scanned.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "class"), 64 - bits)).select("doc_id", "text", "place")
-        found = placed.mapInArrow(pick, "doc_id bigint, class bigint, set binary")
-        # a class of rows without id alone is told by a null id
-        return found.alias("f").join(wanted.alias("w"), F.expr("f.class = w.class and f.doc_id <=> w.doc_id")).select("f.class", "f.set").dropDuplicates(["class"])
+                rank, need = held.value(own), prefix_length(n[one], percent)
+                rare, often = np.flatnonzero(rank == 0), np.flatnonzero(rank)
+                often = often[np.lexsort((own[often], rank[often], doc[often]))]
+                have = np.bincount(doc[rare], minlength=len(one))
+                for at, most, salted in ((rare, need, False), (often, need - have, True)):
+                    first = np.searchsorted(doc[at], np.arange(len(one)))
+                    at = at[np.arange(len(at)) - first[doc[at]] < most[doc[at]]]
+                    who = keys[one][doc[at]]
+                    salt = pa.array((who % SALTS).astype(np.int16)) if salted else pa.nulls(len(at), pa.int16())
+                    for i in range(0, len(at), 1 << 15):
+                        j = slice(i, i + (1 << 15))
+                        yield pa.RecordBatch.from_arrays([pa.array(own[at[j]].view(np.int64)), salt[j], pa.array(who[j])], ["h", "salt", "class"])
+
+        shared = Window.partitionBy("h", "salt").orderBy("class")
+        with C.small_batches(self.spark, TEXTS):
+            rows = self.docs.where(F.octet_length("text") > 0).mapInArrow(fn, "h bigint, salt smallint, class bigint")
+            least = rows.withColumn("pivot", F.first("class").over(shared))
+            parts = self.scratch.write(least.where("salt is not null or class != pivot"), "parts")
+        # the pivot of a salted region is the least of its parts'
+        salted = parts.where("salt is not null")
+        pivots = salted.groupBy("h").agg(F.min("pivot").alias("least"))
+        whole = salted.join(pivots, "h").select("h", F.col("least").alias("pivot"), "class").where("class != pivot")
+        out = self.scratch.write(parts.where("salt is null").select("h", "pivot", "class").unionByName(whole).distinct(), "regions")
+        self.scratch.drop(parts)
+        return out
 
-    def bounds(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """a, b, near (they may link), lo (no distance is less), from counts by part: shared shingles are at most the sum of the lesser counts."""
-        percent = self.percent
-        side = lambda k, v: classes.select(F.col("class").alias(k), F.col("parts").alias(v))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    # -- distances -------------------------------------------------------------------------------------------------------
 
-        def counts(column: pa.Array) -> np.ndarray:
-            raw = b"".join(v.as_buffer().to_pybytes().ljust(4 * PARTS, b"\0") for v in column)
-            return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4, PARTS).transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
+    def bounds(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """a, b, near (they may link), lo (no distance is less): from sizes and sketches."""
+        side = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+        fold = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y)"
+        same = lambda x, y: f"if(size({x}) > size({y}), {fold.format(x)}, {x})"
+        apart = f"aggregate(zip_with({same('sa', 'sb')}, {same('sb', 'sa')}, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+        fits = f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)"
+        # sizes that fit differ by a factor below 2, so their sketches do by a factor of 2 at most
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(f"if({fits}, {apart}, null)"))
+        near = f"coalesce(100 * (na + nb - apart) >= {self.percent} * (na + nb + apart), false)"
+        return both.select("a", "b", F.expr(near).alias("near"), F.expr("coalesce(2 * apart / (na + nb + apart), 1 - least(na, nb) / greatest(na, nb))").alias("lo"))
+
+    def make_sets(self, wanted: DataFrame) -> None:
+        """Sets (binary of sorted hashes) of classes (class, doc_id of one member). Only texts that may be wanted are shuffled."""
+        width = self.width
+        ids = wanted.select("doc_id").distinct()
+        told = C.may_be(self.docs, "doc_id", ids, "_maybe").where("_maybe").select("doc_id", "text")
+        texts = told.alias("t").join(ids.alias("w"), F.expr("t.doc_id <=> w.doc_id"), "left_semi").select("text")
 
         def fn(batches):
-            for batch in C.slices(batches, "x"):
-                x, y = counts(C.column(batch, "x")), counts(C.column(batch, "y"))
-                most = np.minimum(x, y).sum(1)
-                least = x.sum(1) + y.sum(1) - most
-                yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b"), pa.array(100 * most >= percent * least), pa.array(1 - most / least)], ["a", "b", "near", "lo"])
+            for batch in C.slices(batches, "text"):
+                sets, off = shingles(C.column(batch, "text"), width)
+                yield pa.RecordBatch.from_arrays([pa.array(class_keys(sets, off)), pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())], ["class", "set"])
 
-        return both.mapInArrow(fn, "a bigint, b bigint, near boolean, lo double")
+        with C.small_batches(self.spark, TEXTS):
+            made = texts.mapInArrow(fn, "class bigint, set binary").join(wanted.select("class"), "class", "left_semi")
+            self.sets.append(self.scratch.write(made.dropDuplicates(["class"]), "sets"))
+
+    def all_sets(self) -> DataFrame:
+        out = self.sets[0]
+        for s in self.sets[1:]:
+            out = out.unionByName(s)
+        return out
 
-    def distances(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """a, b, linked, lo, hi (both the distance) of distinct pairs."""
-        percent = self.percent
-        both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """a, b, linked, d of pairs, from their sets."""
+        percent, sets = self.percent, self.all_sets()
+        side = lambda k, v: sets.select(F.col("class").alias(k), F.col("set").alias(v))
 
         def fn(batches):
             for batch in C.slices(batches, "x"):
@@ -305,119 +265,131 @@ class Join:
                     common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                     shared.append(common), joint.append(len(p) + len(q) - common)
                 s, j = np.array(shared, np.int64), np.array(joint, np.int64)
-                d = pa.array(1 - s / np.maximum(j, 1))
-                yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b"), pa.array(100 * s >= percent * j), d, d], ["a", "b", "linked", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b"), pa.array(100 * s >= percent * j), pa.array(1 - s / np.maximum(j, 1))], ["a", "b", "linked", "d"])
 
-        return both.mapInArrow(fn, "a bigint, b bigint, linked boolean, lo double, hi double")
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(fn, "a bigint, b bigint, linked boolean, d double")
 
     def compared(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """a, b, linked, lo, hi of distinct pairs: bounds first, sets only for those that may link."""
-        with C.small_batches(self.spark, 2000):
-            bound = C.written(self.bounds(pairs, classes), "bounds")
+        """a, b, linked, lo, hi of distinct pairs."""
+        bound = self.scratch.write(self.bounds(pairs, classes), "bounds")
         close = bound.where("near").select("a", "b")
-        ends = close.select(F.col("a").alias("class")).union(close.select(F.col("b").alias("class"))).distinct()
-        need = classes.select("class", "doc_id").join(ends, "class")
-        if self.sets is not None:  # sets that a level before has made are used again
-            need = need.join(self.sets.select("class"), "class", "left_anti")
-        need = C.written(need, "wanted")
-        if self.sets is None or not need.isEmpty():
-            with C.small_batches(self.spark, 1000):
-                more = C.written(self.sets_of(need), "sets")
-            self.sets = more if self.sets is None else self.sets.unionByName(more)
-        exact = self.distances(close, self.sets)
-        with C.small_batches(self.spark, 250):
-            return C.written(exact.unionByName(bound.where("not near").select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))), "distances")
+        need = classes.select("class", "doc_id").join(_both(close, "a", "b"), "class")
+        if self.sets:
+            need = need.join(self.all_sets().select("class"), "class", "left_anti")
+        need = self.scratch.write(need, "wanted")
+        if not self.sets or not need.isEmpty():
+            self.make_sets(need)
+        with C.small_batches(self.spark, PAIRS):
+            exact = self.exact(close).select("a", "b", "linked", F.col("d").alias("lo"), F.col("d").alias("hi"))
+            out = self.scratch.write(exact.unionByName(bound.where("not near").select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))), "distances")
+        self.scratch.drop(bound, need)
+        return out
+
+    # -- windows and recursion -------------------------------------------------------------------------------------------
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """Members (doc_id, n_shingles, class), and links between classes (a, b) that connect what the definition connects:
-        every link between different sets lies within the connections that these make."""
-        held = self.spark.sparkContext.broadcast(self.frequent())
-        members = C.written(self.members(), "members")
-        found = C.written(self.regions(held), "regions")
-        ordered = C.written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        ends = ordered.select(F.col("a").alias("class")).union(ordered.select(F.col("b").alias("class"))).union(found.where("big").select("b")).distinct()
-        classes = C.written(members.where("class is not null").join(ends, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts")), "classes")
-        known = self.compared(ordered, classes)
+        """Members (doc_id, n, class), and links (a, b) between classes that connect what the definition connects."""
+        scanned = self.scan()
+        members = scanned.where("h is null").select("doc_id", "n", "class", "sketch")
+        first = self.regions(self.frequent(scanned))
+        ends = _both(first, "pivot", "class")
+        classes = self.scratch.write(members.where("class is not null").join(ends, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+        known = self.compared(first.select(*_pair("pivot", "class")).distinct(), classes)
         links = known.where("linked").select("a", "b")
-        region = found.where("big").select("region", F.col("a").alias("pivot"), F.col("b").alias("class"), "n")
-        slack = self.radius + 1e-9
-        for level in range(LEVELS):
-            # classes that links already connect needn't be compared with each other
-            group = components(links)
-            side = lambda k, v: group.select(F.col("node").alias(k), F.col("component").alias(v))
-            at = region.join(side("class", "_c"), "class", "left").join(side("pivot", "_p"), "pivot", "left").withColumn("comp", F.coalesce("_c", "class")).withColumn("inside", F.col("comp") == F.coalesce("_p", "pivot"))
-            out = at.where("not inside").groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("class"), "class")).alias("p"))
-            # members with bounds of their distance to the pivot; the window of those that it is connected with
-            d = at.join(out, "region").withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(known, ["a", "b"])
-            nearest = d.where("not inside").groupBy("region").agg(F.min("lo").alias("nearest"))
-            at = C.written(d.join(nearest, "region").where(F.col("hi") >= F.col("nearest") - slack).select("region", "class", "n", "lo", "hi", "comp", "inside", "size", F.col("p.class").alias("next")), "windows")
-            if at.isEmpty():
+        # large regions of one pivot share most members and become one
+        sizes = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+        merged = first.join(sizes, "h").select(F.when(F.col("size") > FAN, F.lit(0)).otherwise(F.col("h")).alias("region"), "pivot", "class").distinct()
+        far = known.select("a", "b", "lo", "hi")
+        region = merged.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(far, ["a", "b"]).select("region", "pivot", "class", "lo", "hi", F.lit(False).alias("done"))
+        fan = FAN
+        while True:
+            region, open_ = self.settle(region, links)
+            if open_ == 0:
                 break
-            last = level == LEVELS - 1
-            x = at.where("not inside" if last else f"not inside and size <= {SMALL}")
-            y = at.select("region", *[F.col(c).alias(f"{c}_") for c in ("class", "n", "lo", "hi", "comp", "inside")])
-            compare = x.join(y, "region").where(f"comp != comp_ and (inside_ or class < class_) and lo <= hi_ + {slack} and lo_ <= hi + {slack} and 100 * least(n, n_) >= {self.percent} * greatest(n, n_)").select(F.least("class", "class_").alias("a"), F.greatest("class", "class_").alias("b"))
-            region = at.where("false" if last else f"size > {SMALL} and class != next").select("region", F.col("next").alias("pivot"), "class", "n")
-            more = compare.unionByName(region.select(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b"))).distinct()
-            fresh = self.compared(C.written(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs"), classes)
-            links = C.written(links.unionByName(fresh.where("linked").select("a", "b")), "links")
+            pairs, region = self.round(region, known, fan)
+            fresh = self.compared(pairs, classes)
+            self.scratch.drop(pairs)
+            links = self.scratch.write(links.unionByName(fresh.where("linked").select("a", "b")), "links")
             known = known.unionByName(fresh)
-            region = C.written(region, "regions")
-            if region.isEmpty():
-                break
-        return members.drop("parts"), links.distinct()
+            fan *= 4
+        for s in self.sets:
+            self.scratch.drop(s)
+        return members.select("doc_id", "n", "class"), links.distinct()
+
+    def settle(self, region: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+        """Rows of regions with something to settle, with ``comp`` and ``inside`` (connected with the pivot), and how many are open."""
+        group = components(links, self.scratch)
+        side = lambda k, v: group.select(F.col("node").alias(k), F.col("component").alias(v))
+        bare = region.select("region", "pivot", "class", "lo", "hi", "done")
+        at = bare.join(side("class", "_c"), "class", "left").join(side("pivot", "_p"), "pivot", "left")
+        at = at.select("region", "pivot", "class", "lo", "hi", "done", F.coalesce("_c", "class").alias("comp"), (F.coalesce("_c", "class") == F.coalesce("_p", "pivot")).alias("inside"))
+        live = "not inside and not done"
+        state = at.groupBy("region", "pivot").agg(F.count("*").alias("members"), F.count_if(F.expr(live)).alias("open"), F.min(F.expr(f"if({live}, lo, null)")).alias("nearest"))
+        # what lies nearer to the pivot than any open member's window reaches can't link with one
+        kept = at.join(state.where("open > 0 and members > 1"), ["region", "pivot"]).where(F.col("hi") >= F.col("nearest") - self.radius - 1e-9)
+        out = self.scratch.write(kept.select("region", "pivot", "class", "lo", "hi", "done", "comp", "inside", "open"), "settled")
+        return out, out.where(live).limit(1).count()
+
+    def round(self, region: DataFrame, known: DataFrame, fan: int) -> tuple[DataFrame, DataFrame]:
+        """New pairs of ``fan`` pivots in each region with the members in their windows; the region with those pivots done."""
+        live = region.where("not inside and not done")
+        least = live.groupBy("region", "pivot").agg(F.min("class").alias("least"))
+        share = F.pmod(F.xxhash64("class", F.lit(fan)), F.lit(1 << 20)) * F.col("open") < F.lit(fan << 20)
+        chosen = live.join(least, ["region", "pivot"]).where(share | (F.col("class") == F.col("least"))).select("region", "pivot", F.col("class").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("comp").alias("qcomp"))
+        slack = self.radius + 1e-9
+        met = region.where("not done").join(chosen, ["region", "pivot"]).where(f"comp != qcomp and lo <= qhi + {slack} and qlo <= hi + {slack}")
+        pairs = met.select(*_pair("q", "class")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        marked = region.join(chosen.select("region", "pivot", F.col("q").alias("class"), F.lit(True).alias("_now")), ["region", "pivot", "class"], "left").withColumn("done", F.col("done") | F.coalesce("_now", F.lit(False))).drop("_now")
+        return self.scratch.write(pairs, "pairs"), marked
 
 
-def components(links: DataFrame, limit: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
     """node, component (the smallest node reachable) for all ends of ``links`` (a, b): labels spread to neighbours and then
     jump to their label's label, until nothing changes. Every round is a written table."""
-    edge = C.written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = C.written(edge.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), "labels")
-    for _ in range(limit):
-        spread = edge.join(label.select(F.col("a").alias("b"), "c"), "b").select("a", "c").unionByName(label).groupBy("a").agg(F.min("c").alias("c"))
-        jumped = spread.join(label.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c", "left").select("a", F.least("c", "cc").alias("c"))
-        new = C.written(jumped, "labels")
-        if new.join(label.select("a", F.col("c").alias("was")), "a").where("c != was").isEmpty():
-            return new.select(F.col("a").alias("node"), F.col("c").alias("component"))
+    scratch = scratch or C.Scratch(links.sparkSession, "components")
+    edge = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    label = scratch.write(edge.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c"), F.lit(True).alias("moved")), "labels")
+    while not label.where("moved").isEmpty():
+        was = label.select("a", "c")
+        spread = edge.join(was.select(F.col("a").alias("b"), "c"), "b").select("a", "c").unionByName(was).groupBy("a").agg(F.min("c").alias("m"))
+        jumped = spread.join(was.select(F.col("a").alias("m"), F.col("c").alias("cc")), "m", "left").select("a", F.least("m", "cc").alias("n"))
+        new = scratch.write(jumped.join(was, "a").select("a", F.col("n").alias("c"), (F.col("n") != F.col("c")).alias("moved")), "labels")
+        scratch.drop(label)
         label = new
-    raise RuntimeError("components didn't settle")
+    scratch.drop(edge)
+    return label.select(F.col("a").alias("node"), F.col("c").alias("component"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, class, component_id (the smallest id reachable by links, its own included).
 
-    ``docs`` is read several times, so it must be a table or a view of one. Rows with a null id count as documents; a component
-    of such rows alone has a null id.
+    ``docs`` is read several times, so it must be a table or a view of one. A component of rows with null ids alone has a null id.
     """
-    members, links = Join(docs, doc_id, text, width, percent).links()
-    component = components(links)
+    run = Join(docs, doc_id, text, width, percent)
+    members, links = run.links()
+    component = components(links, run.scratch)
     joined = members.join(component, members["class"] == component["node"], "left").withColumn("c", F.coalesce("component", "class")).drop("node", "component")
     least = joined.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "c", "left").select("doc_id", "n_shingles", "class", F.coalesce("least", "doc_id").alias("component_id"))
+    return joined.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The document with the smallest id of each component, and all that link with nothing (rows without id too).
 
-    Of rows with one id all stay if any does. Texts aren't shuffled but for those that go, and the few that a map of
+    Of rows with one id all stay if any does. Other columns pass through. Texts aren't shuffled but for those that go, and the few that a map of
     fixed size takes for them.
     """
     found = join(docs, doc_id, text, **options).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
     gone = C.written(found.where("not stays").select(F.col("doc_id").alias(doc_id)), "gone")
-    place = F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("bigint")), 64 - MAP_BITS)
-    held = docs.sparkSession.sparkContext.broadcast(bit_map(gone.select(F.xxhash64(F.col(doc_id).cast("bigint")).alias("h"))))
-
-    def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-        at = C.column(batch, "_place").to_numpy(zero_copy_only=False)
-        return [pa.array(((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))]
-
-    told = C.apply(docs.withColumn("_place", place), text, C.Step(fn, {"_maybe": "boolean"}, ("_place",)))
-    return told.where("not _maybe").drop("_maybe").unionByName(told.where("_maybe").drop("_maybe").join(gone, doc_id, "left_anti"))
+    flag = C.fresh(docs, "_maybe")
+    told = C.may_be(docs, doc_id, gone, flag)
+    return told.where(~F.col(flag)).drop(flag).unionByName(told.where(flag).drop(flag).join(gone, doc_id, "left_anti").select(*[f"`{c}`" for c in docs.columns]))
 
 
 def brute_force(texts: list[str | None], width: int = 5, percent: int = 75) -> list[tuple[int, int]]:
     """(set size, index of the component's first text) of each text, from all pairs. For tests."""
     import re
+    from collections import Counter
 
     sets = []
     for t in texts:
@@ -434,8 +406,6 @@ def brute_force(texts: list[str | None], width: int = 5, percent: int = 75) -> l
     for i, s in enumerate(sets):
         for g in s:
             where.setdefault(g, []).append(i)
-    from collections import Counter
-
     for i, s in enumerate(sets):
         for j, common in Counter(j for g in s for j in where[g] if j < i).items():
             if 100 * common >= percent * (len(s) + len(sets[j]) - common):

@@ -4,7 +4,6 @@ import random
 
 import pyarrow as pa
 
-from gustfield.llm import columnar as C
 from gustfield.llm import jaccard
 
 
@@ -25,10 +24,10 @@ def keys_of(texts):
 
 
 def test_jaccard_null_id_pivot_and_bridge(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "FAN", 2)
     base = words(1)
     near = [changed(base, 7 * i) for i in range(14)]
-    pivot = near[int(C.mix(keys_of(near).view("u8"), 21).argmin())]
+    pivot = near[int(keys_of(near).argmin())]
     two = words(2)
     ends = [changed(two, 10, 30, 50, 70, 80 + i) for i in range(6)] + [changed(two, 120, 140, 160, 180, 104 + i) for i in range(6)]
     bridge = " ".join(two)

@@ -198,7 +198,7 @@ def near_copies(seed, n, of=60):
 
 
 def test_jaccard(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "FAN", 2)
     texts = odd_texts() + near_copies(11, 25) + near_copies(12, 12) + [words(s, 30) + " " + words(77, 40) for s in range(200, 220)] + ["A b C d", "a B c D"]
     got = by_id(jaccard.join(frame(spark, texts)))
     want = jaccard.brute_force(texts)
