@@ -13,8 +13,8 @@ computed where it may be within the radius. Regions of more than ``FAN`` members
 share most members. Members that links connect with the pivot are settled. Any other member x can link with y only if
 their distances to the pivot differ by the radius at most: what no such window reaches leaves the region.
 
-**Recursion.** Of the members that aren't settled ``FAN`` become pivots in the next round, four times as many in each round after
-it, and are compared with the region's members in their windows. A pivot that has been compared with all is done. A region
+**Recursion.** Of the members that aren't settled ``FAN`` become pivots in the next round, eight times as many in each round after
+it, and are compared with the region's members in their windows, as far as sketches let them link. A pivot that has been compared is done. A region
 ends when nothing in it is left to be settled, so the recursion ends without a limit on rounds, and no pair is left out.
 
 **Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about 2n to 4n bits. Bits in which
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import columnar as C
 
 #: Pivots of a region in the first round of recursion.
-FAN = 8
+FAN = 16
 #: Shingles that the order knows as frequent, at most; documents from which on one is, and from which on a block tells of it; shingles of a block.
 HOT, FREQUENT, REPEATED, BLOCK = 1 << 20, 24, 3, 1 << 21
 #: Salts of a frequent shingle's region.
@@ -122,6 +122,13 @@ def _both(df: DataFrame, left: str, right: str) -> DataFrame:
     return df.select(F.col(left).alias("class")).unionByName(df.select(F.col(right).alias("class"))).distinct()
 
 
+def apart(x: str, y: str) -> str:
+    """SQL: bits in which two sketches differ. Sizes that fit differ by a factor below 2, so sketches do by a factor of 2 at most."""
+    fold = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y)"
+    same = lambda x, y: f"if(size({x}) > size({y}), {fold.format(x)}, {x})"
+    return f"aggregate(zip_with({same(x, y)}, {same(y, x)}, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+
+
 def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -221,14 +228,15 @@ class Join:
     def bounds(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """a, b, near (they may link), lo (no distance is less): from sizes and sketches."""
         side = lambda k: classes.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-        fold = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (x, y) -> x ^ y)"
-        same = lambda x, y: f"if(size({x}) > size({y}), {fold.format(x)}, {x})"
-        apart = f"aggregate(zip_with({same('sa', 'sb')}, {same('sb', 'sa')}, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
-        fits = f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)"
-        # sizes that fit differ by a factor below 2, so their sketches do by a factor of 2 at most
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(f"if({fits}, {apart}, null)"))
-        near = f"coalesce(100 * (na + nb - apart) >= {self.percent} * (na + nb + apart), false)"
-        return both.select("a", "b", F.expr(near).alias("near"), F.expr("coalesce(2 * apart / (na + nb + apart), 1 - least(na, nb) / greatest(na, nb))").alias("lo"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("apart", F.expr(f"if({self.fits('na', 'nb')}, {apart('sa', 'sb')}, null)"))
+        return both.select("a", "b", F.expr(f"coalesce({self.close('na', 'nb', 'apart')}, false)").alias("near"), F.expr("coalesce(2 * apart / (na + nb + apart), 1 - least(na, nb) / greatest(na, nb))").alias("lo"))
+
+    def fits(self, n: str, m: str) -> str:
+        return f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})"
+
+    def close(self, n: str, m: str, apart: str) -> str:
+        """Whether sets of these sizes with so many different shingles at least may link."""
+        return f"100 * ({n} + {m} - {apart}) >= {self.percent} * ({n} + {m} + {apart})"
 
     def make_sets(self, wanted: DataFrame) -> None:
         """Sets (binary of sorted hashes) of classes (class, doc_id of one member). Only texts that may be wanted are shuffled."""
@@ -269,10 +277,8 @@ class Join:
 
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(fn, "a bigint, b bigint, linked boolean, d double")
 
-    def compared(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """a, b, linked, lo, hi of distinct pairs."""
-        bound = self.scratch.write(self.bounds(pairs, classes), "bounds")
-        close = bound.where("near").select("a", "b")
+    def linked(self, close: DataFrame, classes: DataFrame) -> DataFrame:
+        """a, b, linked, d of distinct pairs; the sets that no round before has made are made."""
         need = classes.select("class", "doc_id").join(_both(close, "a", "b"), "class")
         if self.sets:
             need = need.join(self.all_sets().select("class"), "class", "left_anti")
@@ -280,9 +286,8 @@ class Join:
         if not self.sets or not need.isEmpty():
             self.make_sets(need)
         with C.small_batches(self.spark, PAIRS):
-            exact = self.exact(close).select("a", "b", "linked", F.col("d").alias("lo"), F.col("d").alias("hi"))
-            out = self.scratch.write(exact.unionByName(bound.where("not near").select("a", "b", F.lit(False).alias("linked"), "lo", F.lit(1.0).alias("hi"))), "distances")
-        self.scratch.drop(bound, need)
+            out = self.scratch.write(self.exact(close), "distances")
+        self.scratch.drop(need)
         return out
 
     # -- windows and recursion -------------------------------------------------------------------------------------------
@@ -294,52 +299,52 @@ class Join:
         first = self.regions(self.frequent(scanned))
         ends = _both(first, "pivot", "class")
         classes = self.scratch.write(members.where("class is not null").join(ends, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-        known = self.compared(first.select(*_pair("pivot", "class")).distinct(), classes)
+        bound = self.scratch.write(self.bounds(first.select(*_pair("pivot", "class")).distinct(), classes), "bounds")
+        known = self.linked(bound.where("near").select("a", "b"), classes)
         links = known.where("linked").select("a", "b")
         # large regions of one pivot share most members and become one
         sizes = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
         merged = first.join(sizes, "h").select(F.when(F.col("size") > FAN, F.lit(0)).otherwise(F.col("h")).alias("region"), "pivot", "class").distinct()
-        far = known.select("a", "b", "lo", "hi")
+        far = known.select("a", "b", F.col("d").alias("lo"), F.col("d").alias("hi")).unionByName(bound.where("not near").select("a", "b", "lo", F.lit(1.0).alias("hi")))
         region = merged.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(far, ["a", "b"]).select("region", "pivot", "class", "lo", "hi", F.lit(False).alias("done"))
         fan = FAN
         while True:
-            region, open_ = self.settle(region, links)
-            if open_ == 0:
+            region = self.settle(region, links)
+            if region.isEmpty():
                 break
-            pairs, region = self.round(region, known, fan)
-            fresh = self.compared(pairs, classes)
-            self.scratch.drop(pairs)
+            pairs, marked = self.round(region, known, classes, fan)
+            fresh = self.linked(pairs, classes)
             links = self.scratch.write(links.unionByName(fresh.where("linked").select("a", "b")), "links")
-            known = known.unionByName(fresh)
-            fan *= 4
-        for s in self.sets:
-            self.scratch.drop(s)
+            known, region = known.unionByName(fresh), marked
+            self.scratch.drop(pairs)
+            fan *= 8
+        self.scratch.drop(first, bound, *self.sets)
         return members.select("doc_id", "n", "class"), links.distinct()
 
-    def settle(self, region: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
-        """Rows of regions with something to settle, with ``comp`` and ``inside`` (connected with the pivot), and how many are open."""
+    def settle(self, region: DataFrame, links: DataFrame) -> DataFrame:
+        """Rows of regions with something to settle, with ``comp``, ``live`` (a member not connected with the pivot and never a pivot itself) and how many of these are open."""
         group = components(links, self.scratch)
         side = lambda k, v: group.select(F.col("node").alias(k), F.col("component").alias(v))
-        bare = region.select("region", "pivot", "class", "lo", "hi", "done")
-        at = bare.join(side("class", "_c"), "class", "left").join(side("pivot", "_p"), "pivot", "left")
-        at = at.select("region", "pivot", "class", "lo", "hi", "done", F.coalesce("_c", "class").alias("comp"), (F.coalesce("_c", "class") == F.coalesce("_p", "pivot")).alias("inside"))
-        live = "not inside and not done"
-        state = at.groupBy("region", "pivot").agg(F.count("*").alias("members"), F.count_if(F.expr(live)).alias("open"), F.min(F.expr(f"if({live}, lo, null)")).alias("nearest"))
+        at = region.select("region", "pivot", "class", "lo", "hi", "done").join(side("class", "_c"), "class", "left").join(side("pivot", "_p"), "pivot", "left")
+        at = at.withColumn("comp", F.coalesce("_c", "class")).withColumn("live", ~F.col("done") & (F.col("comp") != F.coalesce("_p", "pivot")))
+        state = at.groupBy("region", "pivot").agg(F.count("*").alias("members"), F.count_if("live").alias("open"), F.min(F.when(F.col("live"), F.col("lo"))).alias("nearest"))
         # what lies nearer to the pivot than any open member's window reaches can't link with one
         kept = at.join(state.where("open > 0 and members > 1"), ["region", "pivot"]).where(F.col("hi") >= F.col("nearest") - self.radius - 1e-9)
-        out = self.scratch.write(kept.select("region", "pivot", "class", "lo", "hi", "done", "comp", "inside", "open"), "settled")
-        return out, out.where(live).limit(1).count()
+        return self.scratch.write(kept.select("region", "pivot", "class", "lo", "hi", "done", "comp", "live", "open"), "settled")
 
-    def round(self, region: DataFrame, known: DataFrame, fan: int) -> tuple[DataFrame, DataFrame]:
-        """New pairs of ``fan`` pivots in each region with the members in their windows; the region with those pivots done."""
-        live = region.where("not inside and not done")
-        least = live.groupBy("region", "pivot").agg(F.min("class").alias("least"))
+    def round(self, region: DataFrame, known: DataFrame, classes: DataFrame, fan: int) -> tuple[DataFrame, DataFrame]:
+        """Pairs of ``fan`` pivots in each region with the members in their windows, as far as they may link; the region with those pivots done."""
+        least = region.where("live").groupBy("region", "pivot").agg(F.min("class").alias("least"))
         share = F.pmod(F.xxhash64("class", F.lit(fan)), F.lit(1 << 20)) * F.col("open") < F.lit(fan << 20)
-        chosen = live.join(least, ["region", "pivot"]).where(share | (F.col("class") == F.col("least"))).select("region", "pivot", F.col("class").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("comp").alias("qcomp"))
+        chosen = region.where("live").join(least, ["region", "pivot"]).where(share | (F.col("class") == F.col("least"))).select("region", "pivot", F.col("class").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("comp").alias("qcomp"))
+        sized = classes.select("class", "n", "sketch")
+        x = region.where("not done").select("region", "pivot", "class", "lo", "hi", "comp").join(sized, "class")
+        q = chosen.join(sized.select(F.col("class").alias("q"), F.col("n").alias("qn"), F.col("sketch").alias("qsketch")), "q")
         slack = self.radius + 1e-9
-        met = region.where("not done").join(chosen, ["region", "pivot"]).where(f"comp != qcomp and lo <= qhi + {slack} and qlo <= hi + {slack}")
+        window = f"comp != qcomp and lo <= qhi + {slack} and qlo <= hi + {slack} and {self.fits('n', 'qn')} and {self.close('n', 'qn', apart('sketch', 'qsketch'))}"
+        met = x.alias("x").join(q.alias("q"), (F.col("x.region") == F.col("q.region")) & (F.col("x.pivot") == F.col("q.pivot")) & F.expr(window))
         pairs = met.select(*_pair("q", "class")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        marked = region.join(chosen.select("region", "pivot", F.col("q").alias("class"), F.lit(True).alias("_now")), ["region", "pivot", "class"], "left").withColumn("done", F.col("done") | F.coalesce("_now", F.lit(False))).drop("_now")
+        marked = region.join(chosen.select("region", "pivot", F.col("q").alias("class"), F.lit(True).alias("_now")), ["region", "pivot", "class"], "left").withColumn("done", F.col("done") | F.coalesce("_now", F.lit(False)))
         return self.scratch.write(pairs, "pairs"), marked
 
 
