@@ -17,7 +17,7 @@ their distances to the pivot differ by the radius at most: what no such window r
 it, and are compared with the region's members in their windows, as far as sketches let them link. A pivot that has been compared is done. A region
 ends when nothing in it is left to be settled, so the recursion ends without a limit on rounds, and no pair is left out.
 
-**Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about 2n to 4n bits. Bits in which
+**Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about n to 2n bits. Bits in which
 two sketches differ are at least one different shingle each; a pair whose bound lies beyond the radius is never compared.
 Others are by their sets. Sets are made once, for classes of such pairs only.
 
@@ -41,7 +41,7 @@ from . import columnar as C
 #: Pivots of a region in the first round of recursion.
 FAN = 16
 #: Shingles that the order knows as frequent, at most; documents from which on one is, and from which on a block tells of it; shingles of a block.
-HOT, FREQUENT, REPEATED, BLOCK = 1 << 20, 24, 3, 1 << 21
+HOT, FREQUENT, REPEATED, BLOCK = 1 << 20, 4, 2, 1 << 21
 #: Salts of a frequent shingle's region.
 SALTS = 64
 #: Rows of an Arrow batch of texts, and of pairs of sets.
@@ -81,9 +81,9 @@ def class_keys(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def sketches(sets: np.ndarray, off: np.ndarray) -> pa.Array:
-    """Parity bits of each set in words of 64: a power of two of words, 2n bits or more. Halves of a sketch folded by XOR are the sketch of half its size."""
+    """Parity bits of each set in words of 64: a power of two of words, n bits or more. Halves of a sketch folded by XOR are the sketch of half its size."""
     n = np.diff(off)
-    size = 1 << np.ceil(np.log2(np.maximum(2 * n, 64) / 64)).astype(np.int64)
+    size = 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(size)])
     doc = np.repeat(np.arange(len(n)), n)
     word = base[doc] + ((sets >> np.uint64(6)).astype(np.int64) & (size[doc] - 1))
@@ -305,6 +305,7 @@ class Join:
         # large regions of one pivot share most members and become one
         sizes = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
         merged = first.join(sizes, "h").select(F.when(F.col("size") > FAN, F.lit(0)).otherwise(F.col("h")).alias("region"), "pivot", "class").distinct()
+        merged = self.scratch.write(self.comparable(merged, classes), "members")
         far = known.select("a", "b", F.col("d").alias("lo"), F.col("d").alias("hi")).unionByName(bound.where("not near").select("a", "b", "lo", F.lit(1.0).alias("hi")))
         region = merged.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(far, ["a", "b"]).select("region", "pivot", "class", "lo", "hi", F.lit(False).alias("done"))
         fan = FAN
@@ -318,9 +319,16 @@ class Join:
             known, region = known.unionByName(fresh), marked
             self.scratch.drop(pairs)
             fan *= 8
-        self.scratch.drop(first, bound, *self.sets)
+        self.scratch.drop(first, bound, merged, *self.sets)
         return members.select("doc_id", "n", "class"), links.distinct()
 
+    def comparable(self, region: DataFrame, classes: DataFrame) -> DataFrame:
+        """Members of small regions go if no other member but the pivot has a size that fits theirs: what a link needs."""
+        sized = region.where("region != 0").join(classes.select("class", "n"), "class")
+        by_size = Window.partitionBy("region", "pivot").orderBy("n", "class")
+        near = sized.withColumns({"_before": F.lag("n").over(by_size), "_behind": F.lead("n").over(by_size)}).where(f"{self.fits('n', '_before')} or {self.fits('n', '_behind')}")
+        return near.select(*region.columns).unionByName(region.where("region = 0"))
+
     def settle(self, region: DataFrame, links: DataFrame) -> DataFrame:
         """Rows of regions with something to settle, with ``comp``, ``live`` (a member not connected with the pivot and never a pivot itself) and how many of these are open."""
         group = components(links, self.scratch)
@@ -374,7 +382,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     members, links = run.links()
     component = components(links, run.scratch)
     joined = members.join(component, members["class"] == component["node"], "left").withColumn("c", F.coalesce("component", "class")).drop("node", "component")
-    least = joined.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    least = run.scratch.write(joined.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least")), "least")
     return joined.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("least", "doc_id").alias("component_id"))
 
 
