@@ -1,16 +1,18 @@
 """Language-model scores by stupid backoff, from count tables of the corpus itself.
 
 The words are the ids of the byte-level BPE vocabulary, so the unigram table has a row for each id and no more; it is
-summed by Spark and broadcast (its size is the vocabulary's). Bigrams have no such bound: each block of documents counts its
+summed by Spark and broadcast (its size is the vocabulary's). Bigrams and trigrams have no such bound: each block of documents counts its
 own, the counts go to the partition of their hash, are summed there over all blocks into the count table, and each
-block gets the sums of its bigrams back, joins them with its exploded bigrams and sums the scores of each document.
+block gets the sums of its n-grams back, joins them with its exploded n-grams and sums the scores of each document. Counts
+travel packed, a row for each block and partition, because a row for each n-gram would be several times the text.
 
 A document is scored against the rest of the corpus: its own occurrences are taken off every count. With c' for such a
-count, N' for all ids, V for the vocabulary: a bigram (v, w) that occurs elsewhere scores log10 c'(vw)/c'(v), any other
-log10 alpha (c'(w) + 1) / (N' + V); a first id scores log10 (c'(w) + 1) / (N' + V).
+count, N' for all ids, V for the vocabulary: a trigram (u, v, w) that occurs elsewhere scores log10 c'(uvw)/c'(uv); else a bigram that
+does, log10 alpha c'(vw)/c'(v); any other id, log10 alpha^2 (c'(w) + 1) / (N' + V). A second id begins with its bigram, a first
+one with itself, without the factors of what isn't there.
 
 A block is formed by a hash of the whole row, so it has the same documents whenever it is computed, and its size is bounded
-(``BLOCK`` bytes of text, or one longer document). A bigram that every document holds is one row a block, not a document.
+(``BLOCK`` bytes of text, or one longer document). An n-gram that every document holds is one entry a block, not a document.
 
 Null and empty texts have no ids and a null score. Equal rows are copies of each other, so what they say occurs elsewhere.
 Rows with the same id are scored one by one. Other columns pass through.
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 from . import columnar as C
 from .bpe import codec, vocabulary_path
 
-BLOCK = 4 << 20
-#: Bits of one id in a bigram's key.
-ID_BITS = 20
+BLOCK = 2 << 20
+#: Bits of one id in an n-gram's key; the bit that tells a trigram's key from a bigram's.
+ID_BITS, TRIGRAM = 20, np.uint64(1 << 60)
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -43,12 +45,16 @@ def unsqueeze(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstd.decompress(b[8:]), np.uint8).reshape(8, n).T).view("<u8").ravel() if n else np.zeros(0, np.uint64)
 
 
-def bigrams(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all bigrams, and the text of each."""
-    count = np.maximum(np.diff(off) - 1, 0)
-    at = C.ranges(off[:-1], count)
-    ids = flat.astype(np.uint64)
-    return (ids[at] << np.uint64(ID_BITS)) | ids[at + 1] if len(at) else np.zeros(0, np.uint64), np.repeat(np.arange(len(count)), count)
+def ngrams(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of all bigrams and then all trigrams, the text of each, and the number of bigrams."""
+    ids, keys, docs = flat.astype(np.uint64), [], []
+    for order in (2, 3):
+        at, doc = C.window_starts(off, order)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(order):
+            key = (key << np.uint64(ID_BITS)) | ids[at + k]
+        keys.append(key | TRIGRAM if order == 3 else key), docs.append(doc)
+    return np.concatenate(keys), np.concatenate(docs), len(keys[0])
 
 
 def by_range(keys: np.ndarray, ranges: int) -> list[np.ndarray]:
@@ -59,7 +65,7 @@ def by_range(keys: np.ndarray, ranges: int) -> list[np.ndarray]:
 
 
 def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: float = 0.4) -> DataFrame:
-    """Adds ``n_tokens``, ``n_seen`` (bigrams that occur elsewhere), ``score`` (mean log10 an id; null without ids)."""
+    """Adds ``n_tokens``, ``n_seen`` (trigrams that occur elsewhere), ``score`` (mean log10 an id; null without ids)."""
     path = path or vocabulary_path("byte_bpe_50k.json")
     spark, outer = df.sparkSession, [c for c in df.columns if c not in ("n_tokens", "n_seen", "score")]
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 64)).first()[0] or 0
@@ -70,7 +76,7 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
 
     def count(table: pa.Table) -> pa.Table:
         flat, off = codec(path).encode(table.column(text).combine_chunks())
-        keys, n = np.unique(bigrams(flat, off)[0], return_counts=True)
+        keys, n = np.unique(ngrams(flat, off)[0], return_counts=True)
         block, rows = table.column("_block")[0].as_py(), []
         for r, at in enumerate(by_range(keys, ranges)):
             if len(at):
@@ -95,7 +101,7 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
         if not docs.num_rows:
             return out_schema.empty_table()
         flat, off = codec(path).encode(docs.column(text).combine_chunks())
-        keys, doc = bigrams(flat, off)
+        keys, doc, n_two = ngrams(flat, off)
         distinct, at = np.unique(keys, return_inverse=True)
         table = np.zeros(len(distinct), np.int64)
         parts = by_range(distinct, ranges)
@@ -104,22 +110,23 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
         sizes, one = np.diff(off), held.value
         vocabulary, everything = len(one), int(one.sum())
         whose = np.repeat(np.arange(len(sizes)), sizes)
-        # a document's own counts of its bigrams and ids
-        own = _own(doc, at, len(distinct))
-        mine = _own(whose, flat.astype(np.int64), vocabulary)
-        rest = table[at] - own
-        begin = C.ranges(off[:-1], np.maximum(sizes - 1, 0))
-        context, word = (one[flat[begin]] - mine[begin], one[flat[begin + 1]] - mine[begin + 1]) if len(begin) else (np.zeros(0, np.int64),) * 2
-        left = everything - sizes
-        seen = rest > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            values = np.where(seen, np.log10(np.maximum(rest, 1) / np.maximum(context, 1)), np.log10(alpha * (word + 1) / (left[doc] + vocabulary)))
-        total = np.bincount(doc, values, len(sizes))
-        some = np.flatnonzero(sizes)
-        head = off[:-1][some]
-        total[some] += np.log10((one[flat[head]] - mine[head] + 1) / (left[some] + vocabulary)) if len(some) else 0
+        # counts of the rest of the corpus: a document's own are taken off
+        rest = table[at] - _own(doc, at, len(distinct))
+        alone = one[flat] - _own(whose, flat.astype(np.int64), vocabulary) if len(flat) else np.zeros(0, np.int64)
+        left = (everything - sizes)[whose] + vocabulary
+        two, three = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)  # by the last id of each
+        two[C.ranges(off[:-1] + 1, np.maximum(sizes - 1, 0))] = rest[:n_two]
+        three[C.ranges(off[:-1] + 2, np.maximum(sizes - 2, 0))] = rest[n_two:]
+        place = np.arange(len(flat)) - off[:-1][whose]
+        before = lambda x: np.concatenate([[1], x[:-1]]) if len(x) else x
+        context = np.where(three > 0, before(two), before(alone))
+        steps = np.minimum(place, 2) - np.where(three > 0, 2, np.where(two > 0, 1, 0))  # times that it backs off
+        share = np.where(two > 0, np.where(three > 0, three, two) / np.maximum(context, 1), (alone + 1) / left)
+        values = np.log10(share) + steps * np.log10(alpha)
+        total = np.bincount(whose, values, len(sizes)).astype(np.float64)
+        seen = np.bincount(whose, three > 0, len(sizes)).astype(np.int64)
         means = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
-        return pa.table([*(docs.column(c) for c in outer), pa.array(sizes), pa.array(np.bincount(doc, seen, len(sizes)).astype(np.int64)), means], [*outer, "n_tokens", "n_seen", "score"])
+        return pa.table([*(docs.column(c) for c in outer), pa.array(sizes), pa.array(seen), means], [*outer, "n_tokens", "n_seen", "score"])
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in outer] + ["n_tokens bigint", "n_seen bigint", "score double"])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -148,19 +155,27 @@ def _dense(unigram: DataFrame, path: str) -> np.ndarray:
 
 
 def brute_force(texts: list[str | None], encode, vocabulary: int, alpha: float = 0.4) -> list[tuple[int, int, float | None]]:
-    """(ids, bigrams seen elsewhere, score) of each text. For tests."""
+    """(ids, trigrams seen elsewhere, score) of each text. For tests."""
     import math
     from collections import Counter
 
     ids = [encode(t or "") for t in texts]
-    one, two = Counter(w for d in ids for w in d), Counter(p for d in ids for p in zip(d, d[1:]))
-    everything, out = sum(one.values()), []
+    cut = lambda d, n: [tuple(d[i : i + n]) for i in range(len(d) - n + 1)]
+    counts = {n: Counter(g for d in ids for g in cut(d, n)) for n in (1, 2, 3)}
+    everything, out = sum(counts[1].values()), []
     for d in ids:
-        a, b, left = Counter(d), Counter(zip(d, d[1:])), everything - len(d)
+        own = {n: Counter(cut(d, n)) for n in (1, 2, 3)}
+        c = lambda g: counts[len(g)][g] - own[len(g)][g]
         total, seen = 0.0, 0
-        for i, w in enumerate(d):
-            n = two[d[i - 1], w] - b[d[i - 1], w] if i else 0
-            seen += n > 0
-            total += math.log10(n / (one[d[i - 1]] - a[d[i - 1]])) if n else math.log10((alpha if i else 1) * (one[w] - a[w] + 1) / (left + vocabulary))
+        for i in range(len(d)):
+            most = min(i, 2) + 1
+            for n in range(most, 1, -1):
+                g = tuple(d[i - n + 1 : i + 1])
+                if c(g):
+                    seen += n == 3
+                    total += math.log10(alpha ** (most - n) * c(g) / c(g[:-1]))
+                    break
+            else:
+                total += math.log10(alpha ** (most - 1) * (c((d[i],)) + 1) / (everything - len(d) + vocabulary))
         out.append((len(d), seen, total / len(d) if d else None))
     return out

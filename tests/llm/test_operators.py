@@ -269,7 +269,7 @@ def letters(lang, seed, n):
 def test_language(spark):
     train = spark.createDataFrame([(letters(lang, s, 60), lang) for lang in ("xx", "yy") for s in range(40)] + [(None, "xx"), ("zz", None)], "text string, lang string")
     model = language.fit(train)
-    texts = [letters(lang, s, 20) for lang in ("xx", "yy") for s in range(100, 120)] + [None, "", "123 !!", "ώωψφ ξζθ ώωψφ ξζθ ώψφ θθθ ωψφωψφ ξξξ ωψφ ώξζ"]
+    texts = [letters(lang, s, 20) for lang in ("xx", "yy") for s in range(100, 120)] + [None, "", "123 !! ² ½ Ⅷ ①", "ώωψφ ξζθ ώωψφ ξζθ ώψφ θθθ ωψφωψφ ξξξ ωψφ ώξζ"]
     got = by_id(language.identify(frame(spark, texts).withColumn("score", F.lit("mine")), model))
     assert [got[i].lang_pred for i in range(40)] == ["xx"] * 20 + ["yy"] * 20
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (40, 41, 42))
@@ -313,6 +313,7 @@ def test_toxicity(spark):
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(ngram_scores, "BLOCK", 3000)  # many blocks and ranges
     texts = odd_texts() + near_copies(5, 6)
+    assert ngram_scores.score(frame(spark, [None, "", "a"])).where("score is not null").count() == 1  # no document of two ids
     got = by_id(ngram_scores.score(frame(spark, texts).withColumn("n_seen", F.lit("mine"))))
     want = ngram_scores.brute_force(texts, reference(True), 50257)
     for i, (n, seen, score) in enumerate(want):
