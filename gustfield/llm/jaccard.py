@@ -17,7 +17,7 @@ their distances to the pivot differ by the radius at most: what no such window r
 it, and are compared with the region's members in their windows, as far as sketches let them link. A pivot that has been compared is done. A region
 ends when nothing in it is left to be settled, so the recursion ends without a limit on rounds, and no pair is left out.
 
-**Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about n to 2n bits. Bits in which
+**Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about n to 2n bits (2n to 4n for small sets). Bits in which
 two sketches differ are at least one different shingle each; a pair whose bound lies beyond the radius is never compared.
 Others are by their sets. Sets are made once, for classes of such pairs only.
 
@@ -81,9 +81,9 @@ def class_keys(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def sketches(sets: np.ndarray, off: np.ndarray) -> pa.Array:
-    """Parity bits of each set in words of 64: a power of two of words, n bits or more. Halves of a sketch folded by XOR are the sketch of half its size."""
+    """Parity bits of each set in words of 64: a power of two of words, for n bits or more (2n for small sets). Halves of a sketch folded by XOR are the sketch of half its size."""
     n = np.diff(off)
-    size = 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+    size = 1 << np.ceil(np.log2(np.maximum(np.where(n <= 512, 2 * n, n), 64) / 64)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(size)])
     doc = np.repeat(np.arange(len(n)), n)
     word = base[doc] + ((sets >> np.uint64(6)).astype(np.int64) & (size[doc] - 1))
@@ -217,10 +217,10 @@ class Join:
             parts = self.scratch.write(least.where("salt is not null or class != pivot"), "parts")
         # the pivot of a salted region is the least of its parts'
         salted = parts.where("salt is not null")
-        pivots = salted.groupBy("h").agg(F.min("pivot").alias("least"))
+        pivots = self.scratch.write(salted.groupBy("h").agg(F.min("pivot").alias("least")), "pivots")
         whole = salted.join(pivots, "h").select("h", F.col("least").alias("pivot"), "class").where("class != pivot")
         out = self.scratch.write(parts.where("salt is null").select("h", "pivot", "class").unionByName(whole).distinct(), "regions")
-        self.scratch.drop(parts)
+        self.scratch.drop(parts, pivots)
         return out
 
     # -- distances -------------------------------------------------------------------------------------------------------
