@@ -9,7 +9,7 @@ white space. The gain of a window is the ordinary length less the toxic length;
 logistic curve that was fitted on training rows which the dictionaries haven't seen.
 
 All is learned from a bounded sample of labelled rows (``sample_docs`` toxic rows and four times as many others, chosen
-by a hash of the text). Null and empty texts score as texts without gain. Null labels aren't learned from. With rows of
+by a hash of the id). Null and empty texts score as texts without gain. Null labels aren't learned from. With rows of
 one label only, or where no beginning of words tells, the score is 0.5 everywhere. Copies have equal scores. Whole texts are scored; other columns pass through.
 """
 
@@ -91,7 +91,7 @@ class Model:
         # whole words make longer matches; the commonest stand last, where references are shortest
         whole = Counter(w for _, w in both[0] if w.startswith(tuple(telling))) if telling else Counter()
         own = [w for w, _ in sorted(whole.items(), key=lambda x: (x[1], x[0]))[-WORDS:]]
-        samples = [w for t in sides[1][:2000] for w in cut(t, 256)[:4]]
+        samples = [w for t in sides[1] for w in cut(t, 256)]
         self.plain = _trained(samples, DICT_BYTES) if samples else b""
         self.toxic = b" ".join([b"", *own, *self.words, self.plain])
         self.curve = None
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     own = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_d")).agg(F.max(label).alias("_y"))
     n = {r[0]: r[1] for r in own.groupBy("_y").count().toLocalIterator()}
     share = F.when(F.col("_y") == 1, min(1.0, sample_docs / max(n.get(1, 0), 1))).otherwise(min(1.0, 4 * sample_docs / max(n.get(0, 0), 1)))
-    chosen_ids = own.where(F.pmod(F.xxhash64("_d"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen_ids = own.where(F.pmod(F.xxhash64("_d"), F.lit(1 << 40)) < share * float(1 << 40))
     rows = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen_ids), "_d").select("_t", "_y")
     sides: tuple[set, set] = (set(), set())
     for r in rows.toLocalIterator():
