@@ -6,7 +6,8 @@ occurrence of a window is hit. A hash that hits is verified against the window's
 
 The set is broadcast in blocks of items whose texts hold about ``BLOCK_BYTES``, however many items there are: the
 size is checked first, and a larger benchmark is searched block by block, each against all documents, and the hits
-of a document are united. So the memory for a block never grows with the benchmark.
+of a document are united. What a block has found is written before the next one's turn, so that one block's set is in memory
+at a time, however large the benchmark is.
 
 Null texts have no words; documents and items without words hit nothing. Copies have equal results. Repeated items
 all count. Rows with the same document id are handled one by one. Other columns pass through.
@@ -106,8 +107,11 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     """Adds ``n_words``, ``n_hit``, ``items`` (sorted ids, as text, of items with occurring windows) and the hit stretches
     of the text as ``hit_starts`` and ``hit_ends`` (arrays, byte offsets in UTF-8). Columns of these names are replaced.
     """
-    now = docs
+    now, held = docs, None
     for k, (ids, texts) in enumerate(_blocks(benchmark, item_id, item_text)):
+        if held is not None:
+            now = C.written(now, "searched")
+            held.destroy()
         held = docs.sparkSession.sparkContext.broadcast((ids, texts))
 
         def fn(batch: pa.RecordBatch, held=held, later=k > 0) -> list[pa.Array]:

@@ -32,9 +32,9 @@ MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 
 
 def normal(text: str | None) -> str:
-    """Empty if the text has no letter."""
+    """Empty if the text has no letter; signs that only count as numbers (superscripts, fractions, numerals) are none."""
     out = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    return f" {out} " if out else ""
+    return f" {out} " if any(map(str.isalpha, out)) else ""
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +181,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", sample_docs: in
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("l") == name, F.lit(min(1.0, sample_docs / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = known.where(F.pmod(F.xxhash64("t"), F.lit(1 << 40)) < share * float(1 << 40))
     samples: dict[str, list[str]] = {}
     for r in chosen.toLocalIterator():
         if form := normal(r["t"]):

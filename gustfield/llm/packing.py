@@ -23,6 +23,8 @@ from . import columnar as C
 from .bpe import codec, vocabulary_path
 
 BLOCK_IDS = 1 << 18
+#: Text bytes of one shard, about.
+SHARD_BYTES = 256 << 20
 SCHEMA = "shard int, block bigint, first bigint, n_ids bigint, width int, doc_ids array<bigint>, doc_starts array<bigint>, payload binary"
 
 
@@ -52,9 +54,12 @@ def unpack(payload: bytes, width: int, start: int = 0, stop: int | None = None)
 
 
 def write_packed(df: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int | None = 2, shards: int | None = None) -> None:
-    """Writes the folder ``out``. shards: their number; by default one for each partition of a shuffle."""
+    """Writes the folder ``out``. shards: their number; by default one for each SHARD_BYTES of text, and as many as a shuffle has partitions at least."""
     path = path or vocabulary_path("byte_bpe_50k.json")
-    n = shards or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not shards:
+        size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 64)).first()[0] or 0
+        shards = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // SHARD_BYTES))
+    n = shards
     ranged = df.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).repartitionByRange(n, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first())
 
     def run(batches):

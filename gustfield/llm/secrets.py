@@ -53,7 +53,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 2000, random_s
     spark = docs.sparkSession
     total = docs.count()
     share = min(1.0, sample_docs / total) if total else 1.0
-    own = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    own = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 40)) < F.lit(share * (1 << 40))))
     words = own.select(F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.col(text), RUN, " "), F.lit("[A-Za-z_]{8,}"), F.lit(0)))).alias("s"))
     words = words.unionByName(spark.range(20).select(F.explode(F.array(*map(F.lit, PROGRAM_WORDS))).alias("s")))
     digest = spark.range(random_strings).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
