@@ -148,8 +148,8 @@ class Step:
         return pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *made], [*kept, *self.adds])
 
 
-def apply(df: DataFrame, by: str, *steps: Step) -> DataFrame:
-    """Run ``steps`` one after the other in a single Python worker, over slices of whole rows cut by the bytes of column ``by``."""
+def apply(df: DataFrame, by: str, *steps: Step, limit: int | None = None) -> DataFrame:
+    """Run ``steps`` one after the other in a single Python worker, over slices of whole rows cut by the bytes of column ``by`` (``limit`` bytes, SLICE_BYTES by default)."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     names = df.columns
     for step in steps:
@@ -157,7 +157,7 @@ def apply(df: DataFrame, by: str, *steps: Step) -> DataFrame:
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
     def run(batches):
-        for piece in slices(batches, by):
+        for piece in slices(batches, by, limit):
             for step in steps:
                 piece = step(piece)
             yield piece

@@ -23,7 +23,7 @@ Others are by their sets. Sets are made once, for classes of such pairs only.
 
 Equality of shingles and classes is that of 64-bit hashes. Nothing is collected but the ``HOT`` most frequent shingles (for the
 order), and what is broadcast are they and bit maps of a fixed size. A shingle counts as frequent if blocks of documents repeat it. Regions
-of frequent shingles are salted by class. Links are between classes and so many as connect what the definition connects.
+of frequent shingles are salted by class. Links are found between classes, as many as connect what the definition connects.
 
 Null texts and texts without words have no shingles and link with nothing; texts of fewer words than a shingle have
 the whole sequence as one. Equal rows are copies of each other; rows with a null id count as documents. Whole texts are used. An empty table gives no rows.
@@ -292,8 +292,8 @@ class Join:
 
     # -- windows and recursion -------------------------------------------------------------------------------------------
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Members (doc_id, n, class), and links (a, b) between classes that connect what the definition connects."""
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """Members (doc_id, n, class), and the component of each class that links with another (node, component)."""
         scanned = self.scan()
         members = scanned.where("h is null").select("doc_id", "n", "class", "sketch")
         first = self.regions(self.frequent(scanned))
@@ -301,7 +301,7 @@ class Join:
         classes = self.scratch.write(members.where("class is not null").join(ends, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
         bound = self.scratch.write(self.bounds(first.select(*_pair("pivot", "class")).distinct(), classes), "bounds")
         known = self.linked(bound.where("near").select("a", "b"), classes)
-        links = known.where("linked").select("a", "b")
+        group = components(known.where("linked").select("a", "b"), self.scratch)
         # large regions of one pivot share most members and become one
         sizes = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
         merged = first.join(sizes, "h").select(F.when(F.col("size") > FAN, F.lit(0)).otherwise(F.col("h")).alias("region"), "pivot", "class").distinct()
@@ -310,17 +310,31 @@ class Join:
         region = merged.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(far, ["a", "b"]).select("region", "pivot", "class", "lo", "hi", F.lit(False).alias("done"))
         fan = FAN
         while True:
-            region = self.settle(region, links)
+            region = self.settle(region, group)
             if region.isEmpty():
                 break
             pairs, marked = self.round(region, known, classes, fan)
+            fan *= 8
+            if pairs.isEmpty():
+                region = marked
+                continue
             fresh = self.linked(pairs, classes)
-            links = self.scratch.write(links.unionByName(fresh.where("linked").select("a", "b")), "links")
+            group = self.joined(group, fresh.where("linked").select("a", "b"))
             known, region = known.unionByName(fresh), marked
             self.scratch.drop(pairs)
-            fan *= 8
         self.scratch.drop(first, bound, merged, *self.sets)
-        return members.select("doc_id", "n", "class"), links.distinct()
+        return members.select("doc_id", "n", "class"), group
+
+    def joined(self, group: DataFrame, links: DataFrame) -> DataFrame:
+        """``group`` with more links: components are what is joined, so that only new links move."""
+        side = lambda k: group.select(F.col("node").alias(k), F.col("component").alias(f"_{k}"))
+        over = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a != b").distinct()
+        over = self.scratch.write(over, "over")
+        more = components(over, self.scratch).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        nodes = group.unionByName(_both(links, "a", "b").select(F.col("class").alias("node"), F.col("class").alias("component")).join(group.select("node"), "node", "left_anti"))
+        out = self.scratch.write(nodes.join(more, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "groups")
+        self.scratch.drop(over)
+        return out
 
     def comparable(self, region: DataFrame, classes: DataFrame) -> DataFrame:
         """Members of small regions go if no other member but the pivot has a size that fits theirs: what a link needs."""
@@ -329,9 +343,8 @@ class Join:
         near = sized.withColumns({"_before": F.lag("n").over(by_size), "_behind": F.lead("n").over(by_size)}).where(f"{self.fits('n', '_before')} or {self.fits('n', '_behind')}")
         return near.select(*region.columns).unionByName(region.where("region = 0"))
 
-    def settle(self, region: DataFrame, links: DataFrame) -> DataFrame:
+    def settle(self, region: DataFrame, group: DataFrame) -> DataFrame:
         """Rows of regions with something to settle, with ``comp``, ``live`` (a member not connected with the pivot and never a pivot itself) and how many of these are open."""
-        group = components(links, self.scratch)
         side = lambda k, v: group.select(F.col("node").alias(k), F.col("component").alias(v))
         at = region.select("region", "pivot", "class", "lo", "hi", "done").join(side("class", "_c"), "class", "left").join(side("pivot", "_p"), "pivot", "left")
         at = at.withColumn("comp", F.coalesce("_c", "class")).withColumn("live", ~F.col("done") & (F.col("comp") != F.coalesce("_p", "pivot")))
@@ -379,8 +392,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     ``docs`` is read several times, so it must be a table or a view of one. A component of rows with null ids alone has a null id.
     """
     run = Join(docs, doc_id, text, width, percent)
-    members, links = run.links()
-    component = components(links, run.scratch)
+    members, component = run.groups()
     joined = members.join(component, members["class"] == component["node"], "left").withColumn("c", F.coalesce("component", "class")).drop("node", "component")
     least = run.scratch.write(joined.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least")), "least")
     return joined.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.coalesce("least", "doc_id").alias("component_id"))

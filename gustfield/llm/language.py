@@ -26,6 +26,8 @@ ORDER = 4
 #: Parts of the sample, each measured by a model of the others for the rejection threshold.
 FOLDS = 3
 DISCOUNT = 0.75
+#: Text bytes that are scored at a time: each character has a row of values.
+PIECE = 1 << 18
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
 MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -206,4 +208,4 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         rows = held.value.predict(C.column(batch, text).to_pylist())
         return [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.bool_())]
 
-    return C.apply(df, text, C.Step(fn, ADDED))
+    return C.apply(df, text, C.Step(fn, ADDED), limit=PIECE)
