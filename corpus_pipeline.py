@@ -16,7 +16,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models recognise; what they reject (no letters, or unlike every language) goes."""
+    """Documents whose language the models recognise; what they reject (no letters, or unlike every language) goes.
+
+    Whole texts pass through Python here and in later stages, so that Arrow batches of this session become smaller.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = language.fit(docs)
     return language.identify(docs, model).where("not rejected").select(*COLUMNS)
 
