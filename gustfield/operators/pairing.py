@@ -72,8 +72,6 @@ def same_time(a: DataFrame, b: DataFrame, by: list[str], values: list[str]) -> D
     return x.join(y, by, "full_outer").withColumn("side", F.when(F.col("b").isNull(), "a").when(F.col("a").isNull(), "b").otherwise("both"))
 
 
-#: Rows up to which the smaller side of a spatial search is broadcast.
-BROADCAST_ROWS = 100_000
 
 
 def nearest_place(points: DataFrame, places: DataFrame, key: str, distance: Column, order: str, keep: list[str], max_distance: float, cell: float) -> DataFrame:

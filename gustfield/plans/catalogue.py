@@ -257,21 +257,21 @@ LATEST = f"SELECT station, time, speed, id, CASE WHEN speed > 12 THEN 'implausib
 
 
 @query(f"""SELECT k.station, r.time AS "time", r.speed, CASE WHEN r.station IS NULL THEN coalesce(w.code, 'no-report') END AS reason FROM (SELECT DISTINCT user_id % 30 AS station FROM events) k
- LEFT JOIN (SELECT * FROM ({LATEST}) WHERE code IS NULL AND station % 7 <> 3 QUALIFY row_number() OVER (PARTITION BY station ORDER BY time DESC, id) = 1) r USING (station)
+ LEFT JOIN (SELECT * FROM ({LATEST}) WHERE code IS NULL QUALIFY row_number() OVER (PARTITION BY station ORDER BY time DESC, id) = 1) r USING (station)
  LEFT JOIN (SELECT station, arg_max(code, id) AS code FROM ({LATEST}) WHERE code IS NOT NULL GROUP BY station) w USING (station)""", "speed")
 def stations_latest_with_reason(spark, sf):
     o = P.wind(spark, sf, OBS).withColumn("code", F.when(F.col("speed") > 12, "implausible"))
     keys = P.table(spark, sf, "events").select((F.col("user_id") % 30).alias("station")).distinct()
-    return sequences.latest_or_reason(keys, rejects.kept(o).where("station % 7 <> 3"), rejects.rejected(o), "station", "time", "id", ["speed"]).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    return sequences.latest_or_reason(keys, rejects.kept(o), rejects.rejected(o), "station", "time", "id", ["speed"]).withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
-@query(f"""SELECT a.id, b.id AS place, {HAV.replace('6371008.8', '6371.0').format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS distance FROM {P.PLACES_SQL} a JOIN {P.PLACES_SQL} b ON a.id <> b.id AND a.id % 2 = 0 AND b.id % 2 = 1
- WHERE distance <= 20 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY floor(distance * 1e6 + 0.5), b.id) = 1""", "distance")
+@query(f"""SELECT p.id, place, distance FROM {P.PLACES_SQL} p LEFT JOIN (SELECT a.id, b.id AS place, {HAV.replace('6371008.8', '6371.0').format(a='a.lat', b='b.lat', c='a.lon', d='b.lon')} AS distance FROM {P.PLACES_SQL} a JOIN {P.PLACES_SQL} b ON a.id <> b.id
+ WHERE distance <= 20 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY floor(distance * 1e6 + 0.5), b.id) = 1) q USING (id)""", "distance")
 def nearest_station_crosswalk(spark, sf):
     p = P.places(spark, sf)
-    b = p.where("id % 2 = 1").select(F.col("id").alias("place"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    d = A.round_up(G.haversine("lat", "lon", "p_lat", "p_lon", G.EARTH_KM), 6)
-    return pairing.nearest_place(p.where("id % 2 = 0"), b, "id", d, "place", ["place"], 20.0, 0.3).where("place is not null").select("id", "place", "distance")
+    b = p.select(F.col("id").alias("place"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    d = F.when(F.col("id") != F.col("place"), A.round_up(G.haversine("lat", "lon", "p_lat", "p_lon", G.EARTH_KM), 6))
+    return pairing.nearest_place(p, b, "id", d, "place", ["place"], 20.0, 0.3).select("id", "place", "distance")
 
 
 @query(f"SELECT id, CASE WHEN abs(elevation - (1500 + (id % 13) * 40)) > 50 THEN 'elevation-disagrees' END AS code FROM {P.PLACES_SQL}")
@@ -317,9 +317,9 @@ def crossing_level(spark, sf):
 
 
 @query(f"""SELECT station, minute, sqrt(e * e + n * n) AS speed, fmod(degrees(atan2(-e, -n)) + 360, 360) AS from_deg, sqrt(e * e + n * n) <= {minutes.STEADY} AS calm FROM (SELECT station, minute, avg(-speed * sin(radians(from_deg))) OVER w AS e, avg(-speed * cos(radians(from_deg))) OVER w AS n, count(*) OVER w AS k
- FROM {P.MINUTES_SQL} WHERE minute % 41 <> 7 WINDOW w AS (PARTITION BY station ORDER BY minute RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE k = 10""", "speed from_deg", places=4)
+ FROM {P.MINUTES_SQL} WINDOW w AS (PARTITION BY station ORDER BY minute RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE k = 10""", "speed from_deg", places=4)
 def block_mean(spark, sf):
-    return minutes.block_mean(P.minutes(spark, sf).where("minute % 41 <> 7"), 10)
+    return minutes.block_mean(P.minutes(spark, sf), 10)
 
 
 @query(f"""SELECT CAST(b.bin AS BIGINT) AS bin, count(lag) AS n, sqrt(avg(pow(speed2 - speed, 2))) AS rms, avg((speed + speed2) / 2) AS mean_speed, CASE WHEN avg((speed + speed2) / 2) > 0 THEN sqrt(avg(pow(speed2 - speed, 2))) / avg((speed + speed2) / 2) END AS relative

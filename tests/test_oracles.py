@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import gustfield.plans.comparisons  # noqa: F401  registers its queries
 from gustfield.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
