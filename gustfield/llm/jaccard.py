@@ -175,7 +175,7 @@ class Join:
                 yield from counted()
 
         with C.small_batches(self.spark, TEXTS):
-            return self.scratch.write(self.docs.mapInArrow(fn, schema), "scan")
+            return self.scratch.write(self.docs.mapInArrow(C.tidy(fn), schema), "scan")
 
     def frequent(self, scanned: DataFrame) -> Frequent:
         sums = scanned.where("h is not null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
@@ -212,7 +212,7 @@ class Join:
 
         shared = Window.partitionBy("h", "salt").orderBy("class")
         with C.small_batches(self.spark, TEXTS):
-            rows = self.docs.where(F.octet_length("text") > 0).mapInArrow(fn, "h bigint, salt smallint, class bigint")
+            rows = self.docs.where(F.octet_length("text") > 0).mapInArrow(C.tidy(fn), "h bigint, salt smallint, class bigint")
             least = rows.withColumn("pivot", F.first("class").over(shared))
             parts = self.scratch.write(least.where("salt is not null or class != pivot"), "parts")
         # the pivot of a salted region is the least of its parts'
@@ -251,7 +251,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(class_keys(sets, off)), pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())], ["class", "set"])
 
         with C.small_batches(self.spark, TEXTS):
-            made = texts.mapInArrow(fn, "class bigint, set binary").join(wanted.select("class"), "class", "left_semi")
+            made = texts.mapInArrow(C.tidy(fn), "class bigint, set binary").join(wanted.select("class"), "class", "left_semi")
             self.sets.append(self.scratch.write(made.dropDuplicates(["class"]), "sets"))
 
     def all_sets(self) -> DataFrame:
@@ -275,7 +275,7 @@ class Join:
                 s, j = np.array(shared, np.int64), np.array(joint, np.int64)
                 yield pa.RecordBatch.from_arrays([C.column(batch, "a"), C.column(batch, "b"), pa.array(100 * s >= percent * j), pa.array(1 - s / np.maximum(j, 1))], ["a", "b", "linked", "d"])
 
-        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(fn, "a bigint, b bigint, linked boolean, d double")
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInArrow(C.tidy(fn), "a bigint, b bigint, linked boolean, d double")
 
     def linked(self, close: DataFrame, classes: DataFrame) -> DataFrame:
         """a, b, linked, d of distinct pairs; the sets that no round before has made are made."""
