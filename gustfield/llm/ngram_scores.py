@@ -58,10 +58,28 @@ def ngrams(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, i
 
 
 def by_range(keys: np.ndarray, ranges: int) -> list[np.ndarray]:
-    """Positions of sorted keys by the range of their hash, in order."""
-    r = (C.mix(keys, 31) % np.uint64(ranges)).astype(np.int64)
-    order = np.argsort(r, kind="stable")
-    return np.split(order, np.searchsorted(r[order], np.arange(1, ranges)))
+    """Positions of sorted keys by range, in order. A range holds the keys of some first ids (and some of the second ones, so that
+    a frequent id is split): they lie close together and pack well."""
+    at = np.where(keys >= TRIGRAM, np.uint64(ID_BITS), np.uint64(0))
+    first, second = (keys & ~TRIGRAM) >> (at + np.uint64(ID_BITS)), (keys >> at) & np.uint64(15)
+    r = C.mix(first << np.uint64(4) | second, 31) % np.uint64(ranges)
+    order = np.argsort(r.astype(np.uint16 if ranges <= 1 << 16 else np.int64), kind="stable")
+    return np.split(order, np.searchsorted(r[order], np.arange(1, ranges).astype(np.uint64)))
+
+
+def runs(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts the keys; which of the sorted ones are new; how often each sorted one's document holds its key.
+
+    Documents must not decrease among equal keys.
+    """
+    order = np.argsort(keys, kind="stable")
+    key, own = keys[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    begin = new.copy()
+    begin[1:] |= own[1:] != own[:-1]
+    length = np.diff(np.append(np.flatnonzero(begin), len(key)))
+    return order, new, np.repeat(length, length)
 
 
 def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: float = 0.4) -> DataFrame:
@@ -102,7 +120,8 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
             return out_schema.empty_table()
         flat, off = codec(path).encode(docs.column(text).combine_chunks())
         keys, doc, n_two = ngrams(flat, off)
-        distinct, at = np.unique(keys, return_inverse=True)
+        order, new, own = runs(keys, doc)
+        distinct = keys[order[new]]
         table = np.zeros(len(distinct), np.int64)
         parts = by_range(distinct, ranges)
         for r, n in zip(found.column("r").to_pylist(), found.column("n").to_pylist()):
@@ -111,8 +130,11 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
         vocabulary, everything = len(one), int(one.sum())
         whose = np.repeat(np.arange(len(sizes)), sizes)
         # counts of the rest of the corpus: a document's own are taken off
-        rest = table[at] - _own(doc, at, len(distinct))
-        alone = one[flat] - _own(whose, flat.astype(np.int64), vocabulary) if len(flat) else np.zeros(0, np.int64)
+        rest = np.zeros(len(keys), np.int64)
+        rest[order] = table[np.cumsum(new) - 1] - own
+        order, _, own = runs(flat.astype(np.uint16 if vocabulary <= 1 << 16 else np.int64), whose)
+        alone = np.zeros(len(flat), np.int64)
+        alone[order] = one[flat[order]] - own
         left = (everything - sizes)[whose] + vocabulary
         two, three = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)  # by the last id of each
         two[C.ranges(off[:-1] + 1, np.maximum(sizes - 1, 0))] = rest[:n_two]
@@ -140,12 +162,6 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
 COUNTED = pa.schema([("r", pa.int32()), ("_block", pa.int64()), ("k", pa.binary()), ("n", pa.binary()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
-def _own(doc: np.ndarray, item: np.ndarray, kinds: int) -> np.ndarray:
-    """How often each entry's item occurs in its document."""
-    _, back, n = np.unique(doc.astype(np.int64) * kinds + item, return_inverse=True, return_counts=True)
-    return n[back]
-
-
 def _dense(unigram: DataFrame, path: str) -> np.ndarray:
     """Counts by id; no more rows than the vocabulary has ids."""
     out = np.zeros(codec(path).tok.get_vocab_size(), np.int64)
