@@ -17,10 +17,20 @@ def one_a_minute(records: DataFrame, seq: str) -> DataFrame:
 
 
 def lagged(records: DataFrame, lags: list[int]) -> DataFrame:
-    """Each record with the one ``lag`` minutes later, where there is one: an equi-join after replicating one side to the lags asked for."""
-    a = records.select("station", "minute", "speed", "from_deg", F.explode(F.array(*map(F.lit, lags))).alias("lag")).withColumn("at", F.col("minute") + F.col("lag"))
+    """Each record with the one ``lag`` minutes later, where there is one.
+
+    Both sides are dealt by (station, bucket as wide as the longest lag), the earlier record to its bucket and the next: what is
+    shuffled is twice the one side, whatever the number of lags, and a busy station spreads over its buckets. A single lag is an equi-join.
+    """
+    a = records.select("station", "minute", "speed", "from_deg")
     b = records.select("station", F.col("minute").alias("at"), F.col("speed").alias("speed2"), F.col("from_deg").alias("from2"))
-    return a.join(b, ["station", "at"])
+    if len(lags) == 1:
+        return a.withColumns({"lag": F.lit(lags[0]), "at": F.col("minute") + lags[0]}).join(b, ["station", "at"])
+    low, width = min(lags), max(lags) - min(lags) + 1
+    first = F.floor((F.col("minute") + low) / width)
+    met = a.withColumn("_b", F.explode(F.array(first, first + 1))).join(b.withColumn("_b", F.floor(F.col("at") / width)), ["station", "_b"])
+    lag = F.col("at") - F.col("minute")
+    return met.where(lag.between(low, max(lags)) if len(set(lags)) == width else lag.isin(lags)).withColumn("lag", lag).drop("_b")
 
 
 def decorrelation(records: DataFrame, max_lag: int = 90, by: list[str] | None = None) -> DataFrame:
