@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, jaccard, language, media, ngram_scores, packing, secrets, substrings, toxicity
 from .columnar import Step, apply, crc32_mod, shared_dir, table
 from .digests import digest
+from .oracles import ORACLES  # noqa: F401  registered with the queries
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +66,3 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_media_jpeg": op3_media_jpeg, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_language": op6_language, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_lm_scores": op10_lm_scores}
-
-ORACLES: dict[str, str] = {}
