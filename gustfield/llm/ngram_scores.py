@@ -85,17 +85,18 @@ def runs(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: float = 0.4) -> DataFrame:
     """Adds ``n_tokens``, ``n_seen`` (trigrams that occur elsewhere), ``score`` (mean log10 an id; null without ids)."""
     path = path or vocabulary_path("byte_bpe_50k.json")
-    spark, outer = df.sparkSession, [c for c in df.columns if c not in ("n_tokens", "n_seen", "score")]
+    spark, outer = df.sparkSession, [c for c in df.columns if c.lower() not in ("n_tokens", "n_seen", "score")]
+    at_block = C.fresh(df, "_block")
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 64)).first()[0] or 0
     blocks = -(-int(size) // BLOCK) or 1
     ranges = max(1, blocks // 4)
     key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in outer if df.schema[c].dataType.typeName() not in ("map", "variant")]), F.lit(blocks))
-    dealt = df.select(*[f"`{c}`" for c in outer], key.alias("_block"))
+    dealt = df.select(*[f"`{c}`" for c in outer], key.alias(at_block))
 
     def count(table: pa.Table) -> pa.Table:
         flat, off = codec(path).encode(table.column(text).combine_chunks())
         keys, n = np.unique(ngrams(flat, off)[0], return_counts=True)
-        block, rows = table.column("_block")[0].as_py(), []
+        block, rows = table.column(at_block)[0].as_py(), []
         for r, at in enumerate(by_range(keys, ranges)):
             if len(at):
                 rows.append({"r": r, "_block": block, "k": squeeze(np.diff(keys[at], prepend=np.uint64(0))), "n": squeeze(n[at]), "ids": None, "counts": None})
@@ -110,7 +111,7 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         return pa.table({"r": table.column("r"), "_block": table.column("_block"), "n": pa.array([squeeze(sums[b]) for b in np.split(back, cuts)], pa.binary())})
 
-    partial = C.written(dealt.groupBy("_block").applyInArrow(count, "r int, _block bigint, k binary, n binary, ids array<int>, counts array<bigint>"), "ngrams")
+    partial = C.written(dealt.groupBy(at_block).applyInArrow(count, "r int, _block bigint, k binary, n binary, ids array<int>, counts array<bigint>"), "ngrams")
     unigram = partial.where("r = -1").select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n"))
     held = spark.sparkContext.broadcast(_dense(unigram, path))
     sums = partial.where("r >= 0").select("r", "_block", "k", "n").groupBy("r").applyInArrow(total, "r int, _block bigint, n binary")
@@ -156,7 +157,7 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
 
     full = StructType([df.schema[c] for c in outer])
     out_schema = to_arrow_schema(full.add("n_tokens", LongType()).add("n_seen", LongType()).add("score", DoubleType()))
-    return dealt.groupBy("_block").cogroup(sums.groupBy("_block")).applyInArrow(join, schema)
+    return dealt.groupBy(at_block).cogroup(sums.groupBy("_block")).applyInArrow(join, schema)
 
 
 COUNTED = pa.schema([("r", pa.int32()), ("_block", pa.int64()), ("k", pa.binary()), ("n", pa.binary()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])

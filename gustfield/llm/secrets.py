@@ -95,10 +95,12 @@ ADDED = ["n_assign", "n_access", "n_hex", "n_random", "base", "spans"]
 
 def scan(df: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     """Adds counts of the kinds, ``base`` and ``spans`` (base and random): arrays of (start, kind, end), by start, then kind in the order of KINDS."""
-    keep = [f"`{c}`" for c in df.columns if c not in ADDED]
+    # the input's columns get names of their own on the way, which nothing here uses
+    outer = [c for c in df.columns if c.lower() not in ADDED]
+    keep = [f"in{i}" for i in range(len(outer))]
     ratio = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    now = df.select(*keep, body.alias("_t"))
+    now = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(outer, keep)], body.alias("_t"))
     now = now.select(*keep, "_t", _found(F.col("_t"), ASSIGN).alias("_a"), _found(F.col("_t"), ACCESS).alias("_k"), _found(F.col("_t"), HEX).alias("_h"), _found(F.col("_t"), RUN).alias("_r"))
     now = now.withColumn("_v", F.when(F.col("_a").isNotNull(), F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2))))
     # log-likelihood ratio of each run: over its symbols, two by two
@@ -109,7 +111,7 @@ def scan(df: DataFrame, ratios: list[float], text: str = "text") -> DataFrame:
     likely = F.expr(f"filter(_ra, (r, i) -> _l[i] >= {LEAST_TOTAL} and _l[i] >= {LEAST_PER_CHAR} * (r.end - r.start) and not exists(_base, b -> b.start < r.end and r.start < b.end))")
     now = now.withColumn("_more", F.when(F.size("_ra") > 0, likely).otherwise(F.expr(NO_SPANS)))
     count = lambda k, name: F.expr(f"cast(size(filter({name}, x -> x.kind = {k})) as bigint)")
-    return now.select(*keep, count(0, "_base").alias("n_assign"), count(1, "_base").alias("n_access"), count(2, "_base").alias("n_hex"), F.size("_more").cast("bigint").alias("n_random"), F.col("_base").alias("base"), F.array_sort(F.concat("_base", "_more")).alias("spans"))
+    return now.select(*[F.col(k).alias(c) for c, k in zip(outer, keep)], count(0, "_base").alias("n_assign"), count(1, "_base").alias("n_access"), count(2, "_base").alias("n_hex"), F.size("_more").cast("bigint").alias("n_random"), F.col("_base").alias("base"), F.array_sort(F.concat("_base", "_more")).alias("spans"))
 
 
 def spelled(spans: str) -> Column:

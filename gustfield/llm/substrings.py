@@ -141,13 +141,14 @@ def digest_repeats(df: DataFrame, text: str = "text", width: int = 35) -> DataFr
 
 
 def _cut(df: DataFrame, text: str, width: int, digest: bool) -> DataFrame:
-    keyed, cover = repeated_spans(df, text, width)
-    joined = keyed.join(cover, "_row", "left").drop("_row")
+    key, held = C.fresh(df, "_row"), C.fresh(df, "cover")
+    keyed, cover = repeated_spans(df, text, width, key)
+    joined = keyed.join(cover.withColumnRenamed("cover", held), key, "left").drop(key)
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
         data, off = C.raw(C.column(batch, text))
         starts, ends, first = C.word_spans(data, off, C.ws_word_bytes())
-        lists = C.column(batch, "cover")
+        lists = C.column(batch, held)
         each = lists.flatten()
         own = np.repeat(np.arange(batch.num_rows), np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))
         start, n = (each.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
@@ -179,7 +180,7 @@ def _cut(df: DataFrame, text: str, width: int, digest: bool) -> DataFrame:
         return [*out, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([p.decode() for p in parts], pa.string())]
 
     adds = {"n_words": "bigint", "n_removed": "bigint"} | ({"kept_sha256": "string"} if digest else {"spans": "array<array<bigint>>", "kept": "string"})
-    return C.apply(joined, text, C.Step(fn, adds, ("cover", text) if digest else ("cover",)))
+    return C.apply(joined, text, C.Step(fn, adds, (held, text) if digest else (held,)))
 
 
 def brute_force(texts: list[str | None], width: int = 35) -> list[tuple[int, int, str]]:
