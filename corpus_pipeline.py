@@ -1,7 +1,10 @@
 """A corpus pipeline: language ID, one document of each near-duplicate group, benchmark decontamination, secret redaction, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents; other columns are left out.
+
+Null and empty texts, and texts without letters, go in the first stage. Rows without id stay like any other, and of rows with one
+id all stay if one does; equal rows with an id are rows of one document. Texts of any length are taken whole. An empty table gives an empty one in each stage.
 """
 
 from __future__ import annotations
