@@ -2,11 +2,12 @@
 makes the windows of a text shorter.
 
 Texts are lower-cased and the first letters of words written as capitals, so that a match tells where in a word it
-lies. The ordinary dictionary is trained on windows of ordinary training texts. The toxic one holds the same and, before
-it, what begins words in toxic training texts far more often than in ordinary ones (by document frequency), with the
-words that were found so; references to the common part cost the same in both. A window is about ``window`` bytes cut at
-white space. The gain of a window is the ordinary length less the toxic length; the largest gains of a text go through a
-logistic curve that was fitted on training rows which the dictionaries haven't seen.
+lies. Both dictionaries are trained by zstandard: the ordinary one on windows of ordinary training texts, the toxic one on
+windows of toxic training texts. Most of a toxic text is ordinary, so that its windows are chosen: those around words whose
+beginnings stand in toxic training texts far more often than in ordinary ones (by the words before them, so that copies count once).
+Compression sees the toxic dictionary with the ordinary one behind it, so that ordinary text costs the same with both.
+A window of a text is about ``window`` bytes cut at white space. The gain of a window is the ordinary length less the toxic
+length; the largest gains of a text go through a logistic curve that was fitted on training rows which the dictionaries haven't seen.
 
 All is learned from a bounded sample of labelled rows (``sample_docs`` toxic rows and four times as many others, chosen
 by a hash of the id). Null and empty texts score as texts without gain. Null labels aren't learned from. With rows of
@@ -30,8 +31,8 @@ from . import columnar as C
 WORD = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 HEAD = re.compile(rb"(?<![^\x00-\x40\x5B-\x60\x7B-\x7F])[^\x00-\x40\x5B-\x60\x7B-\x7F]{1,4}")
 WINDOW, DICT_BYTES, LEVEL, TOP = 48, 1 << 13, 9, 4
-#: Whole words that the toxic dictionary holds at most.
-WORDS = 300
+#: Size of the toxic dictionary at most, and of the segments and strings that its training counts: words are short.
+TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_STRING = 1 << 13, 24, 6
 #: A beginning of words tells if its odds of toxic text are this high and it stands behind so many different words, as a share of the toxic documents.
 ODDS, SHARE, LENGTHS = 12, 0.02, range(4, 9)
 
@@ -65,10 +66,10 @@ def cut(data: bytes, window: int = WINDOW) -> list[bytes]:
     return out
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, k: int = 64, d: int = 8) -> bytes:
     """Content of a trained dictionary; with too few samples to train on, the samples themselves."""
     try:
-        return zstd.train_dictionary(size, samples, k=64, d=8).as_bytes()
+        return zstd.train_dictionary(size, samples, k=k, d=d).as_bytes()
     except zstd.ZstdError:
         return b" ".join(samples)[-size:]
 
@@ -87,13 +88,10 @@ class Model:
             odds = (said[p] + 0.5) / (len(both[0]) + 1) * (len(both[1]) + 1) / (plain_said[p] + 0.5)
             if odds >= ODDS and not p.startswith(tuple(telling)):
                 telling.append(p)
-        self.words = [self._longer(p, both[0]) for p in telling]
-        # whole words make longer matches; the commonest stand last, where references are shortest
-        whole = Counter(w for _, w in both[0] if w.startswith(tuple(telling))) if telling else Counter()
-        own = [w for w, _ in sorted(whole.items(), key=lambda x: (x[1], x[0]))[-WORDS:]]
         samples = [w for t in sides[1] for w in cut(t, 256)]
         self.plain = _trained(samples, DICT_BYTES) if samples else b""
-        self.toxic = b" ".join([b"", *own, *self.words, self.plain])
+        chosen = [t[max(0, w.start() - 1) : w.end() + 1] for t in sides[0] for w in WORD.finditer(t) if w[0].startswith(tuple(telling))]
+        self.toxic = (_trained(chosen, TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_STRING) if chosen else b"") + self.plain
         self.curve = None
         self._ready()
         rows = [(t, 1) for t in toxic if hold(t)] + [(t, 0) for t in ordinary if hold(t)]
@@ -104,17 +102,6 @@ class Model:
             y = np.array([y for _, y in rows], float)
             self.curve = logistic(x, y)
 
-    @staticmethod
-    def _longer(start: bytes, pairs: set) -> bytes:
-        """A beginning, drawn out as long as most words that have it go on alike."""
-        words = [w for _, w in pairs if w.startswith(start)]
-        while True:
-            byte, n = Counter(w[len(start) : len(start) + 1] for w in words).most_common(1)[0]
-            if not byte or n < 0.6 * len(words):
-                return start
-            start += byte
-            words = [w for w in words if w.startswith(start)]
-
     def _ready(self) -> None:
         def make(content: bytes) -> zstd.ZstdCompressor:
             how = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=WINDOW, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False)
