@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from . import columnar as C
 
 #: Slots of a worker's store of pieces (a power of two), and the ids that it may hold before it starts anew.
-SLOTS, POOL = 1 << 22, 1 << 25
+SLOTS, POOL = 1 << 20, 1 << 25
 
 #: White space other than space and line end: ASCII, and the UTF-8 forms of the rest (some that look alike to Python count too).
 ODD_SPACE = bytes([0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)])
@@ -206,6 +206,7 @@ class Bytes:
 
 
 _CACHE: dict = {}
+C.STORES.append(_CACHE)
 
 
 def codec(path: str, special_as_text: bool = True) -> Codec:

@@ -148,12 +148,17 @@ class Step:
         return pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *made], [*kept, *self.adds])
 
 
+#: What a worker holds for the task at hand (powers, tokenizers); emptied when the task ends.
+STORES: list[dict] = []
+
+
 def release() -> None:
-    """Give back memory that a finished task leaves free in its worker, which stays for later tasks."""
+    """Give back memory that a finished task leaves in its worker, which stays for later tasks of any operator."""
     import ctypes
     import gc
 
-    _GROW.clear()
+    for store in STORES:
+        store.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -223,6 +228,7 @@ def word_spans(data: np.ndarray, off: np.ndarray, member: np.ndarray) -> tuple[n
 
 
 _GROW = {}
+STORES.append(_GROW)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
