@@ -6,7 +6,8 @@ together again.
 
 Speed comes from one fact about the pattern of the vocabulary: a single space or line end between two
 characters that aren't white space always begins a new match. Texts are cut there, every distinct piece is
-encoded once by the library, and the ids of a text are gathered from those of its pieces with numpy. The
+encoded once by the library, and the ids of a text are gathered from those of its pieces with numpy. Pieces are
+found by their hashes, so the ids' bytes are compared with the text's; where they differ the text is encoded whole. The
 result is the same as encoding the whole text (tested against it). Texts with other white space, or with two
 separators in a row, are encoded whole.
 
@@ -144,7 +145,21 @@ class Codec:
             begin[miss], count[miss] = begin[own][back], count[own][back]
         flat = self.pool[C.ranges(begin, count)].astype(np.uint32)
         total = np.concatenate([[0], np.cumsum(count)])
-        return flat, total[first]
+        return self._verified(data, off, flat, total[first])
+
+    def _verified(self, data: np.ndarray, off: np.ndarray, flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose bytes they spell; texts that a piece of another spelling got into are encoded whole."""
+        made, upto = self.bytes.join(flat), np.concatenate([[0], np.cumsum(self.bytes.len[flat])])[cuts]
+        own = np.ones(len(data), bool)
+        own[off[1:] - 1] = False
+        want, at = data[own], off - np.arange(len(off))
+        if np.array_equal(upto, at) and np.array_equal(made, want):
+            return flat, cuts
+        bad = [i for i in range(len(at) - 1) if not np.array_equal(made[upto[i] : upto[i + 1]], want[at[i] : at[i + 1]])]
+        ids = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for i, got in zip(bad, self._whole([want[at[i] : at[i + 1]].tobytes().decode() for i in bad])):
+            ids[i] = np.array(got, np.uint32)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(i) for i in ids])])
 
     def encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and their offsets. Null: as an empty text."""

@@ -148,7 +148,7 @@ class Step:
         return pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *made], [*kept, *self.adds])
 
 
-#: What a worker holds for the task at hand (powers, tokenizers); emptied when the task ends.
+#: What a worker holds for the task at hand (powers, tokenizers, window sets); emptied when the task ends.
 STORES: list[dict] = []
 
 
@@ -243,9 +243,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-#: Odd multipliers of the polynomial hashes and their inverses modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-BYTE_INV, WORD_INV = pow(BYTE_BASE, -1, 1 << 64), pow(WORD_BASE, -1, 1 << 64)
+#: Odd multiplier of the hashes of runs and its inverse modulo 2**64.
+WORD_BASE = 0xD1342543DE82EF95
+WORD_INV = pow(WORD_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -259,17 +259,34 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64), 7)
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each byte the 64-bit value of the eight bytes from it on (zeros behind the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view("<u8"), (len(data) + 1,), (1,))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges; a function of the bytes alone."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values()[data] * _powers(BYTE_BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(BYTE_INV, n + 1)[starts] + (ends - starts).astype(np.uint64))
+#: What stays of eight bytes if only the first k belong to a range.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, a function of the bytes (and the seed) alone.
+
+    Eight bytes at a time are mixed with their place in the range, and the sum is mixed again. Neither step is linear, so
+    that no arrangement of bytes collides whatever they are; seeds give independent hashes.
+    """
+    lens = ends - starts
+    value, place = eights(data), lambda j: mix(j.astype(np.uint64) + np.uint64(1), seed + 17)
+    with np.errstate(over="ignore"):
+        total = mix((value[starts] & FIRST_BYTES[np.minimum(lens, 8)]) ^ place(np.zeros(1, np.int64)), seed)
+        long = np.flatnonzero(lens > 8)
+        if len(long):
+            more = (lens[long] - 1) // 8
+            j = ranges(np.ones(len(long), np.int64), more)
+            own = np.repeat(long, more)
+            part = mix((value[starts[own] + 8 * j] & FIRST_BYTES[np.minimum(lens[own] - 8 * j, 8)]) ^ place(j), seed)
+            total[long] += np.add.reduceat(part, np.cumsum(more) - more)
+        return mix(total + lens.astype(np.uint64) * np.uint64(WORD_BASE), seed + 29)
 
 
 class Windows:

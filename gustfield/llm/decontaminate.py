@@ -90,6 +90,7 @@ class WindowSet:
 
 
 _SETS: dict = {}
+C.STORES.append(_SETS)
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str) -> list[tuple[list, list[str]]]:

@@ -8,7 +8,7 @@ than the text itself, so edges travel in compacted paths from the start:
    sent as one row (minimizer, hash of all words of the path, source coordinates: row key, first edge, number of edges).
 2. Paths whose minimizer occurs once, in all and in the path, hold no repeated edge; a join with the repeated minimizers drops them.
 3. Paths with the same minimizer and the same words are one path of the graph with that many source coordinates, and
-   all their edges repeat. (Two hashes must agree: the minimizer, then the path's.)
+   all their edges repeat. (Two hashes must agree: the minimizer, then the path's; they are made from independent hashes of the words.)
 4. Where paths of one minimizer differ, or one comes back to its minimizer, the graph branches: one source of each is opened into single edges, edges are
    counted over the branches, and the edges that repeat are joined back.
 5. The repeated edges of each document, as coordinates, join its text. There coordinates that the text
@@ -57,7 +57,7 @@ def paths(strings: pa.Array, width: int):
     in it twice) of every path. Minimizers are compared by the leading bits of their hashes, then the place."""
     data, off = C.raw(strings)
     starts, ends, first = C.word_spans(data, off, C.ws_word_bytes())
-    words = C.Windows(C.span_hashes(data, starts, ends))
+    words, apart = (C.Windows(C.span_hashes(data, starts, ends, k)) for k in (0, 1))
     at, doc = C.window_starts(first, width)
     if not len(at):
         z = np.zeros(0, np.int64)
@@ -76,7 +76,7 @@ def paths(strings: pa.Array, width: int):
     pieces = -(-length // PATH)  # a long run of one minimizer (periodic text) is cut
     head = C.ranges(begin * 0, pieces) * PATH + np.repeat(begin, pieces)
     count = np.minimum(np.repeat(begin + length, pieces) - head, PATH)
-    whole = words(at[head], at[head] + count + width - 1, 5)
+    whole = apart(at[head], at[head] + count + width - 1, 5)
     twice = place[head] != place[head + count - 1]
     return doc[head], at[head] - first[doc[head]], count, least[head].view(np.int64), whole.view(np.int64), twice
 
@@ -107,7 +107,7 @@ def repeated_spans(df: DataFrame, text: str = "text", width: int = 35, key: str
         for batch in C.slices(batches, "_text"):
             data, off = C.raw(C.column(batch, "_text"))
             starts, ends, first = C.word_spans(data, off, C.ws_word_bytes())
-            words = C.Windows(C.span_hashes(data, starts, ends))
+            words = C.Windows(C.span_hashes(data, starts, ends, 1))
             lists = C.column(batch, "open")
             each = lists.flatten()
             own = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
