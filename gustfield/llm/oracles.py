@@ -1,4 +1,4 @@
-"""SQL of the queries that SQL can express, for a second engine: substrings, Jaccard components, decontamination."""
+"""SQL of the queries that SQL can express, for a second engine: substrings, Jaccard components, decontamination, url filters, collocations."""
 
 from __future__ import annotations
 
@@ -43,4 +43,37 @@ OP8 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words(LOWER, LET
  items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY r)
  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_jaccard_join": OP2, "op8_decontamination": OP8}
+LOWER_URL = LOWER.replace("text", "{0}")
+
+
+def address(url: str) -> str:
+    """Without scheme and fragment, host in lower case."""
+    host, rest = f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)", f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    return f"CASE WHEN {host} <> '' THEN {LOWER_URL.format(host)} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+def ruled(host: str, path: str, verdict: int) -> str:
+    """The rule that wins (verdict 0) or its verdict (1)."""
+    by_length = ["example.org/en/1 block", "example.org/es/ block", "com/fr/ allow", "com/de/ block", "org/ allow"]
+    when = []
+    for rule, says in map(str.split, by_length):
+        h, p = rule.split("/", 1)
+        when.append(f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '/{p}') THEN '{says if verdict else rule}'")
+    return f"CASE {' '.join(when)} END"
+
+
+TAG = "unnest(regexp_extract_all(html, '(?i)<{0}\\b[^>]*>'))"
+OP11 = rf"""WITH RECURSIVE p AS (SELECT page_id, url, html, {LOWER_URL.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, {address('url')} AS node FROM pages),
+ named AS (SELECT url, regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1) || regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2) || regexp_extract(tag, '(?i)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3) AS t FROM (SELECT url, {TAG.format('link')} AS tag FROM pages) WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical["''\s/>]')
+  UNION ALL SELECT url, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''>]+)', 1) FROM (SELECT url, {TAG.format('meta')} AS tag FROM pages) WHERE regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh["''\s/>]')),
+ spelled AS (SELECT url, trim(replace(t, '&amp;', '&')) AS t FROM named WHERE t <> ''),
+ whole AS (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?):', 1) || ':' || t
+   WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*') || t WHEN regexp_matches(t, '^[?#]') THEN regexp_extract(url, '(?s)^.*?://[^?#]*') || t
+   ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*') || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || t END AS t FROM spelled),
+ half AS (SELECT DISTINCT {address('url')} AS a, {address('t')} AS b FROM whole),
+ edges AS (SELECT a, b FROM half WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM half WHERE a IS NOT NULL AND b IS NOT NULL),
+ nodes AS (SELECT DISTINCT a AS node, regexp_extract(a, '^[^/?]*') AS host, regexp_extract(a, '(?s)^[^/?]*([^?]*)', 1) AS path FROM edges),
+ blocked AS (SELECT node FROM nodes WHERE {ruled('host', 'path', 1)} = 'block' UNION SELECT b FROM blocked JOIN edges ON a = node)
+ SELECT page_id, host, path, {ruled('host', 'path', 0)} AS rule, coalesce({ruled('host', 'path', 1)}, CASE WHEN blocked.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN blocked USING (node)"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_jaccard_join": OP2, "op8_decontamination": OP8, "op11_url_filters": OP11}

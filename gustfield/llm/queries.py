@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, media, ngram_scores, packing, secrets, substrings, toxicity
+from . import bpe, decontaminate, jaccard, language, media, ngram_scores, packing, secrets, substrings, toxicity, urls
 from .columnar import Step, apply, crc32_mod, shared_dir, table
 from .digests import digest
 from .oracles import ORACLES  # noqa: F401  registered with the queries
@@ -65,4 +65,8 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_scores.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_seen", "score")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_media_jpeg": op3_media_jpeg, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_language": op6_language, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_lm_scores": op10_lm_scores}
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_media_jpeg": op3_media_jpeg, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_language": op6_language, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_lm_scores": op10_lm_scores, "op11_url_filters": op11_url_filters}
