@@ -76,4 +76,17 @@ OP11 = rf"""WITH RECURSIVE p AS (SELECT page_id, url, html, {LOWER_URL.format("r
  blocked AS (SELECT node FROM nodes WHERE {ruled('host', 'path', 1)} = 'block' UNION SELECT b FROM blocked JOIN edges ON a = node)
  SELECT page_id, host, path, {ruled('host', 'path', 0)} AS rule, coalesce({ruled('host', 'path', 1)}, CASE WHEN blocked.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN blocked USING (node)"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_jaccard_join": OP2, "op8_decontamination": OP8, "op11_url_filters": OP11}
+OP13 = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, {words('piece', r"'[^\x20\x09]+'")} AS w FROM pieces),
+ runs AS (SELECT lang, m, {joined('s', 'm')} AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+ f AS (SELECT lang, m, p, count(*) AS c FROM runs GROUP BY ALL),
+ n AS (SELECT lang, sum(c) AS n FROM f WHERE m = 1 GROUP BY lang),
+ c AS (SELECT lang, m, p, c AS a, string_split(p, ' ') AS w FROM f WHERE m > 1 AND c >= 30),
+ inner_ AS (SELECT lang, p, max(a) AS most FROM (SELECT lang, a, array_to_string(w[s:s + k - 1], ' ') AS p FROM (SELECT lang, a, w, k, unnest(range(1, m - k + 2)) AS s FROM c, (SELECT unnest([2, 3]) AS k) WHERE k < m)) GROUP BY lang, p),
+ kept AS (SELECT c.* FROM c LEFT JOIN inner_ i USING (lang, p) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT),
+ cuts AS (SELECT lang, m, p, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:m], ' ') AS rp FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+ scored AS (SELECT x.lang, x.p, x.a, x.k, l.c AS l, r.c AS r, 2000000::HUGEINT * a // (l.c::HUGEINT + r.c) AS score FROM cuts x JOIN f l ON l.lang = x.lang AND l.p = x.lp JOIN f r ON r.lang = x.lang AND r.p = x.rp),
+ worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM worst JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_jaccard_join": OP2, "op8_decontamination": OP8, "op11_url_filters": OP11, "op13_collocations": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, media, ngram_scores, packing, secrets, substrings, toxicity, urls, whitening
+from . import bpe, collocations, decontaminate, jaccard, language, media, ngram_scores, packing, secrets, substrings, toxicity, urls, whitening
 from .columnar import Step, apply, crc32_mod, shared_dir, table
 from .digests import digest
 from .oracles import ORACLES  # noqa: F401  registered with the queries
@@ -76,4 +76,8 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.select("vec_id", "n", "deviation", "identity_error", at).select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("w.whitened").alias("whitened"), F.col("w.explained").alias("explained"), "identity_error")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_media_jpeg": op3_media_jpeg, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_language": op6_language, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_lm_scores": op10_lm_scores, "op11_url_filters": op11_url_filters, "op12_whitening": op12_whitening}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_media_jpeg": op3_media_jpeg, "op4_toxicity": op4_toxicity, "op5_byte_bpe": op5_byte_bpe, "op6_language": op6_language, "op7_bit_packing": op7_bit_packing, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_lm_scores": op10_lm_scores, "op11_url_filters": op11_url_filters, "op12_whitening": op12_whitening, "op13_collocations": op13_collocations}
