@@ -5,8 +5,8 @@ only be frequent if all its parts are, so:
 
 1. Words are counted as rows; the frequent ones (``least`` times or more) set bits of a map. Words are known by 64-bit hashes from here on; the vocabulary is
    searched for words that share one, and if any do, other hashes are taken.
-2. Mappers bincount all n-grams of frequent words into slots of fixed number (saturated at ``least``); a tree sums them. An n-gram in a slot that stays
-   below isn't frequent: the slots that don't are one map of bits for each length.
+2. Mappers bincount all pairs of frequent words into slots of fixed number, each into one of either of two tables (saturated at ``least``); a tree sums them. A pair
+   in a slot that stays below isn't frequent: the slots that don't are maps of bits. Longer n-grams, as far as their pairs stand in the maps, get maps in the same way.
 3. What these maps let through, an n-gram with all its parts, is a candidate, identified by its language and the hashes of its words. Candidates are a table of distinct rows.
 4. In blocks of a bounded size they get a minimal perfect hash: each candidate a slot, in which a second, independent hash of it is stored. Mappers look n-grams
    up, verify them against the stored key and bincount the slots; a tree sums the arrays. These counts are exact.
@@ -31,7 +31,7 @@ from . import columnar as C
 
 MARKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LONGEST = 4
-#: Bits of the numbers of slots by length of n-gram (1: bits of the map of frequent words), and slots of a row on the way.
+#: Bits of the numbers of slots by length of n-gram (1: of the map of frequent words), and slots of a row on the way.
 SLOT_BITS, RANGE = {1: 24, 2: 24, 3: 23, 4: 23}, 1 << 16
 #: Candidates of a block, about.
 BLOCK = 1 << 21
@@ -67,32 +67,35 @@ def next_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return C.mix(key * np.uint64(C.WORD_BASE) + word)
 
 
-def slot(key: np.ndarray, bits: int) -> np.ndarray:
-    return (key >> np.uint64(64 - bits)).astype(np.int64)
+def slot(key: np.ndarray, bits: int, table: int) -> np.ndarray:
+    """Slot of a key in one of two tables: its first or last bits."""
+    return ((key >> np.uint64(64 - bits)) if table == 0 else (key & np.uint64((1 << bits) - 1))).astype(np.int64)
 
 
 class Maps:
-    """Bit maps by length of n-gram."""
+    """Bit maps by length of n-gram and table; sizes: bits of a slot's number by length."""
 
-    def __init__(self, bits: dict[int, np.ndarray]):
-        self.bits = bits
+    def __init__(self, bits: dict[tuple[int, int], np.ndarray], sizes: dict[int, int]):
+        self.bits, self.sizes = bits, sizes
 
-    def has(self, key: np.ndarray, n: int) -> np.ndarray:
-        at = slot(key, SLOT_BITS[n])
-        return (self.bits[n][at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    def has(self, key: np.ndarray, n: int, table: int) -> np.ndarray:
+        at = slot(key, self.sizes[n], table)
+        return (self.bits[n, table][at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    def survivors(self, words: Words):
-        """n, places and keys of the n-grams all of whose parts the maps have; lengths without a map of their own take all."""
+    def survivors(self, words: Words, longest: int = LONGEST):
+        """n, places and keys of the n-grams all of whose parts the maps have; lengths without maps of their own take all."""
         key = first_key(words.hash, words.lang, 0)
-        ok = self.has(key, 1)
-        for n in range(1, LONGEST + 1):
+        ok = np.ones(len(key), bool)
+        for n in range(1, longest + 1):
             if n > 1:
                 ok = ok[:-1] & ok[1:] & (words.piece[n - 1 :] == words.piece[: len(ok) - 1])
                 key = next_key(key[:-1], words.hash[n - 1 :])
-                if n in self.bits:
-                    at = np.flatnonzero(ok)
-                    ok[at] = self.has(key[at], n)
             at = np.flatnonzero(ok)
+            for table in (0, 1):
+                if (n, table) in self.bits:
+                    at = at[self.has(key[at], n, table)]
+            ok[:] = False
+            ok[at] = True
             yield n, at, key[at]
             if not len(at):
                 return
@@ -216,43 +219,45 @@ class Mining:
     def word_map(self, frequent: DataFrame) -> np.ndarray:
         """Bits of the slots of frequent words' keys."""
 
+        size = SLOT_BITS[1]
+
         def fn(batches):
             for batch in batches:
                 key = first_key(C.column(batch, "h").to_numpy(zero_copy_only=False).view(np.uint64), _lang_hashes(C.column(batch, "lang")), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(slot(key, SLOT_BITS[1]))], ["p"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot(key, size, 0))], ["p"])
 
         at = frequent.select("lang", "h").mapInArrow(fn, "p bigint")
         rows = at.groupBy(F.shiftright("p", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
-        out = np.zeros(1 << SLOT_BITS[1] - 6, np.int64)
+        out = np.zeros(1 << size - 6, np.int64)
         out[rows.column("i").to_numpy()] = rows.column("b").to_numpy()
         return out.view(np.uint8)
 
-    def slot_maps(self, maps: Maps) -> Maps:
-        """With maps of the slots that ``least`` n-grams or more fall into."""
-        held, least = self.spark.sparkContext.broadcast(maps), self.least
+    def slot_maps(self, maps: Maps, lengths: list[int]) -> Maps:
+        """With maps of the slots that ``least`` n-grams or more of these lengths fall into."""
+        held, least, kind = self.spark.sparkContext.broadcast(maps), self.least, np.min_scalar_type(self.least).str
 
         def fn(pieces):
-            counts = {n: np.zeros(1 << SLOT_BITS[n], np.uint32) for n in range(2, LONGEST + 1)}
+            counts = {(n, t): np.zeros(1 << held.value.sizes[n], kind) for n in lengths for t in (0, 1)}
             for w, _ in pieces:
-                for n, _, key in held.value.survivors(w):
-                    if n > 1:
-                        at, c = np.unique(slot(key, SLOT_BITS[n]), return_counts=True)
-                        counts[n][at] = np.minimum(counts[n][at] + c.astype(np.uint32), least)
-            for n, array in counts.items():
-                yield from _ranges(n, array.astype(kind))
+                for n, _, key in held.value.survivors(w, max(lengths)):
+                    if n in lengths:
+                        for t in (0, 1):
+                            at, c = np.unique(slot(key, held.value.sizes[n], t), return_counts=True)
+                            counts[n, t][at] = np.minimum(counts[n, t][at] + c, least)
+            for (n, t), array in counts.items():
+                yield from _ranges(2 * n + t, array)
 
         def told(batches):
             for batch in batches:
                 bits = [np.packbits(C.unpacked(v.as_buffer(), kind) >= least, bitorder="little").tobytes() for v in C.column(batch, "value")]
                 yield pa.RecordBatch.from_arrays([C.column(batch, "k"), C.column(batch, "part"), pa.array(bits, pa.binary())], ["k", "part", "bits"])
 
-        kind = np.min_scalar_type(least).str
-        bits = maps.bits | {n: np.zeros(1 << SLOT_BITS[n] - 3, np.uint8) for n in range(2, LONGEST + 1)}
+        bits = maps.bits | {(n, t): np.zeros(1 << maps.sizes[n] - 3, np.uint8) for n in lengths for t in (0, 1)}
         with C.small_batches(self.spark, 256):
             sums = C.tree_sum(self.mapped(fn, "k bigint, part bigint, value binary"), ["k", "part"], kind, least)
             for k, part, value in sums.mapInArrow(told, "k bigint, part bigint, bits binary").collect():
-                bits[k][part * RANGE // 8 : (part + 1) * RANGE // 8] = np.frombuffer(value, np.uint8)
-        return Maps(bits)
+                bits[k // 2, k % 2][part * RANGE // 8 : (part + 1) * RANGE // 8] = np.frombuffer(value, np.uint8)
+        return Maps(bits, maps.sizes)
 
     def candidates(self, maps: Maps) -> DataFrame:
         """lang, n, w1 to w4 (hashes of words), key, stored of all n-grams that the maps let through."""
@@ -335,7 +340,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     run = Mining(docs, text, lang, least)
     words = run.vocabulary()
     frequent = words.where(F.col("f") >= least)
-    maps = run.slot_maps(Maps({1: run.word_map(frequent)}))
+    maps = run.slot_maps(Maps({(1, 0): run.word_map(frequent)}, dict(SLOT_BITS)), [2])
+    maps = run.slot_maps(maps, list(range(3, LONGEST + 1)))
     found = run.candidates(maps)
     rows = found.drop("key", "stored").withColumns({p: F.lit(0).cast("bigint") for p in ("a", "l1", "r1", "l2", "r2", "l3", "r3")})
     blocks = max(1, -(-found.count() // BLOCK))
