@@ -7,7 +7,8 @@ only be frequent if all its parts are, so:
    searched for words that share one, and if any do, other hashes are taken.
 2. Mappers bincount all pairs of frequent words into slots of fixed number, each into one of either of two tables (saturated at ``least``); a tree sums them. A pair
    in a slot that stays below isn't frequent: the slots that don't are maps of bits. Longer n-grams, as far as their pairs stand in the maps, get maps in the same way.
-3. What these maps let through, an n-gram with all its parts, is a candidate, identified by its language and the hashes of its words. Candidates are a table of distinct rows.
+3. What these maps let through, an n-gram with all its parts, is a candidate, identified by its language and the hashes of its words. Each mapper's distinct ones go, packed by
+   ranges of their keys, up a tree that unites them; candidates are a table of distinct rows.
 4. In blocks of a bounded size they get a minimal perfect hash: each candidate a slot, in which a second, independent hash of it is stored. Mappers look n-grams
    up, verify them against the stored key and bincount the slots; a tree sums the arrays. These counts are exact.
 5. The counts of a phrase, and of the two parts of each of its cuts, are read by slot. Scores, the search for longer phrases that hold a
@@ -33,6 +34,8 @@ MARKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LONGEST = 4
 #: Bits of the numbers of slots by length of n-gram (1: of the map of frequent words), and slots of a row on the way.
 SLOT_BITS, RANGE = {1: 24, 2: 24, 3: 23, 4: 23}, 1 << 16
+#: Ranges of the candidates' keys, and how many candidates of a length a mapper holds before it hands them on.
+KEY_BITS, HELD = 9, 1 << 19
 #: Candidates of a block, about.
 BLOCK = 1 << 21
 #: Bytes of text that a mapper works on at a time.
@@ -166,7 +169,7 @@ def _tuple_keys(lang: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray,
 def _columns(batch: pa.RecordBatch):
     """Rows of candidates by length: n, row numbers, hashes of languages and words."""
     n = C.column(batch, "n").to_numpy(zero_copy_only=False)
-    lang = _lang_hashes(C.column(batch, "lang"))
+    lang = C.column(batch, "g").to_numpy(zero_copy_only=False).view(np.uint64)
     words = [C.column(batch, f"w{k}").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, LONGEST + 1)]
     for m in range(1, LONGEST + 1):
         at = np.flatnonzero(n == m)
@@ -198,7 +201,7 @@ class Mining:
         return self.docs.mapInArrow(C.tidy(run), schema)
 
     def vocabulary(self) -> DataFrame:
-        """lang, word, h (its hash), f (how often it occurs); no two words have one hash."""
+        """g and lang (a language's hash and name), word, h (its hash), f (how often it occurs); no two words have one hash."""
 
         def fn(pieces):
             for w, langs in pieces:
@@ -206,11 +209,11 @@ class Mining:
                     _, one, c = np.unique(first_key(w.hash, w.lang, 0), return_index=True, return_counts=True)
                     raw, s, e = w.data.tobytes(), w.starts[one].tolist(), w.ends[one].tolist()
                     names = pa.array([raw[a:b] for a, b in zip(s, e)], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.doc[one])), names, pa.array(w.hash[one].view(np.int64)), pa.array(c)], ["lang", "word", "h", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(w.lang[one].view(np.int64)), langs.take(pa.array(w.doc[one])), names, pa.array(w.hash[one].view(np.int64)), pa.array(c)], ["g", "lang", "word", "h", "c"])
 
         while True:
             with C.small_batches(self.spark, 2000):
-                found = self.scratch.write(self.mapped(fn, "lang string, word string, h bigint, c bigint").groupBy("lang", "word", "h").agg(F.sum("c").alias("f")), "words")
+                found = self.scratch.write(self.mapped(fn, "g bigint, lang string, word string, h bigint, c bigint").groupBy("g", "lang", "word", "h").agg(F.sum("c").alias("f")), "words")
             if found.groupBy("h").agg((F.min("word") != F.max("word")).alias("shared")).where("shared").isEmpty():
                 return found
             self.scratch.drop(found)
@@ -223,10 +226,11 @@ class Mining:
 
         def fn(batches):
             for batch in batches:
-                key = first_key(C.column(batch, "h").to_numpy(zero_copy_only=False).view(np.uint64), _lang_hashes(C.column(batch, "lang")), 0)
+                h, g = (C.column(batch, c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h", "g"))
+                key = first_key(h, g, 0)
                 yield pa.RecordBatch.from_arrays([pa.array(slot(key, size, 0))], ["p"])
 
-        at = frequent.select("lang", "h").mapInArrow(fn, "p bigint")
+        at = frequent.select("g", "h").mapInArrow(fn, "p bigint")
         rows = at.groupBy(F.shiftright("p", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
         out = np.zeros(1 << size - 6, np.int64)
         out[rows.column("i").to_numpy()] = rows.column("b").to_numpy()
@@ -259,28 +263,59 @@ class Mining:
                 bits[k // 2, k % 2][part * RANGE // 8 : (part + 1) * RANGE // 8] = np.frombuffer(value, np.uint8)
         return Maps(bits, maps.sizes)
 
-    def candidates(self, maps: Maps) -> DataFrame:
-        """lang, n, w1 to w4 (hashes of words), key, stored of all n-grams that the maps let through."""
+    def candidates(self, maps: Maps, frequent: DataFrame) -> DataFrame:
+        """g (hash of the language), n, w1 to w4 (hashes of words), key, stored: frequent words, and all longer n-grams that the maps let through."""
         held = self.spark.sparkContext.broadcast(maps)
-        schema = "lang string, n int, w1 bigint, w2 bigint, w3 bigint, w4 bigint, key bigint, stored bigint"
-        names = ["lang", "n", "w1", "w2", "w3", "w4", "key", "stored"]
+        names = ["g", "n", "w1", "w2", "w3", "w4", "key", "stored"]
+        schema = "g bigint, n int, w1 bigint, w2 bigint, w3 bigint, w4 bigint, key bigint, stored bigint"
+
+        def distinct(total, rows):
+            """Rows of key, language and words (absent ones 0), one for each key."""
+            rows = rows.reshape(-1, LONGEST + 2)
+            both = rows if total is None else np.concatenate([total, rows])
+            return both[np.unique(both[:, 0], return_index=True)[1]]
+
+        def parts(n, rows):
+            """Sorted rows by range of keys."""
+            cuts = np.flatnonzero(np.diff(slot(rows[:, 0], KEY_BITS, 0), prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([int(rows[a, 0] >> np.uint64(64 - KEY_BITS))]), pa.array([C.packed(rows[a:b])], pa.binary())], ["n", "part", "value"])
 
         def fn(pieces):
-            seen = {n: np.zeros(0, np.uint64) for n in range(1, LONGEST + 1)}
-            for w, langs in pieces:
+            seen: dict[int, np.ndarray] = {}
+            for w, _ in pieces:
                 for n, at, key in held.value.survivors(w):
-                    key, one = np.unique(key, return_index=True)
-                    new = np.flatnonzero(seen[n][np.minimum(np.searchsorted(seen[n], key), len(seen[n]) - 1)] != key) if len(seen[n]) else np.arange(len(key))
-                    if len(seen[n]) < 1 << 18:  # told only once by a task, as far as it remembers
-                        seen[n] = np.sort(np.concatenate([seen[n], key[new]]))
-                    at = at[one[new]]
-                    own = [w.hash[at + k] for k in range(n)]
-                    stored = _tuple_keys(w.lang[at], own)[1]
-                    none = pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(w.doc[at])), pa.array(np.full(len(at), n, np.int32)), *(pa.array(x.view(np.int64)) for x in own), *[none] * (LONGEST - n), pa.array(key[new].view(np.int64)), pa.array(stored.view(np.int64))], names)
-
-        with C.small_batches(self.spark, 2000):
-            return self.scratch.write(self.mapped(fn, schema).dropDuplicates(), "candidates")
+                    if n > 1 and len(at):
+                        key, one = np.unique(key, return_index=True)
+                        rows = np.zeros((len(key), LONGEST + 2), np.uint64)
+                        rows[:, : n + 2] = np.stack([key, w.lang[at[one]], *(w.hash[at[one] + k] for k in range(n))], 1)
+                        seen[n] = distinct(seen.get(n), rows)
+                        if len(seen[n]) > HELD:
+                            yield from parts(n, seen.pop(n))
+            for n, rows in seen.items():
+                yield from parts(n, rows)
+
+        def opened(batches):
+            for batch in batches:
+                for n, value in zip(C.column(batch, "n").to_pylist(), C.column(batch, "value")):
+                    yield from listed(n, C.unpacked(value.as_buffer(), "u8").reshape(-1, LONGEST + 2)[:, 1:])
+
+        def words(batches):
+            for batch in batches:
+                g, h = (C.column(batch, c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("g", "h"))
+                yield from listed(1, np.stack([g, h], 1))
+
+        def listed(n, rows):
+            key, stored = _tuple_keys(rows[:, 0], [rows[:, k] for k in range(1, n + 1)])
+            for i in range(0, len(rows), 1 << 15):
+                j = slice(i, i + (1 << 15))
+                own = [pa.array(rows[j, k].view(np.int64)) for k in range(n + 1)]
+                none = pa.nulls(len(own[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(np.full(len(none), n, np.int32)), *own[1:], *[none] * (LONGEST - n), pa.array(key[j].view(np.int64)), pa.array(stored[j].view(np.int64))], names)
+
+        with C.small_batches(self.spark, 64):
+            longer = C.tree(self.mapped(fn, "n bigint, part bigint, value binary"), ["n", "part"], "u8", distinct)
+            return self.scratch.write(longer.mapInArrow(opened, schema).unionByName(frequent.select("g", "h").mapInArrow(words, schema)), "candidates")
 
     def counted(self, block: Block, maps: Maps) -> np.ndarray:
         """How often each candidate of the block occurs, by slot."""
@@ -342,7 +377,7 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     frequent = words.where(F.col("f") >= least)
     maps = run.slot_maps(Maps({(1, 0): run.word_map(frequent)}, dict(SLOT_BITS)), [2])
     maps = run.slot_maps(maps, list(range(3, LONGEST + 1)))
-    found = run.candidates(maps)
+    found = run.candidates(maps, frequent)
     rows = found.drop("key", "stored").withColumns({p: F.lit(0).cast("bigint") for p in ("a", "l1", "r1", "l2", "r2", "l3", "r3")})
     blocks = max(1, -(-found.count() // BLOCK))
     for b in range(blocks):
@@ -355,26 +390,26 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
 
 def _ranked(rows: DataFrame, words: DataFrame, frequent: DataFrame, least: int, top: int, scale: int, percent: int) -> DataFrame:
     wide = lambda c: f"cast({c} as decimal(38, 0))"
-    own = ["lang", "n", "w1", "w2", "w3", "w4"]
+    own = ["g", "n", "w1", "w2", "w3", "w4"]
     cands = rows.where((F.col("n") >= 2) & (F.col("a") >= least))
     cut = lambda k: f"if(n > {k}, named_struct('score', ({wide(scale)} * a) div ({wide(f'l{k}')} + r{k}), 'k', {k}, 'l', l{k}, 'r', r{k}), null)"
     cands = cands.withColumn("cut", F.expr(f"array_min(filter(array({', '.join(map(cut, range(1, LONGEST)))}), x -> x is not null))"))
     # parts of two words or more that longer phrases hold, with the largest count of one that does
     part = lambda n, m, k: f"if(n = {n}, named_struct('n', {m}, " + ", ".join(f"'w{i}', " + (f"w{k + i}" if i <= m else "cast(null as bigint)") for i in range(1, LONGEST + 1)) + "), null)"
     each = [part(n, m, k) for n in range(3, LONGEST + 1) for m in range(2, n) for k in range(n - m + 1)]
-    held = cands.where("n > 2").select("lang", "a", F.explode(F.expr(f"filter(array({', '.join(each)}), x -> x is not null)")).alias("p")).select("lang", "p.*", "a").groupBy(*own).agg(F.max("a").alias("most"))
+    held = cands.where("n > 2").select("g", "a", F.explode(F.expr(f"filter(array({', '.join(each)}), x -> x is not null)")).alias("p")).select("g", "p.*", "a").groupBy(*own).agg(F.max("a").alias("most"))
     same = F.expr(" and ".join(f"c.{c} <=> h.{c}" for c in own))
     alone = cands.alias("c").join(held.alias("h"), same, "left").where(f"most is null or {wide('most')} * 100 < {wide('c.a')} * {percent}").select("c.*")
     # words take the place of their hashes; only phrases that may be among the first need them
     order = [F.desc("cut.score"), F.desc("a")]
-    floor = alone.withColumn("_r", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_r") <= top).drop("_r")
+    floor = alone.withColumn("_r", F.rank().over(Window.partitionBy("g").orderBy(*order))).where(F.col("_r") <= top).drop("_r")
     for k in range(1, LONGEST + 1):
-        name = frequent.select("lang", F.col("h").alias(f"w{k}"), F.col("word").alias(f"word{k}"))
-        floor = floor.join(name, ["lang", f"w{k}"], "left")
+        name = frequent.select("g", F.col("h").alias(f"w{k}"), F.col("word").alias(f"word{k}"))
+        floor = floor.join(name, ["g", f"w{k}"], "left")
     spelled = floor.withColumn("phrase", F.concat_ws(" ", *[f"word{k}" for k in range(1, LONGEST + 1)]))
-    ranked = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).where(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    return ranked.drop("n").join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").cast("bigint").alias("score"))
+    ranked = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order, "phrase"))).where(F.col("rank") <= top)
+    totals = words.groupBy("g", "lang").agg(F.sum("f").alias("n"))
+    return ranked.drop("n").join(totals, "g").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").cast("bigint").alias("score"))
 
 
 def brute_force(rows: list[tuple[str | None, str | None]], least: int = 30, top: int = 2000, scale: int = 2_000_000, percent: int = 80) -> list[tuple]:

@@ -335,35 +335,41 @@ def unpacked(value: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(value), kind)
 
 
-def tree_sum(rows: DataFrame, keys: list[str], kind: str, most: int | None = None, fan: int = 64) -> DataFrame:
-    """Sums arrays: ``keys`` (integers) and ``value`` (``packed`` arrays of numpy type ``kind``, equally long for a key). Sums end at ``most``.
+def tree(rows: DataFrame, keys: list[str], kind: str, add: Callable[[np.ndarray | None, np.ndarray], np.ndarray], fan: int = 64) -> DataFrame:
+    """Combines arrays: ``keys`` (integers) and ``value`` (``packed`` arrays of numpy type ``kind``), one row for each key.
 
-    In two rounds, the first over ``fan`` parts of each key; a task reads the rows of a key one after the other and holds one sum and an Arrow
-    batch of rows: run it under ``small_batches``.
+    add: what is held so far (None at first) and one more array. In two rounds, the first over ``fan`` parts of each key; a task
+    reads the rows of a key one after the other and holds one result and an Arrow batch of rows: run it under ``small_batches``.
     """
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
 
-    def added(batches):
+    def run(batches):
         now, total = None, None
         out = lambda: pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in now), pa.array([packed(total.astype(kind))], pa.binary())], [*keys, "value"])
         for batch in batches:
             for *key, value in zip(*(column(batch, k).to_pylist() for k in keys), column(batch, "value")):
-                each = unpacked(value.as_buffer(), kind)
                 if key != now:
                     if now is not None:
                         yield out()
-                    now, total = key, each.astype(np.int64 if np.dtype(kind).kind in "iu" else np.float64)
-                else:
-                    total += each
-                if most is not None:
-                    np.minimum(total, most, out=total)
+                    now, total = key, None
+                total = add(total, unpacked(value.as_buffer(), kind))
         if now is not None:
             yield out()
 
     schema = ", ".join([*(f"`{k}` bigint" for k in keys), "value binary"])
-    assert set(types) == {*keys, "value"}
-    salted = rows.repartition(*keys, F.pmod(F.spark_partition_id(), F.lit(fan))).sortWithinPartitions(*keys)
-    return salted.mapInArrow(added, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(added, schema)
+    salted = rows.select(*keys, "value").repartition(*keys, F.pmod(F.spark_partition_id(), F.lit(fan))).sortWithinPartitions(*keys)
+    return salted.mapInArrow(run, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def tree_sum(rows: DataFrame, keys: list[str], kind: str, most: int | None = None) -> DataFrame:
+    """Sums arrays, equally long for a key, by ``tree``. Sums end at ``most``."""
+
+    def add(total, each):
+        if total is None:
+            return each.astype(np.int64 if np.dtype(kind).kind in "iu" else np.float64)
+        total += each
+        return total if most is None else np.minimum(total, most, out=total)
+
+    return tree(rows, keys, kind, add)
 
 
 def crc32_mod(doc_id: str, of: int):
