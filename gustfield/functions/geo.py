@@ -110,18 +110,82 @@ class Conic:
         return lat, F.pmod(F.degrees(F.atan2(x, y)) / self.cone + self.lon0 + 180, F.lit(360.0)) - 180
 
 
+class Geographic:
+    """Degrees as they are: x is the longitude, y the latitude."""
+
+    def forward(self, lat, lon) -> tuple[Column, Column]:
+        return col(lon), col(lat)
+
+    def inverse(self, x, y) -> tuple[Column, Column]:
+        """Latitude and longitude."""
+        return col(y), col(x)
+
+    def metres(self, step_x: float, step_y: float, lat: float) -> tuple[float, float]:
+        """Size of a pixel on the ground."""
+        return abs(step_x) * max(METRES_PER_DEGREE * math.cos(math.radians(lat)), 1.0), abs(step_y) * METRES_PER_DEGREE
+
+
+class Utm:
+    """A zone of the transverse Mercator grid (on WGS84 unless told otherwise), by the Krueger series to the fourth order: both ways within 1e-10 degrees."""
+
+    SCALE, EAST, SOUTH = 0.9996, 500000.0, 10000000.0
+
+    def __init__(self, zone: int, northern: bool = True, inverse_flattening: float = 298.257223563):
+        if not 1 <= zone <= 60:
+            raise ValueError(f"bad-crs: no zone {zone}")
+        self.meridian, self.false_north = zone * 6.0 - 183, 0.0 if northern else self.SOUTH
+        f = 1 / inverse_flattening
+        n = f / (2 - f)
+        self.k = 2 * math.sqrt(n) / (1 + n)
+        self.radius = self.SCALE * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+        # coefficients of the series: forward, inverse, and from conformal to geodetic latitude
+        self.alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+        self.beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+        self.delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+
+    def forward(self, lat, lon) -> tuple[Column, Column]:
+        """Easting and northing. Longitudes wrap."""
+        s = F.sin(F.radians(col(lat)))
+        t = F.sinh(F.atanh(s) - F.atanh(s * self.k) * self.k)
+        d = F.radians(F.pmod(col(lon) - self.meridian + 180, F.lit(360.0)) - 180)
+        xi, eta = F.atan2(t, F.cos(d)), F.asinh(F.sin(d) / F.sqrt(t * t + F.cos(d) * F.cos(d)))
+        x, y = eta, xi
+        for j, c in enumerate(self.alpha, 1):
+            x, y = x + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * c, y + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * c
+        return x * self.radius + self.EAST, y * self.radius + self.false_north
+
+    def inverse(self, x, y) -> tuple[Column, Column]:
+        """Latitude and longitude."""
+        xi, eta = (col(y) - self.false_north) / self.radius, (col(x) - self.EAST) / self.radius
+        a, b = xi, eta
+        for j, c in enumerate(self.beta, 1):
+            a, b = a - F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * c, b - F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * c
+        chi = F.asin(F.sin(a) / F.cosh(b))
+        lat = chi
+        for j, c in enumerate(self.delta, 1):
+            lat = lat + F.sin(chi * (2 * j)) * c
+        lon = F.degrees(F.atan2(F.sinh(b), F.cos(a))) + self.meridian
+        return F.degrees(lat), F.pmod(lon + 180, F.lit(360.0)) - 180
+
+    def metres(self, step_x: float, step_y: float, lat: float) -> tuple[float, float]:
+        return abs(step_x), abs(step_y)
+
+
+#: Codes of reference systems. Geographic ones on NAD83 and WGS84; bases of zones (north, last zone, inverse flattening) on NAD83, WGS84 north and south.
+GEOGRAPHIC_CODES = (4269, 4326)
+ZONE_CODES = {26900: (True, 23, 298.257222101), 32600: (True, 60, 298.257223563), 32700: (False, 60, 298.257223563)}
+
+
+def reference_system(code: int) -> Geographic | Utm:
+    """By its code; positions on NAD83 and WGS84 are taken as they are. ``bad-crs`` for others."""
+    if code in GEOGRAPHIC_CODES:
+        return Geographic()
+    base, zone = code // 100 * 100, code % 100
+    if base in ZONE_CODES and 1 <= zone <= ZONE_CODES[base][1]:
+        return Utm(zone, ZONE_CODES[base][0], ZONE_CODES[base][2])
+    raise ValueError(f"bad-crs: {code} is neither geographic nor a zone that is known")
+
+
 def utm_forward(lat, lon, zone: int, northern: bool = True) -> tuple[Column, Column]:
-    """Easting and northing on WGS84 by the Krueger series to the third order (well under a millimetre within a zone)."""
-    a, f = 6378137.0, 1 / 298.257223563
-    n = f / (2 - f)
-    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    k = 2 * math.sqrt(n) / (1 + n)
-    s = F.sin(F.radians(col(lat)))
-    t = F.sinh(F.atanh(s) - F.lit(k) * F.atanh(F.lit(k) * s))
-    d = F.radians(col(lon) - (zone * 6 - 183))
-    xi, eta = F.atan2(t, F.cos(d)), F.asinh(F.sin(d) / F.sqrt(t * t + F.cos(d) * F.cos(d)))
-    x, y = eta, xi
-    for j, c in enumerate(alpha, 1):
-        x, y = x + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta), y + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return x * (0.9996 * radius) + 500000, y * (0.9996 * radius) + (0 if northern else 10000000)
+    """Easting and northing on WGS84."""
+    return Utm(zone, northern).forward(lat, lon)

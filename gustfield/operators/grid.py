@@ -11,10 +11,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of the small side of a join up to which it is broadcast.
-BROADCAST_CELLS = 1_000_000
-
-
 def dense(cells: DataFrame, extent: DataFrame) -> DataFrame:
     """All cells of each domain of ``extent`` (domain, height, width), void where ``cells`` has none."""
     full = extent.select("domain", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width").select("domain", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
@@ -119,20 +115,43 @@ def disc_mean(cells: DataFrame, extent: DataFrame, radius: float, dx: float, dy:
     return j.withColumn("disc_mean", F.when(inside & (F.col("_n") >= coverage * len(off)), F.col("_s") / F.col("_n"))).drop("_s", "_n", "height", "width")
 
 
-def sample(points: DataFrame, cells: DataFrame, key: str, values: list[str], tolerance: float = 0.5) -> DataFrame:
+#: Corners of a quad: rows and columns from its first cell on.
+CORNERS = {"nw": (0, 0), "ne": (0, 1), "sw": (1, 0), "se": (1, 1)}
+
+
+def quads(cells: DataFrame, values: list[str]) -> DataFrame:
+    """Four neighbours as one row: (domain, row, col) of the north-west one and, for each value v, v_nw, v_ne, v_sw, v_se (null: void or absent).
+
+    Each cell is a corner of four quads; sums are combined before the only shuffle.
+    """
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(j).alias("j")) for k, (i, j) in CORNERS.items()]))
+    each = cells.select("domain", "row", "col", *values, at.alias("o")).select("domain", (F.col("row") - F.col("o.i")).alias("row"), (F.col("col") - F.col("o.j")).alias("col"), "o.k", *values)
+    return each.groupBy("domain", "row", "col").agg(*[F.max(F.when(F.col("k") == k, F.col(v))).alias(f"{v}_{k}") for v in values for k in CORNERS])
+
+
+def sample(points: DataFrame, cells: DataFrame, values: list[str], tolerance: float = 0.5, inner: bool = False) -> DataFrame:
     """Bilinear values at fractional ``y``/``x`` (pixel centres at whole numbers); null beyond the edge by more than ``tolerance`` or beside a void.
 
-    ``cells`` needs (domain, row, col) and ``points`` (domain, y, x, height, width). Four equi-joins' worth of corners, one shuffle.
+    ``cells`` needs (domain, row, col) and ``points`` (domain, y, x, height, width). A void corner makes a point void even if its weight is 0. On
+    the last row or column the cells before it don't matter, unless ``inner``. One equi-join by domain and first corner: points move once.
     """
     c = F.col
     ok = c("y").between(-tolerance, c("height") - 1 + tolerance) & c("x").between(-tolerance, c("width") - 1 + tolerance)
-    p = points.where(ok).withColumn("_y", F.least(F.greatest(c("y"), F.lit(0.0)), c("height") - 1.0)).withColumn("_x", F.least(F.greatest(c("x"), F.lit(0.0)), c("width") - 1.0))
-    p = p.withColumn("_r", F.least(F.floor("_y"), F.greatest(c("height") - 2, F.lit(0)))).withColumn("_c", F.least(F.floor("_x"), F.greatest(c("width") - 2, F.lit(0))))
+    clamp = lambda v, size: F.when(ok, F.least(F.greatest(c(v), F.lit(0.0)), c(size) - 1.0))
+    first = lambda v, size: F.least(F.floor(v), F.greatest(c(size) - 2, F.lit(0))).cast("int")
+    p = points.drop(*values).withColumns({"_y": clamp("y", "height"), "_x": clamp("x", "width")}).withColumns({"_r": first("_y", "height"), "_c": first("_x", "width")})
+    q = quads(cells, values).withColumnsRenamed({"domain": "_d", "row": "_qr", "col": "_qc"})
+    j = p.join(q, (c("domain") == c("_d")) & (c("_r") == c("_qr")) & (c("_c") == c("_qc")), "left")
     fy, fx = c("_y") - c("_r"), c("_x") - c("_c")
-    corners = F.array(*[F.struct((c("_r") + i).cast("int").alias("row"), (c("_c") + j).cast("int").alias("col"), ((fy if i else 1 - fy) * (fx if j else 1 - fx)).alias("w")) for i in (0, 1) for j in (0, 1)])
-    k = p.select(key, "domain", F.explode(corners).alias("k")).select(key, "domain", "k.*").where("w > 0")
-    got = k.join(cells.select("domain", "row", "col", *values), ["domain", "row", "col"], "left").groupBy(key).agg(*[F.when(F.count(v) == F.count("*"), F.sum(c(v) * c("w"))).alias(v) for v in values])
-    return points.join(got, key, "left")
+    out = {}
+    for v in values:
+        total, whole = F.lit(0.0), c("_y").isNotNull()
+        for k, (i, n) in CORNERS.items():
+            unused = ((fy == 1 - i) & ((fy == 1) | (c("height") == 1))) | ((fx == 1 - n) & ((fx == 1) | (c("width") == 1)))
+            total = total + F.coalesce(c(f"{v}_{k}"), F.lit(0.0)) * (fy if i else 1 - fy) * (fx if n else 1 - fx)
+            whole = whole & (c(f"{v}_{k}").isNotNull() | (F.lit(False) if inner else unused))
+        out[v] = F.when(whole, total)
+    return j.withColumns(out).drop("_y", "_x", "_r", "_c", "_d", "_qr", "_qc", *[f"{v}_{k}" for v in values for k in CORNERS])
 
 
 def mosaic(grids: list[DataFrame], value: str = "z") -> DataFrame:

@@ -22,7 +22,7 @@ def sample(points: DataFrame, cells: DataFrame, conic: G.Conic, shape: tuple[int
     rows, cols = shape
     placed = points.withColumns({"x": x, "y": y, "height": F.lit(rows), "width": F.lit(cols), "domain": F.col(level) if level else F.lit("d")})
     inside = F.col("y").between(-TOLERANCE, rows - 1 + TOLERANCE) & F.col("x").between(-TOLERANCE, cols - 1 + TOLERANCE)
-    got = grid.sample(placed, cells, key, values, TOLERANCE)
+    got = grid.sample(placed, cells, values, TOLERANCE, inner=True)
     missing = F.lit(False)
     for v in values:
         missing = missing | F.col(v).isNull()
@@ -46,7 +46,7 @@ def first_with_value(points: DataFrame, grids: list[DataFrame], key: str, value:
     """``value`` from the first grid, in order of priority, that has one at the point, and ``source`` (its place in the list; null: none)."""
     out = points
     for k, g in enumerate(grids):
-        out = grid.sample(out, g, key, [value]).withColumnRenamed(value, f"_{k}")
+        out = grid.sample(out, g, [value]).withColumnRenamed(value, f"_{k}")
     source = F.lit(None).cast("int")
     for k in reversed(range(len(grids))):
         source = F.when(F.col(f"_{k}").isNotNull(), k).otherwise(source)
@@ -82,6 +82,6 @@ def scale_curvature(cells: DataFrame, extent: DataFrame, length: float, dx: floa
     off = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x / dx).alias("ox"), F.lit(y / dy).alias("oy")) for k, (x, y) in enumerate(ends)]))
     centre = cells.where(F.col(value).isNotNull()).select("domain", "row", "col", F.col(value).alias("_z")).join(F.broadcast(extent), "domain")
     asked = centre.withColumn("o", off).select("domain", "height", "width", "row", "col", "_z", (F.col("row") + F.col("o.oy")).alias("y"), (F.col("col") + F.col("o.ox")).alias("x"), F.concat_ws("/", "domain", "row", "col", "o.k").alias("_key"))
-    got = grid.sample(asked, cells, "_key", [value], 0.0)
+    got = grid.sample(asked, cells, [value], 0.0)
     sums = got.groupBy("domain", "row", "col").agg(F.first("_z").alias("_z"), F.when(F.count(value) == len(ends), F.sum(value)).alias("_s"))
     return cells.join(sums.select("domain", "row", "col", ((F.col("_z") * 4 - F.col("_s") / 2) / length / 4).alias("curvature")), ["domain", "row", "col"], "left")

@@ -475,12 +475,12 @@ def points(spark, sf):
 
 
 @query(f"""WITH q AS (SELECT id, y, x, least(greatest(y, 0), h - 1) AS yy, least(greatest(x, 0), 63) AS xx, h FROM (SELECT p_partkey AS id, fmod(p_partkey * 0.37::DOUBLE, 499) - 0.25 AS y, fmod(p_partkey * 0.71::DOUBLE, 63) - 0.25 AS x, (SELECT count(*) FROM embeddings) AS h FROM part)),
- k AS (SELECT id, least(floor(yy), h - 2) AS r, least(floor(xx), 62) AS c, yy, xx FROM q), m AS (SELECT k.id, count(*) AS n, count(z) AS have, sum(z * abs(1 - i - (yy - r)) * abs(1 - j - (xx - c))) AS z FROM k, (SELECT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j) o LEFT JOIN {P.RASTER_SQL} g ON g."row" = r + i AND g.col = c + j WHERE abs(1 - i - (yy - r)) * abs(1 - j - (xx - c)) > 0 GROUP BY k.id)
+ k AS (SELECT id, least(floor(yy), h - 2) AS r, least(floor(xx), 62) AS c, yy, xx FROM q), m AS (SELECT k.id, count(*) AS n, count(z) AS have, sum(z * abs(1 - i - (yy - r)) * abs(1 - j - (xx - c))) AS z FROM k, (SELECT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j) o LEFT JOIN {P.RASTER_SQL} g ON g."row" = r + i AND g.col = c + j WHERE NOT (i = 0 AND yy - r = 1) AND NOT (j = 0 AND xx - c = 1) GROUP BY k.id)
  SELECT id, CASE WHEN n = have THEN z END AS z FROM q LEFT JOIN m USING (id)""", "z")
 def bilinear_sample(spark, sf):
     cells = P.raster(spark, sf)
     p = points(spark, sf).crossJoin(F.broadcast(P.extent(cells).select("height", "width")))
-    return grid.sample(p, cells, "id", ["z"]).select("id", "z")
+    return grid.sample(p, cells, ["z"]).select("id", "z")
 
 
 @query(f"""SELECT domain, "row", col, a.z - b.z AS anomaly FROM {P.RASTER_SQL} a LEFT JOIN (SELECT domain, "row", col, avg(z) OVER (PARTITION BY domain, "row" ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS z FROM {P.RASTER_SQL}) b USING (domain, "row", col)""", "anomaly", "row col")

@@ -16,13 +16,14 @@ ROWS = "(SELECT count(*) FROM embeddings)"
 
 
 def _corners(points: str, cells: str, key: str, values: list[str], rows: str = ROWS, columns: str = "64", tolerance: float = 1e-6, level: str = "") -> str:
-    """SQL of bilinear values at (y, x): null beyond the edge or beside a void."""
+    """SQL of bilinear values at (y, x): null beyond the edge or beside a void, even one of weight 0; a tolerance below half a cell is that of models, which always need four cells."""
     y, x = f"least(greatest(y, 0), {rows} - 1)", f"least(greatest(x, 0), {columns} - 1)"
     r, c = f"least(floor({y}), {rows} - 2)", f"least(floor({x}), {columns} - 2)"
     inside = f"y BETWEEN -{tolerance} AND {rows} - 1 + {tolerance} AND x BETWEEN -{tolerance} AND {columns} - 1 + {tolerance}"
+    needed = "true" if 0 < tolerance < 0.5 else f"NOT (i = 0 AND {y} - {r} = 1) AND NOT (j = 0 AND {x} - {c} = 1)"
     sums = ", ".join(f"CASE WHEN count(g.{v}) = count(*) THEN sum(g.{v} * w) END AS {v}" for v in values)
     return f"""(SELECT {key}, {sums} FROM (SELECT *, CAST({r} + i AS INT) AS gr, CAST({c} + j AS INT) AS gc, (CASE WHEN i = 1 THEN {y} - {r} ELSE 1 - ({y} - {r}) END) * (CASE WHEN j = 1 THEN {x} - {c} ELSE 1 - ({x} - {c}) END) AS w
-  FROM {points}, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE {inside}) k LEFT JOIN {cells} g ON g."row" = gr AND g.col = gc{' AND g.domain = k.domain' if level else ''} WHERE w > 0 GROUP BY {key})"""
+  FROM {points}, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE {inside}) k LEFT JOIN {cells} g ON g."row" = gr AND g.col = gc{' AND g.domain = k.domain' if level else ''} WHERE {needed} GROUP BY {key})"""
 
 
 RHO = f"({CONIC.radius * CONIC.f!r} / pow(tan(pi() / 4 + radians(lat) / 2), {CONIC.cone!r}))"

@@ -58,7 +58,7 @@ def test_disc_mean_is_the_kernel(spark):
 def test_sampler_edges(spark):
     z = np.array([[0.0, 10.0], [20.0, 30.0]])
     pts = spark.createDataFrame([(1, "d", 0.5, 0.5, 2, 2), (2, "d", -0.5, 0.0, 2, 2), (3, "d", -0.6, 0.0, 2, 2), (4, "d", 1.0, 1.0, 2, 2)], "id int, domain string, y double, x double, height int, width int")
-    got = {r.id: r.z for r in grid.sample(pts, cells(spark, z), "id", ["z"]).collect()}
+    got = {r.id: r.z for r in grid.sample(pts, cells(spark, z), ["z"]).collect()}
     assert got == {1: 15.0, 2: 0.0, 3: None, 4: 30.0}
 
 
