@@ -32,9 +32,10 @@ def _lookup(table: dict, name: Column) -> Column:
 
 
 def roughness_length(spec) -> Column:
-    """Of a class by name or a positive number in metres (as text); null for anything else."""
-    number = F.expr("null").cast("double") if spec is None else col(spec).try_cast("double")
-    return F.when(number > 0, number).otherwise(_lookup(ROUGHNESS, col(spec)))
+    """Of a class by name or a positive number in metres (as text). Null asks for nothing and gives null; anything else fails the query."""
+    name = F.lit(None).cast("string") if spec is None else col(spec)
+    number, found = name.try_cast("double"), _lookup(ROUGHNESS, name)
+    return F.when(number > 0, number).when(found.isNotNull() | name.isNull(), found).otherwise(F.raise_error(F.concat(F.lit("no-such-roughness: "), name)).cast("double"))
 
 
 def stability_ratio(name) -> Column:
@@ -92,22 +93,25 @@ def box_in_conus(west, south, east, north) -> Column:
 
 
 def in_states(state, wanted: str) -> Column:
-    """By a comma list, whatever the case; a missing state isn't in any; an empty list takes all."""
+    """By a comma list, whatever the case; the station's own state is taken as it stands; a missing state isn't in any; an empty list takes all."""
     names = [w.strip().upper() for w in wanted.split(",") if w.strip()]
-    return F.coalesce(F.upper(F.trim(col(state))).isin(names), F.lit(False)) if names else F.lit(True)
+    return F.coalesce(F.upper(col(state)).isin(names), F.lit(False)) if names else F.lit(True)
 
 
-def station_search(query: str | None, texts: list[str], **equal) -> Column:
-    """A substring of any of ``texts``, whatever the case, and all of ``equal`` (column = value; None asks for nothing)."""
+def station_search(query: str | dict | None, texts: list[str], exact: tuple = ()) -> Column:
+    """A text query: a substring of any of ``texts``, whatever the case. A query of fields: all of them; ``state`` may be a comma list, ``exact`` fields
+    are compared as they stand, others whatever the case. None, an empty text or fields without value ask for nothing."""
     out = F.lit(True)
-    if query:
-        found = F.lit(False)
+    if isinstance(query, dict):
+        for name, value in query.items():
+            if value:
+                asked = [w.strip().upper() for w in str(value).split(",")] if name == "state" else [str(value)] if name in exact else [str(value).lower()]
+                own = col(name) if name == "state" or name in exact else F.lower(F.coalesce(col(name), F.lit("")))
+                out = out & F.coalesce(own.isin(asked), F.lit(False))
+    elif query and query.strip():
+        out = F.lit(False)
         for t in texts:
-            found = found | F.coalesce(F.contains(F.lower(col(t)), F.lit(query.lower())), F.lit(False))
-        out = found
-    for name, value in equal.items():
-        if value is not None:
-            out = out & F.coalesce(F.upper(col(name)) == str(value).upper(), F.lit(False))
+            out = out | F.coalesce(F.contains(F.lower(col(t)), F.lit(query.strip().lower())), F.lit(False))
     return out
 
 

@@ -28,11 +28,32 @@ def _number(x) -> bool:
 
 
 def _axis(x, limits: tuple) -> str | None:
-    if not isinstance(x, list) or not x or not all(map(_number, x)):
+    """Entry by entry: a number, above the one before, within the limits."""
+    if not isinstance(x, list) or not x:
         return "malformed-axis"
-    if any(b <= a for a, b in zip(x, x[1:])):
-        return "malformed-axis"
-    return None if limits[0] <= x[0] and x[-1] <= limits[1] else "out-of-range"
+    for i, v in enumerate(x):
+        if not _number(v) or (i and not v > x[i - 1]):
+            return "malformed-axis"
+        if not limits[0] <= v <= limits[1]:
+            return "out-of-range"
+    return None
+
+
+def _grid(g, rows: int, columns: int) -> str | None:
+    """Row by row, entry by entry; null stands for zeros."""
+    if g is None:
+        return None
+    if not isinstance(g, list) or len(g) != rows:
+        return "malformed-grid"
+    for r in g:
+        if not isinstance(r, list) or len(r) != columns:
+            return "malformed-grid"
+        for x in r:
+            if not _number(x):
+                return "malformed-grid"
+            if abs(x) > MOST_FPS:
+                return "out-of-range"
+    return None
 
 
 def failure(text: str | None, azimuth: float | None = None) -> str | None:
@@ -45,7 +66,7 @@ def failure(text: str | None, azimuth: float | None = None) -> str | None:
         return "not-an-object"
     if "schemaVersion" not in p:
         return "missing-field"
-    if p["schemaVersion"] != VERSION:
+    if isinstance(p["schemaVersion"], bool) or p["schemaVersion"] != VERSION:
         return "unsupported-version"
     if any(k not in p for k in KEYS):
         return "missing-field"
@@ -57,13 +78,8 @@ def failure(text: str | None, azimuth: float | None = None) -> str | None:
         if code := _axis(p[k], limits):
             return code
     for k in ("uFps", "vFps", "wFps"):
-        g = p[k]
-        if g is None:
-            continue  # stands for zeros
-        if not isinstance(g, list) or len(g) != len(p["heightsAglFt"]) or any(not isinstance(r, list) or len(r) != len(p["rangesYards"]) or not all(map(_number, r)) for r in g):
-            return "malformed-grid"
-        if any(abs(x) > MOST_FPS for r in g for x in r):
-            return "out-of-range"
+        if code := _grid(p[k], len(p["heightsAglFt"]), len(p["rangesYards"])):
+            return code
     if p["wFps"] is not None and any(abs(x) > STILL for r in p["wFps"] for x in r):
         return "unsupported-vertical-wind"
     if not isinstance(p["source"], str) or not p["source"].strip() or len(p["source"]) > SOURCE_CHARS:

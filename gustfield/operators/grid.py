@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import places
+
 def dense(cells: DataFrame, extent: DataFrame) -> DataFrame:
     """All cells of each domain of ``extent`` (domain, height, width), void where ``cells`` has none."""
     full = extent.select("domain", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width").select("domain", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
@@ -175,7 +177,6 @@ def coverage(boxes: DataFrame, tiles: DataFrame, steps: int = 24) -> DataFrame:
     n = max(2, int(steps))
     c = F.col
     g = boxes.select("box_id", "west", "south", "east", "north", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    g = g.select("box_id", (c("west") + (c("j") + 0.5) / n * (c("east") - c("west"))).alias("lon"), (c("south") + (c("i") + 0.5) / n * (c("north") - c("south"))).alias("lat"))
-    t = F.broadcast(tiles.select(*[c(k).alias(f"t_{k}") for k in ("west", "south", "east", "north")]))  # a product list: a few hundred rows
-    hit = g.join(t, c("lon").between(c("t_west"), c("t_east")) & c("lat").between(c("t_south"), c("t_north")), "left_semi")
+    g = g.select("box_id", "i", "j", (c("west") + (c("j") + 0.5) / n * (c("east") - c("west"))).alias("lon"), (c("south") + (c("i") + 0.5) / n * (c("north") - c("south"))).alias("lat"))
+    hit = places.inside(g, tiles, []).select("box_id", "i", "j").distinct()
     return g.groupBy("box_id").agg(F.count("*").alias("n")).join(hit.groupBy("box_id").agg(F.count("*").alias("k")), "box_id", "left").select("box_id", (F.coalesce("k", F.lit(0)) / c("n")).alias("coverage"))

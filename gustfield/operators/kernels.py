@@ -242,6 +242,34 @@ def stations_along(lines: DataFrame) -> DataFrame:
     return lines.mapInPandas(run, "line_id bigint, dist double, lat double, lon double, bearing double")
 
 
+def disc_mean_tiled(cells: DataFrame, radius: float, dx: float, dy: float, coverage: float = 0.9, tile: int = 256, value: str = "z") -> DataFrame:
+    """domain, row, col, ``disc_mean`` as grid.disc_mean has it, for wide discs: tiles with a halo of the radius, in each of which a disc is a sum over its rows.
+
+    A cell is sent to the tiles whose halo holds it (nine at most while tiles are wider than discs), not to every cell of its disc. The extent of each raster (one row) is joined
+    by domain.
+    """
+    halo_y, halo_x = int(radius // dy), int(radius // dx)
+
+    def tiles(at: str, last: str, halo: int):
+        return F.explode(F.sequence(F.greatest(F.floor((F.col(at) - halo) / tile), F.lit(0)), F.least(F.floor((F.col(at) + halo) / tile), F.floor(F.col(last) / tile))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        tr, tc, h, w = int(first["tile_row"]), int(first["tile_col"]), int(first["last_row"]) + 1, int(first["last_col"]) + 1
+        top, left = max(tr * tile - halo_y, 0), max(tc * tile - halo_x, 0)
+        z, there = (np.full((min((tr + 1) * tile + halo_y, h) - top, min((tc + 1) * tile + halo_x, w) - left), np.nan) for _ in range(2))
+        z[pdf["row"] - top, pdf["col"] - left] = pdf["z"].to_numpy(float)
+        there[pdf["row"] - top, pdf["col"] - left] = 1
+        own = slice(tr * tile - top, (tr + 1) * tile - top), slice(tc * tile - left, (tc + 1) * tile - left)
+        mean, r, c = disc_mean_grid(z, radius, dx, dy, coverage)[own], *np.nonzero(~np.isnan(there[own]))
+        got = mean[r, c]
+        return pd.DataFrame({"domain": first["domain"], "row": (r + tr * tile).astype("int32"), "col": (c + tc * tile).astype("int32"), "disc_mean": [None if np.isnan(v) else v for v in got]})
+
+    extent = cells.groupBy("domain").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    spread = cells.select("domain", "row", "col", F.col(value).alias("z")).join(extent, "domain").withColumn("tile_row", tiles("row", "last_row", halo_y)).withColumn("tile_col", tiles("col", "last_col", halo_x))
+    return spread.groupBy("domain", "tile_row", "tile_col").applyInPandas(run, "domain string, row int, col int, disc_mean double")
+
+
 def disc_mean_grid(z: np.ndarray, radius: float, dx: float, dy: float, coverage: float = 0.9) -> np.ndarray:
     """Mean over the disc around each cell by row sums; NaN where the disc leaves the grid or too little of it is there."""
     ry = int(radius // dy)

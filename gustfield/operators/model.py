@@ -53,19 +53,21 @@ def first_with_value(points: DataFrame, grids: list[DataFrame], key: str, value:
     return out.withColumns({value: F.coalesce(*[F.col(f"_{k}") for k in range(len(grids))]), "source": source}).drop(*[f"_{k}" for k in range(len(grids))])
 
 
-def against_field(stations: DataFrame, cells: DataFrame, north: float, west: float, step: float, shape: tuple[int, int]) -> DataFrame:
-    """Stations (lat, lon, speed, from_deg) beside the nearest cell (row, col, model_speed, model_from) of a regular solved grid.
+def against_field(stations: DataFrame, cells: DataFrame, north: float, west: float, step: float, shape: tuple[int, int], most_gap_s: float = 3600.0) -> DataFrame:
+    """Stations (lat, lon, speed, from_deg, gap_s) beside the nearest cell (row, col, model_speed, model_from) of a regular solved grid; midway the first cell from the north-west is taken.
 
-    Adds ``reason`` (why they can't be compared: the first that holds; null if they can), ``ratio`` (model over measured, null in a calm) and ``direction_delta``.
+    ``gap_s``: seconds between the observation and the hour that was solved, null if either is unknown. Adds ``reason`` (why they can't be compared: the first that
+    holds; null if they can), ``ratio`` (model over measured, null in a calm) and ``direction_delta`` (-180 up to 180).
     """
     rows, cols = shape
     c = F.col
     inside = c("lat").between(north - (rows - 1) * step, north) & c("lon").between(west, west + (cols - 1) * step)
-    placed = stations.withColumns({"row": F.floor((F.lit(north) - c("lat")) / step + 0.5).cast("int"), "col": F.floor((c("lon") - west) / step + 0.5).cast("int"), "_in": inside})
+    first = lambda x: F.ceil(x / step - 0.5).cast("int")
+    placed = stations.withColumns({"row": first(F.lit(north) - c("lat")), "col": first(c("lon") - west), "_in": inside})
     j = placed.join(cells.select("row", "col", "model_speed", "model_from"), ["row", "col"], "left")
-    reason = F.when(c("speed").isNull(), "nothing-reported").when(~c("_in"), "outside-the-box").when(c("model_speed").isNull(), "nothing-solved-there")
+    reason = F.when(c("speed").isNull(), "nothing-reported").when(~c("_in"), "outside-the-box").when(c("model_speed").isNull(), "nothing-solved-there").when(F.abs("gap_s") > most_gap_s, "hours-apart")
     ok = c("reason").isNull()
-    return j.withColumn("reason", reason).withColumns({"ratio": F.when(ok & (c("speed") > 0), c("model_speed") / c("speed")), "direction_delta": F.when(ok, A.signed_gap("model_from", "from_deg"))}).drop("_in", "row", "col")
+    return j.withColumn("reason", reason).withColumns({"ratio": F.when(ok & (c("speed") > 0), c("model_speed") / c("speed")), "direction_delta": F.when(ok, A.half_open_gap("model_from", "from_deg"))}).drop("_in", "row", "col")
 
 
 def row_spacing(row: Column | str, lat_first: float, step: float) -> tuple[Column, Column]:

@@ -6,6 +6,8 @@ combined before the shuffle and one group never meets in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,44 @@ def leave_one_out(pairs: DataFrame, group: str, by: list[str] | None = None, deb
     return j.select(*by, group, F.col("n"), rest("n").alias("n_remaining"), whole.alias("full"), left.alias("without"), (left - whole).alias("delta"))
 
 
+class Metric:
+    """A metric from sums: ``parts`` (name -> what is summed over pairs, a column of ``errors``) and ``value`` (from a lookup of the sums to a column).
+
+    Any metric that is a function of sums can be left one out of without a second pass over the pairs.
+    """
+
+    def __init__(self, parts: dict[str, Column], value: Callable[[Callable[[str], Column]], Column]):
+        self.parts, self.value = parts, value
+
+
+def vector_rmse() -> Metric:
+    e = F.col("vec_err2")
+    return Metric({"n": F.when(e.isNotNull(), 1).otherwise(0), "e": e}, lambda s: F.when(s("n") > 0, F.sqrt(F.greatest(s("e"), F.lit(0.0)) / s("n"))))
+
+
+def circular_bias() -> Metric:
+    d = F.radians("dir_err")
+    apart = lambda s: (F.abs(s("s")) < 1e-9) & (F.abs(s("c")) < 1e-9)
+    return Metric({"n": F.when(d.isNotNull(), 1).otherwise(0), "s": F.sin(d), "c": F.cos(d)}, lambda s: F.when((s("n") > 0) & ~apart(s), F.degrees(F.atan2(s("s"), s("c")))))
+
+
+def leave_one_out_of(pairs: DataFrame, group: str, metrics: dict[str, Metric], by: list[str] | None = None, scale: float | Column = 1.0) -> DataFrame:
+    """For each group and metric m: ``m`` (all pairs of the stratum), ``m_without`` (all but the group's), ``m_delta``; one pass for all metrics and folds.
+
+    Sums by group are combined before the shuffle; a stratum's totals are sums of these. A group may hold most pairs: it is one row.
+    """
+    by = by or []
+    part = {f"{m}_{k}": c for m, x in metrics.items() for k, c in x.parts.items()}
+    own = errors(pairs, scale).groupBy(*by, group).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in part.items()])
+    total = own.groupBy(*by).agg(*[F.sum(k).alias(f"all_{k}") for k in part])
+    j = own.join(total, by) if by else own.crossJoin(F.broadcast(total))  # one row of totals
+    out = []
+    for m, x in metrics.items():
+        whole, rest = x.value(lambda k, m=m: F.col(f"all_{m}_{k}")), x.value(lambda k, m=m: F.col(f"all_{m}_{k}") - F.col(f"{m}_{k}"))
+        out += [whole.alias(m), rest.alias(f"{m}_without"), (rest - whole).alias(f"{m}_delta")]
+    return j.select(*by, group, *out)
+
+
 def leverage(folds: DataFrame, group: str, by: list[str] | None = None) -> DataFrame:
     """Per stratum: groups, full, lower median, least and largest RMSE without one, and the group that carries most (first of ties by name)."""
     by = by or []

@@ -79,17 +79,17 @@ def first_with_value(spark, sf):
 
 
 FIELD = f'(SELECT "row", col, abs(z) / 10 AS model_speed, CAST(("row" * 13 + col * 7) % 360 AS DOUBLE) AS model_from FROM {P.RASTER_SQL})'
-STATIONS = f"(SELECT id, lat, lon, CASE WHEN id % 9 = 0 THEN NULL ELSE abs(elevation - 1500) / 100 END AS speed, CAST(id * 29 % 360 AS DOUBLE) AS from_deg FROM {P.PLACES_SQL})"
+STATIONS = f"(SELECT id, lat, lon, CASE WHEN id % 9 = 0 THEN NULL ELSE abs(elevation - 1500) / 100 END AS speed, CAST(id * 29 % 360 AS DOUBLE) AS from_deg, CASE WHEN id % 4 <> 0 THEN CAST(id * 97 % 5000 AS DOUBLE) - 1000 END AS gap_s FROM {P.PLACES_SQL})"
 
 
 def _stations(spark, sf):
     i = F.col("id")
-    return P.places(spark, sf).select("id", "lat", "lon", F.when(i % 9 != 0, F.abs(F.col("elevation") - 1500) / 100).alias("speed"), (i * 29 % 360).cast("double").alias("from_deg"))
+    return P.places(spark, sf).select("id", "lat", "lon", F.when(i % 9 != 0, F.abs(F.col("elevation") - 1500) / 100).alias("speed"), (i * 29 % 360).cast("double").alias("from_deg"), F.when(i % 4 != 0, (i * 97 % 5000).cast("double") - 1000).alias("gap_s"))
 
 
-AGAINST = f"""(SELECT s.*, reason, CASE WHEN reason IS NULL AND speed > 0 THEN model_speed / speed END AS ratio, CASE WHEN reason IS NULL THEN {sql_signed('model_from', 'from_deg')} END AS direction_delta FROM (SELECT s.*, model_speed, model_from,
-  CASE WHEN speed IS NULL THEN 'nothing-reported' WHEN NOT (lat BETWEEN 40.5 - ({ROWS} - 1) * 0.05 AND 40.5 AND lon BETWEEN -108 AND -108 + 63 * 0.05) THEN 'outside-the-box' WHEN model_speed IS NULL THEN 'nothing-solved-there' END AS reason
-  FROM {STATIONS} s LEFT JOIN {FIELD} f ON f."row" = floor((40.5 - lat) / 0.05 + 0.5) AND f.col = floor((lon + 108) / 0.05 + 0.5)) s)"""
+AGAINST = f"""(SELECT s.*, reason, CASE WHEN reason IS NULL AND speed > 0 THEN model_speed / speed END AS ratio, CASE WHEN reason IS NULL THEN fmod(fmod(model_from - from_deg, 360) + 540, 360) - 180 END AS direction_delta FROM (SELECT s.*, model_speed, model_from,
+  CASE WHEN speed IS NULL THEN 'nothing-reported' WHEN NOT (lat BETWEEN 40.5 - ({ROWS} - 1) * 0.05 AND 40.5 AND lon BETWEEN -108 AND -108 + 63 * 0.05) THEN 'outside-the-box' WHEN model_speed IS NULL THEN 'nothing-solved-there' WHEN abs(gap_s) > 3600 THEN 'hours-apart' END AS reason
+  FROM {STATIONS} s LEFT JOIN {FIELD} f ON f."row" = ceil((40.5 - lat) / 0.05 - 0.5) AND f.col = ceil((lon + 108) / 0.05 - 0.5)) s)"""
 
 
 def _against(spark, sf):
@@ -210,7 +210,7 @@ def map_rules(spark, sf):
     return p.select("id", T.colour(F.col("elevation") / 50, T.SPEED_STOPS).alias("speed_colour"), T.rows_for_columns(F.col("lat"), F.col("lat") + 0.5, F.col("lon"), F.col("lon") + 0.7, 100).cast("bigint").alias("rows_needed"))
 
 
-@query(f"SELECT id, lat BETWEEN 21.1 AND 52.6 AND lon BETWEEN -134.1 AND -60.9 AS inside, lon > lon + elevation - 1500 AS crosses, contains(lower('st-' || id), '1') AS found, nation % 3 IN (0, 1) AS in_states FROM {P.PLACES_SQL}")
+@query(f"SELECT id, lat BETWEEN 21.1 AND 52.6 AND lon BETWEEN -134.1 AND -60.9 AS inside, lon > lon + elevation - 1500 AS crosses, contains(lower('st-' || id), '1') AS found, nation % 3 = 0 AS in_states FROM {P.PLACES_SQL}")
 def station_filters(spark, sf):
     p = P.places(spark, sf).withColumns({"name": F.concat(F.lit("ST-"), "id"), "state": F.get(F.array(F.lit("co"), F.lit(" Ut "), F.lit("NM")), (F.col("nation") % 3).cast("int"))})
     return p.select("id", T.in_conus("lat", "lon").alias("inside"), T.crosses_antimeridian("lon", F.col("lon") + F.col("elevation") - 1500).alias("crosses"), T.station_search("1", ["name"]).alias("found"), T.in_states("state", "CO, ut").alias("in_states"))

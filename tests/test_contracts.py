@@ -10,6 +10,8 @@ GOOD = {"schemaVersion": 1, "frame": "shooter", "azimuthDeg": 10, "rangesYards":
 @pytest.mark.parametrize("change, code", [
     ({}, None), ({"schemaVersion": 2}, "unsupported-version"), ({"frame": "earth"}, "unsupported-frame"), ({"rangesYards": [5, 1]}, "malformed-axis"), ({"heightsAglFt": [-1001, 2]}, "out-of-range"),
     ({"vFps": [[1, 2]]}, "malformed-grid"), ({"wFps": [[0, 0], [0, 1]]}, "unsupported-vertical-wind"), ({"source": ""}, "malformed-field"), ({"confidence": 2}, "out-of-range"), ({"azimuthDeg": 400}, "out-of-range"), ({"extra": 1}, "unknown-field"), ({"vFps": [[1, 2], [3, 400]]}, "out-of-range"), ({"heightsAglFt": [-1, 2]}, None), ({"source": "x" * 201}, "malformed-field"),
+    # what comes first in the document names the code
+    ({"rangesYards": [-1, 5, 3]}, "out-of-range"), ({"rangesYards": [1, 0, -5]}, "malformed-axis"), ({"vFps": [[999, 2], [3]]}, "out-of-range"), ({"vFps": [[1, "2"], [999, 3]]}, "malformed-grid"), ({"schemaVersion": True}, "unsupported-version"), ({"schemaVersion": 1.0}, None), ({"heightsAglFt": []}, "malformed-axis"), ({"uFps": {}}, "malformed-grid"), ({"wFps": [[0, 1e-7], [0, 0]]}, None),
 ])
 def test_first_failure(change, code):
     assert K.failure(json.dumps(GOOD | change)) == code
