@@ -13,7 +13,7 @@ computed where it may be within the radius. Regions of more than ``FAN`` members
 share most members. Members that links connect with the pivot are settled. Any other member x can link with y only if
 their distances to the pivot differ by the radius at most: what no such window reaches leaves the region.
 
-**Recursion.** Of the members that aren't settled ``FAN`` become pivots in the next round, eight times as many in each round after
+**Recursion.** Of the members that aren't settled ``FIRST`` become pivots in the next round, eight times as many in each round after
 it, and are compared with the region's members in their windows, as far as sketches let them link. A pivot that has been compared is done. A region
 ends when nothing in it is left to be settled, so the recursion ends without a limit on rounds, and no pair is left out.
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from . import columnar as C
 
-#: Pivots of a region in the first round of recursion.
-FAN = 16
+#: Pivots of a region in the first round of recursion: few, for one of them may settle a large group; regions of one pivot with more members become one.
+FIRST, FAN = 2, 16
 #: Shingles that the order knows as frequent, at most; documents from which on one is, and from which on a block tells of it; shingles of a block.
 HOT, FREQUENT, REPEATED, BLOCK = 1 << 20, 4, 2, 1 << 21
 #: Salts of a frequent shingle's region.
@@ -308,7 +308,7 @@ class Join:
         merged = self.scratch.write(self.comparable(merged, classes), "members")
         far = known.select("a", "b", F.col("d").alias("lo"), F.col("d").alias("hi")).unionByName(bound.where("not near").select("a", "b", "lo", F.lit(1.0).alias("hi")))
         region = merged.withColumns({"a": F.least("pivot", "class"), "b": F.greatest("pivot", "class")}).join(far, ["a", "b"]).select("region", "pivot", "class", "lo", "hi", F.lit(False).alias("done"))
-        fan = FAN
+        fan = FIRST
         while True:
             region = self.settle(region, group)
             if region.isEmpty():
