@@ -17,7 +17,7 @@ their distances to the pivot differ by the radius at most: what no such window r
 it, and are compared with the region's members in their windows, as far as sketches let them link. A pivot that has been compared is done. A region
 ends when nothing in it is left to be settled, so the recursion ends without a limit on rounds, and no pair is left out.
 
-**Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about n to 2n bits (2n to 4n for small sets). Bits in which
+**Bounds.** Every class has a sketch: the parity of how many of its shingles fall on each of about n to 2n bits (4n to 8n for small sets). Bits in which
 two sketches differ are at least one different shingle each; a pair whose bound lies beyond the radius is never compared.
 Others are by their sets. Sets are made once, for classes of such pairs only.
 
@@ -81,9 +81,9 @@ def class_keys(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def sketches(sets: np.ndarray, off: np.ndarray) -> pa.Array:
-    """Parity bits of each set in words of 64: a power of two of words, for n bits or more (2n for small sets). Halves of a sketch folded by XOR are the sketch of half its size."""
+    """Parity bits of each set in words of 64: a power of two of words, for n bits or more (4n for small sets). Halves of a sketch folded by XOR are the sketch of half its size."""
     n = np.diff(off)
-    size = 1 << np.ceil(np.log2(np.maximum(np.where(n <= 512, 2 * n, n), 64) / 64)).astype(np.int64)
+    size = 1 << np.ceil(np.log2(np.maximum(np.where(n <= 512, 4 * n, n), 64) / 64)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(size)])
     doc = np.repeat(np.arange(len(n)), n)
     word = base[doc] + ((sets >> np.uint64(6)).astype(np.int64) & (size[doc] - 1))
@@ -357,16 +357,17 @@ class Join:
         """Pairs of ``fan`` pivots in each region with the members in their windows, as far as they may link; the region with those pivots done."""
         least = region.where("live").groupBy("region", "pivot").agg(F.min("class").alias("least"))
         share = F.pmod(F.xxhash64("class", F.lit(fan)), F.lit(1 << 20)) * F.col("open") < F.lit(fan << 20)
-        chosen = region.where("live").join(least, ["region", "pivot"]).where(share | (F.col("class") == F.col("least"))).select("region", "pivot", F.col("class").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("comp").alias("qcomp"))
+        told = region.join(least, ["region", "pivot"], "left").withColumn("now", F.col("live") & (share | (F.col("class") == F.col("least")))).drop("least")
+        chosen = told.where("now").select("region", "pivot", F.col("class").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi"), F.col("comp").alias("qcomp"))
         sized = classes.select("class", "n", "sketch")
-        x = region.where("not done").select("region", "pivot", "class", "lo", "hi", "comp").join(sized, "class")
+        x = told.where("not done").select("region", "pivot", "class", "lo", "hi", "comp", "now").join(sized, "class")
         q = chosen.join(sized.select(F.col("class").alias("q"), F.col("n").alias("qn"), F.col("sketch").alias("qsketch")), "q")
         slack = self.radius + 1e-9
-        window = f"comp != qcomp and lo <= qhi + {slack} and qlo <= hi + {slack} and {self.fits('n', 'qn')} and {self.close('n', 'qn', apart('sketch', 'qsketch'))}"
+        # two pivots of one round meet once
+        window = f"comp != qcomp and (not now or class < q) and lo <= qhi + {slack} and qlo <= hi + {slack} and {self.fits('n', 'qn')} and {self.close('n', 'qn', apart('sketch', 'qsketch'))}"
         met = x.alias("x").join(q.alias("q"), (F.col("x.region") == F.col("q.region")) & (F.col("x.pivot") == F.col("q.pivot")) & F.expr(window))
         pairs = met.select(*_pair("q", "class")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        marked = region.join(chosen.select("region", "pivot", F.col("q").alias("class"), F.lit(True).alias("_now")), ["region", "pivot", "class"], "left").withColumn("done", F.col("done") | F.coalesce("_now", F.lit(False)))
-        return self.scratch.write(pairs, "pairs"), marked
+        return self.scratch.write(pairs, "pairs"), told.withColumn("done", F.col("done") | F.col("now")).drop("now")
 
 
 def components(links: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
