@@ -71,10 +71,10 @@ DISTANCE = "2 * 6371008.8 * asin(sqrt(least(pow(sin(radians(lat - (south + north
 HELD = f"(SELECT box, id, {DISTANCE} AS distance FROM {BOXES} JOIN {POINTS} ON lat BETWEEN south AND north AND lon BETWEEN west AND east)"
 
 
-@query(f"""SELECT b.box, coalesce(matched, 0) AS matched, id, rank, distance FROM {BOXES} b LEFT JOIN (SELECT box, id, distance, row_number() OVER (PARTITION BY box ORDER BY distance, id) AS rank, count(*) OVER (PARTITION BY box) AS matched FROM {HELD} QUALIFY rank <= 5) USING (box)""", "distance", "rank", places=3)
+@query(f"""SELECT b.box, coalesce(matched, 0) AS matched, CAST(id AS DOUBLE) AS id, CAST(rank AS DOUBLE) AS rank, distance FROM {BOXES} b LEFT JOIN (SELECT box, id, distance, row_number() OVER (PARTITION BY box ORDER BY distance, id) AS rank, count(*) OVER (PARTITION BY box) AS matched FROM {HELD} QUALIFY rank <= 5) USING (box)""", "distance", places=3)
 def stations_in_boxes(spark, sf):
     got = places.nearest(points(spark, sf), boxes(spark, sf), "box", "id", 5)
-    return got.select("box", "matched", "id", "rank", "distance")
+    return got.select("box", "matched", F.col("id").cast("double").alias("id"), F.col("rank").cast("double").alias("rank"), "distance")
 
 
 #: Tiles of one size that the boxes are held against.

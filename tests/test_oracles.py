@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 import gustfield.plans.comparisons  # noqa: F401  registers its queries
+import gustfield.plans.fields  # noqa: F401
+import gustfield.plans.stations  # noqa: F401
 from gustfield.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
