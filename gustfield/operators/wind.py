@@ -49,13 +49,16 @@ def summary(field: DataFrame) -> DataFrame:
     return field.groupBy("domain").agg(F.count("factor").alias("defined"), F.avg("factor").alias("mean_factor"), F.min("factor").alias("least_factor"), F.max("factor").alias("most_factor"), circular_mean("turn_deg").alias("mean_turn"))
 
 
-def superpose(unit_east: DataFrame, unit_north: DataFrame, winds: DataFrame) -> DataFrame:
-    """The field of any wind from the fields of two unit winds: e * E + n * N for every row of ``winds`` (wind_id, e, n).
+def superpose(basis: DataFrame, winds: DataFrame) -> DataFrame:
+    """The field of any wind from the fields of two unit winds (rows of ``basis`` with unit east or north): e * E + n * N for every row of ``winds`` (wind_id, e, n).
 
-    ``winds`` is a request: broadcast, checked to be small by the caller's own bound. A field is ``converged`` if both unit fields are.
+    The basis is read once: both units of a cell meet in one sum. ``winds`` is a request: broadcast, checked to be small by the caller's own bound. A field is
+    ``converged`` if both unit fields are; a cell that lacks a unit has no field.
     """
     k = ["domain", "row", "col"]
-    both = unit_east.select(*k, F.col("east").alias("ee"), F.col("north").alias("en"), F.col("converged").alias("ec")).join(unit_north.select(*k, F.col("east").alias("ne"), F.col("north").alias("nn"), F.col("converged").alias("nc")), k)
+    of = lambda unit, c: F.max(F.when(F.col("unit") == unit, F.col(c)))
+    names = {"ee": ("east", "east"), "en": ("east", "north"), "ec": ("east", "converged"), "ne": ("north", "east"), "nn": ("north", "north"), "nc": ("north", "converged")}
+    both = basis.groupBy(*k).agg(*[of(*v).alias(n) for n, v in names.items()]).where("ee is not null and ne is not null")
     j = both.crossJoin(F.broadcast(winds.select("wind_id", "e", "n")))
     e, n = F.col("e") * F.col("ee") + F.col("n") * F.col("ne"), F.col("e") * F.col("en") + F.col("n") * F.col("nn")
     return j.select("wind_id", *k, e.alias("east"), n.alias("north"), F.hypot(e, n).alias("speed"), bearing_from(e, n, 0.0).alias("from_deg"), (F.col("ec") & F.col("nc")).alias("converged"))

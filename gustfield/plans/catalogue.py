@@ -649,7 +649,7 @@ def shelter_sx(spark, sf):
 def basis_combine(spark, sf):
     b = kernels.basis(domains(spark, sf), P.CELL, P.CELL)
     winds = spark.createDataFrame([(1, 3.0, 1.0), (2, -2.0, 4.0)], "wind_id int, e double, n double")
-    f = wind.superpose(b.where("unit = 'east'"), b.where("unit = 'north'"), winds)
+    f = wind.superpose(b, winds)
     return f.groupBy("wind_id", "domain").agg(F.count("*").alias("cells"), F.avg("speed").alias("mean_speed"), F.max("speed").alias("most"), F.bool_and("converged").alias("converged"))
 
 

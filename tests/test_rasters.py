@@ -133,7 +133,7 @@ def test_unconverged_solves_are_told(spark):
     for sweeps, want in ((4000, True), (10, False)):
         b = kernels.basis(c, 30.0, 30.0, sweeps=sweeps).cache()
         assert {r.converged for r in b.collect()} == {want} and all((r.residual <= kernels.TOL) == want for r in b.collect())
-        f = wind.superpose(b.where("unit = 'east'"), b.where("unit = 'north'"), winds)
+        f = wind.superpose(b, winds)
         assert {r.converged for r in f.select("converged").collect()} == {want}
 
 
