@@ -152,6 +152,21 @@ def log_profile(z: np.ndarray, speed: float, height: float = 10.0, z0: float = 0
     return np.where(z > z0, speed * np.log(np.maximum(z, z0 * 1.0001) / z0) / math.log(height / z0), 0.0)
 
 
+def at_level(x: np.ndarray, agl: np.ndarray, level: float, z0: float = 0.03) -> np.ndarray:
+    """Values of layers (by height of their centres above ground, rising) at ``level`` above ground: below the first open centre by the logarithmic profile,
+    above it between the two centres around (or what the one of them that is open has), above the last centre what that has."""
+    inside, (rr, cc) = agl > 0, np.mgrid[0 : agl.shape[1], 0 : agl.shape[2]]
+    first = inside.argmax(0)
+    height = agl[first, rr, cc]
+    above = np.clip((agl <= level).sum(0), 1, len(agl) - 1)
+    a, b = agl[above - 1, rr, cc], agl[above, rr, cc]
+    t = np.clip((level - a) / (b - a), 0, 1)
+    low, high = (np.where(inside[k, rr, cc], x[k, rr, cc], np.nan) for k in (above - 1, above))
+    between = np.where(np.isnan(low), high, np.where(np.isnan(high), low, low * (1 - t) + high * t))
+    down = np.log(level / z0) / np.log(np.maximum(height, level) / z0)
+    return np.where(height > level, x[first, rr, cc] * down, between)
+
+
 def unit_fields(z: np.ndarray, dx: float, dy: float, layers: int = 8, r: float = 1.0, level: float = 10.0, z0: float = 0.03, sweeps: int = 4000) -> dict[str, np.ndarray]:
     """Wind at ``level`` above ground for a unit wind blowing east and one blowing north, over the terrain; any wind is their sum."""
     top = z.max() + max(3 * (z.max() - z.min()), 200.0)
@@ -167,11 +182,8 @@ def unit_fields(z: np.ndarray, dx: float, dy: float, layers: int = 8, r: float =
         u[:, :, :-1], u[:, :, -1] = base * e, base[:, :, -1] * e
         v[:, :-1], v[:, -1] = -base * n, -base[:, -1] * n  # rows go south
         u, v, _, residual, _ = mass_consistent(u, v, solid, dx, dy, dz, r, sweeps=sweeps)
-        lowest = (~solid).argmax(0)
-        rr, cc = np.mgrid[0 : z.shape[0], 0 : z.shape[1]]
         ue, ve = (u[:, :, 1:] + u[:, :, :-1]) / 2, -(v[:, 1:] + v[:, :-1]) / 2
-        down = log_profile(np.full(z.shape, level), 1.0, level, z0) / np.maximum(log_profile(agl[lowest, rr, cc], 1.0, level, z0), 1e-9)
-        out[name] = np.stack([ue[lowest, rr, cc] * down, ve[lowest, rr, cc] * down])
+        out[name] = np.stack([at_level(x, agl, level, z0) for x in (ue, ve)])
         out[f"{name}_residual"] = np.array(residual)
     return out
 

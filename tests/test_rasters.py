@@ -155,3 +155,12 @@ def test_utm(spark):
     e, n = G.utm_forward(F.lit(40.0), F.lit(-105.0), 13)
     r = spark.range(1).select(e.alias("e"), n.alias("n")).first()
     assert r.e == pytest.approx(500000.0, abs=1e-6) and r.n == pytest.approx(4427757.2188, abs=1e-2)
+
+
+def test_level_near_the_ground():
+    """A first centre just above the ground doesn't blow the wind up; higher ones are brought down by the logarithmic profile."""
+    agl = np.array([[[0.001, 5.0, 30.0, -10.0]], [[50.001, 55.0, 80.0, 40.0]]])
+    x = np.array([[[0.0, 2.0, 3.0, 9.0]], [[4.0, 6.0, 7.0, 8.0]]])
+    got = kernels.at_level(x, agl, 10.0)[0]
+    log = np.log(10 / 0.03)
+    assert got == pytest.approx([4.0 * 9.999 / 50, 2.0 * 0.9 + 6.0 * 0.1, 3.0 * log / np.log(30 / 0.03), 8.0 * log / np.log(40 / 0.03)])
