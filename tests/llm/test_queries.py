@@ -1,4 +1,4 @@
-"""The ten registered queries on a table with nulls, empty and long texts, repeats and clashing columns: contract columns, digests, SQL."""
+"""The first ten registered queries on a table with nulls, empty and long texts, repeats and clashing columns: contract columns, digests, SQL."""
 
 import base64
 import hashlib
@@ -120,7 +120,7 @@ def test_held_out_rows_and_predictions(results):
             assert len(copies) == 1, name
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) & set(COLUMNS)))  # others have tests of their own
 def test_same_as_sql(results, folder, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
