@@ -31,17 +31,18 @@ def bilinear(z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(ok, out, np.nan)
 
 
-def shelter_grid(z: np.ndarray, dx: float, dy: float, sectors: int = 16, reach: float = 300.0, step: float | None = None, own: tuple[slice, slice] | None = None) -> np.ndarray:
+def shelter_grid(z: np.ndarray, dx: float, dy: float, sectors: int = 16, reach: float = 300.0, step: float | None = None, own: tuple[slice, slice] | None = None, turn: float = 0.0) -> np.ndarray:
     """Largest angle (degrees) up to the terrain towards each sector, sector by sector; NaN where nothing is seen. A march ends at the first void.
 
-    With ``own`` only those cells are looked from, and the border ring is left to the caller.
+    With ``own`` only those cells are looked from, and the border ring is left to the caller. ``turn`` is where true north is drawn on the grid (degrees from
+    its own north): sectors are true bearings.
     """
     step = step or min(dx, dy)
     rows, cols = (a[own] if own else a for a in np.mgrid[0 : z.shape[0], 0 : z.shape[1]].astype(float))
     here = z[own] if own else z
     out = np.full((sectors, *here.shape), np.nan)
     for k in range(sectors):
-        b = 2 * math.pi * k / sectors
+        b = 2 * math.pi * k / sectors - math.radians(turn)
         alive = ~np.isnan(here)
         for s in range(1, max(1, int(reach // step)) + 1):
             d = s * step
@@ -68,10 +69,11 @@ def shelter(cells: DataFrame, dx: float, dy: float, sectors: int = 16, reach: fl
     return cells.select("domain", "row", "col", "z").groupBy("domain").applyInPandas(run, "domain string, row int, col int, sector_deg double, sx_deg double")
 
 
-def shelter_tiled(cells: DataFrame, dx: float, dy: float, sectors: int = 16, reach: float = 300.0, tile: int = 32) -> DataFrame:
+def shelter_tiled(cells: DataFrame, dx: float, dy: float, sectors: int = 16, reach: float = 300.0, tile: int = 32, turns: DataFrame | None = None) -> DataFrame:
     """What ``shelter`` gives, with ``tile_row`` and ``tile_col``: a group is a tile of ``tile`` x ``tile`` cells with a halo of the reach.
 
-    The extent of each raster (one row) is broadcast, so that only the raster's own border is left out.
+    The extent of each raster (one row) is broadcast, so that only the raster's own border is left out. ``turns`` (domain, turn_deg; see
+    ``shelters.convergence``) turns the sectors of projected rasters to true bearings; domains that it doesn't name aren't turned.
     """
     step = min(dx, dy)
     far = max(step, reach)  # at least one step is marched
@@ -88,11 +90,15 @@ def shelter_tiled(cells: DataFrame, dx: float, dy: float, sectors: int = 16, rea
         z[pdf["row"] - top, pdf["col"] - left] = pdf["z"].to_numpy(float)
         # own cells but for the raster's border
         r0, r1, c0, c1 = max(tr * tile, 1), min((tr + 1) * tile, h - 1), max(tc * tile, 1), min((tc + 1) * tile, w - 1)
-        sx = shelter_grid(z, dx, dy, sectors, reach, own=(slice(r0 - top, max(r1, r0) - top), slice(c0 - left, max(c1, c0) - left)))
+        sx = shelter_grid(z, dx, dy, sectors, reach, own=(slice(r0 - top, max(r1, r0) - top), slice(c0 - left, max(c1, c0) - left)), turn=float(first["turn_deg"]))
         k, r, c = np.nonzero(~np.isnan(sx))
         return pd.DataFrame({"domain": first["domain"], "tile_row": np.int32(tr), "tile_col": np.int32(tc), "row": (r + r0).astype("int32"), "col": (c + c0).astype("int32"), "sector_deg": k * 360.0 / sectors, "sx_deg": sx[k, r, c]})
 
     extent = cells.groupBy("domain").agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    if turns is not None:
+        extent = extent.join(turns.select("domain", F.col("turn_deg").alias("_turn")), "domain", "left").select("domain", "last_row", "last_col", F.coalesce("_turn", F.lit(0.0)).alias("turn_deg"))
+    else:
+        extent = extent.withColumn("turn_deg", F.lit(0.0))
     spread = cells.select("domain", "row", "col", "z").join(F.broadcast(extent), "domain").withColumn("tile_row", tiles("row", "last_row", halo_y)).withColumn("tile_col", tiles("col", "last_col", halo_x))
     return spread.groupBy("domain", "tile_row", "tile_col").applyInPandas(run, "domain string, tile_row int, tile_col int, row int, col int, sector_deg double, sx_deg double")
 
