@@ -29,22 +29,52 @@ def nearest_in_time(obs: DataFrame, samples: DataFrame, by: list[str], time: str
     return obs.join(best, key, "left").select(*obs.columns, "_m._v.*", F.col("_m.offset_us").alias("offset_us"))
 
 
-def nearest_either_side(obs: DataFrame, samples: DataFrame, by: list[str], time: str, seq: str, key: str) -> DataFrame:
-    """For each observation the nearest sample at any distance: ``nearest_us`` (signed) and ``nearest_seq``; null without samples.
+#: Seconds of a time bucket: what a task sorts is one key's distinct instants in it.
+BUCKET_S = 86400.0
 
-    One pass over the union of both sides in time order; keys are dealt whole.
+
+def _carried(buckets: DataFrame, instants: DataFrame, by: list[str], back: bool) -> DataFrame:
+    """For each (key, bucket) of ``buckets`` the last instant of all buckets before it (``back``) or the first of all after it: (by, _b, _t, _q).
+
+    The window that reaches over buckets has one row for each of them, however many samples a key has.
+    """
+    ends = instants.groupBy(*by, "_b").agg((F.max if back else F.min)(F.struct("_t", "_q")).alias("_e"))
+    none = F.lit(None).cast(ends.schema["_e"].dataType).alias("_e")
+    marks = ends.select(*by, "_b", "_e", F.lit(False).alias("_a")).unionByName(buckets.select(*by, "_b", none, F.lit(True).alias("_a"))).groupBy(*by, "_b").agg(F.max("_e").alias("_e"), F.bool_or("_a").alias("_a"))
+    over = Window.partitionBy(*by).orderBy(F.asc("_b") if back else F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    return marks.withColumn("_c", F.last("_e", True).over(over)).where("_a and _c is not null").select(*by, "_b", "_c.*")
+
+
+def _beside(obs: DataFrame, samples: DataFrame, by: list[str], time: str, seq: str, sides: list[str], bucket_s: float) -> DataFrame:
+    """``obs`` with ``_o`` (its time in microseconds) and structs (_t, _q) of the last sample at or before it (``back``), the first at or after it (``ahead``), as ``sides`` asks.
+
+    Instants are made distinct first (of samples at one time the first in sequence stands), then dealt by (key, bucket); a bucket begins with what is carried
+    into it from the buckets before. Observations join the answers by key and time, so many at one instant are one question. Null keys and times find nothing.
     """
-    none = F.lit(None).cast("bigint")
-    both = obs.select(*by, micros(time).alias("_t"), F.lit(0).alias("_k"), none.alias("_s"), none.alias("_q"), F.col(key).alias("_o")).unionByName(samples.select(*by, micros(time).alias("_t"), F.lit(1).alias("_k"), micros(time).alias("_s"), F.col(seq).cast("bigint").alias("_q"), none.alias("_o")))
-    side = F.when(F.col("_k") == 1, F.struct(F.col("_s").alias("s"), F.col("_q").alias("q")))
-    # of samples at one time the first in sequence: last before it, first after it
-    back = Window.partitionBy(*by).orderBy("_t", F.desc("_k"), F.desc("_q")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("_t", "_k", "_q").rowsBetween(0, Window.unboundedFollowing)
-    w = both.withColumn("_p", F.last(side, True).over(back)).withColumn("_n", F.first(side, True).over(ahead)).where("_k = 0")
-    gap = lambda c: F.abs(F.col(f"{c}.s") - F.col("_t"))
-    take_back = F.col("_p").isNotNull() & (F.col("_n").isNull() | (gap("_p") < gap("_n")) | ((gap("_p") == gap("_n")) & (F.col("_p.q") <= F.col("_n.q"))))
-    best = F.when(take_back, F.col("_p")).otherwise(F.col("_n"))
-    return obs.join(w.select(F.col("_o").alias(key), (best["s"] - F.col("_t")).alias("nearest_us"), best["q"].alias("nearest_seq")), key, "left")
+    width = int(bucket_s * 1e6)
+    dealt = lambda df: df.where("_t is not null").withColumn("_b", F.floor(F.col("_t") / width))
+    asked = dealt(obs.select(*by, micros(time).alias("_t"))).distinct()
+    instants = dealt(samples.select(*by, micros(time).alias("_t"), F.col(seq).cast("bigint").alias("_q"))).groupBy(*by, "_b", "_t").agg(F.min("_q").alias("_q"))
+    buckets = asked.select(*by, "_b").distinct()
+    known = instants.select(*by, "_b", "_t", "_q")
+    for side in sides:
+        known = known.unionByName(_carried(buckets, instants, by, side == "back"))
+    known = known.select(*by, "_b", "_t", F.struct("_t", "_q").alias("_s"))
+    both = known.unionByName(asked.select(*by, "_b", "_t", F.lit(None).cast(known.schema["_s"].dataType).alias("_s")))
+    # both directions look back over rows that are there already: a frame that ends with the partition would be read again for each row
+    order = {"back": F.asc("_t"), "ahead": F.desc("_t")}
+    over = {k: Window.partitionBy(*by, "_b").orderBy(order[k], F.isnull("_s")).rowsBetween(Window.unboundedPreceding, 0) for k in sides}
+    found = both.withColumns({k: F.last("_s", True).over(over[k]) for k in sides}).where("_s is null").select(*by, F.col("_t").alias("_o"), *sides)
+    return obs.withColumn("_o", micros(time)).join(found, [*by, "_o"], "left")
+
+
+def nearest_either_side(obs: DataFrame, samples: DataFrame, by: list[str], time: str, seq: str, bucket_s: float = BUCKET_S) -> DataFrame:
+    """For each observation the nearest sample at any distance: ``nearest_us`` (signed) and ``nearest_seq``; null without samples. Of equally near ones the first in sequence."""
+    both = _beside(obs, samples, by, time, seq, ["back", "ahead"], bucket_s)
+    gap = lambda k: F.abs(F.col(f"{k}._t") - F.col("_o"))
+    nearer = (gap("back") < gap("ahead")) | ((gap("back") == gap("ahead")) & (F.col("back._q") <= F.col("ahead._q")))
+    best = F.when(F.col("ahead").isNull() | nearer, F.col("back")).otherwise(F.col("ahead"))
+    return both.select(*obs.columns, (best["_t"] - F.col("_o")).alias("nearest_us"), best["_q"].alias("nearest_seq"))
 
 
 def band(obs: DataFrame, samples: DataFrame, by: list[str], time: str, half_s: float, key: str, aggregates: list[Column], columns: list[str]) -> DataFrame:
@@ -55,14 +85,10 @@ def band(obs: DataFrame, samples: DataFrame, by: list[str], time: str, half_s: f
     return obs.join(o.join(s, [*by, "_b"]).where(F.abs(F.col("_s") - F.col("_t")) <= width).groupBy(key).agg(*aggregates), key, "left")
 
 
-def as_of(obs: DataFrame, samples: DataFrame, by: list[str], time: str, seq: str, key: str) -> DataFrame:
-    """The last sample at or before each observation: ``asof_us`` (not positive) and ``asof_seq``."""
-    none = F.lit(None).cast("bigint")
-    both = obs.select(*by, micros(time).alias("_t"), F.lit(1).alias("_k"), none.alias("_q"), F.col(key).alias("_o")).unionByName(samples.select(*by, micros(time).alias("_t"), F.lit(0).alias("_k"), F.col(seq).cast("bigint").alias("_q"), none.alias("_o")))
-    w = Window.partitionBy(*by).orderBy("_t", "_k", F.desc("_q")).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_k") == 0, F.struct(F.col("_t").alias("s"), F.col("_q").alias("q"))), True).over(w)
-    found = both.withColumn("_l", last).where("_k = 1").select(F.col("_o").alias(key), (F.col("_l.s") - F.col("_t")).alias("asof_us"), F.col("_l.q").alias("asof_seq"))
-    return obs.join(found, key, "left")
+def as_of(obs: DataFrame, samples: DataFrame, by: list[str], time: str, seq: str, bucket_s: float = BUCKET_S) -> DataFrame:
+    """The last sample at or before each observation: ``asof_us`` (not positive) and ``asof_seq``; of samples at one time the first in sequence."""
+    got = _beside(obs, samples, by, time, seq, ["back"], bucket_s)
+    return got.select(*obs.columns, (F.col("back._t") - F.col("_o")).alias("asof_us"), F.col("back._q").alias("asof_seq"))
 
 
 def same_time(a: DataFrame, b: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -72,8 +98,6 @@ def same_time(a: DataFrame, b: DataFrame, by: list[str], values: list[str]) -> D
     return x.join(y, by, "full_outer").withColumn("side", F.when(F.col("b").isNull(), "a").when(F.col("a").isNull(), "b").otherwise("both"))
 
 
-
-
 def nearest_place(points: DataFrame, places: DataFrame, key: str, distance: Column, order: str, keep: list[str], max_distance: float, cell: float) -> DataFrame:
     """Left join with the nearest place, by a grid: points go to the nine cells around them, places to their own.
 

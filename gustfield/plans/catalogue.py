@@ -61,7 +61,7 @@ NEAREST_ANY_SQL = f"""SELECT o.id, epoch_us(s.time) - epoch_us(o.time) AS neares
 
 @query(f"SELECT * FROM ({NEAREST_ANY_SQL}) WHERE nearest_us IS NULL OR abs(nearest_us) > 600000000")
 def pair_unmatched(spark, sf):
-    got = pairing.nearest_either_side(P.wind(spark, sf, OBS), P.wind(spark, sf, SAMPLES), ["station"], "time", "id", "id")
+    got = pairing.nearest_either_side(P.wind(spark, sf, OBS), P.wind(spark, sf, SAMPLES), ["station"], "time", "id")
     return got.select("id", "nearest_us", "nearest_seq").where("nearest_us is null or abs(nearest_us) > 600000000")
 
 
@@ -72,7 +72,7 @@ def pair_offset_stats(spark, sf):
 
 @query(f"SELECT o.id, (epoch_us(s.time) - epoch_us(o.time)) / 1e6 AS asof_s, CAST(s.id AS DOUBLE) AS asof_seq FROM {P.wind_sql(OBS)} o LEFT JOIN {P.wind_sql(SAMPLES)} s ON s.station = o.station AND s.time <= o.time QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY s.time DESC NULLS LAST, s.id) = 1", "asof_s")
 def pair_asof_backward(spark, sf):
-    return pairing.as_of(P.wind(spark, sf, OBS), P.wind(spark, sf, SAMPLES), ["station"], "time", "id", "id").select("id", (F.col("asof_us") / 1e6).alias("asof_s"), F.col("asof_seq").cast("double"))
+    return pairing.as_of(P.wind(spark, sf, OBS), P.wind(spark, sf, SAMPLES), ["station"], "time", "id").select("id", (F.col("asof_us") / 1e6).alias("asof_s"), F.col("asof_seq").cast("double"))
 
 
 @query(f"""SELECT o.id, count(s.id) AS n, avg(CASE WHEN s.calm THEN 0 ELSE -s.speed * sin(radians(s.from_deg)) END) AS e, avg(CASE WHEN s.calm THEN 0 ELSE -s.speed * cos(radians(s.from_deg)) END) AS nn

@@ -55,7 +55,7 @@ def test_ties_take_the_first_sample(spark):
     sam = spark.sql("select * from values (5, 7, timestamp'2024-01-01 00:15:00', 1.0), (3, 7, timestamp'2024-01-01 00:05:00', 2.0), (9, 7, timestamp'2024-01-01 00:20:00', 3.0) as t(seq, station, time, speed)")
     r = pairing.nearest_in_time(obs, sam, ["station"], "time", "seq", 600, ["speed"], "id").first()
     assert (r.sample_seq, r.offset_us) == (3, -300_000_000)
-    r = pairing.nearest_either_side(obs, sam, ["station"], "time", "seq", "id").first()
+    r = pairing.nearest_either_side(obs, sam, ["station"], "time", "seq").first()
     assert (r.nearest_seq, r.nearest_us) == (3, -300_000_000)
     edge = pairing.nearest_in_time(obs, sam.where("seq = 9"), ["station"], "time", "seq", 600, ["speed"], "id").first()
     assert edge.sample_seq == 9  # the tolerance is inclusive
