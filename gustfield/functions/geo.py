@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,27 @@ def metres_per_degree_lon(lat) -> Column:
     return F.greatest(F.lit(METRES_PER_DEGREE) * F.cos(F.radians(col(lat))), F.lit(1.0))
 
 
+@dataclass(frozen=True)
+class Degrees:
+    """A raster in degrees: rows and columns ``step`` apart, its first row at ``first_lat``, further rows to the south. Columns lie closer the farther from the equator."""
+
+    first_lat: float
+    step: float
+
+    @property
+    def down(self) -> float:
+        """Metres between rows."""
+        return self.step * METRES_PER_DEGREE
+
+    def along(self, row) -> Column:
+        """Metres between columns on a row."""
+        return F.lit(self.step) * metres_per_degree_lon(F.lit(self.first_lat) - col(row) * self.step)
+
+    def along_rows(self, rows: np.ndarray) -> np.ndarray:
+        """The same of many rows in numpy."""
+        return self.step * np.maximum(METRES_PER_DEGREE * np.cos(np.radians(self.first_lat - rows * self.step)), 1.0)
+
+
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_M) -> Column:
     p, q = F.radians(col(lat1)), F.radians(col(lat2))
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(col(lon2) - col(lon1)) / 2), 2)

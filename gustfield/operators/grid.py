@@ -11,8 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from . import places
 
+
 def dense(cells: DataFrame, extent: DataFrame) -> DataFrame:
     """All cells of each domain of ``extent`` (domain, height, width), void where ``cells`` has none."""
     full = extent.select("domain", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"), "width").select("domain", "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
@@ -112,7 +114,7 @@ def disc_mean(cells: DataFrame, extent: DataFrame, radius: float, dx: float, dy:
     ry, rx = max(r for r, _ in off), max(c for _, c in off)
     to = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in off]))
     given = cells.where(F.col(value).isNotNull()).select("domain", "row", "col", F.col(value).alias("_z"), to.alias("o")).groupBy("domain", (F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col")).agg(F.sum("_z").alias("_s"), F.count("*").alias("_n"))
-    j = cells.join(F.broadcast(extent), "domain").join(given, ["domain", "row", "col"], "left")
+    j = cells.join(small(extent), "domain").join(given, ["domain", "row", "col"], "left")
     inside = (F.col("row") >= ry) & (F.col("row") < F.col("height") - ry) & (F.col("col") >= rx) & (F.col("col") < F.col("width") - rx)
     return j.withColumn("disc_mean", F.when(inside & (F.col("_n") >= coverage * len(off)), F.col("_s") / F.col("_n"))).drop("_s", "_n", "height", "width")
 

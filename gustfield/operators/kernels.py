@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo as G
+from ..functions.sizes import small
+
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 #: Residual of a solve, relative to the divergence at first, up to which it counts as converged.
 TOL = 1e-4
@@ -99,7 +102,7 @@ def shelter_tiled(cells: DataFrame, dx: float, dy: float, sectors: int = 16, rea
         extent = extent.join(turns.select("domain", F.col("turn_deg").alias("_turn")), "domain", "left").select("domain", "last_row", "last_col", F.coalesce("_turn", F.lit(0.0)).alias("turn_deg"))
     else:
         extent = extent.withColumn("turn_deg", F.lit(0.0))
-    spread = cells.select("domain", "row", "col", "z").join(F.broadcast(extent), "domain").withColumn("tile_row", tiles("row", "last_row", halo_y)).withColumn("tile_col", tiles("col", "last_col", halo_x))
+    spread = cells.select("domain", "row", "col", "z").join(small(extent), "domain").withColumn("tile_row", tiles("row", "last_row", halo_y)).withColumn("tile_col", tiles("col", "last_col", halo_x))
     return spread.groupBy("domain", "tile_row", "tile_col").applyInPandas(run, "domain string, tile_row int, tile_col int, row int, col int, sector_deg double, sx_deg double")
 
 
@@ -260,26 +263,35 @@ def stations_along(lines: DataFrame) -> DataFrame:
     return lines.mapInPandas(run, "line_id bigint, dist double, lat double, lon double, bearing double")
 
 
-def disc_mean_tiled(cells: DataFrame, radius: float, dx: float, dy: float, coverage: float = 0.9, tile: int = 256, value: str = "z") -> DataFrame:
+def disc_mean_tiled(cells: DataFrame, radius: float, dx: float | G.Degrees, dy: float, coverage: float = 0.9, tile: int = 256, value: str = "z") -> DataFrame:
     """domain, row, col, ``disc_mean`` as grid.disc_mean has it, for wide discs: tiles with a halo of the radius, in each of which a disc is a sum over its rows.
 
     A cell is sent to the tiles whose halo holds it (nine at most while tiles are wider than discs), not to every cell of its disc. The extent of each raster (one row) is joined
-    by domain.
+    by domain. On a raster in degrees (``dx``) a disc has as many columns as the spacing of its centre's row makes it.
     """
-    halo_y, halo_x = int(radius // dy), int(radius // dx)
+    halo_y = int(radius // dy)
+    if isinstance(dx, G.Degrees):
+        # of the rows whose discs may reach a cell the columns lie closest on the first or on the last
+        halo_x = F.floor(F.lit(radius) / F.least(dx.along(F.col("row") - halo_y), dx.along(F.col("row") + halo_y))) + 1
+        spacing = dx.along_rows
+    else:
+        halo_x = F.lit(int(radius // dx))
+        spacing = lambda rows: np.full(len(rows), float(dx))
 
-    def tiles(at: str, last: str, halo: int):
+    def tiles(at: str, last: str, halo):
         return F.explode(F.sequence(F.greatest(F.floor((F.col(at) - halo) / tile), F.lit(0)), F.least(F.floor((F.col(at) + halo) / tile), F.floor(F.col(last) / tile))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         tr, tc, h, w = int(first["tile_row"]), int(first["tile_col"]), int(first["last_row"]) + 1, int(first["last_col"]) + 1
-        top, left = max(tr * tile - halo_y, 0), max(tc * tile - halo_x, 0)
-        z, there = (np.full((min((tr + 1) * tile + halo_y, h) - top, min((tc + 1) * tile + halo_x, w) - left), np.nan) for _ in range(2))
+        top, bottom = max(tr * tile - halo_y, 0), min((tr + 1) * tile + halo_y, h)
+        wide = int(radius // spacing(np.array([tr * tile - 2 * halo_y, (tr + 1) * tile + 2 * halo_y])).min()) + 1
+        left, right = max(tc * tile - wide, 0), min((tc + 1) * tile + wide, w)
+        z, there = (np.full((bottom - top, right - left), np.nan) for _ in range(2))
         z[pdf["row"] - top, pdf["col"] - left] = pdf["z"].to_numpy(float)
         there[pdf["row"] - top, pdf["col"] - left] = 1
         own = slice(tr * tile - top, (tr + 1) * tile - top), slice(tc * tile - left, (tc + 1) * tile - left)
-        mean, r, c = disc_mean_grid(z, radius, dx, dy, coverage)[own], *np.nonzero(~np.isnan(there[own]))
+        mean, r, c = disc_mean_grid(z, radius, spacing(np.arange(top, bottom)), dy, coverage)[own], *np.nonzero(~np.isnan(there[own]))
         got = mean[r, c]
         return pd.DataFrame({"domain": first["domain"], "row": (r + tr * tile).astype("int32"), "col": (c + tc * tile).astype("int32"), "disc_mean": [None if np.isnan(v) else v for v in got]})
 
@@ -288,23 +300,26 @@ def disc_mean_tiled(cells: DataFrame, radius: float, dx: float, dy: float, cover
     return spread.groupBy("domain", "tile_row", "tile_col").applyInPandas(run, "domain string, row int, col int, disc_mean double")
 
 
-def disc_mean_grid(z: np.ndarray, radius: float, dx: float, dy: float, coverage: float = 0.9) -> np.ndarray:
-    """Mean over the disc around each cell by row sums; NaN where the disc leaves the grid or too little of it is there."""
+def disc_mean_grid(z: np.ndarray, radius: float, dx: float | np.ndarray, dy: float, coverage: float = 0.9) -> np.ndarray:
+    """Mean over the disc around each cell by row sums; NaN where the disc leaves the grid or too little of it is there. ``dx`` may differ by row; the centre's counts."""
     ry = int(radius // dy)
+    h, w = z.shape
+    out = np.full(z.shape, np.nan)
+    if h <= 2 * ry:
+        return out
     have, val = (~np.isnan(z)).astype(float), np.nan_to_num(z)
     pad = lambda a: np.concatenate([np.zeros((a.shape[0], 1)), a.cumsum(1)], 1)
     ch, cv = pad(have), pad(val)
-    s, n, size = np.zeros(z.shape), np.zeros(z.shape), 0
-    rx = int(radius // dx)
-    h, w = z.shape
-    if h <= 2 * ry or w <= 2 * rx:
-        return np.full(z.shape, np.nan)
+    apart = np.broadcast_to(np.asarray(dx, float), (h,))[ry : h - ry, None]
+    cols = np.arange(w)
+    s, n, size = np.zeros((h - 2 * ry, w)), np.zeros((h - 2 * ry, w)), np.zeros((h - 2 * ry, 1))
     for d in range(-ry, ry + 1):
-        half = int(math.sqrt(max(radius**2 - (d * dy) ** 2, 0)) // dx)
+        half = (math.sqrt(max(radius**2 - (d * dy) ** 2, 0)) // apart).astype(int)
         size += 2 * half + 1
-        rows, cols = np.arange(ry, h - ry) + d, np.arange(rx, w - rx)
-        s[ry : h - ry, rx : w - rx] += cv[rows][:, cols + half + 1] - cv[rows][:, cols - half]
-        n[ry : h - ry, rx : w - rx] += ch[rows][:, cols + half + 1] - ch[rows][:, cols - half]
-    inside = np.zeros(z.shape, bool)
-    inside[ry : h - ry, rx : w - rx] = True
-    return np.where(inside & (n >= coverage * size), s / np.maximum(n, 1), np.nan)
+        to, since, rows = np.clip(cols + half + 1, 0, w), np.clip(cols - half, 0, w), slice(ry + d, h - ry + d)
+        s += np.take_along_axis(cv[rows], to, 1) - np.take_along_axis(cv[rows], since, 1)
+        n += np.take_along_axis(ch[rows], to, 1) - np.take_along_axis(ch[rows], since, 1)
+    reach = (radius // apart).astype(int)
+    inside = (cols >= reach) & (cols < w - reach)
+    out[ry : h - ry] = np.where(inside & (n >= coverage * size), s / np.maximum(n, 1), np.nan)
+    return out

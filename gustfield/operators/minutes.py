@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import bearing_from, east, half_open_gap, north
+from ..functions.sizes import small
 
 #: Speeds above which both directions of a pair count (2 kt), in m/s.
 STEADY = 2 * 1852 / 3600
@@ -49,7 +50,7 @@ def over_window(curve: DataFrame, minutes: int, value: str = "speed_rms") -> Dat
 
 def at_offsets(curve: DataFrame, offsets: DataFrame, value: str = "speed_rms") -> DataFrame:
     """Quadratic mean of a curve over drawn offsets (column ``offset``, minutes), each as often as drawn; mean and largest offset."""
-    return offsets.withColumn("lag", F.abs("offset")).join(F.broadcast(curve), "lag").agg(F.sqrt(F.avg(F.pow(value, F.lit(2)))).alias("rms"), F.avg("lag").alias("mean_offset"), F.max("lag").alias("max_offset"), F.count("*").alias("n"))
+    return offsets.withColumn("lag", F.abs("offset")).join(small(curve), "lag").agg(F.sqrt(F.avg(F.pow(value, F.lit(2)))).alias("rms"), F.avg("lag").alias("mean_offset"), F.max("lag").alias("max_offset"), F.count("*").alias("n"))
 
 
 def crossing(curve: DataFrame, level: float, value: str = "speed_rms", by: list[str] | None = None) -> DataFrame:

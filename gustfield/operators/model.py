@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles as A
 from ..functions import geo as G
+from ..functions.sizes import small
 from . import grid
 
 #: How far, in cells, a point may lie outside and still be read at the edge.
@@ -76,13 +77,16 @@ def row_spacing(row: Column | str, lat_first: float, step: float) -> tuple[Colum
     return F.lit(step) * G.metres_per_degree_lon(lat), F.lit(step * G.METRES_PER_DEGREE)
 
 
-def scale_curvature(cells: DataFrame, extent: DataFrame, length: float, dx: float, dy: float, value: str = "z") -> DataFrame:
-    """``curvature`` of the scale ``length``: mean of (z - mean of two opposite heights) / length over four axes, half a length out; null if any lies off the grid or at a void."""
+def scale_curvature(cells: DataFrame, extent: DataFrame, length: float, dx: float | Column, dy: float | Column, value: str = "z") -> DataFrame:
+    """``curvature`` of the scale ``length``: mean of (z - mean of two opposite heights) / length over four axes, half a length out; null if any lies off the grid or at a void.
+
+    ``dx`` and ``dy`` may be columns of the centre's ``row``, as row_spacing gives them for rasters in degrees.
+    """
     eta = length / 2
     diag = eta / 2**0.5
     ends = [(0, -eta), (0, eta), (-eta, 0), (eta, 0), (-diag, -diag), (diag, diag), (diag, -diag), (-diag, diag)]
     off = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x / dx).alias("ox"), F.lit(y / dy).alias("oy")) for k, (x, y) in enumerate(ends)]))
-    centre = cells.where(F.col(value).isNotNull()).select("domain", "row", "col", F.col(value).alias("_z")).join(F.broadcast(extent), "domain")
+    centre = cells.where(F.col(value).isNotNull()).select("domain", "row", "col", F.col(value).alias("_z")).join(small(extent), "domain")
     asked = centre.withColumn("o", off).select("domain", "height", "width", "row", "col", "_z", (F.col("row") + F.col("o.oy")).alias("y"), (F.col("col") + F.col("o.ox")).alias("x"), F.concat_ws("/", "domain", "row", "col", "o.k").alias("_key"))
     got = grid.sample(asked, cells, [value], 0.0)
     sums = got.groupBy("domain", "row", "col").agg(F.first("_z").alias("_z"), F.when(F.count(value) == len(ends), F.sum(value)).alias("_s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
+
 #: Degrees within which a refined position agrees with the catalogue's.
 POSITION_AGREEMENT = 0.011
 
@@ -16,7 +18,7 @@ def median_ratio(comparisons: DataFrame, by: list[str], ratio: str = "ratio") ->
 
 def centre_cell(cells: DataFrame, extent: DataFrame, value: str = "z") -> DataFrame:
     """The cell with a value nearest to each domain's centre; of equally near ones the first by row, then column."""
-    j = cells.where(F.col(value).isNotNull()).join(F.broadcast(extent), "domain")
+    j = cells.where(F.col(value).isNotNull()).join(small(extent), "domain")
     d = F.pow(F.col("row") - (F.col("height") - 1) / 2, 2) + F.pow(F.col("col") - (F.col("width") - 1) / 2, 2)
     return j.groupBy("domain").agg(F.min(F.struct(d.alias("d"), "row", "col", F.col(value).alias(value))).alias("m")).select("domain", "m.row", "m.col", f"m.{value}")
 
@@ -24,7 +26,7 @@ def centre_cell(cells: DataFrame, extent: DataFrame, value: str = "z") -> DataFr
 def terrain_offset(cells: DataFrame, model: DataFrame, value: str = "z") -> DataFrame:
     """Mean, least, most and spread of the ground less the model's height (``model``: domain, model_z) of each domain."""
     d = F.col(value) - F.col("model_z")
-    return cells.where(F.col(value).isNotNull()).join(F.broadcast(model), "domain").groupBy("domain").agg(F.avg(d).alias("mean_m"), F.min(d).alias("min_m"), F.max(d).alias("max_m"), (F.max(d) - F.min(d)).alias("spread_m"))
+    return cells.where(F.col(value).isNotNull()).join(small(model), "domain").groupBy("domain").agg(F.avg(d).alias("mean_m"), F.min(d).alias("min_m"), F.max(d).alias("max_m"), (F.max(d) - F.min(d)).alias("spread_m"))
 
 
 def field_range(cells: DataFrame, by: list[str], elevation: str, speed: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.angles import signed_gap
+from ..functions.sizes import small
 
 
 def position_index(points: DataFrame, cells: DataFrame, key: str, radius: float, dx: float, dy: float, coverage: float = 0.9) -> DataFrame:
@@ -58,7 +59,7 @@ def strided(cells: DataFrame, extent: DataFrame, target: int) -> DataFrame:
     """Every s-th row and column, s the least with about ``target`` cells left."""
     s = F.greatest(F.ceil(F.sqrt(F.col("height") * F.col("width") / target)), F.lit(1))
     e = extent.select("domain", s.alias("_s"))
-    return cells.join(F.broadcast(e), "domain").where((F.col("row") % F.col("_s") == 0) & (F.col("col") % F.col("_s") == 0)).drop("_s")
+    return cells.join(small(e), "domain").where((F.col("row") % F.col("_s") == 0) & (F.col("col") % F.col("_s") == 0)).drop("_s")
 
 
 def retained(entries: DataFrame, key: str, at: str, now: Column, fresh_days: int = 14, keep_days: int = 180, most: int = 2048) -> DataFrame:
@@ -66,4 +67,4 @@ def retained(entries: DataFrame, key: str, at: str, now: Column, fresh_days: int
     newest = entries.groupBy(key).agg(F.max(at).alias(at))
     age = (F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp"))) / 86_400_000_000
     top = newest.orderBy(F.desc(at), key).limit(most).select(key, F.lit(True).alias("_top"))  # a bounded top-k
-    return newest.join(F.broadcast(top), key, "left").select(key, at, F.when((age > keep_days) | F.col("_top").isNull(), "gone").when(age > fresh_days, "stale").otherwise("fresh").alias("state"))
+    return newest.join(small(top), key, "left").select(key, at, F.when((age > keep_days) | F.col("_top").isNull(), "gone").when(age > fresh_days, "stale").otherwise("fresh").alias("state"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.angles import bearing_from, circular_mean, east, north
+from ..functions.sizes import small
 
 
 def weights(cells: DataFrame, scales: dict[str, float] | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def weights(cells: DataFrame, scales: dict[str, float] | None = None) -> DataFra
     if any(v <= 0 for v in scales.values()):
         raise ValueError("bad-scale: a scale is positive")
     top = cells.groupBy("domain").agg(*[F.max(F.abs(x)).alias(f"_m_{k}") for k, x in src.items()])
-    j = cells.join(F.broadcast(top), "domain")
+    j = cells.join(small(top), "domain")
     for k, x in src.items():
         m = F.lit(float(scales[k])) if k in scales else F.col(f"_m_{k}")
         j = j.withColumn(k, F.when(x.isNull(), F.lit(None).cast("double")).when(m == 0, 0.0).otherwise(x / (2 * m)))
@@ -79,7 +80,7 @@ def volume(messages: DataFrame) -> DataFrame:
     half = has.groupBy("volume").agg(F.bool_or(c("hu") != c("hv")).alias("half"))
     times = messages.groupBy("volume").agg((F.min("valid_time") != F.max("valid_time")).alias("mixed"))
     code = half.join(times, "volume").select("volume", F.when(c("mixed"), "mixed-time").when(c("half"), "half-a-wind").alias("code"))
-    return wide.join(F.broadcast(code), "volume")
+    return wide.join(small(code), "volume")
 
 
 def transect_components(df: DataFrame, e: str, n: str, bearing: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
+
 
 def index_entries(lines: DataFrame, by: str = "file") -> DataFrame:
     """``message:offset:d=reference:parameter:level:forecast:`` lines: one entry each, ``last`` = byte before the next (null: to the end).
@@ -23,7 +25,7 @@ def index_entries(lines: DataFrame, by: str = "file") -> DataFrame:
 def select_entries(entries: DataFrame, wanted: DataFrame, by: str = "file") -> DataFrame:
     """Entries that match the wanted (parameter, level, forecast) verbatim, once each; ``wanted`` without a match come with null bytes."""
     keys = ["parameter", "level", "forecast"]
-    return F.broadcast(wanted.distinct()).join(entries, keys, "left").dropDuplicates([by, "start", *keys])
+    return small(wanted.distinct()).join(entries, keys, "left").dropDuplicates([by, "start", *keys])
 
 
 LISTING = "total int, items array<struct<title:string,sourceId:string,format:string,downloadURL:string,boundingBox:struct<minX:double,maxX:double,minY:double,maxY:double>,publicationDate:string,sizeInBytes:bigint>>"

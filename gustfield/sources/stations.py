@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import UNITS, to_metres_a_second
+from ..functions.sizes import small
 from .rejects import first_failure
 
 #: Largest plausible speeds (m/s; the one-minute record in knots), speed below which air counts as calm (m/s).
@@ -86,7 +87,7 @@ def remote_stations(table: DataFrame, minutes: DataFrame | None = None, hour_bin
     c = lambda n: F.col(f"`{n}`")
     blank = lambda x: x.isNull() | (F.trim(x) == "")
     t = table.withColumn("_id", F.trim(c("StationId")))
-    t = t.join(F.broadcast(minutes.select(F.col("station_id").alias("_id"), "transmit_minute")), "_id", "left") if minutes is not None else t.withColumn("transmit_minute", F.lit(None).cast("int"))
+    t = t.join(small(minutes.select(F.col("station_id").alias("_id"), "transmit_minute")), "_id", "left") if minutes is not None else t.withColumn("transmit_minute", F.lit(None).cast("int"))
     label = F.try_to_timestamp(c("DateTime"))
     m = F.col("transmit_minute")
     sent = F.timestamp_micros(F.unix_micros(label) + (m - F.when(m >= 30, 60).otherwise(0)).cast("bigint") * 60_000_000)

@@ -9,6 +9,7 @@ import pytest
 import gustfield.plans.anomaly_fields  # noqa: F401  registers its queries
 import gustfield.plans.catalogue_documents  # noqa: F401
 import gustfield.plans.comparisons  # noqa: F401
+import gustfield.plans.degrees  # noqa: F401
 import gustfield.plans.fields  # noqa: F401
 import gustfield.plans.point_fields  # noqa: F401
 import gustfield.plans.stations  # noqa: F401
