@@ -1,21 +1,20 @@
-"""Phrase collocations: minimal perfect hashes of Apriori-safe candidates, counted by slot.
+"""Phrase collocations: minimal perfect hashes of words and of phrases, Apriori-safe n-grams counted by range.
 
 Phrases are 2 to 4 consecutive words of a piece (texts are cut into pieces at marks), counted in each language apart. A phrase can
 only be frequent if all its parts are, so:
 
-1. Words are counted as rows; the frequent ones (``least`` times or more) set bits of a map. Words are known by 64-bit hashes from here on; the vocabulary is
-   searched for words that share one, and if any do, other hashes are taken.
-2. Mappers bincount all pairs of frequent words into slots of fixed number, each into one of either of two tables (saturated at ``least``); a tree sums them. A pair
-   in a slot that stays below isn't frequent: the slots that don't are maps of bits. Longer n-grams, as far as their pairs stand in the maps, get maps in the same way.
-3. What these maps let through, an n-gram with all its parts, is a candidate, identified by its language and the hashes of its words. Each mapper's distinct ones go, packed by
-   ranges of their keys, up a tree that unites them; candidates are a table of distinct rows.
-4. In blocks of a bounded size they get a minimal perfect hash: each candidate a slot, in which a second, independent hash of it is stored. Mappers look n-grams
-   up, verify them against the stored key and bincount the slots; a tree sums the arrays. These counts are exact.
-5. The counts of a phrase, and of the two parts of each of its cuts, are read by slot. Scores, the search for longer phrases that hold a
-   candidate, and the ranks are DataFrame operations, in decimals where products may pass 64 bits.
+1. Words are counted as rows. Words are known by 64-bit hashes; the vocabulary is searched for words that share one, and if any do, other hashes
+   are taken. The frequent ones (``least`` times or more) of each language get a minimal perfect hash: a word's slot, in which a second, independent
+   hash and its count are stored, is its number from here on.
+2. Mappers count pairs of frequent words. Their distinct pairs go, sorted and packed, to the ranges that the leading words belong to, where the counts of all
+   mappers are added up. These counts are exact; what stays below ``least`` goes. Each range also gives a map of bits of its frequent pairs.
+3. Longer n-grams all of whose pairs stand in the maps are counted in the same way.
+4. The frequent n-grams of a range get a minimal perfect hash, and the counts of the parts that a phrase begins with are read by slot; those of the parts
+   that it ends with likewise, in the ranges of the last two words.
+5. Scores, the search for longer phrases that hold a candidate, and the ranks are DataFrame operations, in decimals where products may pass 64 bits.
 
-What is broadcast has a fixed size: the bit maps, and a block of at most about ``BLOCK`` candidates with keys and counts. More candidates mean more blocks, and each is a pass over
-the texts: bounded memory, but time by the number of blocks. Arrays travel compressed; an array of a task is mostly zeros.
+The texts are read three times whatever their number and that of the phrases. Broadcast are the frequent words (24 bytes each) and the maps
+of pairs, whose size ends at 2**SLOT_BITS[2] bits; beyond it they let more n-grams be counted in vain, not fewer.
 
 Null texts are empty; null languages are ``und``. Texts without words, and tables without frequent phrases, give nothing. Copies count each.
 Very long texts are read whole, by themselves. Equal scores and counts are ordered by the phrase's bytes.
@@ -29,17 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import columnar as C
+from .ngram_scores import squeeze, unsqueeze
 
 MARKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LONGEST = 4
-#: Bits of the numbers of slots by length of n-gram (1: of the map of frequent words), and slots of a row on the way.
-SLOT_BITS, RANGE = {1: 24, 2: 24, 3: 23, 4: 23}, 1 << 16
-#: Ranges of the candidates' keys, and how many candidates of a length a mapper holds before it hands them on.
-KEY_BITS, HELD = 9, 1 << 19
-#: Candidates of a block, about.
-BLOCK = 1 << 21
+#: Most bits of the maps of frequent n-grams by their length, and bits of a range's number.
+SLOT_BITS, KEY_BITS = {2: 28}, 9
+#: Distinct n-grams of a length that a task holds before it hands them on or adds them up.
+BLOCK = 1 << 20
 #: Bytes of text that a mapper works on at a time.
 SLICE = 2 << 20
+#: Rows of phrases in an Arrow batch.
+ROWS = 1 << 15
 
 
 class Words:
@@ -70,38 +70,81 @@ def next_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
     return C.mix(key * np.uint64(C.WORD_BASE) + word)
 
 
-def slot(key: np.ndarray, bits: int, table: int) -> np.ndarray:
-    """Slot of a key in one of two tables: its first or last bits."""
-    return ((key >> np.uint64(64 - bits)) if table == 0 else (key & np.uint64((1 << bits) - 1))).astype(np.int64)
+def number_bits(words: int) -> int:
+    """Bits of the number of one of so many words."""
+    return max(1, words.bit_length())
 
 
-class Maps:
-    """Bit maps by length of n-gram and table; sizes: bits of a slot's number by length."""
+def joined(ids: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """N-grams of numbers of so many bits (32 at most) as one column of integers, or two, in the same order."""
+    out = []
+    for i in range(0, len(ids), 64 // bits):
+        col = np.zeros(len(ids[0]), np.uint64)
+        for x in ids[i : i + 64 // bits]:
+            col = col << np.uint64(bits) | x
+        out.append(col)
+    return out
+
+
+def apart(cols: list[np.ndarray], n: int, bits: int) -> list[np.ndarray]:
+    """The numbers that ``joined`` has put together."""
+    out, mask = [], np.uint64((1 << bits) - 1)
+    for i, col in zip(range(0, n, 64 // bits), cols):
+        k = min(64 // bits, n - i)
+        out += [col >> np.uint64(bits * (k - 1 - j)) & mask for j in range(k)]
+    return out
+
 
-    def __init__(self, bits: dict[tuple[int, int], np.ndarray], sizes: dict[int, int]):
-        self.bits, self.sizes = bits, sizes
+def tallied(cols: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct n-grams in order and the sums of their counts (1 each if there are none)."""
+    if len(cols) == 1 and counts is None:
+        keys, n = np.unique(cols[0], return_counts=True)
+        return [keys], n
+    order = np.argsort(cols[0]) if len(cols) == 1 else np.lexsort(cols[::-1])
+    cols, new = [c[order] for c in cols], np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    at = np.flatnonzero(new)
+    if counts is None or not len(at):
+        return [c[at] for c in cols], np.diff(np.append(at, len(order)))
+    return [c[at] for c in cols], np.add.reduceat(counts[order], at)
 
-    def has(self, key: np.ndarray, n: int, table: int) -> np.ndarray:
-        at = slot(key, self.sizes[n], table)
-        return (self.bits[n, table][at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    def survivors(self, words: Words, longest: int = LONGEST):
-        """n, places and keys of the n-grams all of whose parts the maps have; lengths without maps of their own take all."""
-        key = first_key(words.hash, words.lang, 0)
-        ok = np.ones(len(key), bool)
-        for n in range(1, longest + 1):
-            if n > 1:
-                ok = ok[:-1] & ok[1:] & (words.piece[n - 1 :] == words.piece[: len(ok) - 1])
-                key = next_key(key[:-1], words.hash[n - 1 :])
-            at = np.flatnonzero(ok)
-            for table in (0, 1):
-                if (n, table) in self.bits:
-                    at = at[self.has(key[at], n, table)]
-            ok[:] = False
-            ok[at] = True
-            yield n, at, key[at]
-            if not len(at):
-                return
+def part_of(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Range of a pair of words' numbers."""
+    return (C.mix(one << np.uint64(32) | two, 31) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+class PairMap:
+    """Maps of bits of the frequent pairs of each range, two bits a pair."""
+
+    def __init__(self, parts: dict[int, bytes]):
+        self.base, self.mask = np.zeros(1 << KEY_BITS, np.int64), np.full(1 << KEY_BITS, 63, np.uint64)
+        at, bits = 8, [bytes(8)]
+        for part, own in parts.items():
+            self.base[part], self.mask[part] = at, len(own) * 8 - 1
+            at += len(own)
+            bits.append(own)
+        self.bits = np.frombuffer(b"".join(bits), np.uint8)
+
+    @staticmethod
+    def places(one: np.ndarray, two: np.ndarray, mask) -> tuple[np.ndarray, np.ndarray]:
+        h = C.mix(one << np.uint64(32) | two, 3)
+        return (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)
+
+    @staticmethod
+    def made(one: np.ndarray, two: np.ndarray, most: int) -> bytes:
+        """Map of the pairs of one range, of 2**most bits at most."""
+        size = 1 << max(6, min(most, (16 * len(one)).bit_length()))
+        bits = np.zeros(size, bool)
+        for at in PairMap.places(one, two, np.uint64(size - 1)):
+            bits[at] = True
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    def has(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        part, out = part_of(one, two), np.ones(len(one), bool)
+        for at in self.places(one, two, self.mask[part]):
+            out &= self.bits[self.base[part] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1 > 0
+        return out
 
 
 class PerfectHash:
@@ -143,46 +186,46 @@ class PerfectHash:
 
 
 class Block:
-    """A block of candidates: slots, the stored keys, and counts by slot once they are known."""
+    """Words or phrases: slots, the stored keys, and counts by slot once they are known."""
 
-    def __init__(self, keys: np.ndarray, stored: np.ndarray):
+    def __init__(self, keys: np.ndarray, stored: np.ndarray, **by_slot: np.ndarray):
         self.hash = PerfectHash(keys)
-        self.stored, self.counts = np.zeros(len(keys), np.uint64), None
-        self.stored[self.hash(keys)] = stored
+        at = self.hash(keys)
+        for name, values in {"stored": stored, **by_slot}.items():
+            own = np.zeros(len(keys), values.dtype)
+            own[at] = values
+            setattr(self, name, own)
 
     def find(self, keys: np.ndarray, stored: np.ndarray) -> np.ndarray:
-        """Slots of n-grams, -1 for those that aren't in the block."""
+        """Slots, -1 for what isn't in the block."""
         at = self.hash(keys)
         if len(self.stored):
             at[self.stored[at] != stored] = -1
         return at
 
 
-def _tuple_keys(lang: np.ndarray, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Key and stored key of n-grams given by the hashes of their words."""
-    key, stored = first_key(words[0], lang, 0), first_key(words[0], lang, 5)
+def _tuple_keys(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Key and stored key of n-grams given by the numbers of their words."""
+    none = np.zeros(len(words[0]), np.uint64)
+    key, stored = first_key(words[0], none, 0), first_key(words[0], none, 5)
     for w in words[1:]:
         key, stored = next_key(key, w), next_key(stored, w)
     return key, stored
 
 
-def _columns(batch: pa.RecordBatch):
-    """Rows of candidates by length: n, row numbers, hashes of languages and words."""
-    n = C.column(batch, "n").to_numpy(zero_copy_only=False)
-    lang = C.column(batch, "g").to_numpy(zero_copy_only=False).view(np.uint64)
-    words = [C.column(batch, f"w{k}").fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, LONGEST + 1)]
-    for m in range(1, LONGEST + 1):
-        at = np.flatnonzero(n == m)
-        if len(at):
-            yield m, at, lang[at], [w[at] for w in words[:m]]
+def _phrase_block(phrases: list[tuple[list[np.ndarray], np.ndarray]]) -> Block:
+    """Phrases (numbers of words, counts) of several lengths with their counts by slot."""
+    keys = [_tuple_keys(ids) for ids, _ in phrases]
+    none = np.zeros(0, np.uint64)
+    return Block(*(np.concatenate([none, *(k[i] for k in keys)]) for i in (0, 1)), counts=np.concatenate([np.zeros(0, np.int64), *(c for _, c in phrases)]))
 
 
-def _ranges(kind: int, array: np.ndarray):
-    """Parts of an array as rows (k, part, value), without those that are zero."""
-    for at in range(0, len(array), RANGE):
-        part = array[at : at + RANGE]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([at // RANGE], pa.int64()), pa.array([C.packed(part)], pa.binary())], ["k", "part", "value"])
+def _counts(block: Block, words: list[np.ndarray]) -> np.ndarray:
+    """Counts of phrases that are all in the block."""
+    at = block.find(*_tuple_keys(words))
+    if (at < 0).any():
+        raise ValueError("a part of a frequent phrase isn't frequent")
+    return block.counts[at]
 
 
 class Mining:
@@ -219,151 +262,154 @@ class Mining:
             self.scratch.drop(found)
             self.seed += 1
 
-    def word_map(self, frequent: DataFrame) -> np.ndarray:
-        """Bits of the slots of frequent words' keys."""
-
-        size = SLOT_BITS[1]
+    def numbered(self, frequent: DataFrame) -> tuple[Block, DataFrame]:
+        """The frequent words' block (count and language by slot), and the words with their slots as ``id``."""
+        table = frequent.select("h", "g", "f").toArrow()
+        h, g, f = (table.column(c).to_numpy() for c in ("h", "g", "f"))
+        h, g = h.view(np.uint64), g.view(np.uint64)
+        block = Block(first_key(h, g, 0), first_key(h, g, 5), counts=f, lang=g.view(np.int64))
+        held = self.spark.sparkContext.broadcast(block)
 
         def fn(batches):
             for batch in batches:
                 h, g = (C.column(batch, c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h", "g"))
-                key = first_key(h, g, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(slot(key, size, 0))], ["p"])
+                yield pa.RecordBatch.from_arrays([pa.array(held.value.find(first_key(h, g, 0), first_key(h, g, 5))), C.column(batch, "word")], ["id", "word"])
 
-        at = frequent.select("g", "h").mapInArrow(fn, "p bigint")
-        rows = at.groupBy(F.shiftright("p", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
-        out = np.zeros(1 << size - 6, np.int64)
-        out[rows.column("i").to_numpy()] = rows.column("b").to_numpy()
-        return out.view(np.uint8)
+        return block, frequent.select("h", "g", "word").mapInArrow(C.tidy(fn), "id bigint, word string")
 
-    def slot_maps(self, maps: Maps, lengths: list[int]) -> Maps:
-        """With maps of the slots that ``least`` n-grams or more of these lengths fall into."""
-        held, least, kind = self.spark.sparkContext.broadcast(maps), self.least, np.min_scalar_type(self.least).str
+    def counted(self, words: Block, lengths: list[int], pairs: PairMap | None = None) -> DataFrame:
+        """n, part, k, m, c (packed: n-grams as ``joined`` has them, counts), bits (of pairs: their map): n-grams of frequent words that occur ``least`` times or
+        more, those without a pair that ``pairs`` doesn't have."""
+        held, known = self.spark.sparkContext.broadcast(words), self.spark.sparkContext.broadcast(pairs)
+        bits, least, most, map_bits = self.bits, self.least, BLOCK, SLOT_BITS[2] - KEY_BITS
 
-        def fn(pieces):
-            counts = {(n, t): np.zeros(1 << held.value.sizes[n], kind) for n in lengths for t in (0, 1)}
-            for w, _ in pieces:
-                for n, _, key in held.value.survivors(w, max(lengths)):
-                    if n in lengths:
-                        for t in (0, 1):
-                            at, c = np.unique(slot(key, held.value.sizes[n], t), return_counts=True)
-                            counts[n, t][at] = np.minimum(counts[n, t][at] + c, least)
-            for (n, t), array in counts.items():
-                yield from _ranges(2 * n + t, array)
-
-        def told(batches):
-            for batch in batches:
-                bits = [np.packbits(C.unpacked(v.as_buffer(), kind) >= least, bitorder="little").tobytes() for v in C.column(batch, "value")]
-                yield pa.RecordBatch.from_arrays([C.column(batch, "k"), C.column(batch, "part"), pa.array(bits, pa.binary())], ["k", "part", "bits"])
-
-        bits = maps.bits | {(n, t): np.zeros(1 << maps.sizes[n] - 3, np.uint8) for n in lengths for t in (0, 1)}
-        with C.small_batches(self.spark, 256):
-            sums = C.tree_sum(self.mapped(fn, "k bigint, part bigint, value binary"), ["k", "part"], kind, least)
-            for k, part, value in sums.mapInArrow(told, "k bigint, part bigint, bits binary").collect():
-                bits[k // 2, k % 2][part * RANGE // 8 : (part + 1) * RANGE // 8] = np.frombuffer(value, np.uint8)
-        return Maps(bits, maps.sizes)
-
-    def candidates(self, maps: Maps, frequent: DataFrame) -> DataFrame:
-        """g (hash of the language), n, w1 to w4 (hashes of words), key, stored: frequent words, and all longer n-grams that the maps let through."""
-        held = self.spark.sparkContext.broadcast(maps)
-        names = ["g", "n", "w1", "w2", "w3", "w4", "key", "stored"]
-        schema = "g bigint, n int, w1 bigint, w2 bigint, w3 bigint, w4 bigint, key bigint, stored bigint"
-
-        def distinct(total, rows):
-            """Rows of key, language and words (absent ones 0), one for each key."""
-            rows = rows.reshape(-1, LONGEST + 2)
-            both = rows if total is None else np.concatenate([total, rows])
-            return both[np.unique(both[:, 0], return_index=True)[1]]
-
-        def parts(n, rows):
-            """Sorted rows by range of keys."""
-            cuts = np.flatnonzero(np.diff(slot(rows[:, 0], KEY_BITS, 0), prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(rows)]):
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([int(rows[a, 0] >> np.uint64(64 - KEY_BITS))]), pa.array([C.packed(rows[a:b])], pa.binary())], ["n", "part", "value"])
+        def united(parts):
+            return tallied([np.concatenate(c) for c in zip(*(p[0] for p in parts))], np.concatenate([p[1] for p in parts])) if len(parts) > 1 else parts[0]
 
-        def fn(pieces):
-            seen: dict[int, np.ndarray] = {}
-            for w, _ in pieces:
-                for n, at, key in held.value.survivors(w):
-                    if n > 1 and len(at):
-                        key, one = np.unique(key, return_index=True)
-                        rows = np.zeros((len(key), LONGEST + 2), np.uint64)
-                        rows[:, : n + 2] = np.stack([key, w.lang[at[one]], *(w.hash[at[one] + k] for k in range(n))], 1)
-                        seen[n] = distinct(seen.get(n), rows)
-                        if len(seen[n]) > HELD:
-                            yield from parts(n, seen.pop(n))
-            for n, rows in seen.items():
-                yield from parts(n, rows)
-
-        def opened(batches):
-            for batch in batches:
-                for n, value in zip(C.column(batch, "n").to_pylist(), C.column(batch, "value")):
-                    yield from listed(n, C.unpacked(value.as_buffer(), "u8").reshape(-1, LONGEST + 2)[:, 1:])
-
-        def words(batches):
-            for batch in batches:
-                g, h = (C.column(batch, c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("g", "h"))
-                yield from listed(1, np.stack([g, h], 1))
-
-        def listed(n, rows):
-            key, stored = _tuple_keys(rows[:, 0], [rows[:, k] for k in range(1, n + 1)])
-            for i in range(0, len(rows), 1 << 15):
-                j = slice(i, i + (1 << 15))
-                own = [pa.array(rows[j, k].view(np.int64)) for k in range(n + 1)]
-                none = pa.nulls(len(own[0]), pa.int64())
-                yield pa.RecordBatch.from_arrays([own[0], pa.array(np.full(len(none), n, np.int32)), *own[1:], *[none] * (LONGEST - n), pa.array(key[j].view(np.int64)), pa.array(stored[j].view(np.int64))], names)
+        def row(n, part, cols, counts, *more):
+            second = squeeze(cols[1]) if len(cols) > 1 else None
+            return [pa.array([n]), pa.array([part]), *(pa.array([x], pa.binary()) for x in (squeeze(np.diff(cols[0], prepend=np.uint64(0))), second, squeeze(counts), *more))]
 
-        with C.small_batches(self.spark, 64):
-            longer = C.tree(self.mapped(fn, "n bigint, part bigint, value binary"), ["n", "part"], "u8", distinct)
-            return self.scratch.write(longer.mapInArrow(opened, schema).unionByName(frequent.select("g", "h").mapInArrow(words, schema)), "candidates")
-
-    def counted(self, block: Block, maps: Maps) -> np.ndarray:
-        """How often each candidate of the block occurs, by slot."""
-        held, known, size = self.spark.sparkContext.broadcast(block), self.spark.sparkContext.broadcast(maps), len(block.stored)
+        def handed(n, parts):
+            cols, counts = united(parts)
+            one, two = apart(cols, n, bits)[:2]
+            part = part_of(one, two)
+            order = np.argsort(part.astype(np.uint16), kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(own):
+                    yield pa.RecordBatch.from_arrays(row(n, int(part[own[0]]), [c[own] for c in cols], counts[own]), ["n", "part", "k", "m", "c"])
 
         def fn(pieces):
-            counts = np.zeros(size, np.int64)
+            got, size = {n: [] for n in lengths}, dict.fromkeys(lengths, 0)
             for w, _ in pieces:
-                stored = first_key(w.hash, w.lang, 5)
-                for n, at, key in known.value.survivors(w):
-                    if n > 1:
-                        stored = next_key(stored[:-1], w.hash[n - 1 :])
-                    found = held.value.find(key, stored[at])
-                    found = found[found >= 0]
-                    counts += np.bincount(found, minlength=size) if len(found) * 8 > size else 0
-                    if len(found) * 8 <= size:
-                        np.add.at(counts, found, 1)
-            yield from _ranges(0, counts)
-
-        out = np.zeros(size, np.int64)
-        with C.small_batches(self.spark, 64):
-            sums = C.tree_sum(self.mapped(fn, "k bigint, part bigint, value binary"), ["k", "part"], "int64")
-            for _, part, value in sums.collect():
-                out[part * RANGE : (part + 1) * RANGE] = C.unpacked(bytes(value), "int64")
-        return out
-
-    def with_cuts(self, rows: DataFrame, block: Block) -> DataFrame:
-        """Adds to ``a`` and to ``l1`` .. ``l3``, ``r1`` .. ``r3`` the counts that the block has of the phrase and of the parts of its cuts."""
-        held = self.spark.sparkContext.broadcast(block)
-        parts = ["a", "l1", "r1", "l2", "r2", "l3", "r3"]
+                at = held.value.find(first_key(w.hash, w.lang, 0), first_key(w.hash, w.lang, 5))
+                ids, ok = at.astype(np.uint64), (at[:-1] >= 0) & (at[1:] >= 0) & (w.piece[:-1] == w.piece[1:])
+                if known.value is not None:
+                    may = np.flatnonzero(ok)
+                    ok[may] = known.value.has(ids[may], ids[may + 1])
+                for n in range(2, max(lengths) + 1):
+                    at = np.flatnonzero(ok)
+                    if n in lengths and len(at):
+                        got[n].append(tallied(joined([ids[at + k] for k in range(n)], bits)))
+                        size[n] += len(got[n][-1][1])
+                        if size[n] > most:
+                            yield from handed(n, got[n])
+                            got[n], size[n] = [], 0
+                    ok = ok[:-1] & ok[1:]
+            for n, parts in got.items():
+                if parts:
+                    yield from handed(n, parts)
+
+        def total(batches):
+            now, held, size = None, [], 0
+
+            def done():
+                n, part = now
+                cols, counts = united(held)
+                often = counts >= least
+                cols, counts = [c[often] for c in cols], counts[often]
+                own = PairMap.made(*apart(cols, 2, bits), map_bits) if n == 2 else None
+                return pa.RecordBatch.from_arrays(row(n, part, cols, counts, own), ["n", "part", "k", "m", "c", "bits"])
 
-        def fn(batches):
             for batch in batches:
-                sums = {p: C.column(batch, p).to_numpy(zero_copy_only=False).copy() for p in parts}
-
-                def add(to, at, lang, words):
-                    found = held.value.find(*_tuple_keys(lang, words))
-                    mine = found >= 0
-                    sums[to][at[mine]] += held.value.counts[found[mine]]
-
-                for n, at, lang, words in _columns(batch):
-                    add("a", at, lang, words)
-                    for k in range(1, n):
-                        add(f"l{k}", at, lang, words[:k])
-                        add(f"r{k}", at, lang, words[k:])
-                yield pa.RecordBatch.from_arrays([pa.array(sums[c]) if c in sums else C.column(batch, c) for c in batch.schema.names], batch.schema.names)
-
-        return rows.mapInArrow(C.tidy(fn), rows.schema)
+                for *key, k, m, c in zip(*(C.column(batch, x).to_pylist() for x in ("n", "part", "k", "m", "c"))):
+                    if key != now:
+                        if now is not None:
+                            yield done()
+                        now, held, size = key, [], 0
+                    held.append(([np.cumsum(unsqueeze(k), dtype=np.uint64), *([] if m is None else [unsqueeze(m)])], unsqueeze(c).astype(np.int64)))
+                    size += len(held[-1][1])
+                    if size > most + 2 * len(held[0][1]):
+                        held = [united(held)]
+                        size = len(held[0][1])
+            if now is not None:
+                yield done()
+
+        packed = "n bigint, part bigint, k binary, m binary, c binary"
+        with C.small_batches(self.spark, 64):
+            rows = self.mapped(fn, packed).repartition("n", "part").sortWithinPartitions("n", "part")
+            return self.scratch.write(rows.mapInArrow(C.tidy(total), f"{packed}, bits binary"), "counts")
+
+    def with_cuts(self, words: Block, counted: DataFrame) -> DataFrame:
+        """g, n, w1 to w4 (numbers of words), a, l1 to l3, r1 to r3: the frequent phrases with the counts of the parts of their cuts."""
+        held, bits = self.spark.sparkContext.broadcast(words), self.bits
+        ids, cuts = [f"w{k}" for k in range(1, LONGEST + 1)], ["l1", "l2", "l3", "r1", "r2", "r3"]
+        names = ["g", "n", *ids, "a", *cuts, "part"]
+
+        def left(batches):
+            """Of a range of leading pairs: what begins a phrase, and the counts of last words."""
+            for found in together(batches):
+                block = {n: (apart(cols, n, bits), counts) for n, (cols, counts) in opened(found).items()}
+                known = _phrase_block([block[n] for n in range(2, LONGEST) if n in block])
+                for n, (own, a) in block.items():
+                    at = [x.astype(np.int64) for x in own]
+                    sums = {"l1": held.value.counts[at[0]], f"r{n - 1}": held.value.counts[at[-1]]} | {f"l{k}": _counts(known, own[:k]) for k in range(2, n)}
+                    none = np.zeros(len(a), np.int64)
+                    values = [held.value.lang[at[0]], np.full(len(a), n), *at, *[None] * (LONGEST - n), a, *(sums.get(c, none) for c in cuts), part_of(*own[-2:])]
+                    for i in range(0, len(a), ROWS):
+                        size = len(a[i : i + ROWS])
+                        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()) if v is None else pa.array(v[i : i + ROWS]) for v in values], names)
+
+        def opened(found):
+            """Phrases of one range by length; a length has one row."""
+            out = {}
+            for n, k, m, c in zip(*(found.column(x).to_pylist() for x in ("n", "k", "m", "c"))):
+                out[n] = [np.cumsum(unsqueeze(k), dtype=np.uint64), *([] if m is None else [unsqueeze(m)])], unsqueeze(c).astype(np.int64)
+            return out
+
+        def together(batches):
+            """Tables of the rows of each range, which come one after the other."""
+            rest = []
+            for batch in batches:
+                part = C.column(batch, "part").to_numpy(zero_copy_only=False)
+                at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+                for a, b in zip(at[:-1], at[1:]):
+                    if rest and C.column(rest[0], "part")[0].as_py() != part[a]:
+                        yield pa.Table.from_batches(rest)
+                        rest = []
+                    if b > a:
+                        rest.append(batch.slice(a, b - a))
+            if rest:
+                yield pa.Table.from_batches(rest)
+
+        def right(batches):
+            """Of a range of last pairs: what ends a phrase."""
+            for found in together(batches):
+                have = {c: found.column(c).to_numpy() for c in ("n", "a", *cuts)}
+                rows = {n: np.flatnonzero(have["n"] == n) for n in range(2, LONGEST + 1)}
+                own = {n: [found.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)[at].view(np.uint64) for c in ids[:n]] for n, at in rows.items()}
+                known = _phrase_block([(own[n], have["a"][rows[n]]) for n in range(2, LONGEST)])
+                sums = {c: have[c].copy() for c in cuts}
+                for n, at in rows.items():
+                    for k in range(1, n - 1):
+                        sums[f"r{k}"][at] = _counts(known, own[n][k:])
+                out = pa.table([pa.array(sums[c]) if c in sums else found.column(c) for c in names[:-1]], names[:-1])
+                yield from out.combine_chunks().to_batches(ROWS)
+
+        kinds = ", ".join(f"{c} bigint" for c in names)
+        with C.small_batches(self.spark, 64):
+            lefts = self.scratch.write(counted.drop("bits").repartition("part").sortWithinPartitions("part").mapInArrow(C.tidy(left), kinds), "left")
+        return self.scratch.write(lefts.repartition("part").sortWithinPartitions("part").mapInArrow(C.tidy(right), kinds.removesuffix(", part bigint")), "cuts")
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int = 2000, scale: int = 2_000_000, percent: int = 80) -> DataFrame:
@@ -374,38 +420,30 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     """
     run = Mining(docs, text, lang, least)
     words = run.vocabulary()
-    frequent = words.where(F.col("f") >= least)
-    maps = run.slot_maps(Maps({(1, 0): run.word_map(frequent)}, dict(SLOT_BITS)), [2])
-    maps = run.slot_maps(maps, list(range(3, LONGEST + 1)))
-    found = run.candidates(maps, frequent)
-    rows = found.drop("key", "stored").withColumns({p: F.lit(0).cast("bigint") for p in ("a", "l1", "r1", "l2", "r2", "l3", "r3")})
-    blocks = max(1, -(-found.count() // BLOCK))
-    for b in range(blocks):
-        keys = found.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).select("key", "stored").toArrow()
-        block = Block(*(keys.column(c).to_numpy().view(np.uint64) for c in ("key", "stored")))
-        block.counts = run.counted(block, maps)
-        rows = run.scratch.write(run.with_cuts(rows, block), "counts")
-    return _ranked(rows, words, frequent, least, top, scale, percent)
-
-
-def _ranked(rows: DataFrame, words: DataFrame, frequent: DataFrame, least: int, top: int, scale: int, percent: int) -> DataFrame:
+    known, named = run.numbered(words.where(F.col("f") >= least))
+    run.bits = number_bits(len(known.stored))
+    pairs = run.counted(known, [2])
+    bits = PairMap({part: bytes(own) for part, own in pairs.select("part", "bits").collect()})
+    longer = run.counted(known, list(range(3, LONGEST + 1)), bits)
+    return _ranked(run.with_cuts(known, pairs.unionByName(longer)), words, named, top, scale, percent)
+
+
+def _ranked(cands: DataFrame, words: DataFrame, named: DataFrame, top: int, scale: int, percent: int) -> DataFrame:
     wide = lambda c: f"cast({c} as decimal(38, 0))"
     own = ["g", "n", "w1", "w2", "w3", "w4"]
-    cands = rows.where((F.col("n") >= 2) & (F.col("a") >= least))
     cut = lambda k: f"if(n > {k}, named_struct('score', ({wide(scale)} * a) div ({wide(f'l{k}')} + r{k}), 'k', {k}, 'l', l{k}, 'r', r{k}), null)"
-    cands = cands.withColumn("cut", F.expr(f"array_min(filter(array({', '.join(map(cut, range(1, LONGEST)))}), x -> x is not null))"))
-    # parts of two words or more that longer phrases hold, with the largest count of one that does
-    part = lambda n, m, k: f"if(n = {n}, named_struct('n', {m}, " + ", ".join(f"'w{i}', " + (f"w{k + i}" if i <= m else "cast(null as bigint)") for i in range(1, LONGEST + 1)) + "), null)"
-    each = [part(n, m, k) for n in range(3, LONGEST + 1) for m in range(2, n) for k in range(n - m + 1)]
+    # what holds a phrase holds one that is a word longer and occurs as often at least: parts without the first or last word are all that is needed
+    part = lambda n, k: f"if(n = {n}, named_struct('n', {n - 1}L, " + ", ".join(f"'w{i}', " + (f"w{k + i}" if i < n else "cast(null as bigint)") for i in range(1, LONGEST + 1)) + "), null)"
+    each = [part(n, k) for n in range(3, LONGEST + 1) for k in (0, 1)]
     held = cands.where("n > 2").select("g", "a", F.explode(F.expr(f"filter(array({', '.join(each)}), x -> x is not null)")).alias("p")).select("g", "p.*", "a").groupBy(*own).agg(F.max("a").alias("most"))
     same = F.expr(" and ".join(f"c.{c} <=> h.{c}" for c in own))
-    alone = cands.alias("c").join(held.alias("h"), same, "left").where(f"most is null or {wide('most')} * 100 < {wide('c.a')} * {percent}").select("c.*")
-    # words take the place of their hashes; only phrases that may be among the first need them
+    scored = cands.withColumn("cut", F.expr(f"array_min(filter(array({', '.join(map(cut, range(1, LONGEST)))}), x -> x is not null))"))
+    alone = scored.alias("c").join(held.alias("h"), same, "left").where(f"most is null or {wide('most')} * 100 < {wide('c.a')} * {percent}").select("c.*")
+    # words take the place of their numbers; only phrases that may be among the first need them
     order = [F.desc("cut.score"), F.desc("a")]
     floor = alone.withColumn("_r", F.rank().over(Window.partitionBy("g").orderBy(*order))).where(F.col("_r") <= top).drop("_r")
     for k in range(1, LONGEST + 1):
-        name = frequent.select("g", F.col("h").alias(f"w{k}"), F.col("word").alias(f"word{k}"))
-        floor = floor.join(name, ["g", f"w{k}"], "left")
+        floor = floor.join(named.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}")), f"w{k}", "left")
     spelled = floor.withColumn("phrase", F.concat_ws(" ", *[f"word{k}" for k in range(1, LONGEST + 1)]))
     ranked = spelled.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*order, "phrase"))).where(F.col("rank") <= top)
     totals = words.groupBy("g", "lang").agg(F.sum("f").alias("n"))

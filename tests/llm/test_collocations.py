@@ -74,3 +74,19 @@ def test_vocabulary(spark):
     docs = spark.createDataFrame([("one two six, ONE", "en"), ("two", None)] * 30, "text string, lang string")
     run = collocations.Mining(docs, "text", "lang", 30)
     assert sorted((r.lang, r.word, r.f) for r in run.vocabulary().collect()) == [("en", "one", 60), ("en", "six", 30), ("en", "two", 30), ("und", "two", 30)]
+
+
+def test_passes_do_not_follow_the_number_of_phrases(spark, folder, monkeypatch):
+    passes, mapped = [], collocations.Mining.mapped
+    monkeypatch.setattr(collocations, "BLOCK", 20)
+    monkeypatch.setattr(collocations.Mining, "mapped", lambda self, *a: passes.append(1) or mapped(self, *a))
+    docs = spark.read.parquet(f"{folder}/full/documents.parquet")
+    assert rows(collocations.phrases(docs, least=3)) == sorted(collocations.brute_force(ROWS, least=3))
+    assert len(passes) == 3
+
+
+@pytest.mark.parametrize("bits", [17, 32])
+def test_numbers_that_fill_two_columns(spark, folder, monkeypatch, bits):
+    monkeypatch.setattr(collocations, "number_bits", lambda words: bits)
+    docs = spark.read.parquet(f"{folder}/full/documents.parquet")
+    assert rows(collocations.phrases(docs, least=4)) == sorted(collocations.brute_force(ROWS, least=4))
