@@ -11,17 +11,18 @@ count, N' for all ids, V for the vocabulary: a trigram (u, v, w) that occurs els
 does, log10 alpha c'(vw)/c'(v); any other id, log10 alpha^2 (c'(w) + 1) / (N' + V). A second id begins with its bigram, a first
 one with itself, without the factors of what isn't there.
 
-A block is formed by a hash of the whole row, so it has the same documents whenever it is computed, and its size is bounded
-(``BLOCK`` bytes of text, or one longer document). An n-gram that every document holds is one entry a block, not a document.
+A block is a run of rows of one partition of the input, and its size is bounded (``BLOCK`` bytes of text, or one longer document). Texts are
+encoded once, where they are read: a block's ids are written as one row beside the columns that pass through; n-grams are counted from there. An n-gram that every document holds is one entry a block, not a document.
 
 Null and empty texts have no ids and a null score. Equal rows are copies of each other, so what they say occurs elsewhere.
-Rows with the same id are scored one by one. Other columns pass through.
+Rows with the same id are scored one by one. Other columns pass through, or those of them that are asked for.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,27 +83,50 @@ def runs(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return order, new, np.repeat(length, length)
 
 
-def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: float = 0.4) -> DataFrame:
-    """Adds ``n_tokens``, ``n_seen`` (trigrams that occur elsewhere), ``score`` (mean log10 an id; null without ids)."""
+def trimmed() -> None:
+    """Give freed memory back, but keep the worker's stores."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: float = 0.4, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``n_tokens``, ``n_seen`` (trigrams that occur elsewhere), ``score`` (mean log10 an id; null without ids). keep: columns that pass through (all)."""
     path = path or vocabulary_path("byte_bpe_50k.json")
-    spark, outer = df.sparkSession, [c for c in df.columns if c.lower() not in ("n_tokens", "n_seen", "score")]
-    at_block = C.fresh(df, "_block")
+    spark, outer = df.sparkSession, [c for c in df.columns if c.lower() not in ("n_tokens", "n_seen", "score") and (keep is None or c in keep)]
+    at_block, at_row, at_ids = C.fresh(df, "_block"), C.fresh(df, "_row"), C.fresh(df, "_ids")
+    width, limit = 2 if codec(path).tok.get_vocab_size() <= 1 << 16 else 4, BLOCK
     size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 64)).first()[0] or 0
-    blocks = -(-int(size) // BLOCK) or 1
-    ranges = max(1, blocks // 4)
-    key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in outer if df.schema[c].dataType.typeName() not in ("map", "variant")]), F.lit(blocks))
-    dealt = df.select(*[f"`{c}`" for c in outer], key.alias(at_block))
-
-    def count(table: pa.Table) -> pa.Table:
-        flat, off = codec(path).encode(table.column(text).combine_chunks())
-        keys, n = np.unique(ngrams(flat, off)[0], return_counts=True)
-        block, rows = table.column(at_block)[0].as_py(), []
-        for r, at in enumerate(by_range(keys, ranges)):
-            if len(at):
-                rows.append({"r": r, "_block": block, "k": squeeze(np.diff(keys[at], prepend=np.uint64(0))), "n": squeeze(n[at]), "ids": None, "counts": None})
-        ids, counts = np.unique(flat, return_counts=True)
-        rows.append({"r": -1, "_block": block, "k": None, "n": None, "ids": ids.tolist(), "counts": counts.tolist()})
-        return pa.Table.from_pylist(rows, COUNTED)
+    ranges = max(1, -(-int(size) // BLOCK) // 4)
+
+    def encoded(batches):
+        """The rows, without text, and for each block one row of its ids, its texts' lengths and its counts of ids."""
+        from pyspark import TaskContext
+
+        block, names = TaskContext.get().partitionId() << 32, [*outer, at_block, at_row, at_ids]
+        for batch in C.slices(batches, at_ids, limit):
+            flat, off = codec(path).encode(C.column(batch, at_ids))
+            own, n = [C.column(batch, c) for c in outer], len(batch)
+            yield pa.RecordBatch.from_arrays([*own, pa.array([block] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.nulls(n, IDS)], names)
+            ids, counts = np.unique(flat, return_counts=True)
+            row = {"flat": zstd.compress(flat.astype(f"<u{width}").tobytes(), 3), "sizes": squeeze(np.diff(off)), "ids": ids.tolist(), "counts": counts.tolist()}
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in own), pa.array([block], pa.int64()), pa.nulls(1, pa.int32()), pa.array([row], IDS)], names)
+            block += 1
+        trimmed()
+
+    def opened(flat: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(zstd.decompress(flat), f"<u{width}").astype(np.uint32), np.concatenate([[0], np.cumsum(unsqueeze(sizes).astype(np.int64))])
+
+    def count(batches):
+        for batch in batches:
+            for block, flat, sizes in zip(*(C.column(batch, c).to_pylist() for c in ("_block", "flat", "sizes"))):
+                keys, n = np.unique(ngrams(*opened(flat, sizes))[0], return_counts=True)
+                rows = [{"r": r, "_block": block, "k": squeeze(np.diff(keys[at], prepend=np.uint64(0))), "n": squeeze(n[at])} for r, at in enumerate(by_range(keys, ranges)) if len(at)]
+                yield pa.RecordBatch.from_pylist(rows, COUNTED)
+        trimmed()
 
     def total(table: pa.Table) -> pa.Table:
         keys = [np.cumsum(unsqueeze(b), dtype=np.uint64) for b in table.column("k").to_pylist()]
@@ -111,15 +135,21 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         return pa.table({"r": table.column("r"), "_block": table.column("_block"), "n": pa.array([squeeze(sums[b]) for b in np.split(back, cuts)], pa.binary())})
 
-    partial = C.written(dealt.groupBy(at_block).applyInArrow(count, "r int, _block bigint, k binary, n binary, ids array<int>, counts array<bigint>"), "ngrams")
-    unigram = partial.where("r = -1").select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n"))
+    kinds = {**{c: df.schema[c].dataType.simpleString() for c in outer}, at_block: "bigint", at_row: "int", at_ids: "struct<flat:binary,sizes:binary,ids:array<int>,counts:array<bigint>>"}
+    texts = df.select(*[f"`{c}`" for c in outer], F.col(f"`{text}`").alias(at_ids))
+    dealt = C.written(texts.mapInArrow(encoded, ", ".join(f"`{c}` {kind}" for c, kind in kinds.items())), "ids")
+    held_ids = dealt.where(F.col(at_ids).isNotNull())
+    unigram = held_ids.select(F.explode(F.arrays_zip(f"{at_ids}.ids", f"{at_ids}.counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n"))
+    partial = held_ids.select(F.col(at_block).alias("_block"), f"{at_ids}.flat", f"{at_ids}.sizes").mapInArrow(count, "r int, _block bigint, k binary, n binary")
     held = spark.sparkContext.broadcast(_dense(unigram, path))
-    sums = partial.where("r >= 0").select("r", "_block", "k", "n").groupBy("r").applyInArrow(total, "r int, _block bigint, n binary")
+    sums = partial.groupBy("r").applyInArrow(total, "r int, _block bigint, n binary")
 
     def join(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return out_schema.empty_table()
-        flat, off = codec(path).encode(docs.column(text).combine_chunks())
+        ids = docs.filter(pc.is_valid(docs.column(at_ids))).column(at_ids)[0]
+        docs = docs.filter(pc.is_valid(docs.column(at_row))).sort_by(at_row)
+        flat, off = opened(ids["flat"].as_py(), ids["sizes"].as_py())
         keys, doc, n_two = ngrams(flat, off)
         order, new, own = runs(keys, doc)
         distinct = keys[order[new]]
@@ -149,6 +179,7 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
         total = np.bincount(whose, values, len(sizes)).astype(np.float64)
         seen = np.bincount(whose, three > 0, len(sizes)).astype(np.int64)
         means = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
+        trimmed()
         return pa.table([*(docs.column(c) for c in outer), pa.array(sizes), pa.array(seen), means], [*outer, "n_tokens", "n_seen", "score"])
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in outer] + ["n_tokens bigint", "n_seen bigint", "score double"])
@@ -157,10 +188,13 @@ def score(df: DataFrame, text: str = "text", path: str | None = None, alpha: flo
 
     full = StructType([df.schema[c] for c in outer])
     out_schema = to_arrow_schema(full.add("n_tokens", LongType()).add("n_seen", LongType()).add("score", DoubleType()))
-    return dealt.groupBy(at_block).cogroup(sums.groupBy("_block")).applyInArrow(join, schema)
+    lean = dealt.withColumn(at_ids, F.when(F.col(at_ids).isNotNull(), F.struct(f"{at_ids}.flat", f"{at_ids}.sizes")))
+    return lean.groupBy(at_block).cogroup(sums.groupBy("_block")).applyInArrow(join, schema)
 
 
-COUNTED = pa.schema([("r", pa.int32()), ("_block", pa.int64()), ("k", pa.binary()), ("n", pa.binary()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+#: A block's ids, and its counts of a range of n-grams.
+IDS = pa.struct([("flat", pa.binary()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+COUNTED = pa.schema([("r", pa.int32()), ("_block", pa.int64()), ("k", pa.binary()), ("n", pa.binary())])
 
 
 def _dense(unigram: DataFrame, path: str) -> np.ndarray:

@@ -62,7 +62,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_scores.score(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_seen", "score")
+    return ngram_scores.score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
 def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,3 +324,15 @@ def test_lm_scores(spark, monkeypatch):
 
 def test_apply_keeps_other_columns(spark):
     assert apply(frame(spark, ["a"]), "text").columns == ["doc_id", "text", "source"]
+
+
+def test_lm_scores_of_kept_columns_carry_no_text(spark, monkeypatch):
+    monkeypatch.setattr(ngram_scores, "BLOCK", 3000)
+    texts = [None, "", *(words(k % 30, 30) for k in range(40))]
+    df = ngram_scores.score(frame(spark, texts), keep=["doc_id"])
+    assert df.columns == ["doc_id", "n_tokens", "n_seen", "score"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "source#" not in plan  # ids are written once; texts aren't read, dealt or encoded again
+    got = by_id(df)
+    for i, (n, seen, score) in enumerate(ngram_scores.brute_force(texts, reference(True), 50257)):
+        assert (got[i].n_tokens, got[i].n_seen, got[i].score) == (n, seen, score if score is None else pytest.approx(score, rel=1e-12))
