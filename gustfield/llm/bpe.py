@@ -26,6 +26,9 @@ from . import columnar as C
 #: Slots of a worker's store of pieces (a power of two), and the ids that it may hold before it starts anew.
 SLOTS, POOL = 1 << 20, 1 << 25
 
+#: Bytes of text that ``encode`` works on at a time: its arrays of words are many times as large.
+SLICE = 1 << 18
+
 #: White space other than space and line end: ASCII, and the UTF-8 forms of the rest (some that look alike to Python count too).
 ODD_SPACE = bytes([0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)])
 WIDE_SPACE = [c.encode() for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
@@ -293,7 +296,7 @@ def encode(df: DataFrame, **options) -> DataFrame:
     offsets=True also adds ``byte_start`` and ``char_start`` (arrays: where each id begins; one that begins inside
     a character counts as that character) and ``split`` (ids that begin inside a character). Options: see encoder.
     """
-    return C.apply(df, options.get("text", "text"), encoder(**options))
+    return C.apply(df, options.get("text", "text"), encoder(**options), limit=SLICE)
 
 
 def decode(df: DataFrame, **options) -> DataFrame:

@@ -336,3 +336,12 @@ def test_lm_scores_of_kept_columns_carry_no_text(spark, monkeypatch):
     got = by_id(df)
     for i, (n, seen, score) in enumerate(ngram_scores.brute_force(texts, reference(True), 50257)):
         assert (got[i].n_tokens, got[i].n_seen, got[i].score) == (n, seen, score if score is None else pytest.approx(score, rel=1e-12))
+
+
+def test_bpe_encode_works_on_small_slices(spark, monkeypatch):
+    limits, inner = [], bpe.C.apply
+    monkeypatch.setattr(bpe.C, "apply", lambda *a, limit=None, **k: limits.append(limit or bpe.C.SLICE_BYTES) or inner(*a, limit=limit, **k))
+    texts = [words(k, 3000, 9000) for k in range(40)]  # several slices in a batch
+    got = by_id(bpe.encode(frame(spark, texts).coalesce(1)))
+    assert limits == [bpe.SLICE] and bpe.SLICE <= 1 << 18
+    assert all(np.frombuffer(got[i].ids, np.uint32).tolist() == reference(True)(t) for i, t in enumerate(texts))
