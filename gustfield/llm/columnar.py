@@ -53,23 +53,36 @@ class Scratch:
     """Written tables of one run in a folder under the shared one; each goes when nothing reads it any more."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.base, self.paths = spark, shared_dir(spark, what), {}
+        self.spark, self.base, self.paths, self.made = spark, shared_dir(spark, what), {}, 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        path = f"{self.base}/{name}-{self.made}"
+        self.made += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete what ``write`` has returned; nothing else may read it afterwards."""
+        """Delete what ``write`` has returned, and its list of files; nothing else may read it afterwards."""
         for t in tables:
-            _, path = self.paths[id(t)]
+            _, path = self.paths.pop(id(t))
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the driver give up the plans, broadcasts and shuffles that nothing reads any more.
+
+    Spark removes them when the JVM has collected its handles on them, and the JVM would rather let its heap grow. For
+    loops of many small jobs, once in a while.
+    """
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first ``name``1, ``name``2, ... that no column of ``df`` has (in any case)."""
     taken, k, out = {c.lower() for c in df.columns}, 0, name

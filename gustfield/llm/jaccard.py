@@ -23,7 +23,8 @@ Others are by their sets. Sets are made once, for classes of such pairs only.
 
 Equality of shingles and classes is that of 64-bit hashes. Nothing is collected but the ``HOT`` most frequent shingles (for the
 order), and what is broadcast are they and bit maps of a fixed size. A shingle counts as frequent if blocks of documents repeat it. Regions
-of frequent shingles are salted by class. Links are found between classes, as many as connect what the definition connects.
+of frequent shingles are salted by class. Links are found between classes, as many as connect what the definition connects. A round is
+many small jobs; between them the driver gives up what it held for those before (``columnar.forget``).
 
 Null texts and texts without words have no shingles and link with nothing; texts of fewer words than a shingle have
 the whole sequence as one. Equal rows are copies of each other; rows with a null id count as documents. Whole texts are used. An empty table gives no rows.
@@ -288,6 +289,7 @@ class Join:
         with C.small_batches(self.spark, PAIRS):
             out = self.scratch.write(self.exact(close), "distances")
         self.scratch.drop(need)
+        C.forget(self.spark)
         return out
 
     # -- windows and recursion -------------------------------------------------------------------------------------------
@@ -302,6 +304,7 @@ class Join:
         bound = self.scratch.write(self.bounds(first.select(*_pair("pivot", "class")).distinct(), classes), "bounds")
         known = self.linked(bound.where("near").select("a", "b"), classes)
         group = components(known.where("linked").select("a", "b"), self.scratch)
+        C.forget(self.spark)
         # large regions of one pivot share most members and become one
         sizes = first.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
         merged = first.join(sizes, "h").select(F.when(F.col("size") > FAN, F.lit(0)).otherwise(F.col("h")).alias("region"), "pivot", "class").distinct()
@@ -334,6 +337,7 @@ class Join:
         nodes = group.unionByName(_both(links, "a", "b").select(F.col("class").alias("node"), F.col("class").alias("component")).join(group.select("node"), "node", "left_anti"))
         out = self.scratch.write(nodes.join(more, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "groups")
         self.scratch.drop(over)
+        C.forget(self.spark)
         return out
 
     def comparable(self, region: DataFrame, classes: DataFrame) -> DataFrame:
@@ -378,9 +382,10 @@ def components(links: DataFrame, scratch: C.Scratch | None = None) -> DataFrame:
     label = scratch.write(edge.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c"), F.lit(True).alias("moved")), "labels")
     while not label.where("moved").isEmpty():
         was = label.select("a", "c")
-        spread = edge.join(was.select(F.col("a").alias("b"), "c"), "b").select("a", "c").unionByName(was).groupBy("a").agg(F.min("c").alias("m"))
-        jumped = spread.join(was.select(F.col("a").alias("m"), F.col("c").alias("cc")), "m", "left").select("a", F.least("m", "cc").alias("n"))
-        new = scratch.write(jumped.join(was, "a").select("a", F.col("n").alias("c"), (F.col("n") != F.col("c")).alias("moved")), "labels")
+        told = edge.join(was.select(F.col("a").alias("b"), "c"), "b").select("a", "c", F.lit(False).alias("own"))
+        spread = told.unionByName(was.withColumn("own", F.lit(True))).groupBy("a").agg(F.min("c").alias("m"), F.min(F.when(F.col("own"), F.col("c"))).alias("was"))
+        jumped = spread.join(was.select(F.col("a").alias("m"), F.col("c").alias("cc")), "m", "left").select("a", F.least("m", "cc").alias("c"), "was")
+        new = scratch.write(jumped.select("a", "c", (F.col("c") != F.col("was")).alias("moved")), "labels")
         scratch.drop(label)
         label = new
     scratch.drop(edge)
