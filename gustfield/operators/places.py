@@ -1,12 +1,17 @@
-"""Points and boxes at scale: which stations lie in which boxes, which boxes meet, nearest first; by a cover of cells instead of comparing all with all.
+"""Points and boxes at scale: which stations lie in which boxes, which boxes meet, how many, nearest first; never by comparing all with all.
 
 The globe is cut into square cells at LEVELS sizes, each twice the one before. A box is covered by the cells of the level whose size is its
 longer side or more, so four at most; a point has one cell in every level that some box may have. Cells are join keys, an exact test follows. Longitudes don't wrap:
 a box over the antimeridian comes as two.
+
+Pairs grow with the product of both sides, so what only needs their number is counted without them (``counted``).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,10 @@ from ..functions import geo as G
 SMALLEST, LEVELS = 0.01, 17
 
 CELL = ["_level", "_i", "_j"]
+SIDES = ["west", "south", "east", "north"]
+
+#: Boxes and tiles that a strip should hold, and the most strips either way.
+STRIP, MOST_STRIPS = 50_000, 1024
 
 
 def _cell(v, level) -> Column:
@@ -40,10 +49,113 @@ def placed(points: DataFrame, levels: list[int]) -> DataFrame:
 
 def inside(points: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFrame:
     """Points (lat, lon) with the columns ``keep`` of every box that holds them, edges included. One row for each pair: a point is met in one cell of a box."""
-    cover = covered(boxes.select("west", "south", "east", "north", *keep))
+    cover = covered(boxes.select(*SIDES, *keep))
     levels = sorted(r[0] for r in cover.select("_level").distinct().collect())  # LEVELS of them at most
     met = placed(points, levels).join(cover, CELL)
-    return met.where(G.in_box("lat", "lon", {k: F.col(k) for k in ("west", "south", "east", "north")})).drop(*CELL, "west", "south", "east", "north")
+    return met.where(G.in_box("lat", "lon", {k: F.col(k) for k in SIDES})).drop(*CELL, *SIDES)
+
+
+def _strips(boxes: DataFrame, tiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes that cut the boxes' and tiles' edges into strips of about as many. Where they lie changes the work, not the result."""
+    edges = [df.select(F.col(x).alias("x"), F.col(y).alias("y")) for df in (boxes, tiles) for x, y in (SIDES[:2], SIDES[2:])]
+    ranks = [k / MOST_STRIPS for k in range(1, MOST_STRIPS)]
+    every = edges[0].union(edges[1]).union(edges[2]).union(edges[3])
+    n, *cuts = every.agg(F.count("*"), *(F.percentile_approx(v, ranks, 10_000) for v in "xy")).first()
+    step = -(-MOST_STRIPS // max(1, min(MOST_STRIPS, n // (2 * STRIP))))
+    return tuple(np.unique(np.array(c or [], dtype=float)[step - 1 :: step]) for c in cuts)
+
+
+def _strip(cuts: np.ndarray):
+    @F.pandas_udf("int")
+    def strip(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, v.to_numpy(), "right").astype("int32"))
+
+    return strip
+
+
+def _sums_below(rank: np.ndarray, weights: list[np.ndarray], first: np.ndarray, below: np.ndarray) -> list[np.ndarray]:
+    """For each query the weights of those among the ``first`` rows whose rank (a permutation) is under ``below``: a pass for each bit of the ranks, rows dealt by it."""
+    low, high, out = np.zeros_like(first), first, [np.zeros(len(first), dtype=np.int64) for _ in weights]
+    for bit in reversed(range(len(rank).bit_length())):
+        zero, wanted = (rank >> bit) & 1 == 0, (below >> bit) & 1 == 1
+        before = np.concatenate([[0], np.cumsum(zero)])
+        for k, w in enumerate(weights):
+            upto = np.concatenate([[0], np.cumsum(np.where(zero, w, 0))])
+            out[k] += np.where(wanted, upto[high] - upto[low], 0)
+        low, high = (np.where(wanted, before[-1] + v - before[v], before[v]) for v in (low, high))
+        dealt = np.concatenate([np.flatnonzero(zero), np.flatnonzero(~zero)])
+        rank, weights = rank[dealt], [w[dealt] for w in weights]
+    return out
+
+
+def counted(boxes: DataFrame, tiles: DataFrame, key: str, value: str | None = None) -> DataFrame:
+    """How many tiles share a point with each box (``matched``), and the sum of their whole numbers ``value`` (``total``). Edges belong to both; a point is a tile
+    without extent. A row for each key; empty and null boxes and tiles meet nothing.
+
+    No pair becomes a row. A tile meets a box in one direction if it begins at the box's end or before and doesn't end before its begin; the first holds wherever the
+    second fails, so tiles that meet are a signed sum over four corners: tiles whose corner lies below the box's one in both directions. Both directions are cut into
+    strips. Tiles in the corner's own row of strips are compared by latitude and longitude there; those in rows before it are counted in the corner's own column by
+    longitude and row, where all columns before have been summed up by rows.
+    """
+    c = F.col
+    good = (c("west") <= c("east")) & (c("south") <= c("north"))
+    b = boxes.where(good).select(key, *SIDES)
+    t = tiles.where(good).select(*SIDES, F.lit(1).cast("bigint").alias("n"), (F.coalesce(c(value), F.lit(0)) if value else F.lit(0)).cast("bigint").alias("v"))
+    cut_x, cut_y = _strips(b, t)
+    strip = {"west": _strip(cut_x), "east": _strip(cut_x), "south": _strip(cut_y), "north": _strip(cut_y)}
+    b, t = (df.withColumns({f"_{s}": f(s) for s, f in strip.items()}) for df in (b, t))
+    at = lambda axis, high, place: [F.lit(axis).alias("axis"), F.lit(high).alias("high"), place.alias("strip")]
+    never = F.lit(float("inf"))
+
+    def sides(axis: int, high: bool):
+        """Side of the box, and the tile's that is held against it."""
+        return (("north", "south") if high else ("south", "north")) if axis == 0 else (("east", "west") if high else ("west", "east"))
+
+    corners, rows = [], []
+    for axis, high in ((0, True), (0, False), (1, True), (1, False)):
+        of_box, of_tile = sides(axis, high)
+        ends, begins = ("east", "west") if axis == 0 else ("_north", "_south")
+        # in strips, those before the box's end: that strip itself is left to the rows
+        corners.append(b.select(*at(axis, high, c(f"_{of_box}")), key, c(of_box).alias("p"), (c(ends).cast("double") - axis).alias("q1"), c(begins).cast("double").alias("q2")))
+        rows.append(t.select(*at(axis, high, c(f"_{of_tile}")), c(of_tile).alias("p"), c(begins).cast("double").alias("q1"), c(ends).cast("double").alias("q2"), "n", "v"))
+        if axis == 1:
+            wide, tall = len(cut_x) + 1, len(cut_y) + 1
+            for first, row in ((True, "_south"), (False, "_north")):
+                sums = t.groupBy(c(f"_{of_tile}").alias("strip"), c(row).alias("row")).agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+                grid = t.sparkSession.range(wide * tall).select((c("id") % wide).cast("int").alias("strip"), F.floor(c("id") / wide).cast("int").alias("row"))
+                before = Window.partitionBy("row").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)
+                carried = grid.join(sums, ["strip", "row"], "left").withColumns({x: F.sum(x).over(before) for x in "nv"}).where("n > 0")
+                place = c("row").cast("double")
+                rows.append(carried.select(*at(axis, high, c("strip")), (-never).alias("p"), (place if first else never).alias("q1"), (never if first else place).alias("q2"), "n", "v"))
+
+    def compare(pts: pa.Table, asked: pa.Table) -> pa.Table:
+        """In one strip: rows whose p and q1 lie at the corner or before, less those whose p does and whose q2 lies before."""
+        out = [np.zeros(len(asked), dtype=np.int64) for _ in "nv"]
+        if len(pts) and len(asked):
+            high = asked["high"][0].as_py()
+            get = lambda df, x: df[x].to_numpy()
+            order = np.argsort(get(pts, "p"), kind="stable")
+            first = np.searchsorted(get(pts, "p")[order], get(asked, "p"), "right" if high else "left")
+            weights = [get(pts, w)[order] for w in "nv"]
+            for q, side, sign in (("q1", "right", 1), ("q2", "left", -1)):
+                place = get(pts, q)[order]
+                by = np.argsort(place, kind="stable")
+                rank = np.empty_like(by)
+                rank[by] = np.arange(len(by))
+                for o, s in zip(out, _sums_below(rank, weights, first, np.searchsorted(place[by], get(asked, q), side))):
+                    o += s * (sign if high else -sign)
+        return pa.table({key: asked[key], "matched": out[0], "total": out[1]})
+
+    def together(parts: list[DataFrame]):
+        all_of = parts[0]
+        for x in parts[1:]:
+            all_of = all_of.unionByName(x)
+        return all_of.groupBy("axis", "high", "strip")
+
+    kind = boxes.schema[key].dataType.simpleString()
+    parts = together(rows).cogroup(together(corners)).applyInArrow(compare, f"`{key}` {kind}, matched bigint, total bigint")
+    none = boxes.select(key, F.lit(0).cast("bigint").alias("matched"), F.lit(0).cast("bigint").alias("total"))
+    return parts.unionByName(none).groupBy(key).agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
 
 
 def nearest(stations: DataFrame, requests: DataFrame, key: str, station: str, limit: int) -> DataFrame:
@@ -63,8 +175,7 @@ def nearest(stations: DataFrame, requests: DataFrame, key: str, station: str, li
 
 def meeting(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """Pairs of keys of boxes that share a point, edges included. Both sides meet in the cells of the larger box's level; each pair once."""
-    sides = ["west", "south", "east", "north"]
-    left, right = (covered(x.select(k, *sides)).withColumnsRenamed({s: f"{s}_{n}" for s in sides}) for x, k, n in ((a, key_a, "a"), (b, key_b, "b")))
+    left, right = (covered(x.select(k, *SIDES)).withColumnsRenamed({s: f"{s}_{n}" for s in SIDES}) for x, k, n in ((a, key_a, "a"), (b, key_b, "b")))
 
     def lifted(df: DataFrame) -> DataFrame:
         """With the cells that hold a cover's cells in all larger levels."""

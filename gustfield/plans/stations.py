@@ -85,9 +85,7 @@ TILES = "(SELECT s_suppkey AS tile, 30 + (s_suppkey * 13 % 101) * 2e-1 AS south,
 def boxes_meeting_tiles(spark, sf):
     k = F.col("s_suppkey")
     t = P.table(spark, sf, "supplier").select(k.alias("tile"), (F.lit(30) + (k * 13 % 101) * 0.2).alias("south"), (F.lit(-120) + (k * 29 % 103) * 0.39).alias("west")).select("*", (F.col("south") + 0.35).alias("north"), (F.col("west") + 0.35).alias("east"))
-    b = boxes(spark, sf)
-    got = places.meeting(b, t, "box", "tile").groupBy("box").agg(F.count("*").alias("tiles"), F.sum("tile").alias("sum_tile"))
-    return b.select("box").join(got, "box", "left").select("box", F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("sum_tile", F.lit(0)).alias("sum_tile"))
+    return places.counted(boxes(spark, sf), t, "box", "tile").select("box", F.col("matched").alias("tiles"), F.col("total").alias("sum_tile"))
 
 
 # ---- wide discs

@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import json
+import os
 import random
 
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from gustfield.functions import tables as T
 from gustfield.operators import grid, kernels, places, scoring
+from gustfield.plans import stations
 from gustfield.sources import networks, stores
 from gustfield.streaming import streams
 
+from .test_oracles import SF
 from .test_streaming import at
 
 
@@ -118,6 +121,33 @@ def test_boxes_by_cells(spark):
     assert [k for k, _ in ranks] == [1, 2, 3] and ranks == sorted(ranks)
 
 
+def brute_counts(boxes, tiles):
+    good = lambda x: None not in x[1:5] and x[1] <= x[3] and x[2] <= x[4]
+    met = {x[0]: [y[5] or 0 for y in tiles if good(x) and good(y) and x[1] <= y[3] and y[1] <= x[3] and x[2] <= y[4] and y[2] <= x[4]] for x in boxes}
+    return {k: (len(v), sum(v)) for k, v in met.items()}
+
+
+@pytest.mark.parametrize("strip", [3, 50_000])
+def test_boxes_are_counted_without_pairs(spark, monkeypatch, strip):
+    monkeypatch.setattr(places, "STRIP", strip)
+    r = random.Random(strip)
+    # many shared edges, boxes without extent, one that holds all, one inverted, one without a side
+    some = lambda n: [(i, s := float(r.randint(-9, 9)), w := float(r.randint(-9, 9)), s + r.choice([0.0, 1.0, 4.0]), w + r.choice([0.0, 2.0, 5.0]), r.choice([None, -7, 2**40, i])) for i in range(n)]
+    boxes, tiles = some(150) + [(500, -90.0, -180.0, 90.0, 180.0, 1), (501, 5.0, 0.0, 1.0, 9.0, 1), (502, None, 0.0, 1.0, 9.0, 1)], some(170) + [(500, 5.0, 0.0, 1.0, 9.0, 1), (501, 0.0, 0.0, None, 1.0, 1)]
+    kind = "box int, south double, west double, north double, east double, v bigint"
+    b, t = spark.createDataFrame(boxes, kind), spark.createDataFrame(tiles, kind)
+    got = {x.box: (x.matched, x.total) for x in places.counted(b.drop("v"), t.drop("box"), "box", "v").collect()}
+    assert got == brute_counts(boxes, tiles)
+    assert {(x.box, x.matched) for x in places.counted(b, t.limit(0), "box").collect()} == {(x[0], 0) for x in boxes}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_meeting_tiles_are_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(places, "meeting", lambda *a: pytest.fail("boxes and tiles were paired"))
+    got = stations.boxes_meeting_tiles(spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/part.parquet").count() and got.agg(F.sum("tiles")).first()[0] > 0
+
+
 # ---- discs and metrics
 
 def test_tiled_discs(spark):
