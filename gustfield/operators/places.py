@@ -1,10 +1,11 @@
 """Points and boxes at scale: which stations lie in which boxes, which boxes meet, how many, nearest first; never by comparing all with all.
 
 The globe is cut into square cells at LEVELS sizes, each twice the one before. A box is covered by the cells of the level whose size is its
-longer side or more, so four at most; a point has one cell in every level that some box may have. Cells are join keys, an exact test follows. Longitudes don't wrap:
-a box over the antimeridian comes as two.
+longer side or more, so four at most (smaller ones where points are met); a point has one cell in every level that some box may have. Cells are join keys, an exact test
+follows. Longitudes don't wrap: a box over the antimeridian comes as two.
 
-Pairs grow with the product of both sides, so what only needs their number is counted without them (``counted``).
+Pairs grow with the product of both sides, so what only needs their number is counted without them (``counted``), and nearest ones are looked for
+around the centre first.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from ..functions import geo as G
 #: Side of the smallest cell in degrees, and the number of levels: the largest holds any box of the globe.
 SMALLEST, LEVELS = 0.01, 17
 
+#: Points are met in cells of a quarter of the box's longer side or more: less of what a cover holds lies outside the box.
+FINER = 2
+
 CELL = ["_level", "_i", "_j"]
 SIDES = ["west", "south", "east", "north"]
 
@@ -31,12 +35,15 @@ def _cell(v, level) -> Column:
     return F.floor(v / (F.lit(SMALLEST) * F.pow(F.lit(2.0), level))).cast("bigint")
 
 
-def covered(boxes: DataFrame) -> DataFrame:
-    """A row for each cell of each box's cover. Boxes need west, south, east, north; empty and null ones have none."""
+def _level(finer: int = 0) -> Column:
+    side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(SMALLEST))
+    return F.greatest(F.least(F.ceil(F.log2(side / SMALLEST)).cast("int"), F.lit(LEVELS - 1)) - finer, F.lit(0))
+
+
+def covered(boxes: DataFrame, finer: int = 0) -> DataFrame:
+    """A row for each cell of each box's cover, of cells ``finer`` levels smaller than the box. Boxes need west, south, east, north; empty and null ones have none."""
     c = F.col
-    side = F.greatest(c("east") - c("west"), c("north") - c("south"), F.lit(SMALLEST))
-    level = F.least(F.ceil(F.log2(side / SMALLEST)).cast("int"), F.lit(LEVELS - 1))
-    good = boxes.where((c("west") <= c("east")) & (c("south") <= c("north"))).withColumn("_level", level)
+    good = boxes.where((c("west") <= c("east")) & (c("south") <= c("north"))).withColumn("_level", _level(finer))
     rows = good.withColumn("_i", F.explode(F.sequence(_cell(c("south"), c("_level")), _cell(c("north"), c("_level")))))
     return rows.withColumn("_j", F.explode(F.sequence(_cell(c("west"), c("_level")), _cell(c("east"), c("_level")))))
 
@@ -49,8 +56,8 @@ def placed(points: DataFrame, levels: list[int]) -> DataFrame:
 
 def inside(points: DataFrame, boxes: DataFrame, keep: list[str]) -> DataFrame:
     """Points (lat, lon) with the columns ``keep`` of every box that holds them, edges included. One row for each pair: a point is met in one cell of a box."""
-    cover = covered(boxes.select(*SIDES, *keep))
-    levels = sorted(r[0] for r in cover.select("_level").distinct().collect())  # LEVELS of them at most
+    cover = covered(boxes.select(*SIDES, *keep), FINER)
+    levels = sorted(r[0] for r in boxes.select(_level(FINER).alias("l")).where("l is not null").distinct().collect())  # LEVELS of them at most
     met = placed(points, levels).join(cover, CELL)
     return met.where(G.in_box("lat", "lon", {k: F.col(k) for k in SIDES})).drop(*CELL, *SIDES)
 
@@ -161,16 +168,44 @@ def counted(boxes: DataFrame, tiles: DataFrame, key: str, value: str | None = No
 def nearest(stations: DataFrame, requests: DataFrame, key: str, station: str, limit: int) -> DataFrame:
     """The first ``limit`` stations of each request's box by distance from its centre (ties by id), with ``distance``, ``rank`` and ``matched`` (how many the box holds).
 
-    Requests have west, south, east, north. One without stations gives a row without station and matched = 0. What is ranked is cut to ``limit``
-    in each task before it is shuffled.
+    Requests have west, south, east, north. One without stations gives a row without station and matched = 0. Stations are looked for in a part of
+    the box around its centre that should hold some ``3 * limit`` of them. While something outside the part may be nearer than the last one found, the part grows to that one's
+    distance, or to twice its width if it holds too few, up to the whole box. What is ranked is cut to ``limit`` in each task before it is shuffled.
     """
     c = F.col
-    centres = requests.withColumns({"_lat": (c("south") + c("north")) / 2, "_lon": (c("west") + c("east")) / 2})
-    met = inside(stations.select(station, "lat", "lon"), centres, [key, "_lat", "_lon"])
-    met = met.withColumn("distance", G.haversine("_lat", "_lon", "lat", "lon"))
-    first = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", station))).where(c("rank") <= limit).select(key, station, "distance", "rank")
-    count = met.groupBy(key).agg(F.count("*").alias("matched"))
-    return requests.select(key).join(count, key, "left").join(first, key, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    spots = stations.select(station, "lat", "lon")
+    held = counted(requests, spots.select(c("lon").alias("west"), c("lat").alias("south"), c("lon").alias("east"), c("lat").alias("north")), key).select(key, "matched").localCheckpoint()
+    south, north, west, east = (F.lit(x).cast("double") for x in spots.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first())
+    cos = F.greatest(F.cos(F.radians("_lat")), F.lit(1e-6))
+    # of the box only what lies in the stations' extent holds any; the centre may be off it
+    wide, tall = F.greatest((F.least("east", east) - F.greatest("west", west)) * cos, F.lit(1e-9)), F.greatest(F.least("north", north) - F.greatest("south", south), F.lit(1e-9))
+    off = F.greatest(south - c("_lat"), c("_lat") - north, (west - c("_lon")) * cos, (c("_lon") - east) * cos, F.lit(0.0))
+    area = wide * tall * (3 * limit) / c("matched")
+    half = off + F.greatest(F.sqrt(area), area / F.least(wide, tall)) / 2
+    plain = (c("east") - c("west") <= 360) & (c("south") >= -90) & (c("north") <= 90)  # elsewhere distances don't grow with degrees
+    left = requests.select(key, *SIDES).join(held.where("matched > 0"), key).withColumns({"_lat": (c("south") + c("north")) / 2, "_lon": (c("west") + c("east")) / 2})
+    left = left.withColumn("_half", F.when(plain, half).otherwise(float("inf"))).localCheckpoint()
+    found = []
+    while True:
+        part = left.withColumns({"_s": F.greatest("south", c("_lat") - c("_half")), "_n": F.least("north", c("_lat") + c("_half")), "_w": F.greatest("west", c("_lon") - c("_half") / cos), "_e": F.least("east", c("_lon") + c("_half") / cos)})
+        # no station of the box outside the part is nearer; null if the part is the box
+        along = F.asin(cos * F.sin(F.least(F.radians(c("_half") / cos), F.lit(np.pi / 2))))
+        reach = F.least(F.when((c("_s") > c("south")) | (c("_n") < c("north")), F.radians("_half")), F.when((c("_w") > c("west")) | (c("_e") < c("east")), along))
+        part = part.select(key, "_lat", "_lon", (reach * (G.EARTH_M * (1 - 1e-9))).alias("_reach"), c("_w").alias("west"), c("_s").alias("south"), c("_e").alias("east"), c("_n").alias("north"))
+        met = inside(spots, part, [key, "_lat", "_lon", "_reach"]).withColumn("distance", G.haversine("_lat", "_lon", "lat", "lon"))
+        first = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", station))).where(c("rank") <= limit)
+        first = first.withColumn("_last", F.max(F.when(c("rank") == limit, c("distance"))).over(Window.partitionBy(key)))
+        first = first.select(key, station, "distance", "rank", "_last", (c("_reach").isNull() | F.coalesce(c("_last") <= c("_reach"), F.lit(False))).alias("_done")).localCheckpoint()
+        found.append(first.where("_done").select(key, station, "distance", "rank"))
+        to_last = F.when(c("_last").isNotNull(), F.greatest(F.degrees(c("_last") / G.EARTH_M) * 1.01, c("_half") * 1.1))
+        left = left.join(first.where("rank = 1").select(key, "_last", "_done"), key, "left").where("not coalesce(_done, false)")
+        left = left.withColumn("_half", F.coalesce(to_last, c("_half") * 2)).drop("_last", "_done").localCheckpoint()
+        if left.isEmpty():
+            break
+    ranked = found[0]
+    for x in found[1:]:
+        ranked = ranked.unionByName(x)
+    return requests.select(key).join(held, key, "left").join(ranked, key, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
 
 
 def meeting(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gustfield.functions import geo as G
 from gustfield.functions import tables as T
 from gustfield.operators import grid, kernels, places, scoring
 from gustfield.plans import stations
@@ -148,6 +149,27 @@ def test_meeting_tiles_are_not_paired(spark, monkeypatch):
     assert got.count() == spark.read.parquet(f"{SF}/part.parquet").count() and got.agg(F.sum("tiles")).first()[0] > 0
 
 
+def test_nearest_are_found_around_the_centre(spark, monkeypatch):
+    r = random.Random(9)
+    pts = [(i, round(r.uniform(30, 50), 2), round(r.uniform(-120, -80), 2)) for i in range(3000)]
+    pts += [(3000 + i, round(r.gauss(44, 0.05), 2), round(r.gauss(-100, 0.05), 2)) for i in range(1000)] + [(4000 + i, 35.0, -90.0) for i in range(9)]  # a cluster, and one place with ties
+    boxes = [(i, s := r.uniform(25, 45), w := r.uniform(-125, -85), s + r.uniform(5, 20), w + r.uniform(5, 30)) for i in range(60)]
+    boxes += [(100, -90.0, -180.0, 90.0, 180.0), (101, 34.0, -91.0, 36.0, -89.0), (102, 49.9, -100.0, 80.0, -85.0), (103, 35.0, -130.0, 35.0, -80.0), (104, 60.0, 0.0, 61.0, 1.0), (105, None, 0.0, 61.0, 1.0), (106, -95.0, -400.0, 95.0, 100.0)]
+    met, inside = [], places.inside
+    monkeypatch.setattr(places, "inside", lambda *a: (met.append(inside(*a)), met[-1])[1])
+    p, b = spark.createDataFrame(pts, "id int, lat double, lon double"), spark.createDataFrame(boxes, "box int, south double, west double, north double, east double")
+    got = {}
+    for x in sorted(places.nearest(p, b, "box", "id", 5).collect(), key=lambda x: (x.box, x.rank or 0)):
+        got.setdefault(x.box, []).append((x.matched, x.id))
+    pairs = sum(m.count() for m in met)
+    cross = b.join(p, F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+    rows = cross.withColumn("d", G.haversine((F.col("south") + F.col("north")) / 2, (F.col("west") + F.col("east")) / 2, "lat", "lon")).select("box", "d", "id").collect()
+    for k, *_ in boxes:
+        mine = sorted((x.d, x.id) for x in rows if x.box == k)
+        assert got[k] == ([(len(mine), i) for _, i in mine[:5]] or [(0, None)])
+    assert pairs < len(rows) / 3  # before: all of them
+
+
 # ---- discs and metrics
 
 def test_tiled_discs(spark):
