@@ -165,6 +165,11 @@ def counted(boxes: DataFrame, tiles: DataFrame, key: str, value: str | None = No
     return parts.unionByName(none).groupBy(key).agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Worked out once and kept in the folder that all executors share (spark.checkpoint.dir). Without one, executors keep their own parts, and a later read fails if one of them is lost."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def nearest(stations: DataFrame, requests: DataFrame, key: str, station: str, limit: int) -> DataFrame:
     """The first ``limit`` stations of each request's box by distance from its centre (ties by id), with ``distance``, ``rank`` and ``matched`` (how many the box holds).
 
@@ -174,7 +179,7 @@ def nearest(stations: DataFrame, requests: DataFrame, key: str, station: str, li
     """
     c = F.col
     spots = stations.select(station, "lat", "lon")
-    held = counted(requests, spots.select(c("lon").alias("west"), c("lat").alias("south"), c("lon").alias("east"), c("lat").alias("north")), key).select(key, "matched").localCheckpoint()
+    held = _kept(counted(requests, spots.select(c("lon").alias("west"), c("lat").alias("south"), c("lon").alias("east"), c("lat").alias("north")), key).select(key, "matched"))
     south, north, west, east = (F.lit(x).cast("double") for x in spots.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first())
     cos = F.greatest(F.cos(F.radians("_lat")), F.lit(1e-6))
     # of the box only what lies in the stations' extent holds any; the centre may be off it
@@ -184,7 +189,7 @@ def nearest(stations: DataFrame, requests: DataFrame, key: str, station: str, li
     half = off + F.greatest(F.sqrt(area), area / F.least(wide, tall)) / 2
     plain = (c("east") - c("west") <= 360) & (c("south") >= -90) & (c("north") <= 90)  # elsewhere distances don't grow with degrees
     left = requests.select(key, *SIDES).join(held.where("matched > 0"), key).withColumns({"_lat": (c("south") + c("north")) / 2, "_lon": (c("west") + c("east")) / 2})
-    left = left.withColumn("_half", F.when(plain, half).otherwise(float("inf"))).localCheckpoint()
+    left = _kept(left.withColumn("_half", F.when(plain, half).otherwise(float("inf"))))
     found = []
     while True:
         part = left.withColumns({"_s": F.greatest("south", c("_lat") - c("_half")), "_n": F.least("north", c("_lat") + c("_half")), "_w": F.greatest("west", c("_lon") - c("_half") / cos), "_e": F.least("east", c("_lon") + c("_half") / cos)})
@@ -195,11 +200,11 @@ def nearest(stations: DataFrame, requests: DataFrame, key: str, station: str, li
         met = inside(spots, part, [key, "_lat", "_lon", "_reach"]).withColumn("distance", G.haversine("_lat", "_lon", "lat", "lon"))
         first = met.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", station))).where(c("rank") <= limit)
         first = first.withColumn("_last", F.max(F.when(c("rank") == limit, c("distance"))).over(Window.partitionBy(key)))
-        first = first.select(key, station, "distance", "rank", "_last", (c("_reach").isNull() | F.coalesce(c("_last") <= c("_reach"), F.lit(False))).alias("_done")).localCheckpoint()
+        first = _kept(first.select(key, station, "distance", "rank", "_last", (c("_reach").isNull() | F.coalesce(c("_last") <= c("_reach"), F.lit(False))).alias("_done")))
         found.append(first.where("_done").select(key, station, "distance", "rank"))
         to_last = F.when(c("_last").isNotNull(), F.greatest(F.degrees(c("_last") / G.EARTH_M) * 1.01, c("_half") * 1.1))
         left = left.join(first.where("rank = 1").select(key, "_last", "_done"), key, "left").where("not coalesce(_done, false)")
-        left = left.withColumn("_half", F.coalesce(to_last, c("_half") * 2)).drop("_last", "_done").localCheckpoint()
+        left = _kept(left.withColumn("_half", F.coalesce(to_last, c("_half") * 2)).drop("_last", "_done"))
         if left.isEmpty():
             break
     ranked = found[0]
